@@ -158,40 +158,64 @@ def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options)
     )
 
 
-def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits: int = 6, **options) -> DataFrame:
-    """One row per query with its whole answer in comparable form.
+def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits: int = 6, **options) -> DataFrame:
+    """The answer lists in long form: query_id, place (from 1, in row order), cell.
 
-    Columns: query_id, error, n_items, answer. An answer list is ordered by row; to
-    compare two lists without collecting either, each item is hashed with its place
-    and the hashes are summed exactly (two decimal sums of independent 64-bit hashes).
+    A number is written ``n`` and its rounded value, a text ``t`` and the text, so a list
+    of one number equals an aggregate with that number. An aggregate is a list of one.
     """
     from .ordered import running_number
 
-    total = summaries(queries, tables, rows, **options)
-    single = total.filter((F.col("agg") > 0) | F.col("error")).select(
-        "query_id", "error", F.when(F.col("error"), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("n_items"),
-        F.when(~F.col("error"), F.concat_ws("|", F.coalesce(F.round("num", digits).cast("string"), F.lit("")), F.coalesce("txt", F.lit("")))).alias("answer"),
+    def number(c):
+        return F.concat(F.lit("n"), F.round(c, digits).cast("string"))
+
+    total = summaries(queries, tables, rows, **options).filter((F.col("agg") > 0) & ~F.col("error"))
+    single = total.select(
+        "query_id", F.lit(1).cast("long").alias("place"),
+        F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none")).alias("cell"),
     )
     lists = matches(queries, tables, rows, **options).filter(F.col("agg") == 0)
-    cell = F.when(F.col("sel_type") == "real", F.coalesce(F.col("txt").try_cast("double").cast("string"), F.col("txt"))).otherwise(F.col("txt"))
-    placed = running_number(lists.select("query_id", "row_id", cell.alias("cell")), ["query_id"], "row_id", "place")
-    digest = placed.groupBy("query_id").agg(
+    text = F.concat(F.lit("t"), F.col("txt"))
+    cell = F.when(F.col("sel_type") == "real", F.coalesce(number(F.col("txt").try_cast("double")), text)).otherwise(text)
+    placed = running_number(lists.select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell")), ["query_id"], "row_id", "place")
+    return single.unionByName(placed.select("query_id", "place", "cell"))
+
+
+def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """One row per query with its whole answer in comparable form: query_id, error, n_items, answer.
+
+    Each item is hashed with its place and the hashes are summed exactly, so two lists of
+    any length are compared without gathering either in one task.
+    """
+    status = _prepare(queries, tables, options.get("last_value_wins", True)).select("query_id", "error")
+    digest = answer_items(queries, tables, rows, **options).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.concat_ws(
             "|", F.sum(F.xxhash64("place", "cell").cast("decimal(38,0)")).cast("string"),
             F.sum(F.xxhash64(F.lit(17), "cell", "place").cast("decimal(38,0)")).cast("string"),
         ).alias("answer"),
     )
-    empty = total.filter((F.col("agg") == 0) & ~F.col("error")).select("query_id", "error")
-    listed = empty.join(digest, "query_id", "left").select(
+    return status.join(digest, "query_id", "left").select(
         "query_id", "error", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("answer", F.lit("")).alias("answer")
     )
-    return single.unionByName(listed)
 
 
-def has_answer(digests: DataFrame, summary: DataFrame) -> DataFrame:
-    """Queries with a non-empty, truthy answer list: a list with at least one item."""
-    return digests.filter(~F.col("error") & (F.col("n_items") > 0)).select("query_id").join(summary, "query_id", "left_semi")
+def with_answer(candidates: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """Keep the candidates whose answer list is not empty.
+
+    MAX, MIN, COUNT, SUM and AVG always give a list of one item; a plain list must have rows.
+    """
+    total = summaries(candidates, tables, rows, **options)
+    good = total.filter(~F.col("error") & ((F.col("agg") > 0) | (F.col("n_rows") > 0)))
+    return candidates.join(good.select("query_id"), "query_id", "left_semi")
+
+
+def allowed_pair(kind: Column, agg: Column) -> Column:
+    """May this aggregate be used on a column of this type? Unknown types raise an error."""
+    return (
+        F.when(kind == "text", agg.isin(0, 3)).when(kind == "real", F.lit(True))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown column type "), kind)).cast("boolean"))
+    )
 
 
 # ---- text forms -----------------------------------------------------------------
@@ -210,7 +234,7 @@ def sql_text(header: Column | None, sel: Column, agg: Column, conds: Column, tab
 
     style ``numbered``: columns as colN, an empty aggregate leaves its space.
     style ``named``: header names, always with WHERE.
-    style ``readable``: lower-case aggregate and header, parentheses, quoted text.
+    style ``readable``: lower-case aggregate, the selected header always in parentheses.
     """
     agg_name = name_of(AGGREGATES, agg)
     op_name = lambda c: name_of(COMPARISONS, c.op)
@@ -225,21 +249,10 @@ def sql_text(header: Column | None, sel: Column, agg: Column, conds: Column, tab
         picked = F.get(header, sel)
         shown = F.when(agg == 0, picked).otherwise(F.concat(agg_name, F.lit("("), picked, F.lit(")")))
         return F.concat(F.lit("SELECT "), shown, F.lit(" FROM "), table, F.lit(" WHERE "), where)
-    picked = F.lower(F.get(header, sel))
-    shown = F.when(agg == 0, picked).otherwise(F.concat(F.lower(agg_name), F.lit("("), picked, F.lit(")")))
-    where = _joined(
-        F.transform(
-            conds,
-            lambda c: F.concat_ws(
-                " ", F.lower(F.get(header, c.col)), op_name(c),
-                F.when(c.is_num, c.val).otherwise(F.concat(F.lit("'"), F.lower(c.val), F.lit("'"))),
-            ),
-        ),
-        " and ",
-    )
+    where = _joined(F.transform(conds, lambda c: F.concat_ws(" ", F.get(header, c.col), op_name(c), c.val)), " AND ")
     return F.concat(
-        F.lit("select "), shown, F.lit(" from "), table,
-        F.when(F.size(conds) > 0, F.concat(F.lit(" where "), where)).otherwise(F.lit("")),
+        F.lit("SELECT "), F.lower(agg_name), F.lit("("), F.get(header, sel), F.lit(") FROM "), table,
+        F.when(F.size(conds) > 0, F.concat(F.lit(" WHERE "), where)).otherwise(F.lit("")),
     )
 
 

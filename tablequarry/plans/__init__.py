@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import QUERIES, Query, Tables, query
-from . import slots  # noqa: F401
+from . import slots, sqlset  # noqa: F401
 
 __all__ = ["QUERIES", "Query", "Tables", "query"]

@@ -230,3 +230,37 @@ def run_sql(name: str, source: str) -> None:
 
 run_sql("gold", "slot_queries")
 run_sql("pred", "slot_predictions")
+
+
+# ---- questions in words ----------------------------------------------------------------
+
+from ..operators import slotquery as _sq  # noqa: E402
+
+
+def slot_questions(t: Tables) -> DataFrame:
+    """Slot queries with their table, the question in words (no quotes) and its tokens."""
+    both = slot_queries(t).join(slot_tables(t), "table_id")
+    words = F.lower(_sq.spoken_text(F.col("header"), F.col("sel"), F.col("agg"), F.col("conds"), lambda i: F.lit(False)))
+    return both.withColumn("question", words).withColumn("toks", F.split("question", " "))
+
+
+def spoken_sql(quoted: str, bracketed: bool = False, header: str = "header", lst: str = "conds") -> str:
+    """SQL twin of ``spoken_text``; ``quoted`` may use i, the place of the condition from 0."""
+    name = lambda c: f"'([' || {header}[{c} + 1] || '])'" if bracketed else f"{header}[{c} + 1]"
+    aggs, ops = sql_list(_sq.SPOKEN_AGGREGATES), sql_list(_sq.SPOKEN_COMPARISONS)
+    raw = f"case when not c.is_num and ({quoted}) then '\"' || c.val || '\"' else c.val end"
+    val = f"'{{[' || {raw} || ']}}'" if bracketed else raw
+    part = f"{name('c.col')} || ' ' || ({ops})[c.op + 1] || ' ' || {val}"
+    where = f"array_to_string(list_transform({lst}, lambda c, j: {part.replace('@i', '(j - 1)')}), ' and ')"
+    return (
+        f"'select ' || case when agg = 0 then '' else ({aggs})[agg + 1] || ' ' end || {name('sel')} || "
+        f"case when len({lst}) > 0 then ' where ' || {where} else '' end"
+    )
+
+
+add_cte(
+    "slot_questions",
+    f"select *, string_split(question, ' ') as toks from (select *, lower({spoken_sql('false')}) as question "
+    "from slot_queries join slot_tables using (table_id))",
+    "slot_queries", "slot_tables",
+)
