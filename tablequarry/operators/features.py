@@ -58,3 +58,274 @@ def consistency_pairs(rows: DataFrame, key: str, question: str, sql: str, n_firs
     if n_first <= 10_000:
         partner = F.broadcast(partner)
     return own.unionByName(later.join(partner, "at").select(key, F.concat_ws(" ||| ", F.col(sql), F.col("pair")).alias("line")))
+
+
+# ---- vocabulary and ids ------------------------------------------------------------------
+
+# Special words of a vocabulary, in order of their ids.
+SPECIALS = ["<UNK>", "<BOS>", "<EOS>"]
+
+
+def build_vocabulary(words: DataFrame, max_count: int, min_freq: int = 1) -> DataFrame:
+    """(id, word, n): the most frequent words, sorted by word, after the special words.
+
+    Words of equal count are taken in order of the word. The result has at most
+    ``max_count`` rows, so its numbering is a small job.
+    """
+    from pyspark.sql import Window
+
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_freq)
+    top = counts.orderBy(F.desc("n"), "word").limit(max_count)
+    numbered = top.select((F.row_number().over(Window.orderBy("word")) + len(SPECIALS) - 1).alias("id"), "word", "n")
+    spark = words.sparkSession
+    special = spark.createDataFrame([(i, w, 0) for i, w in enumerate(SPECIALS)], "id int, word string, n bigint")
+    return special.unionByName(numbered)
+
+
+def words_once_per_schema(items: DataFrame, group: str, word: str) -> DataFrame:
+    """Words of questions as they are, words of schemas once per database."""
+    return items.dropDuplicates([group, word])
+
+
+def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", ends: bool = True, broadcast: bool = True) -> DataFrame:
+    """Token lists to id lists in the same order; unknown words get 0.
+
+    The vocabulary is bounded by its size parameter; pass ``broadcast=False`` for a
+    larger one. Ids come back to their row by position; a row is one text.
+    """
+    flat = tokens.select(key, F.posexplode(toks).alias("pos", "word"))
+    small = vocab.select("word", "id")
+    found = flat.join(F.broadcast(small) if broadcast else small, "word", "left").select(key, "pos", F.coalesce("id", F.lit(0)).alias("id"))
+    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x.id).alias("ids"))
+    if not ends:
+        return grouped
+    return grouped.withColumn("ids", F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2))))
+
+
+def extend_vocabulary(vocab: DataFrame, words: DataFrame) -> DataFrame:
+    """Add words the vocabulary does not know at the next ids, in order of the word."""
+    new = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti")
+    top = vocab.agg((F.max("id") + 1).alias("base"))
+    spread = running_by_range(new, "word")
+    added = spread.join(F.broadcast(top)).select((F.col("place") + F.col("base")).cast("int").alias("id"), "word")
+    return vocab.select("id", "word").unionByName(added)
+
+
+def running_by_range(df: DataFrame, column: str) -> DataFrame:
+    """Number all rows from 0 in the order of a column without one task seeing all of them.
+
+    The rows are range-partitioned and sorted; each partition is numbered on its own and
+    moved by the counts of the partitions before it.
+    """
+    from pyspark.sql import Window
+
+    sorted_rows = df.repartitionByRange(column).sortWithinPartitions(column)
+    marked = sorted_rows.withColumn("__part", F.spark_partition_id())
+    inside = marked.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(column)))
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return inside.join(starts, "__part").withColumn("place", F.col("__in") - 1 + F.col("__start")).drop("__part", "__in", "__start")
+
+
+# ---- masking and labels on token arrays -----------------------------------------------------
+
+# Marks of a caption, and the pad id, pad label and pad table index.
+BEGIN, SEP, STAR, MASK = "<s>", "</s>", "*", "<mask>"
+PAD_ID, NO_LABEL = 1, -1
+
+
+def mask_words(toks: Column, words: Column, seed, *keys) -> Column:
+    """Masked tokens and their labels: struct<toks, labels array<string>>; '' where not chosen.
+
+    15 of 100 tokens that are no marks are chosen; of these 8 in 10 become the mask, 1 in
+    10 a drawn word of ``words``, the others stay. The label is the old token.
+    """
+    def draw(i):
+        return unit(seed, "mask", *keys, i.cast("string"))
+
+    def special(x):
+        return x.isin(BEGIN, SEP)
+
+    def new(x, i):
+        u = draw(i) / F.lit(0.15)
+        other = F.get(words, pick_number(F.size(words), seed, "word", *keys, i.cast("string")))
+        return F.when(special(x) | (u >= 1), x).when(u < 0.8, F.lit(MASK)).when(u < 0.9, other).otherwise(x)
+
+    return F.struct(
+        F.transform(toks, new).alias("toks"),
+        F.transform(toks, lambda x, i: F.when(~special(x) & (draw(i) < 0.15), x).otherwise(F.lit(""))).alias("labels"),
+    )
+
+
+def separators(toks: Column) -> Column:
+    """Places (from 0) of the separators."""
+    return F.filter(F.transform(toks, lambda x, i: F.when(x == SEP, i)), lambda i: i.isNotNull())
+
+
+def column_label_ids(toks: Column, labels: Column) -> Column:
+    """Labels at the separators but the last, -1 elsewhere; labels without a place are cut."""
+    seps = separators(toks)
+    used = F.slice(seps, 1, F.greatest(F.size(seps) - 1, F.lit(0)))
+
+    def label(x, i):
+        at = F.array_position(used, i)
+        return F.when((x == SEP) & (at > 0), F.coalesce(F.get(labels, (at - 1).cast("int")), F.lit(NO_LABEL))).otherwise(F.lit(NO_LABEL))
+
+    return F.transform(toks, label)
+
+
+def table_indexes(toks: Column) -> Column:
+    """At each place the start of its table: the last mark that is followed by a ``*`` before the next mark."""
+    marks = F.filter(F.transform(toks, lambda x, i: F.when(x.isin(SEP, BEGIN), i)), lambda i: i.isNotNull())
+
+    def starts_table(i):
+        stop = F.coalesce(F.array_min(F.filter(marks, lambda j: j > i)), F.size(toks))
+        return (i > 0) & F.array_contains(F.slice(toks, i + 2, F.greatest(stop - i - 1, F.lit(0))), STAR)
+
+    starts = F.filter(marks, starts_table)
+    return F.transform(toks, lambda x, i: F.coalesce(F.array_max(F.filter(starts, lambda s: s <= i)), F.lit(0)))
+
+
+def fit(values: Column, length: int, pad, left: bool = False) -> Column:
+    """Cut or pad to one length."""
+    kept = F.slice(values, 1, length)
+    fill = F.array_repeat(F.lit(pad) if not isinstance(pad, Column) else pad, F.greatest(F.lit(length) - F.size(kept), F.lit(0)))
+    return F.concat(fill, kept) if left else F.concat(kept, fill)
+
+
+def input_mask(values: Column, length: int, left: bool = False) -> Column:
+    ones = F.transform(F.slice(values, 1, length), lambda x: F.lit(1))
+    return fit(ones, length, 0, left)
+
+
+def pair_lengths(n_first: Column, n_second: Column, most: int) -> tuple[Column, Column]:
+    """Lengths after cutting the longer list one token at a time (ties cut the second)."""
+    up, down = (most + 1) // 2, most // 2
+    first = F.least(n_first, F.greatest(F.lit(up), F.lit(most) - n_second))
+    second = F.least(n_second, F.greatest(F.lit(down), F.lit(most) - n_first))
+    return first, second
+
+
+def cut_pair(first: Column, second: Column, most: int) -> tuple[Column, Column]:
+    a, b = pair_lengths(F.size(first), F.size(second), most)
+    return F.slice(first, 1, a), F.slice(second, 1, b)
+
+
+def cut_with_stride(ids: Column, other: Column, most: int, stride: int, only_first: bool = True) -> Column:
+    """struct<ids, other, overflow>: cut one list so that both fit; the overflow keeps ``stride`` more."""
+    over = F.greatest(F.size(ids) + F.size(other) - F.lit(most), F.lit(0))
+    cut = ids if only_first else other
+    kept = F.slice(cut, 1, F.greatest(F.size(cut) - over, F.lit(0)))
+    n_over = F.when(over > 0, F.least(F.size(cut), over + stride)).otherwise(F.lit(0))
+    tail = F.slice(cut, F.size(cut) - n_over + 1, n_over)
+    first, second = (kept, other) if only_first else (ids, kept)
+    return F.struct(first.alias("ids"), second.alias("other"), tail.alias("overflow"))
+
+
+def with_specials(first: Column, second: Column, begin, sep) -> tuple[Column, Column]:
+    """``[begin] first [sep] second [sep]`` and its segment ids (0 up to the first sep, then 1)."""
+    one = F.concat(F.array(F.lit(begin)), first, F.array(F.lit(sep)))
+    two = F.concat(second, F.array(F.lit(sep)))
+    ids = F.concat(one, two)
+    segments = F.concat(F.transform(one, lambda x: F.lit(0)), F.transform(two, lambda x: F.lit(1)))
+    return ids, segments
+
+
+def header_input(question: Column, headers: Column, sql_words: Column | None = None) -> Column:
+    """Encoder input with spans: ``[CLS] [sql words [SEP] ...] question [SEP] header [SEP] ...``.
+
+    ``headers`` and ``sql_words`` are lists of token lists. Gives struct<toks, segments,
+    sql_spans, question_span, header_spans>; a span is (start, end) with end not in it.
+    """
+    def block(lists):
+        """Tokens, segments and sizes of token lists, each closed by a separator."""
+        toks = F.flatten(F.transform(lists, lambda ts: F.concat(ts, F.array(F.lit("[SEP]")))))
+        last = F.size(lists) - 1
+        segs = F.flatten(
+            F.transform(lists, lambda ts, i: F.concat(F.transform(ts, lambda x: F.lit(1)), F.array(F.when(i == last, 1).otherwise(0))))
+        )
+        return toks, segs
+
+    def spans(lists, base):
+        def one(ts, i):
+            before = F.aggregate(F.slice(lists, 1, i), F.lit(0), lambda a, x: a + F.size(x) + 1)
+            return F.struct((base + before).alias("start"), (base + before + F.size(ts)).alias("end"))
+
+        return F.transform(lists, one)
+
+    head, head_seg, at = F.array(F.lit("[CLS]")), F.array(F.lit(0)), F.lit(1)
+    sql_spans = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    if sql_words is not None:
+        toks, segs = block(sql_words)
+        sql_spans = spans(sql_words, at)
+        head, head_seg, at = F.concat(head, toks), F.concat(F.array(F.lit(0)), segs), at + F.size(toks)
+    h_toks, h_segs = block(headers)
+    q_end = at + F.size(question)
+    return F.struct(
+        F.concat(head, question, F.array(F.lit("[SEP]")), h_toks).alias("toks"),
+        F.concat(head_seg, F.transform(question, lambda x: F.lit(0)), F.array(F.lit(0)), h_segs).alias("segments"),
+        sql_spans.alias("sql_spans"), F.struct(at.alias("start"), q_end.alias("end")).alias("question_span"),
+        spans(headers, q_end + 1).alias("header_spans"),
+    )
+
+
+# ---- words and pieces -------------------------------------------------------------------------
+
+
+def piece_maps(pieces: Column) -> tuple[Column, Column]:
+    """From the pieces of each word: word of each piece, first piece of each word."""
+    word_of = F.flatten(F.transform(pieces, lambda ps, i: F.array_repeat(i, F.size(ps))))
+    first = F.transform(pieces, lambda ps, i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.size(x)))
+    return word_of, first
+
+
+def words_of_pieces(rows: DataFrame, key: str, pieces: str) -> DataFrame:
+    """Regroup word pieces (``##`` goes on) to words: (key, word_no, word, first piece)."""
+    from pyspark.sql import Window
+
+    flat = rows.select(key, F.posexplode(pieces).alias("pos", "piece"))
+    goes_on = F.col("piece").startswith("##")
+    place = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = flat.withColumn("word_no", F.sum(F.when(goes_on, 0).otherwise(1)).over(place) - 1)
+    text = F.regexp_replace("piece", "^##", "")
+    return numbered.groupBy(key, "word_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x.t), "").alias("word"),
+        F.min("pos").alias("first"),
+    )
+
+
+def links_to_pieces(links: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Carry links (key, word_no, ...) from words to the first piece of the word."""
+    return links.join(words.select(key, "word_no", "first"), [key, "word_no"]).withColumnRenamed("first", "piece_no").drop("word_no")
+
+
+def inverse_permutation(order: Column) -> Column:
+    placed = F.transform(order, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    return F.transform(F.array_sort(placed), lambda p: p.i)
+
+
+# ---- pointers ------------------------------------------------------------------------------------
+
+# Words a pointer can choose before the question, in order.
+SQL_WORDS = [
+    "sql none", "sql max", "sql min", "sql count", "sql sum", "sql average", "sql select", "sql where", "sql and",
+    "sql equal", "sql greater than", "sql less than", "sql start", "sql end",
+]
+
+
+def pointer_targets(inp: Column, sel: Column, agg: Column, conds: Column, value_spans: Column) -> Column:
+    """Start pointers of a gold query: start, select, agg, column, [where, (column, op, first, last [, and])...], end."""
+    sql_at = lambda i: F.get(inp.sql_spans, i).start
+    header_at = lambda i: F.get(inp.header_spans, i).start
+    shift = F.get(inp.sql_spans, F.lit(13)).end + 1
+
+    def condition(c, i):
+        span = F.get(value_spans, i)
+        body = F.array(header_at(c.col), sql_at(c.op + 9), span.first + shift, span.last + shift)
+        return F.when(i < F.size(conds) - 1, F.concat(body, F.array(sql_at(F.lit(8))))).otherwise(body)
+
+    where = F.concat(F.array(sql_at(F.lit(7))), F.flatten(F.transform(conds, condition)))
+    head = F.array(sql_at(F.lit(12)), sql_at(F.lit(6)), sql_at(agg), header_at(sel))
+    end = F.array(sql_at(F.lit(13)))
+    return F.when(F.size(conds) > 0, F.concat(head, where, end)).otherwise(F.concat(head, end))

@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 BLOCK = 1 << 16
 
 
-def _blocked(df, keys, order, value, out, block):
+def _blocked(df, keys, order, value, out, block, merge=F.sum):
     cut = "__block"
     base = df.withColumn(cut, F.floor(F.col(order) / F.lit(block)).cast("long"))
     group = [*keys, cut]
     inside = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = base.groupBy(*group).agg(F.sum(value).alias("__total"))
+    totals = base.groupBy(*group).agg(merge(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__start"))
+    starts = totals.select(*group, merge("__total").over(before).alias("__start"))
     starts = starts.select(*[F.col(k).alias(f"__k_{k}") for k in group], "__start")
+    if merge is F.sum:
+        joined = F.col("__inside") + F.coalesce("__start", F.lit(0))
+    else:
+        joined = F.greatest("__inside", "__start")
     same = None
     for k in group:
         test = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
         same = test if same is None else same & test
     return (
-        base.withColumn("__inside", F.sum(value).over(inside))
+        base.withColumn("__inside", merge(value).over(inside))
         .join(starts, same)
-        .withColumn(out, F.col("__inside") + F.col("__start"))
+        .withColumn(out, joined)
         .drop("__inside", "__start", cut, *[f"__k_{k}" for k in group])
     )
 
@@ -41,6 +45,21 @@ def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, b
     return _blocked(df, keys, order, value, out, block)
 
 
+def carried_marker(df: DataFrame, keys: list[str], order: str, marker, out: str, block: int = BLOCK) -> DataFrame:
+    """The last marker at or before each row, for markers that grow with the order; NULL before the first."""
+    return _blocked(df, keys, order, marker, out, block, merge=F.max)
+
+
+def next_line(df: DataFrame, keys: list[str], line: str, text: str, out: str) -> DataFrame:
+    """Each line with the next one of its document; the last line has no partner and is left out.
+
+    Line numbers have no gaps, so this is a join on the next number and no document is
+    sorted in one task.
+    """
+    after = df.select(*keys, (F.col(line) - 1).alias(line), F.col(text).alias(out))
+    return df.join(after, [*keys, line])
+
+
 def ranked_by_score(
     df: DataFrame, keys: list[str], order: list, k: int, out: str, tie: str | None = None, salts: int = 64
 ) -> DataFrame:

@@ -62,13 +62,13 @@ def f5_boolean(t):
 @query(
     "p15_arithmetic",
     """select l_orderkey, l_linenumber, round(l_quantity + l_tax, 4) as added, round(l_quantity - l_discount, 4) as taken,
-       round(l_extendedprice * l_discount, 4) as times, round(l_extendedprice / l_quantity, 4) as per from lineitem where l_quantity > 0""",
+       round(l_extendedprice * l_discount + 1e-7, 4) as times, round(l_extendedprice / l_quantity + 1e-7, 4) as per from lineitem where l_quantity > 0""",
 )
 def p15_arithmetic(t):
     q, d, x, p = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice")
     return t.lineitem.filter(q > 0).select(
         "l_orderkey", "l_linenumber", F.round(q + x, 4).alias("added"), F.round(q - d, 4).alias("taken"),
-        F.round(p * d, 4).alias("times"), F.round(p / q, 4).alias("per"),
+        b.near(p * d).alias("times"), b.near(p / q).alias("per"),
     )
 
 
