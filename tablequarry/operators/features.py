@@ -2,9 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
 from ..functions.names import first_words, short_header
 from ..functions.seeded import pick_number, unit
-from .ordered import running_number
+from .ordered import running_by_text, running_number
 
 
 def gold_parts(queries: DataFrame) -> DataFrame:
@@ -94,9 +95,9 @@ def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", en
     larger one. Ids come back to their row by position; a row is one text.
     """
     flat = tokens.select(key, F.posexplode(toks).alias("pos", "word"))
-    small = vocab.select("word", "id")
-    found = flat.join(F.broadcast(small) if broadcast else small, "word", "left").select(key, "pos", F.coalesce("id", F.lit(0)).alias("id"))
-    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x.id).alias("ids"))
+    small = vocab.select("word", F.col("id").alias("__id"))
+    found = flat.join(F.broadcast(small) if broadcast else small, "word", "left").select(key, "pos", F.coalesce("__id", F.lit(0)).alias("__id"))
+    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__id"))), lambda x: x["__id"]).alias("ids"))
     if not ends:
         return grouped
     return grouped.withColumn("ids", F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2))))
@@ -106,28 +107,11 @@ def extend_vocabulary(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """Add words the vocabulary does not know at the next ids, in order of the word."""
     new = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti")
     top = vocab.agg((F.max("id") + 1).alias("base"))
-    spread = running_by_range(new, "word")
-    added = spread.join(F.broadcast(top)).select((F.col("place") + F.col("base")).cast("int").alias("id"), "word")
+    spread = running_by_text(new, "word", "place")
+    added = spread.join(F.broadcast(top)).select((F.col("place") - 1 + F.col("base")).cast("int").alias("id"), "word")
     return vocab.select("id", "word").unionByName(added)
 
 
-def running_by_range(df: DataFrame, column: str) -> DataFrame:
-    """Number all rows from 0 in the order of a column without one task seeing all of them.
-
-    The rows are range-partitioned and sorted; each partition is numbered on its own and
-    moved by the counts of the partitions before it.
-    """
-    from pyspark.sql import Window
-
-    sorted_rows = df.repartitionByRange(column).sortWithinPartitions(column)
-    marked = sorted_rows.withColumn("__part", F.spark_partition_id())
-    inside = marked.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(column)))
-    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return inside.join(starts, "__part").withColumn("place", F.col("__in") - 1 + F.col("__start")).drop("__part", "__in", "__start")
-
-
 # ---- masking and labels on token arrays -----------------------------------------------------
 
 # Marks of a caption, and the pad id, pad label and pad table index.
@@ -141,20 +125,19 @@ def mask_words(toks: Column, words: Column, seed, *keys) -> Column:
     15 of 100 tokens that are no marks are chosen; of these 8 in 10 become the mask, 1 in
     10 a drawn word of ``words``, the others stay. The label is the old token.
     """
-    def draw(i):
-        return unit(seed, "mask", *keys, i.cast("string"))
-
-    def special(x):
-        return x.isin(BEGIN, SEP)
-
-    def new(x, i):
-        u = draw(i) / F.lit(0.15)
-        other = F.get(words, pick_number(F.size(words), seed, "word", *keys, i.cast("string")))
-        return F.when(special(x) | (u >= 1), x).when(u < 0.8, F.lit(MASK)).when(u < 0.9, other).otherwise(x)
-
-    return F.struct(
-        F.transform(toks, new).alias("toks"),
-        F.transform(toks, lambda x, i: F.when(~special(x) & (draw(i) < 0.15), x).otherwise(F.lit(""))).alias("labels"),
+    def choose(x, i):
+        u = F.when(x.isin(BEGIN, SEP), F.lit(1.0)).otherwise(unit(seed, "mask", *keys, i.cast("string")))
+        return F.struct(x.alias("x"), i.alias("i"), (u / F.lit(0.15)).alias("u"))
+
+    def new(c):
+        other = F.get(words, pick_number(F.size(words), seed, "word", *keys, c.i.cast("string")))
+        return F.when(c.u >= 1, c.x).when(c.u < 0.8, F.lit(MASK)).when(c.u < 0.9, other).otherwise(c.x)
+
+    return let(
+        lambda v: F.struct(
+            F.transform(v.chosen, new).alias("toks"), F.transform(v.chosen, lambda c: F.when(c.u < 1, c.x).otherwise(F.lit(""))).alias("labels")
+        ),
+        chosen=F.transform(toks, choose),
     )
 
 
@@ -165,26 +148,32 @@ def separators(toks: Column) -> Column:
 
 def column_label_ids(toks: Column, labels: Column) -> Column:
     """Labels at the separators but the last, -1 elsewhere; labels without a place are cut."""
-    seps = separators(toks)
-    used = F.slice(seps, 1, F.greatest(F.size(seps) - 1, F.lit(0)))
-
-    def label(x, i):
+    def label(x, i, used):
         at = F.array_position(used, i)
         return F.when((x == SEP) & (at > 0), F.coalesce(F.get(labels, (at - 1).cast("int")), F.lit(NO_LABEL))).otherwise(F.lit(NO_LABEL))
 
-    return F.transform(toks, label)
+    return let(
+        lambda v: F.transform(toks, lambda x, i: label(x, i, F.slice(v.seps, 1, F.greatest(F.size(v.seps) - 1, F.lit(0))))),
+        seps=separators(toks),
+    )
 
 
 def table_indexes(toks: Column) -> Column:
     """At each place the start of its table: the last mark that is followed by a ``*`` before the next mark."""
-    marks = F.filter(F.transform(toks, lambda x, i: F.when(x.isin(SEP, BEGIN), i)), lambda i: i.isNotNull())
+    def starts(marks):
+        def starts_table(i):
+            stop = F.coalesce(F.array_min(F.filter(marks, lambda j: j > i)), F.size(toks))
+            return (i > 0) & F.array_contains(F.slice(toks, i + 2, F.greatest(stop - i - 1, F.lit(0))), STAR)
 
-    def starts_table(i):
-        stop = F.coalesce(F.array_min(F.filter(marks, lambda j: j > i)), F.size(toks))
-        return (i > 0) & F.array_contains(F.slice(toks, i + 2, F.greatest(stop - i - 1, F.lit(0))), STAR)
+        return F.filter(marks, starts_table)
 
-    starts = F.filter(marks, starts_table)
-    return F.transform(toks, lambda x, i: F.coalesce(F.array_max(F.filter(starts, lambda s: s <= i)), F.lit(0)))
+    marks = F.filter(F.transform(toks, lambda x, i: F.when(x.isin(SEP, BEGIN), i)), lambda i: i.isNotNull())
+    return let(
+        lambda v: let(
+            lambda w: F.transform(toks, lambda x, i: F.coalesce(F.array_max(F.filter(w.starts, lambda s: s <= i)), F.lit(0))), starts=starts(v.marks)
+        ),
+        marks=marks,
+    )
 
 
 def fit(values: Column, length: int, pad, left: bool = False) -> Column:
@@ -212,15 +201,23 @@ def cut_pair(first: Column, second: Column, most: int) -> tuple[Column, Column]:
     return F.slice(first, 1, a), F.slice(second, 1, b)
 
 
-def cut_with_stride(ids: Column, other: Column, most: int, stride: int, only_first: bool = True) -> Column:
-    """struct<ids, other, overflow>: cut one list so that both fit; the overflow keeps ``stride`` more."""
-    over = F.greatest(F.size(ids) + F.size(other) - F.lit(most), F.lit(0))
-    cut = ids if only_first else other
-    kept = F.slice(cut, 1, F.greatest(F.size(cut) - over, F.lit(0)))
-    n_over = F.when(over > 0, F.least(F.size(cut), over + stride)).otherwise(F.lit(0))
-    tail = F.slice(cut, F.size(cut) - n_over + 1, n_over)
-    first, second = (kept, other) if only_first else (ids, kept)
-    return F.struct(first.alias("ids"), second.alias("other"), tail.alias("overflow"))
+def cut_with_stride(first: Column, second: Column, most: int, stride: int, n_marks: int = 0, cut_first: bool = True) -> Column:
+    """struct<first, second, overflow>: cut one list so that both and the marks fit.
+
+    The overflow starts ``stride`` items before the cut; a start before the list counts
+    from its end. Nothing is cut where the other list alone leaves no room.
+    """
+    cut, other = (first, second) if cut_first else (second, first)
+    room = F.lit(most - n_marks) - F.size(other)
+    too_long = (room > 0) & (F.size(cut) > room)
+    start = room - stride
+    tail = F.when(start >= 0, F.slice(cut, F.greatest(start, F.lit(0)) + 1, F.size(cut))).otherwise(
+        F.slice(cut, F.greatest(F.size(cut) + F.least(start, F.lit(-1)), F.lit(0)) + 1, F.size(cut))
+    )
+    kept = F.when(too_long, F.slice(cut, 1, F.greatest(room, F.lit(0)))).otherwise(cut)
+    overflow = F.when(too_long, tail).otherwise(F.slice(cut, 1, 0))
+    one, two = (kept, other) if cut_first else (other, kept)
+    return F.struct(one.alias("first"), two.alias("second"), overflow.alias("overflow"))
 
 
 def with_specials(first: Column, second: Column, begin, sep) -> tuple[Column, Column]:
@@ -238,6 +235,11 @@ def header_input(question: Column, headers: Column, sql_words: Column | None = N
     ``headers`` and ``sql_words`` are lists of token lists. Gives struct<toks, segments,
     sql_spans, question_span, header_spans>; a span is (start, end) with end not in it.
     """
+    words = sql_words if sql_words is not None else F.expr("cast(array() as array<array<string>>)")
+    return let(lambda v: _header_input(v.question, v.headers, v.words), question=question, headers=headers, words=words)
+
+
+def _header_input(question: Column, headers: Column, sql_words: Column) -> Column:
     def block(lists):
         """Tokens, segments and sizes of token lists, each closed by a separator."""
         toks = F.flatten(F.transform(lists, lambda ts: F.concat(ts, F.array(F.lit("[SEP]")))))
@@ -254,12 +256,9 @@ def header_input(question: Column, headers: Column, sql_words: Column | None = N
 
         return F.transform(lists, one)
 
-    head, head_seg, at = F.array(F.lit("[CLS]")), F.array(F.lit(0)), F.lit(1)
-    sql_spans = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    if sql_words is not None:
-        toks, segs = block(sql_words)
-        sql_spans = spans(sql_words, at)
-        head, head_seg, at = F.concat(head, toks), F.concat(F.array(F.lit(0)), segs), at + F.size(toks)
+    toks, segs = block(sql_words)
+    sql_spans = spans(sql_words, F.lit(1))
+    head, head_seg, at = F.concat(F.array(F.lit("[CLS]")), toks), F.concat(F.array(F.lit(0)), segs), F.size(toks) + 1
     h_toks, h_segs = block(headers)
     q_end = at + F.size(question)
     return F.struct(
@@ -276,23 +275,25 @@ def header_input(question: Column, headers: Column, sql_words: Column | None = N
 def piece_maps(pieces: Column) -> tuple[Column, Column]:
     """From the pieces of each word: word of each piece, first piece of each word."""
     word_of = F.flatten(F.transform(pieces, lambda ps, i: F.array_repeat(i, F.size(ps))))
-    first = F.transform(pieces, lambda ps, i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + F.size(x)))
+    first = F.aggregate(
+        pieces, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("firsts")),
+        lambda s, ps: F.struct((s.at + F.size(ps)).alias("at"), F.concat(s.firsts, F.array(s.at)).alias("firsts")), lambda s: s.firsts,
+    )
     return word_of, first
 
 
 def words_of_pieces(rows: DataFrame, key: str, pieces: str) -> DataFrame:
     """Regroup word pieces (``##`` goes on) to words: (key, word_no, word, first piece)."""
-    from pyspark.sql import Window
+    def words(v):
+        def one(s, k):
+            stop = F.coalesce(F.get(v.starts, k + 1), F.size(v.pieces))
+            text = F.array_join(F.transform(F.slice(v.pieces, s + 1, stop - s), lambda p: F.regexp_replace(p, "^##", "")), "")
+            return F.struct(k.alias("word_no"), text.alias("word"), s.alias("first"))
 
-    flat = rows.select(key, F.posexplode(pieces).alias("pos", "piece"))
-    goes_on = F.col("piece").startswith("##")
-    place = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = flat.withColumn("word_no", F.sum(F.when(goes_on, 0).otherwise(1)).over(place) - 1)
-    text = F.regexp_replace("piece", "^##", "")
-    return numbered.groupBy(key, "word_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("t")))), lambda x: x.t), "").alias("word"),
-        F.min("pos").alias("first"),
-    )
+        return F.transform(v.starts, one)
+
+    starts = F.filter(F.transform(F.col(pieces), lambda p, i: F.when(~p.startswith("##") | (i == 0), i)), lambda i: i.isNotNull())
+    return rows.select(key, F.explode(let(words, pieces=F.col(pieces), starts=starts)).alias("w")).select(key, "w.*")
 
 
 def links_to_pieces(links: DataFrame, words: DataFrame, key: str) -> DataFrame:
@@ -329,3 +330,92 @@ def pointer_targets(inp: Column, sel: Column, agg: Column, conds: Column, value_
     head = F.array(sql_at(F.lit(12)), sql_at(F.lit(6)), sql_at(agg), header_at(sel))
     end = F.array(sql_at(F.lit(13)))
     return F.when(F.size(conds) > 0, F.concat(head, where, end)).otherwise(F.concat(head, end))
+
+
+def pointer_rows(df: DataFrame, question: str, headers: Column, sql_words: Column, spans: Column) -> DataFrame:
+    """Adds the pointer input ``x`` and the ``pointers`` of the gold query."""
+    made = df.withColumn("x", header_input(F.col(question), headers, sql_words)).withColumn("__spans", spans)
+    pointers = let(
+        lambda v: pointer_targets(v.x, F.col("sel"), F.col("agg"), F.col("conds"), v.spans), x=F.col("x"), spans=F.col("__spans")
+    )
+    return made.withColumn("pointers", pointers).drop("__spans")
+
+
+# ---- smaller parts -------------------------------------------------------------------------------
+
+
+def ids_to_text(ids: DataFrame, vocab: DataFrame, key: str, col: str = "ids") -> DataFrame:
+    """Ids back to clean text; ids of special words are left out."""
+    from ..functions.textforms import clean_spaces
+
+    flat = ids.select(key, F.posexplode(col).alias("pos", "__id")).filter(F.col("__id") >= len(SPECIALS))
+    found = flat.join(F.broadcast(vocab.select(F.col("id").alias("__id"), "word")), "__id")
+    words = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
+    return words.select(key, clean_spaces(F.array_join("words", " ")).alias("text"))
+
+
+def used_vectors(used: DataFrame, vectors: DataFrame, place: str, n_special: int = 3) -> DataFrame:
+    """Vectors of the used words, with ids by first use after the special ones."""
+    first = used.groupBy("word").agg(F.min(place).alias("place"))
+    kept = vectors.join(first, "word")
+    numbered = running_number(kept.withColumn("__tie", F.xxhash64("word")), [], "place", "no")
+    return numbered.withColumn("id", (F.col("no") + n_special - 1).cast("int")).drop("no", "place", "__tie")
+
+
+def task_features(rows: DataFrame, first: Column, second: Column, label: Column, labels: list[str] | None, length: int) -> DataFrame:
+    """Sentence-task rows to features: tokens, mask, segments of one length and the label id (or number)."""
+    paired = F.size(second) > 0
+    cut = cut_with_stride(first, second, length, 0, 3)
+    single = F.slice(first, 1, length - 2)
+    ids2, seg2 = with_specials(F.col("__cut.first"), F.col("__cut.second"), "[CLS]", "[SEP]")
+    one = F.concat(F.array(F.lit("[CLS]")), F.col("__single"), F.array(F.lit("[SEP]")))
+    toks = F.when(F.col("__paired"), ids2).otherwise(one)
+    segs = F.when(F.col("__paired"), seg2).otherwise(F.transform(one, lambda x: F.lit(0)))
+    target = label.cast("double") if labels is None else (F.array_position(F.array(*[F.lit(x) for x in labels]), label) - 1).cast("int")
+    made = rows.select("*", target.alias("label_id"), paired.alias("__paired"), cut.alias("__cut"), single.alias("__single"))
+    made = made.withColumn("__toks", toks).withColumn("__segs", segs)
+    return made.select(
+        *rows.columns, "label_id", fit(F.col("__toks"), length, "[PAD]").alias("tokens"), input_mask(F.col("__toks"), length).alias("input_mask"),
+        fit(F.col("__segs"), length, 0).alias("segments"),
+    )
+
+
+def paired_features(rows: DataFrame, question: str, sql: str, labels: str, length: int) -> DataFrame:
+    """Question and SQL sequence side by side; kept where both have the same number of columns."""
+    cut = rows.withColumn(question, F.slice(question, 1, length)).withColumn(sql, F.slice(sql, 1, length))
+    seps = lambda c: F.transform(c, lambda x: x == SEP)
+    made = cut.withColumn("q_seps", seps(question)).withColumn("s_seps", seps(sql))
+    made = made.withColumn("col_label_ids", column_label_ids(F.col(question), F.col(labels)))
+    count = lambda c: F.size(F.filter(c, lambda x: x))
+    return made.filter(count("q_seps") == count("s_seps"))
+
+
+def used_column_labels(toks: Column, used: Column) -> Column:
+    """1 at the separator of a used column, 0 at the others but the last, -1 elsewhere."""
+    return let(
+        lambda v: F.transform(
+            toks,
+            lambda x, i: F.when(
+                (x == SEP) & (i != F.element_at(v.seps, -1)),
+                F.array_contains(used, (F.array_position(v.seps, i) - 1).cast("int")).cast("int"),
+            ).otherwise(F.lit(NO_LABEL)),
+        ),
+        seps=separators(toks),
+    )
+
+
+def filled_hints(rows: DataFrame, batch: str, hints: str, n: str) -> DataFrame:
+    """Hints padded with zeros to the longest row of their batch; all zeros where absent."""
+    longest = rows.groupBy(batch).agg(F.max(n).alias("__most"))
+    given = F.coalesce(F.col(hints), F.expr("cast(array() as array<int>)"))
+    return rows.join(longest, batch).withColumn(hints, F.concat(given, F.array_repeat(F.lit(0), F.col("__most") - F.size(given)))).drop("__most")
+
+
+def value_places(rows: DataFrame, key: str, spans: str) -> DataFrame:
+    """Token places of each literal as a sparse frame: (key, cond, step, place)."""
+    flat = rows.select(key, F.posexplode(spans).alias("cond", "span"))
+    return flat.select(key, "cond", F.posexplode(F.sequence("span.first", "span.last")).alias("step", "place"))
+
+
+def header_sizes(header: Column) -> Column:
+    return F.transform(header, lambda h: F.size(F.split(h, " ")))

@@ -5,14 +5,15 @@ on its own; a second, much smaller window over the block totals gives the start
 of every block. No task ever sorts more than one block of a group.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 1 << 16
 
 
 def _blocked(df, keys, order, value, out, block, merge=F.sum):
     cut = "__block"
-    base = df.withColumn(cut, F.floor(F.col(order) / F.lit(block)).cast("long"))
+    part = block if isinstance(block, Column) else F.floor(F.col(order) / F.lit(block)).cast("long")
+    base = df.withColumn(cut, part)
     group = [*keys, cut]
     inside = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     totals = base.groupBy(*group).agg(merge(value).alias("__total"))
@@ -40,6 +41,11 @@ def running_number(df: DataFrame, keys: list[str], order: str, out: str, block:
     return _blocked(df, keys, order, F.lit(1).cast("long"), out, block)
 
 
+def running_by_text(df: DataFrame, text: str, out: str, prefix: int = 4) -> DataFrame:
+    """Number distinct texts from 1 in their order; blocks are cut by the first letters."""
+    return _blocked(df, [], text, F.lit(1).cast("long"), out, F.left(F.col(text), F.lit(prefix)))
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, block: int = BLOCK) -> DataFrame:
     """Running sum of ``value`` in each group up to and with the current row."""
     return _blocked(df, keys, order, value, out, block)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.binding import let
+
 
 def find_tokens(tokens: Column, wanted: Column) -> Column:
     """First place (from 0) where ``wanted`` stands in ``tokens``; NULL if nowhere."""
@@ -15,12 +17,13 @@ def find_tokens(tokens: Column, wanted: Column) -> Column:
 def value_spans(tokens: Column, conds: Column) -> Column:
     """Per condition the first and last token place of its literal in the question."""
 
-    def span(c):
+    def span(v, c):
         words = F.split(F.lower(c.val), " ")
-        first = find_tokens(tokens, words)
-        return F.struct(first.alias("first"), (first + F.size(words) - 1).alias("last"))
+        return let(
+            lambda w: F.struct(w.first.alias("first"), (w.first + F.size(words) - 1).alias("last")), first=find_tokens(v.tokens, words)
+        )
 
-    return F.transform(conds, span)
+    return let(lambda v: F.transform(conds, lambda c: span(v, c)), tokens=tokens)
 
 
 # Bracket and quote marks of tokenised text, and the letters that may be spaced.

@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import QUERIES, Query, Tables, query
-from . import slots, sqlset, windows  # noqa: F401
+from . import mining, slots, sqlset, texts, windows  # noqa: F401
 
 __all__ = ["QUERIES", "Query", "Tables", "query"]

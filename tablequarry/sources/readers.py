@@ -237,7 +237,7 @@ def parse_template_lines(lines: DataFrame) -> DataFrame:
     halves = F.split(F.when(is_start, after("SQL Pattern: ")).otherwise(after("question:  ")), r"\|\|\|")
     rules = F.when(
         F.size(halves) == 2,
-        F.filter(F.transform(F.split(F.get(halves, F.lit(1)), r"\|"), F.trim), lambda x: x != ""),
+        F.filter(F.transform(F.split(F.get(halves, F.lit(1)), r"\|"), lambda x: F.trim(x)), lambda x: x != ""),
     ).otherwise(F.array().cast("array<string>"))
     kind = (
         F.when(is_start, "pattern").when(F.contains(F.col("value"), F.lit("count: ")), "count")
