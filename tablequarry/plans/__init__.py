@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from .registry import QUERIES, Query, Tables, query
-from . import links, mining, slots, sqlset, texts, windows  # noqa: F401
+from . import links, mining, slots, sqlset, structs, texts, windows  # noqa: F401
 
 __all__ = ["QUERIES", "Query", "Tables", "query"]
