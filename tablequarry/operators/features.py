@@ -419,3 +419,13 @@ def value_places(rows: DataFrame, key: str, spans: str) -> DataFrame:
 
 def header_sizes(header: Column) -> Column:
     return F.transform(header, lambda h: F.size(F.split(h, " ")))
+
+
+def transposed(rows: DataFrame, key: str, row: str, cells: str, width: int) -> DataFrame:
+    """Sample rows of a table to columns: (key, columns array<array<string>>); for the few sample rows of S2."""
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(row, cells))).alias("__rows"))
+    return grouped.select(key, F.array(*[F.transform("__rows", _cell(cells, i)) for i in range(width)]).alias("columns"))
+
+
+def _cell(cells: str, i: int):
+    return lambda r: F.get(r[cells], F.lit(i))
