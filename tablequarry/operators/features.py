@@ -106,9 +106,8 @@ def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", en
 def extend_vocabulary(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """Add words the vocabulary does not know at the next ids, in order of the word."""
     new = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti")
-    top = vocab.agg((F.max("id") + 1).alias("base"))
-    spread = running_by_text(new, "word", "place")
-    added = spread.join(F.broadcast(top)).select((F.col("place") - 1 + F.col("base")).cast("int").alias("id"), "word")
+    top = vocab.agg(F.max("id").alias("top")).scalar()
+    added = running_by_text(new, "word", "place").select((F.col("place") + top).cast("int").alias("id"), "word")
     return vocab.select("id", "word").unionByName(added)
 
 

@@ -128,8 +128,8 @@ def k6_execution_guided(t):
 @query(
     "k7_reranked",
     f"""select item_id, event_id, place from (select *, row_number() over (partition by item_id order by value desc, event_id) as place from (
-       select *, max(valid::int) over (partition by item_id) as some from (select event_id // 10 as item_id, event_id, value, {b.u_sql(16, 'valid', 'event_id')} < 0.15 as valid from events))
-       where valid or some = 0) where place <= 3""",
+       select *, max(valid::int) over (partition by item_id) as any_valid from (select event_id // 10 as item_id, event_id, value, {b.u_sql(16, 'valid', 'event_id')} < 0.15 as valid from events))
+       where valid or any_valid = 0) where place <= 3""",
 )
 def k7_reranked(t):
     rows = t.events.select(
