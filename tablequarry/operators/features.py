@@ -88,15 +88,15 @@ def words_once_per_schema(items: DataFrame, group: str, word: str) -> DataFrame:
     return items.dropDuplicates([group, word])
 
 
-def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", ends: bool = True, broadcast: bool = True) -> DataFrame:
+def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", ends: bool = True) -> DataFrame:
     """Token lists to id lists in the same order; unknown words get 0.
 
-    The vocabulary is bounded by its size parameter; pass ``broadcast=False`` for a
-    larger one. Ids come back to their row by position; a row is one text.
+    The limit of the vocabulary tells Spark its size, so a small one is sent to all tasks
+    and a large one is shuffled. Ids come back to their row by position; a row is one text.
     """
     flat = tokens.select(key, F.posexplode(toks).alias("pos", "word"))
     small = vocab.select("word", F.col("id").alias("__id"))
-    found = flat.join(F.broadcast(small) if broadcast else small, "word", "left").select(key, "pos", F.coalesce("__id", F.lit(0)).alias("__id"))
+    found = flat.join(small, "word", "left").select(key, "pos", F.coalesce("__id", F.lit(0)).alias("__id"))
     grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__id"))), lambda x: x["__id"]).alias("ids"))
     if not ends:
         return grouped
@@ -348,7 +348,7 @@ def ids_to_text(ids: DataFrame, vocab: DataFrame, key: str, col: str = "ids") ->
     from ..functions.textforms import clean_spaces
 
     flat = ids.select(key, F.posexplode(col).alias("pos", "__id")).filter(F.col("__id") >= len(SPECIALS))
-    found = flat.join(F.broadcast(vocab.select(F.col("id").alias("__id"), "word")), "__id")
+    found = flat.join(vocab.select(F.col("id").alias("__id"), "word"), "__id")
     words = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
     return words.select(key, clean_spaces(F.array_join("words", " ")).alias("text"))
 

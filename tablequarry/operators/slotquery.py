@@ -218,6 +218,59 @@ def allowed_pair(kind: Column, agg: Column) -> Column:
     )
 
 
+def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``n`` random queries per table that give an answer: query_id, table_id, sel, agg, conds, n_rows.
+
+    A select column is drawn; in each round a further column, an operator and the cell of
+    a drawn row of the current answer make a condition, kept only if it changes the
+    answer. As a condition can only remove rows, the answer changes if and only if its
+    length does. All open queries go through a round together; the remaining rows are
+    written to the checkpoint folder after each round, so a round reads them once.
+    """
+    from ..functions.seeded import pick_item, pick_number, unit
+    from ..session import cut_lineage
+
+    state = tables.select("table_id", "types", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("no")).select(
+        F.concat_ws("#", "table_id", F.col("no").cast("string")).alias("query_id"), "table_id", "types"
+    )
+    state = state.withColumn("sel", pick_number(F.size("types"), seed, "select", "query_id"))
+    state = state.withColumn("open", F.filter(F.sequence(F.lit(0), F.size("types") - 1), lambda i: i != F.col("sel")))
+    state = state.withColumn("conds", F.expr("cast(array() as array<struct<col:int,op:int,val:string,is_num:boolean>>)"))
+    data = lower_cells(rows).select("table_id", "row_id", "cells")
+    alive = cut_lineage(state.select("query_id", "table_id").join(data, "table_id").drop("table_id"))
+    for r in range(rounds):
+        drawn = alive.groupBy("query_id").agg(
+            F.count(F.lit(1)).alias("n_old"), F.min_by("cells", unit(seed, f"row {r}", "query_id", F.col("row_id").cast("string"))).alias("picked")
+        )
+        step = state.filter((F.size("open") > 0) & (F.size("types") > r)).join(drawn, "query_id")
+        step = step.withColumn("col", pick_item(F.col("open"), seed, f"column {r}", "query_id")).withColumn("type", F.get("types", F.col("col")))
+        step = step.withColumn("op", F.when(F.col("type") == "text", 0).otherwise(pick_number(3, seed, f"op {r}", "query_id")))
+        step = step.withColumn("val", F.get("picked", F.col("col")))
+        test = F.struct("col", "op", "type", F.col("val").alias("txt"), F.when(F.col("type") == "real", literal_number(F.col("val"))).alias("num"))
+        tried = cut_lineage(
+            alive.join(step.select("query_id", "n_old", test.alias("test")), "query_id", "left")
+            .withColumn("ok", F.when(F.col("test").isNotNull(), holds(F.col("cells"), F.col("test"))).otherwise(True))
+        )
+        kept = tried.filter("test is not null").groupBy("query_id", "n_old", "test").agg(F.count_if("ok").alias("n_new")).filter("n_new != n_old")
+        taken = kept.select(
+            "query_id", F.struct(F.col("test.col").alias("col"), F.col("test.op").alias("op"), F.col("test.txt").alias("val"), (F.col("test.type") == "real").alias("is_num")).alias("new")
+        )
+        joined = state.join(taken, "query_id", "left")
+        more = F.col("new").isNotNull()
+        state = cut_lineage(
+            joined.withColumn("conds", F.when(more, F.concat("conds", F.array("new"))).otherwise(F.col("conds")))
+            .withColumn("open", F.when(more, F.filter("open", lambda i: i != F.col("new.col"))).otherwise(F.col("open"))).drop("new")
+        )
+        changed = taken.select("query_id", F.lit(True).alias("changed"))
+        alive = tried.join(changed, "query_id", "left").filter(F.col("changed").isNull() | F.col("ok")).select("query_id", "row_id", "cells")
+        alive = cut_lineage(alive)
+    kind = F.get("types", F.col("sel"))
+    agg = F.when(kind == "text", 0).otherwise(pick_number(len(AGGREGATES), seed, "agg", "query_id"))
+    left = alive.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    done = state.withColumn("agg", agg).join(left, "query_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return done.filter((F.col("agg") > 0) | (F.col("n_rows") > 0)).select("query_id", "table_id", "sel", "agg", "conds", "n_rows")
+
+
 # ---- text forms -----------------------------------------------------------------
 
 # Words of the aggregates and operators in a spoken query.

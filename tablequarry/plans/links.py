@@ -327,3 +327,14 @@ def x15_links_to_pieces(t):
 
     words = ft.words_of_pieces(asked(t).select("item_id", F.flatten(F.transform("toks", pieces)).alias("pieces")), "item_id", "pieces")
     return ft.links_to_pieces(links(t).withColumnRenamed("q_id", "word_no"), words, "item_id").select("item_id", "kind", "target", "link", "piece_no")
+
+
+@query(
+    "a15_database_summary",
+    b.using("db_tab", "db_col") + """select t.db_id, string_agg(name, '|' order by name) as names, count(*) as tabs, (select count(*) from db_col c where c.db_id = t.db_id and c.tab_id >= 0) as cols
+       from db_tab t group by t.db_id""",
+)
+def a15_database_summary(t):
+    s = schemas(t)
+    cols = s["columns"].filter("tab_id >= 0").groupBy("db_id").agg(F.count(F.lit(1)).alias("cols"))
+    return sm.member_summary(s["tables"], "db_id", "name", "names", "tabs").join(cols, "db_id")

@@ -589,3 +589,9 @@ def g21_consistency_pairs(t):
         F.concat(F.lit("s "), F.lower(sq.sql_text(*parts, F.col("table_id"), "numbered"))).alias("s"),
     )
     return consistency_pairs(rows, KEY, "q", "s", n_first=1000)
+
+
+@query("g18_generated", None)
+def g18_generated(t):
+    out = sq.generate_queries(b.slot_tables(t), b.slot_rows(t), 2, 40)
+    return out.select(KEY, "sel", "agg", _flat(F.col("conds")).alias("conds"), "n_rows")

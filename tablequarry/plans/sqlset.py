@@ -218,10 +218,3 @@ def u7_scalar_subquery(t):
 def u8_from_subquery(t):
     per = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
     return per.groupBy("n_orders").agg(F.count(F.lit(1)).alias("customers"))
-
-
-@query("a15_table_summary", """select s_nationkey, array_to_string(list(s_name order by s_name), '|') as names, count(*) as n from supplier group by s_nationkey""")
-def a15_table_summary(t):
-    from ..operators.schemas import member_summary
-
-    return member_summary(t.supplier, "s_nationkey", "s_name", "names", "n")
