@@ -6,6 +6,7 @@ BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERI
 
 import json
 import os
+import sys
 import time
 
 from tablequarry.plans import QUERIES
@@ -34,9 +35,10 @@ def main():
     for name in names:
         try:
             times[name] = round(run(QUERIES[name], spark, folder), 3)
+            print(f"{name} {times[name]}", file=sys.stderr, flush=True)
         except Exception as err:  # a failed query is reported, the others still run
             times[name] = None
-            print(f"{name}: {type(err).__name__} {str(err)[:300]}", flush=True)
+            print(f"{name}: {type(err).__name__} {str(err)[:300]}", file=sys.stderr, flush=True)
     extra = {}
     n = spark.read.parquet(f"{folder}/orders.parquet").count()
     docs = spark.read.parquet(f"{folder}/documents.parquet").count()

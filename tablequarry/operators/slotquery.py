@@ -95,32 +95,38 @@ def _cell_key(kind: Column, cell: Column) -> Column:
     return F.when(kind == "real", cell.try_cast("double").cast("string")).otherwise(cell)
 
 
-def matches(
-    queries: DataFrame, tables: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS, last_value_wins: bool = True
-) -> DataFrame:
-    """The rows each query selects: query_id, agg, sel_type, row_id, txt (the selected cell)."""
-    ready = _prepare(queries, tables, last_value_wins).filter(~F.col("error")).drop("error")
+def _found(queries: DataFrame, tables: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS, last_value_wins: bool = True) -> DataFrame:
+    """query_id, agg, sel_type, error, row_id, txt (the selected cell) for every selected row.
+
+    A query that selects nothing, or that cannot run, keeps at least one row without row_id.
+    """
+    ready = _prepare(queries, tables, last_value_wins)
     data = lower_cells(rows).withColumn("block", F.floor(F.col("row_id") / F.lit(block_rows)).cast("long"))
-    blocks = data.groupBy("table_id").agg(F.collect_set("block").alias("blocks"))
+    sizes = data.groupBy("table_id").agg(F.collect_set("block").alias("blocks"), F.count(F.lit(1)).alias("size"))
     first_equal = F.get(F.filter("conds", lambda c: c.op == 0), F.lit(0))
-    placed = ready.join(blocks, "table_id").withColumn("anchor", F.when(F.size("blocks") > 1, first_equal))
-    every = lambda: F.forall("conds", lambda c: holds(F.col("cells"), c))
-    out = ["query_id", "agg", "sel_type", "row_id", F.get("cells", F.col("sel")).alias("txt")]
+    placed = ready.join(sizes, "table_id", "left").withColumn("anchor", F.when(~F.col("error") & (F.col("size") > block_rows), first_equal)).drop("size")
+    every = ~F.col("error") & F.forall("conds", lambda c: holds(F.col("cells"), c))
+    out = ["query_id", "agg", "sel_type", "error", "row_id", F.get("cells", F.col("sel")).alias("txt")]
 
-    by_block = placed.filter(F.col("anchor").isNull()).withColumn("block", F.explode("blocks"))
-    by_block = by_block.drop("blocks", "anchor").join(data, ["table_id", "block"]).filter(every()).select(*out)
+    by_block = placed.filter(F.col("anchor").isNull()).withColumn("block", F.explode_outer("blocks")).drop("blocks", "anchor")
+    in_block = data.select(F.col("table_id").alias("t"), F.col("block").alias("b"), "row_id", "cells")
+    by_block = by_block.join(in_block, (F.col("table_id") == F.col("t")) & (F.col("block") == F.col("b")) & every, "left").select(*out)
 
     anchored = placed.filter(F.col("anchor").isNotNull()).select(
-        "query_id", "table_id", "sel", "agg", "sel_type", "conds", F.col("anchor.col").alias("at"),
+        "query_id", "table_id", "sel", "agg", "sel_type", "error", "conds", F.col("anchor.col").alias("at"), F.col("anchor.type").alias("kind"),
         F.when(F.col("anchor.type") == "real", F.col("anchor.num").cast("string")).otherwise(F.col("anchor.txt")).alias("key"),
-        F.col("anchor.type").alias("kind"),
     )
     columns = anchored.groupBy("table_id", "at").agg(F.first("kind").alias("kind"))
     keyed = data.join(columns, "table_id").select(
-        "table_id", "at", "row_id", "cells", _cell_key(F.col("kind"), F.get("cells", F.col("at"))).alias("key")
+        F.col("table_id").alias("t"), F.col("at").alias("a"), "row_id", "cells", _cell_key(F.col("kind"), F.get("cells", F.col("at"))).alias("k")
     )
-    by_key = anchored.drop("kind").join(keyed, ["table_id", "at", "key"]).filter(every()).select(*out)
-    return by_block.unionByName(by_key)
+    same_key = (F.col("table_id") == F.col("t")) & (F.col("at") == F.col("a")) & (F.col("key") == F.col("k"))
+    return by_block.unionByName(anchored.join(keyed, same_key & every, "left").select(*out))
+
+
+def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
+    """The rows each query selects: query_id, agg, sel_type, row_id, txt (the selected cell)."""
+    return _found(queries, tables, rows, **options).filter(F.col("row_id").isNotNull()).drop("error")
 
 
 def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
@@ -130,31 +136,22 @@ def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options)
     A query with no rows has n_rows 0, COUNT 0 and no value. A query that cannot run
     (unknown operator, no number in the literal for a number column) has error set.
     """
-    status = _prepare(queries, tables, options.get("last_value_wins", True)).select("query_id", "agg", "sel_type", "error")
-    found = matches(queries, tables, rows, **options)
+    found = _found(queries, tables, rows, **options)
     number = F.when(F.col("sel_type") == "real", F.col("txt").try_cast("double"))
-    summand = F.when(F.col("sel_type") == "real", F.coalesce(F.col("txt").try_cast("double"), leading_number(F.col("txt")))).otherwise(
-        leading_number(F.col("txt"))
-    )
+    summand = F.when(F.col("txt").isNotNull(), F.coalesce(number, leading_number(F.col("txt"))))
+    text = F.when(F.col("sel_type") != "real", F.col("txt"))
     totals = found.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("txt").alias("n_cells"),
-        F.max(number).alias("max_num"), F.min(number).alias("min_num"),
-        F.max("txt").alias("max_txt"), F.min("txt").alias("min_txt"),
-        F.sum(F.when(F.col("txt").isNotNull(), summand)).alias("total"),
+        F.any_value("agg").alias("agg"), F.any_value("sel_type").alias("sel_type"), F.any_value("error").alias("error"),
+        F.count("row_id").alias("n_rows"), F.count("txt").alias("n_cells"), F.max(number).alias("max_num"), F.min(number).alias("min_num"),
+        F.max(text).alias("max_txt"), F.min(text).alias("min_txt"), F.sum(summand).alias("total"),
     )
-    real = F.col("sel_type") == "real"
-    return status.join(totals, "query_id", "left").select(
-        "query_id", "agg", "error", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"),
-        F.when(F.col("error"), None)
-        .when(F.col("agg") == 1, F.when(real, F.col("max_num")))
-        .when(F.col("agg") == 2, F.when(real, F.col("min_num")))
-        .when(F.col("agg") == 3, F.coalesce("n_cells", F.lit(0)).cast("double"))
-        .when(F.col("agg") == 4, F.col("total"))
-        .when(F.col("agg") == 5, F.col("total") / F.col("n_cells"))
-        .alias("num"),
-        F.when(~F.col("error") & ~real & (F.col("agg") == 1), F.col("max_txt"))
-        .when(~F.col("error") & ~real & (F.col("agg") == 2), F.col("min_txt"))
-        .alias("txt"),
+    runs = ~F.col("error")
+    return totals.select(
+        "query_id", "agg", "error", "n_rows",
+        F.when(runs & (F.col("agg") == 1), F.col("max_num")).when(runs & (F.col("agg") == 2), F.col("min_num"))
+        .when(runs & (F.col("agg") == 3), F.col("n_cells").cast("double")).when(runs & (F.col("agg") == 4), F.col("total"))
+        .when(runs & (F.col("agg") == 5) & (F.col("n_cells") > 0), F.col("total") / F.col("n_cells")).alias("num"),
+        F.when(runs & (F.col("agg") == 1), F.col("max_txt")).when(runs & (F.col("agg") == 2), F.col("min_txt")).alias("txt"),
     )
 
 
@@ -162,22 +159,26 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
     """The answer lists in long form: query_id, place (from 1, in row order), cell.
 
     A number is written ``n`` and its rounded value, a text ``t`` and the text, so a list
-    of one number equals an aggregate with that number. An aggregate is a list of one.
+    of one number equals an aggregate with that number. An aggregate is a list of one; a
+    query that cannot run has the one cell ``error``. The selected cells of the list
+    queries are written to the checkpoint folder, since numbering reads them twice.
     """
+    from ..session import cut_lineage
     from .ordered import running_number
 
     def number(c):
         return F.concat(F.lit("n"), F.round(c, digits).cast("string"))
 
-    total = summaries(queries, tables, rows, **options).filter((F.col("agg") > 0) & ~F.col("error"))
+    total = summaries(queries.filter(F.col("agg") != 0), tables, rows, **options)
     single = total.select(
         "query_id", F.lit(1).cast("long").alias("place"),
-        F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none")).alias("cell"),
+        F.when(F.col("error"), "error").otherwise(F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none"))).alias("cell"),
     )
-    lists = matches(queries, tables, rows, **options).filter(F.col("agg") == 0)
+    lists = _found(queries.filter(F.col("agg") == 0), tables, rows, **options).filter(F.col("row_id").isNotNull() | F.col("error"))
     text = F.concat(F.lit("t"), F.col("txt"))
-    cell = F.when(F.col("sel_type") == "real", F.coalesce(number(F.col("txt").try_cast("double")), text)).otherwise(text)
-    placed = running_number(lists.select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell")), ["query_id"], "row_id", "place")
+    cell = F.when(F.col("error"), "error").when(F.col("sel_type") == "real", F.coalesce(number(F.col("txt").try_cast("double")), text)).otherwise(text)
+    kept = lists.select("query_id", F.coalesce("row_id", F.lit(0)).alias("row_id"), F.coalesce(cell, F.lit("none")).alias("cell"))
+    placed = running_number(cut_lineage(kept), ["query_id"], "row_id", "place")
     return single.unionByName(placed.select("query_id", "place", "cell"))
 
 
@@ -187,16 +188,17 @@ def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, **opt
     Each item is hashed with its place and the hashes are summed exactly, so two lists of
     any length are compared without gathering either in one task.
     """
-    status = _prepare(queries, tables, options.get("last_value_wins", True)).select("query_id", "error")
+    whole = F.col("cell") != "error"
     digest = answer_items(queries, tables, rows, **options).groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
+        F.max(~whole).alias("error"), F.count_if(whole).alias("n_items"),
         F.concat_ws(
             "|", F.sum(F.xxhash64("place", "cell").cast("decimal(38,0)")).cast("string"),
             F.sum(F.xxhash64(F.lit(17), "cell", "place").cast("decimal(38,0)")).cast("string"),
         ).alias("answer"),
     )
-    return status.join(digest, "query_id", "left").select(
-        "query_id", "error", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("answer", F.lit("")).alias("answer")
+    return queries.select("query_id").join(digest, "query_id", "left").select(
+        "query_id", F.coalesce("error", F.lit(False)).alias("error"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("answer", F.lit("")).alias("answer"),
     )
 
 

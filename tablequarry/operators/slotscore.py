@@ -62,13 +62,20 @@ def execution_scores(gold, predicted, tables, rows, lenient: bool = False) -> Da
     Strict: answer lists are equal; a failed prediction or one that cannot run is wrong.
     Lenient: an empty predicted list is wrong as well.
     """
-    pairs = pair_queries(gold, predicted)
-    g = answer_digests(gold, tables, rows).select("query_id", F.col("n_items").alias("g_n"), F.col("answer").alias("g_answer"))
-    p = answer_digests(predicted.drop("failed"), tables, rows).select(
-        "query_id", F.col("error").alias("p_error"), F.col("n_items").alias("p_n"), F.col("answer").alias("p_answer")
+    def side(df, name):
+        return df.select(F.concat(F.lit(name), F.col("query_id").cast("string")).alias("query_id"), "table_id", "sel", "agg", "conds")
+
+    key = F.expr("substring(query_id, 2)")
+    found = answer_digests(side(gold, "g").unionByName(side(predicted, "p")), tables, rows)
+    is_gold = F.col("query_id").startswith("g")
+    part = lambda c, g: F.max(F.when(is_gold == F.lit(g), F.col(c)))
+    answers = found.groupBy(key.alias("item")).agg(
+        part("answer", True).alias("g_answer"), part("answer", False).alias("p_answer"), part("error", False).alias("p_error"),
+        part("error", True).alias("g_error"), part("n_items", False).alias("p_n"),
     )
-    both = pairs.join(g, "query_id", "left").join(p, "query_id", "left")
-    same = ~F.col("failed") & ~F.col("p_error") & (F.col("g_n") == F.col("p_n")) & (F.col("g_answer") == F.col("p_answer"))
+    pairs = pair_queries(gold, predicted)
+    both = pairs.join(answers, F.col("query_id").cast("string") == F.col("item"), "left")
+    same = ~F.col("failed") & ~F.col("p_error") & ~F.col("g_error") & (F.col("g_answer") == F.col("p_answer"))
     if lenient:
         same = same & (F.col("p_n") > 0)
     return both.select(

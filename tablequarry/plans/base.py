@@ -52,7 +52,7 @@ def slot_tables(t: Tables) -> DataFrame:
 
 
 def slot_rows(t: Tables) -> DataFrame:
-    return t.orders.select(
+    return t.spread("orders").select(
         F.concat(F.lit("1-"), F.col("o_custkey").cast("string")).alias("table_id"),
         F.col("o_orderkey").alias("row_id"),
         F.array(

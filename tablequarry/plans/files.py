@@ -17,7 +17,7 @@ MARKED = """concat('<special7> ', p_name, ' List no-', cast(p_partkey as string)
 
 
 def marked_lines(t):
-    return t.part.select(F.col("p_partkey").alias("table_id"), F.expr(MARKED).alias("value"))
+    return t.spread("part").select(F.col("p_partkey").alias("table_id"), F.expr(MARKED).alias("value"))
 
 
 def web_tables(t):

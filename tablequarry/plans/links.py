@@ -62,7 +62,7 @@ def raw_schemas(t):
     cols = F.array(*[F.array(F.lit(str(x[0])), F.lit(x[1])) for x in COLUMNS])
     n_cols = F.element_at(F.create_map(*[F.lit(v) for k in range(1, 8) for v in (k, sum(c[0] < k for c in COLUMNS))]), n)
     fks = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in FOREIGN])
-    base = t.customer.select(
+    base = t.spread("customer").select(
         F.concat(F.lit("db"), F.col("c_custkey").cast("string")).alias("db_id"), (pick_number(5, 9, "tables", "c_custkey") + 3).alias("n")
     ).withColumn("nc", n_cols)
     nc = F.col("nc")
@@ -81,7 +81,7 @@ def schemas(t):
 
 
 def asked(t):
-    return t.orders.select(
+    return t.spread("orders").select(
         F.col("o_orderkey").alias("item_id"), F.concat(F.lit("db"), F.col("o_custkey").cast("string")).alias("db_id"), F.split(F.expr(QUESTION), " ").alias("toks")
     )
 

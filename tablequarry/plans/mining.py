@@ -79,7 +79,7 @@ b.add_cte(
 
 
 def pairs(t):
-    return t.orders.select(F.col("o_orderkey").alias("eid"), F.expr(QUERY_TEXT).alias("query"), F.expr(QUESTION_TEXT).alias("question"))
+    return t.spread("orders").select(F.col("o_orderkey").alias("eid"), F.expr(QUERY_TEXT).alias("query"), F.expr(QUESTION_TEXT).alias("question"))
 
 
 def patterned(t):

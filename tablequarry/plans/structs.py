@@ -89,7 +89,7 @@ def _pred_sql(kind):
 
 def struct_pairs(t):
     kind = pick_number(6, 11, "kind", "o_orderkey")
-    base = t.orders.select("o_orderkey", "o_custkey", kind.alias("kind"))
+    base = t.spread("orders").select("o_orderkey", "o_custkey", kind.alias("kind"))
     pred = F.when(F.col("kind") == 0, F.expr(_pred_sql(0)))
     for k in range(1, 6):
         pred = pred.when(F.col("kind") == k, F.expr(_pred_sql(k)))

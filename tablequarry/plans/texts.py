@@ -18,11 +18,11 @@ def words_of(text="text"):
 
 
 def doc_toks(t):
-    return t.documents.select("doc_id", words_of().alias("toks"))
+    return t.spread("documents").select("doc_id", words_of().alias("toks"))
 
 
 def turn_toks(t):
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words_of().alias("toks"))
+    return t.spread("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words_of().alias("toks"))
 
 
 def digest(items, sep=" "):
@@ -125,7 +125,7 @@ def p10_undo_pieces(t):
        '[\\pZ\\t\\n\\r]', ' ', 'g'))), '([\\pP$+<=>^`|~])', ' \\1 ', 'g'), '[ \\t\\n\\r]+') if w != ''] as toks from documents)""",
 )
 def p17_basic_tokens(t):
-    return t.documents.select("doc_id", tf.basic_tokens(F.col("text")).alias("toks")).select(
+    return t.spread("documents").select("doc_id", tf.basic_tokens(F.col("text")).alias("toks")).select(
         "doc_id", F.size("toks").cast("long").alias("n"), F.md5(F.array_join("toks", " ")).alias("toks")
     )
 
