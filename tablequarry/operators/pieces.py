@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "[UNK]"
 LONGEST_WORD = 100
@@ -24,6 +24,23 @@ def word_pieces(word: str, vocabulary: set[str], longest: int = LONGEST_WORD) ->
     return found
 
 
+# Fixed value: words of byte-pair texts; a space belongs to the word after it.
+BYTE_WORDS = r"('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
+
+
+def byte_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(BYTE_WORDS), 1)
+
+
+def byte_letters(word: str) -> list[str]:
+    """The UTF-8 bytes of a word as visible letters: printable bytes as they are, the others from U+0100 on."""
+    def visible(x):
+        return 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255
+
+    hidden = [x for x in range(256) if not visible(x)]
+    return [chr(x) if visible(x) else chr(256 + hidden.index(x)) for x in word.encode("utf-8")]
+
+
 def byte_pairs(letters: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Merge the best-ranked neighbours of a list of letters until none is left."""
     parts = list(letters)
