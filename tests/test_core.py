@@ -375,3 +375,18 @@ def test_sinks(spark, tmp_path):
     sk.write_rows(rows, str(tmp_path / "r"))
     sk.write_rows(rows.limit(0), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).count() == 1
+
+
+def test_label_ids_and_last_schema(spark):
+    from tablequarry.operators.vocab import frequency_ids
+
+    labels = spark.createDataFrame([("b",), ("a",), ("c",), ("c",)], "label string")
+    assert {r["label"]: (r["n"], r["label_id"]) for r in frequency_ids(labels, "label").collect()} == {"c": (2, 1), "a": (1, 2), "b": (1, 3)}
+    rows = [(1, [([("x", "1")],)]), (2, [([("x", "1")],)]), (2, [([("x", "1")],)]), (3, [([("x", "2")],)])]
+    df = spark.createDataFrame(rows, "db_id int, tables array<struct<cols:array<struct<name:string,value:string>>>>")
+    assert sorted(r["db_id"] for r in sy.keep_last_schema(df).collect()) == [2, 2, 3]
+
+
+def test_filled_sql(spark):
+    df = spark.createDataFrame([("SELECT {COLUMN0} {FROM} WHERE {COLUMN1} {OP0} {VALUE0}", {"{COLUMN0}": "t a b", "{COLUMN1}": "t c", "{OP0}": ">", "{VALUE0}": "5 km"})], "p string, m map<string,string>")
+    assert one(df, tf.fill_sql(F.col("p"), F.col("m"))) == "SELECT t_=_a_=_b WHERE t_=_c > 5 km"
