@@ -17,8 +17,8 @@ from .common import mixed
 LETTER, NUMBER, SPACE = 1, 2, 3
 # Code points with the Unicode property White_Space.
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: A worker keeps the ids of half of 2 to this power pieces at most (about 100 MB).
-CACHE_BITS = 22
+#: A worker keeps the ids of half of 2 to this power pieces at most (about 60 MB).
+CACHE_BITS = 21
 
 
 @functools.cache
@@ -59,8 +59,8 @@ def piece_starts(cp: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-class Seen:
-    """Ids of pieces by 64-bit hash: an open-addressing table in numpy arrays that starts anew when half full."""
+class HashTable:
+    """Numbers of 64-bit hashes, in open-addressing numpy arrays: entry k is the k-th hash added."""
 
     def __init__(self, bits: int):
         self.mask, self.most = np.uint64((1 << bits) - 1), 1 << (bits - 1)
@@ -69,26 +69,48 @@ class Seen:
     def clear(self):
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
         self.slot = np.full(int(self.mask) + 1, -1, np.int32)
-        self.n, self.used = 0, 0
-        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
+        self.n = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""
         at = h & self.mask
         out = self.slot[at]
-        open_ = np.flatnonzero((out >= 0) & (self.keys[at] != h))
-        out[open_] = -1
+        left = np.flatnonzero((out >= 0) & (self.keys[at] != h))
+        out[left] = -1
         step = 1
-        while len(open_):
-            at = (h[open_] + np.uint64(step)) & self.mask
+        while len(left):
+            at = (h[left] + np.uint64(step)) & self.mask
             entry = self.slot[at]
-            hit = (entry >= 0) & (self.keys[at] == h[open_])
-            out[open_[hit]] = entry[hit]
-            open_ = open_[(entry >= 0) & ~hit]
+            hit = (entry >= 0) & (self.keys[at] == h[left])
+            out[left[hit]] = entry[hit]
+            left = left[(entry >= 0) & ~hit]
             step += 1
         return out
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Entries for new distinct hashes; at most ``most`` may be held."""
+        entry = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        left, step = np.arange(len(h)), 0
+        while len(left):
+            at = (h[left] + np.uint64(step)) & self.mask
+            free = self.slot[at] < 0
+            self.slot[at[free]] = entry[left[free]]  # of two that want a place, one stays
+            won = free & (self.slot[at] == entry[left])
+            self.keys[at[won]] = h[left[won]]
+            left, step = left[~won], step + 1
+        self.n += len(h)
+        return entry
+
+
+class Seen(HashTable):
+    """Ids of pieces by hash."""
+
+    def clear(self):
+        super().clear()
+        self.used = 0
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+
     def add(self, h: np.ndarray, ids: list[np.ndarray]):
         """New distinct hashes and their ids."""
         count = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -97,19 +119,11 @@ class Seen:
             self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(more) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        entry = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        entry = self.place(h)
         self.start[entry] = self.used + np.cumsum(count) - count
         self.count[entry] = count
         self.flat[self.used : self.used + len(more)] = more
-        self.n, self.used = self.n + len(h), self.used + len(more)
-        left, step = np.arange(len(h)), 0
-        while len(left):
-            at = (h[left] + np.uint64(step)) & self.mask
-            free = self.slot[at] < 0
-            self.slot[at[free]] = entry[left[free]]  # of two that want a place, one stays
-            won = free & (self.slot[at] == entry[left])
-            self.keys[at[won]] = h[left[won]]
-            left, step = left[~won], step + 1
+        self.used += len(more)
 
 
 # Odd multiplier of the rolling piece hash and its inverse modulo 2^64.
@@ -123,7 +137,7 @@ def _weights() -> np.ndarray:
     return mixed(np.arange(256, dtype=np.uint64))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n, STEP, np.uint64), np.full(n, BACK, np.uint64)
@@ -133,8 +147,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, alike for like bytes at any place."""
-    size = 1 << max(16, int(len(raw)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(1 << max(21, int(len(raw)).bit_length()))
     with np.errstate(over="ignore"):
         run = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(_weights()[raw] * up[: len(raw)], out=run[1:])
@@ -224,7 +237,7 @@ class Bpe:
         before = np.concatenate([[0], np.cumsum(count)])
         return ids, before[np.searchsorted(at, text_at)]
 
-    def encode_all(self, texts: list[bytes], most: int = 1 << 21):
+    def encode_all(self, texts: list[bytes], most: int = 1 << 20):
         """The ids of each text in turn; blocks of about ``most`` bytes bound the memory, also inside a long text."""
         held, size = [], 0
         for t in texts:

@@ -2,38 +2,44 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
-from .common import bytes_of, table
+from .common import table, text_blocks
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """Ids of every whole text: ``id_col, ids, n_tokens`` and, on request, character offsets.
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Ids of every whole text: ``id_col, ids, n_tokens`` and, on request, offsets and the bytes decoded again.
 
-    ``ids`` and the offsets ``begins`` and ``ends`` are binary, little-endian unsigned 32-bit
-    numbers; ids that split a character share its offset. Each piece of the public split pattern
-    is merged on its own, no special token is added, and the text of one is ordinary text. One row
-    in gives one row out: a null or empty text has no ids, repeated rows stay, an empty table gives
-    no rows. Other columns are not read, so their names cannot clash.
+    ``ids`` and the character offsets ``begins`` and ``ends`` are binary, little-endian unsigned
+    32-bit numbers; ids that split a character share its offset. Each piece of the public split
+    pattern is merged on its own, no special token is added, and the text of one is ordinary text.
+    One row in gives one row out: a null or empty text has no ids, repeated rows stay, an empty
+    table gives no rows. Other columns are not read, so their names cannot clash.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    extra = ", begins binary, ends binary" if offsets else ""
+    extra = ["begins", "ends"] * offsets + ["decoded"] * decoded
 
     def run(batches):
         coder = bpe.coder(vocabulary)
         for batch in batches:
-            texts = bytes_of(batch.column(1))
-            ids = list(coder.encode_all(texts))
-            out = [batch.column(0), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())]
-            if offsets:
-                spans = [coder.offsets(t.decode("utf-8", "replace"), i) for t, i in zip(texts, ids)]
-                out += [pa.array([s[k].astype("<u4").tobytes() for s in spans], pa.binary()) for k in (0, 1)]
-            names = ["key", "ids", "n_tokens", *(["begins", "ends"] if offsets else [])]
-            yield pa.RecordBatch.from_arrays(out, names)
+            for part, texts in text_blocks(batch, 1):
+                ids = list(coder.encode_all(texts))
+                out = [part.column(0), binaries(ids), pa.array(list(map(len, ids)), pa.int64())]
+                if offsets:
+                    spans = [coder.offsets(t.decode("utf-8", "replace"), i) for t, i in zip(texts, ids)]
+                    out += [binaries([s[k] for s in spans]) for k in (0, 1)]
+                if decoded:
+                    out.append(pa.array(map(coder.decode_bytes, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, ["key", "ids", "n_tokens", *extra])
 
     cut = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return cut.mapInArrow(run, f"key {kind}, ids binary, n_tokens long{extra}").withColumnRenamed("key", id_col)
+    schema = ", ".join([f"key {kind}", "ids binary", "n_tokens long", *(f"{c} binary" for c in extra)])
+    return cut.mapInArrow(run, schema).withColumnRenamed("key", id_col)
+
+
+def binaries(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.astype("<u4").tobytes() for a in arrays], pa.binary())
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,15 +62,10 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], "decoded")
 
 
-def digest(raw: Column) -> Column:
-    return F.sha2(raw, 256)
-
-
 def query(spark, folder):
     """op4: ids and the bytes they decode to, as digests, for every document."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = encode(table(spark, folder, "documents"), path).withColumn("ids_sha256", digest(F.col("ids")))
-    back = decode(coded, path, keep=("n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", digest(F.col("decoded")).alias("decoded_sha256"))
+    coded = encode(table(spark, folder, "documents"), path, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

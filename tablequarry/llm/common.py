@@ -41,17 +41,23 @@ def stored(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_of(column) -> list[str]:
-    """Texts of an Arrow column; null counts as empty."""
-    return ["" if t is None else t for t in column.to_pylist()]
+def text_blocks(batch, column: int, most: int = 1 << 20):
+    """Slices of an Arrow batch with about ``most`` bytes of text each, and the texts as UTF-8 bytes.
 
-
-def bytes_of(column) -> list[bytes]:
-    """UTF-8 bytes of an Arrow text column; null counts as empty."""
+    Null counts as empty. A text longer than ``most`` is a slice of its own.
+    """
     import pyarrow as pa
-
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    raw = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at), [b"" if t is None else t for t in raw.slice(at, to - at).to_pylist()]
+        at = to
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bpe
-from .common import bytes_of, shared_folder, stored, table
+from .common import shared_folder, stored, table, text_blocks
 
 MAGIC = b"TQPACK01"
 BLOCK = 1 << 16
@@ -164,12 +164,13 @@ def write_packed(df: DataFrame, vocabulary: str, folder: str, end_id: int | None
         name, out = f"ids-{TaskContext.get().partitionId():06d}.tqpack", None
         for batch in batches:
             out = out or Writer(f"{shared}/{name}", width)
-            first, count = [], []
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_all(bytes_of(batch.column(1)))):
-                first.append(out.n)
-                out.add(doc, np.concatenate([ids, end]).astype(np.uint32))
-                count.append(out.n - first[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(first), pa.string()), pa.array(first, pa.int64()), pa.array(count, pa.int64())], ["key", "file", "first", "n_tokens"])
+            for part, texts in text_blocks(batch, 1):
+                first, count = [], []
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode_all(texts)):
+                    first.append(out.n)
+                    out.add(doc, np.concatenate([ids, end]).astype(np.uint32))
+                    count.append(out.n - first[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name] * len(first)), pa.array(first, pa.int64()), pa.array(count, pa.int64())], ["key", "file", "first", "n_tokens"])
         if out:
             out.close()
 
