@@ -1,10 +1,18 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, packed
+from . import bpe_text, chat, licenses, packed, quality, repetition, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op4_byte_bpe": bpe_text.query,
+    "op5_repetition": repetition.query,
     "op6_packed_ids": packed.query,
+    "op8_chat_format": chat.query,
+    "op9_license_scan": licenses.query,
+    "op10_quality": quality.query,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op8_chat_format": chat.SQL,
+    "op9_license_scan": licenses.SQL,
+}
