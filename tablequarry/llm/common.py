@@ -81,3 +81,21 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each 64-bit hash of a column, by its low ``bits`` bits; at most 2 to ``bits`` / 8 bytes.
+
+    The bits are joined per 64-bit word before they reach the driver. A filter by it lets all
+    hashes of the column pass, and some others.
+    """
+    words = df.selectExpr(f"shiftrightunsigned({column}, 6) & {(1 << (bits - 6)) - 1}L as word", f"shiftleft(1L, cast({column} & 63 as int)) as bit")
+    rows = words.groupBy("word").agg({"bit": "bit_or"}).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_bitmap(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(6)) & np.uint64(len(words) - 1)
+    return (words[at] >> (h & np.uint64(63))) & np.uint64(1) > 0

@@ -1,8 +1,9 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, chat, licenses, packed, quality, repetition, toxicity
+from . import bpe_text, chat, decontaminate, licenses, packed, quality, repetition, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op3_toxicity": toxicity.query,
     "op4_byte_bpe": bpe_text.query,
     "op5_repetition": repetition.query,
