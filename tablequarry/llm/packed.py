@@ -188,6 +188,7 @@ def read_packed(index: DataFrame, folder: str, id_col: str = "doc_id") -> DataFr
     """
     kind = index.schema[id_col].dataType.simpleString()
     shared = folder.rstrip("/")
+    names = ["key", "file", "first", "n_tokens", "before"]
 
     def run(batches):
         name, file = None, None
@@ -197,15 +198,23 @@ def read_packed(index: DataFrame, folder: str, id_col: str = "doc_id") -> DataFr
                 if path != name:
                     name, file = path, Reader(f"{shared}/{path}")
                 out.append(file.ids(first, n).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["key", "file", "first", "n_tokens", "ids"])
+                if len(out) == 512 or n > 1 << 18:
+                    yield part(batch, names, out)
+                    batch, out = batch.slice(len(out)), []
+            if out:
+                yield part(batch, names, out)
 
-    cut = index.select(F.col(id_col).alias("key"), "file", "first", "n_tokens")
-    read = cut.mapInArrow(run, f"key {kind}, file string, first long, n_tokens long, ids binary")
-    # One row a file; a file holds a whole range of documents.
+    # One row a file; a file holds a whole range of documents. Only index rows are moved, no ids.
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("__n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return read.join(files, "file").select(F.col("key").alias(id_col), (F.col("__before") + F.col("first")).alias("start"), "n_tokens", "ids")
+    files = files.select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("before"))
+    cut = index.select(F.col(id_col).alias("key"), "file", "first", "n_tokens").join(files, "file").select(*names).sortWithinPartitions("file", "first")
+    read = cut.mapInArrow(run, f"key {kind}, file string, first long, n_tokens long, before long, ids binary")
+    return read.select(F.col("key").alias(id_col), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
+
+
+def part(batch, names: list[str], ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.slice(0, len(ids)).columns, pa.array(ids, pa.binary())], [*names, "ids"])
 
 
 def query(spark, folder):
