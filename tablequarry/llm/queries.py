@@ -1,6 +1,6 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, chat, decontaminate, licenses, packed, quality, repetition, toxicity
+from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -8,12 +8,14 @@ QUERIES = {
     "op4_byte_bpe": bpe_text.query,
     "op5_repetition": repetition.query,
     "op6_packed_ids": packed.query,
+    "op7_jaccard_classes": partenum.query,
     "op8_chat_format": chat.query,
     "op9_license_scan": licenses.query,
     "op10_quality": quality.query,
 }
 
 SQL = {
+    "op7_jaccard_classes": partenum.query,
     "op8_chat_format": chat.SQL,
     "op9_license_scan": licenses.SQL,
 }
