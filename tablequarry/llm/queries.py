@@ -1,9 +1,10 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, toxicity
+from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, suffixes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_suffix_repeats": suffixes.query,
     "op3_toxicity": toxicity.query,
     "op4_byte_bpe": bpe_text.query,
     "op5_repetition": repetition.query,
