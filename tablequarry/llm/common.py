@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators: table reads, stored tables, Arrow text access."""
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -99,3 +100,9 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
 def in_bitmap(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     at = (h >> np.uint64(6)) & np.uint64(len(words) - 1)
     return (words[at] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+
+def settle(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark removes the shuffle files of steps that are done and stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import span_hashes
 from .common import mixed, table, text_blocks
@@ -117,6 +118,22 @@ def score(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "
     return cut.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", id_col)
 
 
+def scored(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """All columns of a table and ``score``; a column of that name is replaced. See ``score`` for the rules."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in df.columns if c != "score"]
+    at = names.index(text_col)
+    schema = StructType([*(df.schema[c] for c in names), StructField("score", DoubleType())])
+
+    def run(batches):
+        weights = np.frombuffer(sent.value, np.float32).astype(np.float64)
+        for batch in batches:
+            for part, texts in text_blocks(batch, at):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(texts, weights))], [*names, "score"])
+
+    return df.select(*names).mapInArrow(run, schema)
+
+
 def query(spark, folder):
     """op10: quality score and decision for every document."""
     documents = table(spark, folder, "documents")
