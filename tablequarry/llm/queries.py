@@ -16,7 +16,6 @@ QUERIES = {
 }
 
 SQL = {
-    "op7_jaccard_classes": partenum.query,
     "op8_chat_format": chat.SQL,
     "op9_license_scan": licenses.SQL,
 }
