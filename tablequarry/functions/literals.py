@@ -28,11 +28,20 @@ def table_key(table_id: Column) -> Column:
     )
 
 
+# Fixed value: a text that is a number as a whole.
+NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
+
+
+def strict_number(text: Column) -> Column:
+    """The number that a text is, else NULL; no suffixes, names of numbers or negative zero."""
+    return F.when(text.rlike(NUMBER), F.trim(text).try_cast("double") + F.lit(0.0))
+
+
 def literal_number(text: Column) -> Column:
     """A literal as a number: with group commas, else the first number found in it, else NULL."""
-    whole = F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
+    whole = strict_number(F.replace(F.trim(text), F.lit(","), F.lit("")))
     found = F.regexp_extract(text, FIRST_NUMBER, 1)
-    return F.coalesce(F.when(F.trim(text).rlike(r"^[-+]?[0-9.,]+$"), whole), found.try_cast("double"))
+    return F.coalesce(F.when(F.trim(text).rlike(r"^[-+]?[0-9.,]+$"), whole), strict_number(found))
 
 
 def leading_number(text: Column) -> Column:

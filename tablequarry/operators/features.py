@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.binding import let
 from ..functions.names import first_words, short_header
 from ..functions.seeded import pick_number, unit
-from .ordered import running_by_text, running_number
+from .ordered import numbered_in_order, running_number
 
 
 def gold_parts(queries: DataFrame) -> DataFrame:
@@ -47,8 +47,7 @@ def consistency_pairs(rows: DataFrame, key: str, question: str, sql: str, n_firs
     """Question / SQL pairs for consistency training.
 
     The first ``n_first`` rows stand with their own pair; every later row gives its SQL
-    with the pair at its place modulo ``n_first``. The first part is small by its
-    parameter, so it is sent to all tasks.
+    with the pair at its place modulo ``n_first``.
     """
     placed = running_number(rows, [], key, "pos").withColumn("pos", F.col("pos") - 1)
     first = placed.filter(F.col("pos") < n_first)
@@ -56,8 +55,6 @@ def consistency_pairs(rows: DataFrame, key: str, question: str, sql: str, n_firs
     own = first.select(key, F.concat_ws(" ||| ", F.col(question), pair).alias("line"))
     partner = first.select(F.col("pos").alias("at"), pair.alias("pair"))
     later = placed.filter(F.col("pos") >= n_first).withColumn("at", F.pmod(F.col("pos") - n_first, F.lit(n_first)))
-    if n_first <= 10_000:
-        partner = F.broadcast(partner)
     return own.unionByName(later.join(partner, "at").select(key, F.concat_ws(" ||| ", F.col(sql), F.col("pair")).alias("line")))
 
 
@@ -67,17 +64,14 @@ def consistency_pairs(rows: DataFrame, key: str, question: str, sql: str, n_firs
 SPECIALS = ["<UNK>", "<BOS>", "<EOS>"]
 
 
-def build_vocabulary(words: DataFrame, max_count: int, min_freq: int = 1) -> DataFrame:
+def build_vocabulary(words: DataFrame, max_count: int | None = None, min_freq: int = 1) -> DataFrame:
     """(id, word, n): the most frequent words, sorted by word, after the special words.
 
-    Words of equal count are taken in order of the word. The result has at most
-    ``max_count`` rows, so its numbering is a small job.
+    Words of equal count are taken in order of the word; without ``max_count`` all are taken.
     """
-    from pyspark.sql import Window
-
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_freq)
-    top = counts.orderBy(F.desc("n"), "word").limit(max_count)
-    numbered = top.select((F.row_number().over(Window.orderBy("word")) + len(SPECIALS) - 1).alias("id"), "word", "n")
+    top = counts if max_count is None else counts.orderBy(F.desc("n"), "word").limit(max_count)
+    numbered = numbered_in_order(top, ["word"], "place").select((F.col("place") + len(SPECIALS) - 1).cast("int").alias("id"), "word", "n")
     spark = words.sparkSession
     special = spark.createDataFrame([(i, w, 0) for i, w in enumerate(SPECIALS)], "id int, word string, n bigint")
     return special.unionByName(numbered)
@@ -91,13 +85,13 @@ def words_once_per_schema(items: DataFrame, group: str, word: str) -> DataFrame:
 def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", ends: bool = True) -> DataFrame:
     """Token lists to id lists in the same order; unknown words get 0.
 
-    The limit of the vocabulary tells Spark its size, so a small one is sent to all tasks
-    and a large one is shuffled. Ids come back to their row by position; a row is one text.
+    Ids come back to their row by position; a row is one text, and a text without words
+    has no ids.
     """
-    flat = tokens.select(key, F.posexplode(toks).alias("pos", "word"))
+    flat = tokens.select(key, F.posexplode_outer(toks).alias("pos", "word"))
     small = vocab.select("word", F.col("id").alias("__id"))
     found = flat.join(small, "word", "left").select(key, "pos", F.coalesce("__id", F.lit(0)).alias("__id"))
-    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__id"))), lambda x: x["__id"]).alias("ids"))
+    grouped = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "__id")))), lambda x: x["__id"]).alias("ids"))
     if not ends:
         return grouped
     return grouped.withColumn("ids", F.concat(F.array(F.lit(1)), F.col("ids"), F.array(F.lit(2))))
@@ -107,7 +101,7 @@ def extend_vocabulary(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """Add words the vocabulary does not know at the next ids, in order of the word."""
     new = words.select("word").distinct().join(vocab.select("word"), "word", "left_anti")
     top = vocab.agg(F.max("id").alias("top")).scalar()
-    added = running_by_text(new, "word", "place").select((F.col("place") + top).cast("int").alias("id"), "word")
+    added = numbered_in_order(new, ["word"], "place").select((F.col("place") + top).cast("int").alias("id"), "word")
     return vocab.select("id", "word").unionByName(added)
 
 
@@ -344,21 +338,22 @@ def pointer_rows(df: DataFrame, question: str, headers: Column, sql_words: Colum
 
 
 def ids_to_text(ids: DataFrame, vocab: DataFrame, key: str, col: str = "ids") -> DataFrame:
-    """Ids back to clean text; ids of special words are left out."""
+    """Ids back to clean text; ids of special words are left out. A row without known words gives an empty text."""
     from ..functions.textforms import clean_spaces
 
-    flat = ids.select(key, F.posexplode(col).alias("pos", "__id")).filter(F.col("__id") >= len(SPECIALS))
-    found = flat.join(vocab.select(F.col("id").alias("__id"), "word"), "__id")
-    words = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x.word).alias("words"))
+    flat = ids.select(key, F.posexplode_outer(col).alias("pos", "__id"))
+    found = flat.join(vocab.filter(F.col("id") >= len(SPECIALS)).select(F.col("id").alias("__id"), "word"), "__id", "left")
+    words = found.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x.word).alias("words")
+    )
     return words.select(key, clean_spaces(F.array_join("words", " ")).alias("text"))
 
 
 def used_vectors(used: DataFrame, vectors: DataFrame, place: str, n_special: int = 3) -> DataFrame:
-    """Vectors of the used words, with ids by first use after the special ones."""
-    first = used.groupBy("word").agg(F.min(place).alias("place"))
-    kept = vectors.join(first, "word")
-    numbered = running_number(kept.withColumn("__tie", F.xxhash64("word")), [], "place", "no")
-    return numbered.withColumn("id", (F.col("no") + n_special - 1).cast("int")).drop("no", "place", "__tie")
+    """Vectors of the used words, with ids by first use (then by word) after the special ones."""
+    first = used.groupBy("word").agg(F.min(place).alias("__place"))
+    numbered = numbered_in_order(vectors.join(first, "word"), ["__place", "word"], "__no")
+    return numbered.withColumn("id", (F.col("__no") + n_special - 1).cast("int")).drop("__no", "__place")
 
 
 def task_features(rows: DataFrame, first: Column, second: Column, label: Column, labels: list[str] | None, length: int) -> DataFrame:

@@ -41,9 +41,19 @@ def running_number(df: DataFrame, keys: list[str], order: str, out: str, block:
     return _blocked(df, keys, order, F.lit(1).cast("long"), out, block)
 
 
-def running_by_text(df: DataFrame, text: str, out: str, prefix: int = 4) -> DataFrame:
-    """Number distinct texts from 1 in their order; blocks are cut by the first letters."""
-    return _blocked(df, [], text, F.lit(1).cast("long"), out, F.left(F.col(text), F.lit(prefix)))
+def numbered_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Number all rows from 1 by columns that tell them apart, whatever their type or spread.
+
+    The order columns are cut into ranges of about equal size; each range is numbered on its
+    own and the sizes of the ranges before it are added. Only one row a range goes through
+    one task.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ranged.withColumn(out, inside).join(starts, "__range").withColumn(out, F.col(out) + F.col("__start")).drop("__range", "__start")
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, block: int = BLOCK) -> DataFrame:
@@ -66,23 +76,10 @@ def next_line(df: DataFrame, keys: list[str], line: str, text: str, out: str) ->
     return df.join(after, [*keys, line])
 
 
-def ranked_by_score(
-    df: DataFrame, keys: list[str], order: list, k: int, out: str, tie: str | None = None, salts: int = 64
-) -> DataFrame:
-    """The first k rows of each group, numbered from 1.
+def ranked_by_score(df: DataFrame, keys: list[str], order: list, k: int, out: str) -> DataFrame:
+    """The first k rows of each group, numbered from 1; the order must be total.
 
-    Two steps: the first k of each of ``salts`` parts of a group, then the first k of
-    these, so a group of any size leaves at most ``salts * k`` rows for one task. The
-    order must be total; the parts are made from the last order column or ``tie``.
+    Spark keeps the k best rows of each group before the shuffle, so a group of any size
+    leaves k rows a task.
     """
-    part = F.pmod(F.xxhash64(tie if tie else order[-1]), F.lit(salts))
-    first = Window.partitionBy(*keys, "__part").orderBy(*order)
-    last = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("__part", part)
-        .withColumn(out, F.row_number().over(first))
-        .filter(F.col(out) <= k)
-        .withColumn(out, F.row_number().over(last))
-        .filter(F.col(out) <= k)
-        .drop("__part")
-    )
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(out) <= k)

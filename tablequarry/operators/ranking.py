@@ -24,13 +24,13 @@ def joint_probability(parts: Column) -> Column:
 def merge_beams(first: DataFrame, second: DataFrame, key: str, item: str, k: int, names=("open", "done")) -> DataFrame:
     """The best k of two candidate lists together, with their side and their place on that side."""
     both = first.withColumn("side", F.lit(names[0])).unionByName(second.withColumn("side", F.lit(names[1])))
-    best = ranked_by_score(both, [key], [F.desc("score"), item], k, "place", tie=item)
+    best = ranked_by_score(both, [key], [F.desc("score"), item], k, "place")
     return best.withColumn("place", F.row_number().over(Window.partitionBy(key, "side").orderBy("place")))
 
 
 def likely_in_order(scores: DataFrame, key: str, item: str, n: int, out: str) -> DataFrame:
     """The n most likely items of each group, put in item order."""
-    best = ranked_by_score(scores, [key], [F.desc("score"), item], n, "__rank", tie=item)
+    best = ranked_by_score(scores, [key], [F.desc("score"), item], n, "__rank")
     return best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.cast("string")), ",").alias(out))
 
 
@@ -53,7 +53,7 @@ def best_and_pairs(scores: DataFrame, key: str, place: str, k: int) -> DataFrame
 
     def best(score):
         rows = scores.select(key, place, F.col(score).alias("score"))
-        return ranked_by_score(rows, [key], [F.desc("score"), place], side, "__rank", tie=place).drop("__rank")
+        return ranked_by_score(rows, [key], [F.desc("score"), place], side, "__rank").drop("__rank")
 
     firsts = best("start_score").select(key, F.col(place).alias("first"), F.col("score").alias("__s"))
     lasts = best("end_score").select(key, F.col(place).alias("last"), F.col("score").alias("__e"))
@@ -95,12 +95,12 @@ def execution_guided(selects: DataFrame, conditions: DataFrame, counts: DataFram
     """
     from .slotquery import allowed_pair, with_answer
 
-    best = ranked_by_score(selects, ["item_id"], [F.desc("prob"), "sel", "agg"], k, "rank", tie="agg")
+    best = ranked_by_score(selects, ["item_id"], [F.desc("prob"), "sel", "agg"], k, "rank")
     typed = best.join(tables.select("table_id", "types"), "table_id").withColumn("ok", allowed_pair(F.get("types", F.col("sel")), F.col("agg")))
     order = F.struct(F.when(F.col("ok"), 0).otherwise(1), F.when(F.col("ok"), F.col("rank")).otherwise(-F.col("rank")))
     chosen = typed.groupBy("item_id").agg(F.min_by(F.struct("table_id", "sel", "agg"), order).alias("s")).select("item_id", "s.*")
 
-    top = ranked_by_score(conditions, ["item_id"], [F.desc("prob"), "col", "op", "val"], k, "rank", tie="val")
+    top = ranked_by_score(conditions, ["item_id"], [F.desc("prob"), "col", "op", "val"], k, "rank")
     cond = F.struct("col", "op", "val", "is_num")
     tried = top.join(chosen, "item_id").select(
         F.concat_ws(":", F.col("item_id").cast("string"), F.col("rank").cast("string")).alias("query_id"), "item_id", "table_id", "sel", "agg",
@@ -121,7 +121,7 @@ def rerank_valid(candidates: DataFrame, key: str, item: str, k: int) -> DataFram
     """The best k valid candidates of each group; of a group without a valid one, the best k of all."""
     some = candidates.groupBy(key).agg(F.max(F.col("valid").cast("int")).alias("__some"))
     kept = candidates.join(some, key).filter(F.col("valid") | (F.col("__some") == 0)).drop("__some")
-    return ranked_by_score(kept, [key], [F.desc("score"), item], k, "place", tie=item)
+    return ranked_by_score(kept, [key], [F.desc("score"), item], k, "place")
 
 
 def queries_of_pointers(df: DataFrame) -> DataFrame:

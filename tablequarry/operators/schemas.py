@@ -58,11 +58,12 @@ def edges_of(foreign_keys: DataFrame, columns: DataFrame) -> DataFrame:
     return last.groupBy("db_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def shortest_paths(edges, source, hops: int = 8):
+def shortest_paths(edges, source):
     """Paths from one table to all it can reach: array<struct<table, path array<int>>>.
 
     A breadth-first walk over the edge list of one database, inside its row. Of equally
-    short paths the one with the lower table numbers is taken.
+    short paths the one with the lower table numbers is taken. No path is longer than the
+    number of tables that have a key.
     """
     start = F.array(F.struct(source.cast("int").alias("table"), F.array(source.cast("int")).alias("path")))
 
@@ -80,10 +81,11 @@ def shortest_paths(edges, source, hops: int = 8):
         first = F.filter(ordered, lambda f, i: (i == 0) | (F.get(ordered, i - 1).table != f.table))
         return F.concat(known, first)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(hops)), start, step)
+    n_tables = F.size(F.array_distinct(F.transform(edges, lambda e: e.a)))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n_tables, F.lit(1))), start, step)
 
 
-def complete_from(items: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
+def complete_from(items: DataFrame, edges: DataFrame) -> DataFrame:
     """FROM parts: items (item_id, db_id, used array<int>) to tables and join conditions.
 
     The first used table is joined to each other one over the shortest key path; tables
@@ -92,7 +94,7 @@ def complete_from(items: DataFrame, edges: DataFrame, hops: int = 8) -> DataFram
     from ..functions.binding import let
 
     with_edges = items.join(edges, "db_id", "left").withColumn("used", F.array_sort(F.array_distinct("used")))
-    walk = with_edges.withColumn("walk", shortest_paths(F.coalesce("edges", F.expr("cast(array() as array<struct<a:int,b:int,a_col:int,b_col:int>>)")), F.array_min("used"), hops))
+    walk = with_edges.withColumn("walk", shortest_paths(F.coalesce("edges", F.expr("cast(array() as array<struct<a:int,b:int,a_col:int,b_col:int>>)")), F.array_min("used")))
     paths = F.transform(F.filter("walk", lambda w: F.array_contains(F.col("used"), w.table)), lambda w: w.path)
 
     def edge_list(v):
@@ -110,7 +112,7 @@ def complete_from(items: DataFrame, edges: DataFrame, hops: int = 8) -> DataFram
     )
 
 
-def valid_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame, hops: int = 8) -> DataFrame:
+def valid_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
     """Predicted FROM parts that hold: adds ``valid``.
 
     Candidates: item_id, db_id, tables, columns, key_columns (all array<int>). No table
@@ -119,7 +121,7 @@ def valid_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame, hops
     """
     place = columns.filter("tab_id >= 0").groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "tab_id"))).alias("table_of"))
     joined = candidates.withColumn("used", F.col("tables"))
-    full = complete_from(joined.select("item_id", "db_id", "used"), edges, hops).select("item_id", "conds", F.col("used").alias("known"))
+    full = complete_from(joined.select("item_id", "db_id", "used"), edges).select("item_id", "conds", F.col("used").alias("known"))
     both = candidates.join(full, "item_id").join(place, "db_id")
     inside = F.filter("conds", lambda c: F.array_contains("tables", F.col("table_of")[c.a_col]) & F.array_contains("tables", F.col("table_of")[c.b_col]))
     needed = F.array_sort(F.array_distinct(F.flatten(F.transform(inside, lambda c: F.array(c.a_col, c.b_col)))))

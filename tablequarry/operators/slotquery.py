@@ -6,16 +6,18 @@ Shapes:
     queries  query_id, table_id, sel int, agg int,
              conds array<struct<col int, op int, val string, is_num boolean>>
 
-All queries over all tables run in one job. Small tables meet their queries in one
-join by table; large tables are cut in row blocks, and queries with an equality are
-joined to them by the compared cell instead of row by row.
+All queries over all tables run in one job: one join by table, on whose pairs the
+conditions are tested, then one aggregation with partial sums. The rows and the queries
+of a table are both dealt over parts, as many as their number asks for, so a large table
+or one with many queries is spread over tasks; an answer does not depend on the parts.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.literals import AGGREGATES, COMPARISONS, leading_number, literal_number, name_of
+from ..functions.literals import AGGREGATES, COMPARISONS, leading_number, literal_number, name_of, strict_number
 
-BLOCK_ROWS = 100_000
+#: Rows or queries of a table in one part.
+PART = 100_000
 
 
 def rows_from_nested(tables: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def to_cells(rows: DataFrame, tables: DataFrame, lower: bool = True) -> DataFram
     )
     kinds = tables.select("table_id", F.posexplode("types").alias("col_id", "type"))
     return flat.join(kinds, ["table_id", "col_id"]).select(
-        "table_id", "row_id", "col_id", "txt", F.when(F.col("type") == "real", F.col("txt").try_cast("double")).alias("num")
+        "table_id", "row_id", "col_id", "txt", F.when(F.col("type") == "real", strict_number(F.col("txt"))).alias("num")
     )
 
 
@@ -54,8 +56,11 @@ def sort_conditions(conds: Column) -> Column:
 
 
 def _prepare(queries: DataFrame, tables: DataFrame, last_value_wins: bool) -> DataFrame:
-    """Give each condition its column type and its literal as text and number."""
-    known = queries.join(tables.select("table_id", "types"), "table_id")
+    """Give each condition its column type and its literal as text and number.
+
+    A query on an unknown table stays, with ``error`` set.
+    """
+    known = queries.join(tables.select("table_id", "types"), "table_id", "left")
 
     def value_of(c):
         if not last_value_wins:
@@ -80,7 +85,7 @@ def _prepare(queries: DataFrame, tables: DataFrame, last_value_wins: bool) -> Da
 def holds(cells: Column, c: Column) -> Column:
     """Does one prepared condition hold for a row? Text sorts after every number."""
     cell = F.get(cells, c.col)
-    number = cell.try_cast("double")
+    number = strict_number(cell)
     as_number = (
         F.when(number.isNull(), c.op == 1)
         .when(c.op == 0, number == c.num)
@@ -91,65 +96,57 @@ def holds(cells: Column, c: Column) -> Column:
     return F.coalesce(F.when(cell.isNull(), F.lit(False)).when(c.type == "real", as_number).otherwise(as_text), F.lit(False))
 
 
-def _cell_key(kind: Column, cell: Column) -> Column:
-    return F.when(kind == "real", cell.try_cast("double").cast("string")).otherwise(cell)
+def _parts(df: DataFrame, key: str, part: int) -> DataFrame:
+    """How many parts the rows of each table are dealt over."""
+    return df.groupBy("table_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias(key))
 
 
-def _found(queries: DataFrame, tables: DataFrame, rows: DataFrame, block_rows: int = BLOCK_ROWS, last_value_wins: bool = True) -> DataFrame:
-    """query_id, agg, sel_type, error, row_id, txt (the selected cell) for every selected row.
+def _dealt(df: DataFrame, by: str, own: DataFrame, own_key: str, other: DataFrame, other_key: str, mine: str, others: str) -> DataFrame:
+    """Each row with the part that its hash names, once for every part of the other side."""
+    sized = df.join(own, "table_id").join(other, "table_id")
+    return sized.withColumn(mine, F.pmod(F.xxhash64(by), F.col(own_key))).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other_key) - 1))).drop(own_key, other_key)
 
-    A query that selects nothing, or that cannot run, keeps at least one row without row_id.
-    """
-    ready = _prepare(queries, tables, last_value_wins)
-    data = lower_cells(rows).withColumn("block", F.floor(F.col("row_id") / F.lit(block_rows)).cast("long"))
-    sizes = data.groupBy("table_id").agg(F.collect_set("block").alias("blocks"), F.count(F.lit(1)).alias("size"))
-    first_equal = F.get(F.filter("conds", lambda c: c.op == 0), F.lit(0))
-    placed = ready.join(sizes, "table_id", "left").withColumn("anchor", F.when(~F.col("error") & (F.col("size") > block_rows), first_equal)).drop("size")
-    every = ~F.col("error") & F.forall("conds", lambda c: holds(F.col("cells"), c))
-    out = ["query_id", "agg", "sel_type", "error", "row_id", F.get("cells", F.col("sel")).alias("txt")]
-
-    by_block = placed.filter(F.col("anchor").isNull()).withColumn("block", F.explode_outer("blocks")).drop("blocks", "anchor")
-    in_block = data.select(F.col("table_id").alias("t"), F.col("block").alias("b"), "row_id", "cells")
-    by_block = by_block.join(in_block, (F.col("table_id") == F.col("t")) & (F.col("block") == F.col("b")) & every, "left").select(*out)
-
-    anchored = placed.filter(F.col("anchor").isNotNull()).select(
-        "query_id", "table_id", "sel", "agg", "sel_type", "error", "conds", F.col("anchor.col").alias("at"), F.col("anchor.type").alias("kind"),
-        F.when(F.col("anchor.type") == "real", F.col("anchor.num").cast("string")).otherwise(F.col("anchor.txt")).alias("key"),
-    )
-    columns = anchored.groupBy("table_id", "at").agg(F.first("kind").alias("kind"))
-    keyed = data.join(columns, "table_id").select(
-        F.col("table_id").alias("t"), F.col("at").alias("a"), "row_id", "cells", _cell_key(F.col("kind"), F.get("cells", F.col("at"))).alias("k")
+
+def _selected(ready: DataFrame, rows: DataFrame, part: int) -> DataFrame:
+    """query_id, agg, sel_type, row_id, txt (the selected cell) for every selected row."""
+    asked = ready.filter(~F.col("error"))
+    data = lower_cells(rows).select("table_id", "row_id", "cells")
+    n_rows, n_queries = _parts(data, "__rows", part), _parts(asked, "__queries", part)
+    left = _dealt(asked, "query_id", n_queries, "__queries", n_rows, "__rows", "__q", "__r")
+    right = _dealt(data, "row_id", n_rows, "__rows", n_queries, "__queries", "__r", "__q")
+    both = left.join(right, ["table_id", "__q", "__r"])
+    return both.filter(F.forall("conds", lambda c: holds(F.col("cells"), c))).select(
+        "query_id", "agg", "sel_type", "row_id", F.get("cells", F.col("sel")).alias("txt")
     )
-    same_key = (F.col("table_id") == F.col("t")) & (F.col("at") == F.col("a")) & (F.col("key") == F.col("k"))
-    return by_block.unionByName(anchored.join(keyed, same_key & every, "left").select(*out))
 
 
-def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
+def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PART, last_value_wins: bool = True) -> DataFrame:
     """The rows each query selects: query_id, agg, sel_type, row_id, txt (the selected cell)."""
-    return _found(queries, tables, rows, **options).filter(F.col("row_id").isNotNull()).drop("error")
+    return _selected(_prepare(queries, tables, last_value_wins), rows, part)
 
 
-def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
+def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PART, last_value_wins: bool = True) -> DataFrame:
     """One row per query: query_id, agg, error, n_rows, num and txt.
 
     num is the value of an aggregate over numbers, txt of MAX or MIN over a text column.
     A query with no rows has n_rows 0, COUNT 0 and no value. A query that cannot run
-    (unknown operator, no number in the literal for a number column) has error set.
+    (unknown table, column or operator, no number in the literal for a number column)
+    has error set.
     """
-    found = _found(queries, tables, rows, **options)
-    number = F.when(F.col("sel_type") == "real", F.col("txt").try_cast("double"))
+    ready = _prepare(queries, tables, last_value_wins)
+    number = F.when(F.col("sel_type") == "real", strict_number(F.col("txt")))
     summand = F.when(F.col("txt").isNotNull(), F.coalesce(number, leading_number(F.col("txt"))))
     text = F.when(F.col("sel_type") != "real", F.col("txt"))
-    totals = found.groupBy("query_id").agg(
-        F.any_value("agg").alias("agg"), F.any_value("sel_type").alias("sel_type"), F.any_value("error").alias("error"),
+    totals = _selected(ready, rows, part).groupBy("query_id").agg(
         F.count("row_id").alias("n_rows"), F.count("txt").alias("n_cells"), F.max(number).alias("max_num"), F.min(number).alias("min_num"),
         F.max(text).alias("max_txt"), F.min(text).alias("min_txt"), F.sum(summand).alias("total"),
     )
     runs = ~F.col("error")
-    return totals.select(
-        "query_id", "agg", "error", "n_rows",
+    zero = F.lit(0).cast("long")
+    return ready.select("query_id", "agg", "error").join(totals, "query_id", "left").select(
+        "query_id", "agg", "error", F.coalesce("n_rows", zero).alias("n_rows"),
         F.when(runs & (F.col("agg") == 1), F.col("max_num")).when(runs & (F.col("agg") == 2), F.col("min_num"))
-        .when(runs & (F.col("agg") == 3), F.col("n_cells").cast("double")).when(runs & (F.col("agg") == 4), F.col("total"))
+        .when(runs & (F.col("agg") == 3), F.coalesce("n_cells", zero).cast("double")).when(runs & (F.col("agg") == 4), F.col("total"))
         .when(runs & (F.col("agg") == 5) & (F.col("n_cells") > 0), F.col("total") / F.col("n_cells")).alias("num"),
         F.when(runs & (F.col("agg") == 1), F.col("max_txt")).when(runs & (F.col("agg") == 2), F.col("min_txt")).alias("txt"),
     )
@@ -174,12 +171,14 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
         "query_id", F.lit(1).cast("long").alias("place"),
         F.when(F.col("error"), "error").otherwise(F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none"))).alias("cell"),
     )
-    lists = _found(queries.filter(F.col("agg") == 0), tables, rows, **options).filter(F.col("row_id").isNotNull() | F.col("error"))
+    ready = _prepare(queries.filter(F.col("agg") == 0), tables, options.get("last_value_wins", True))
+    failed = ready.filter("error").select("query_id", F.lit(1).cast("long").alias("place"), F.lit("error").alias("cell"))
     text = F.concat(F.lit("t"), F.col("txt"))
-    cell = F.when(F.col("error"), "error").when(F.col("sel_type") == "real", F.coalesce(number(F.col("txt").try_cast("double")), text)).otherwise(text)
-    kept = lists.select("query_id", F.coalesce("row_id", F.lit(0)).alias("row_id"), F.coalesce(cell, F.lit("none")).alias("cell"))
+    cell = F.when(F.col("sel_type") == "real", F.coalesce(number(strict_number(F.col("txt"))), text)).otherwise(text)
+    found = _selected(ready, rows, options.get("part", PART))
+    kept = found.select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell"))
     placed = running_number(cut_lineage(kept), ["query_id"], "row_id", "place")
-    return single.unionByName(placed.select("query_id", "place", "cell"))
+    return single.unionByName(failed).unionByName(placed.select("query_id", "place", "cell"))
 
 
 def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
@@ -220,7 +219,7 @@ def allowed_pair(kind: Column, agg: Column) -> Column:
     )
 
 
-def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: int = 4) -> DataFrame:
     """``n`` random queries per table that give an answer: query_id, table_id, sel, agg, conds, n_rows.
 
     A select column is drawn; in each round a further column, an operator and the cell of

@@ -39,8 +39,6 @@ SET_COLUMNS = {
     "T0-T1-JOIN": {"{COLUMN0}": "T0", "{COLUMN1}": "T1"}, "T0-T1-NO-JOIN": {"{COLUMN0}": "T0", "{COLUMN1}": "T1"},
 }
 
-# The template list is sent to all tasks; a longer one stops the job.
-MOST_TEMPLATES = 10_000
 
 
 def _list(items):
@@ -221,17 +219,15 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     both = ready.join(one, "template_id", "left")
     every = both.agg(F.array_sort(F.collect_list("template_id")).alias("a")).scalar()
     single = both.filter("one_questions is not null").agg(F.array_sort(F.collect_list("template_id")).alias("a")).scalar()
-    all_at = F.array_position(every, F.col("template_id"))
-    checked = F.when(all_at > MOST_TEMPLATES, F.raise_error(F.lit("too many templates to send to every task")).cast("bigint")).otherwise(all_at)
-    return both.withColumn("all_at", checked).withColumn("one_at", F.array_position(single, F.col("template_id")))
+    return both.withColumn("all_at", F.array_position(every, F.col("template_id"))).withColumn("one_at", F.array_position(single, F.col("template_id")))
 
 
 def draw_templates(dbs: DataFrame, prepared: DataFrame, seed) -> DataFrame:
     """One row per sample with its template and question: db_id, sample_no, tables, and the template's parts.
 
     Two-table databases draw from all templates, the others from the one-table ones.
-    ``prepared`` is the template list, whose length ``prepare_templates`` checks; it is sent
-    to all tasks, since a join on so few keys would put whole shares of the data in one.
+    ``prepared`` is the template list; Spark sends a small one to all tasks and splits the
+    large keys of a longer one.
     """
     n_all = prepared.agg(F.max("all_at").alias("n")).scalar()
     n_one = prepared.agg(F.max("one_at").alias("n")).scalar()
@@ -246,7 +242,7 @@ def draw_templates(dbs: DataFrame, prepared: DataFrame, seed) -> DataFrame:
     listed = listed.unionByName(
         prepared.filter("one_at is not null").select(F.lit(1).alias("__list"), F.col("one_at").cast("int").alias("__at"), F.col("one_questions").alias("__qs"), *parts)
     )
-    joined = drawn.join(F.broadcast(listed), ["__list", "__at"])
+    joined = drawn.join(listed, ["__list", "__at"])
     question = pick_item(F.col("__qs"), seed, "question", "db_id", "sample_no")
     return joined.withColumn("__q", question).select(
         "db_id", "sample_no", "tables", *parts, F.col("__q.text").alias("question"),

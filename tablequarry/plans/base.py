@@ -52,7 +52,7 @@ def slot_tables(t: Tables) -> DataFrame:
 
 
 def slot_rows(t: Tables) -> DataFrame:
-    return t.spread("orders").select(
+    return t.orders.select(
         F.concat(F.lit("1-"), F.col("o_custkey").cast("string")).alias("table_id"),
         F.col("o_orderkey").alias("row_id"),
         F.array(
@@ -188,6 +188,11 @@ def using(*names: str) -> str:
 FIRST_NUMBER_SQL = r"([-+]?[0-9]*\.[0-9]+|[0-9]+)"
 
 
+def strict_sql(text: str) -> str:
+    """SQL twin of ``strict_number``."""
+    return f"case when regexp_matches({text}, '^\\s*[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?\\s*$') then try_cast(trim({text}) as double) + 0.0 end"
+
+
 def number_sql(text: str) -> str:
     """SQL twin of ``literal_number``."""
     return (
@@ -202,8 +207,8 @@ def run_sql(name: str, source: str) -> None:
     cell = "lower(cells[c.col + 1])"
     val = "lower(c.val)"
     holds = f"""case when {real} then
-        case c.op when 0 then try_cast({cell} as double) = {number_sql(val)}
-                  when 1 then try_cast({cell} as double) > {number_sql(val)} else try_cast({cell} as double) < {number_sql(val)} end
+        case when {strict_sql(cell)} is null then c.op = 1 when c.op = 0 then {strict_sql(cell)} = {number_sql(val)}
+                  when c.op = 1 then {strict_sql(cell)} > {number_sql(val)} else {strict_sql(cell)} < {number_sql(val)} end
         else case c.op when 0 then {cell} = {val} when 1 then {cell} > {val} else {cell} < {val} end end"""
     add_cte(
         f"{name}_match",

@@ -16,16 +16,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-    def spread(self, name: str) -> DataFrame:
-        """The table in at least as many parts as there are cores.
-
-        Only a file that Spark reads in fewer parts is moved; large inputs stay as they are.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @dataclass
 class Query:
     name: str

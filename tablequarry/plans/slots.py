@@ -572,7 +572,7 @@ def g20_columns_with_values(t):
 
 
 _G21 = b.using("slot_questions") + f""", o as (select query_id, 'q ' || question as q, 's ' || lower({_NUMBERED}) as s, row_number() over (order by query_id) - 1 as pos from slot_questions),
-  first as (select * from o where pos < 1000), other as (select *, (pos - 1000) % 1000 as at from o where pos >= 1000) """
+  first as (select * from o where pos < 10000), other as (select *, (pos - 10000) % 10000 as at from o where pos >= 10000) """
 
 
 @query(
@@ -588,7 +588,7 @@ def g21_consistency_pairs(t):
         KEY, F.concat(F.lit("q "), F.col("question")).alias("q"),
         F.concat(F.lit("s "), F.lower(sq.sql_text(*parts, F.col("table_id"), "numbered"))).alias("s"),
     )
-    return consistency_pairs(rows, KEY, "q", "s", n_first=1000)
+    return consistency_pairs(rows, KEY, "q", "s", n_first=10_000)
 
 
 @query("g18_generated", None)

@@ -131,15 +131,25 @@ def j11_join_chain(t):
     return named.groupBy("r_name", "n_name").agg(F.sum("n").alias("n"), money(F.sum("price")).alias("price"))
 
 
+def not_in(left, right, key):
+    """``NOT IN`` of SQL: no row if the right side holds a NULL; a NULL on the left only passes an empty right side."""
+    n, known = right.agg(F.count(F.lit(1))).scalar(), right.agg(F.count(key)).scalar()
+    kept = left.join(right.select(key).distinct(), key, "left_anti")
+    return kept.filter((n == 0) | ((n == known) & F.col(key).isNotNull()))
+
+
 @query(
     "j13_semi_anti",
     """select c_custkey, 'has' as side from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000)
-       union all select c_custkey, 'not' from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)""",
+       union all select c_custkey, 'not' from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)
+       union all select c_custkey, 'null' from customer where c_custkey not in (select case when o_orderkey % 7 > 0 then o_custkey end from orders)""",
 )
 def j13_semi_anti(t):
     big = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     mark = lambda kind, side: t.customer.join(big, "c_custkey", kind).select("c_custkey", F.lit(side).alias("side"))
-    return mark("left_semi", "has").unionByName(mark("left_anti", "not"))
+    holed = t.orders.select(F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).alias("c_custkey"))
+    none = not_in(t.customer, holed, "c_custkey").select("c_custkey", F.lit("null").alias("side"))
+    return mark("left_semi", "has").unionByName(not_in(t.customer, big, "c_custkey").select("c_custkey", F.lit("not").alias("side"))).unionByName(none)
 
 
 @query("o1_order_by", "select s_suppkey, s_nationkey, s_acctbal from supplier order by s_nationkey desc, s_acctbal desc")

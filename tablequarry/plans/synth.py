@@ -89,8 +89,8 @@ def order_templates(t):
     """One template per order, drawn from the list by its number."""
     n = len(TEMPLATES)
     listed = template_frame(t.spark).withColumnRenamed("template_id", "at")
-    keyed = t.spread("orders").select(F.col("o_orderkey").alias("template_id"), (F.col("o_orderkey") % n).cast("int").alias("at"))
-    return keyed.join(F.broadcast(listed), "at")
+    keyed = t.orders.select(F.col("o_orderkey").alias("template_id"), (F.col("o_orderkey") % n).cast("int").alias("at"))
+    return keyed.join(listed, "at")
 
 
 def _by_template(values, kind="varchar"):

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from ..functions import names as nm, textforms as tf
 from ..functions.seeded import unit
 from ..operators import features as ft, pieces as pc, slotquery as sq
+from ..operators.ordered import numbered_in_order
 from . import base as b
 from .registry import query
 
 TOKS = "string_split(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
 b.add_cte("doc_toks", f"select doc_id, [w for w in {TOKS} if w != ''] as toks from documents")
-b.add_cte("turn_toks", f"select conv_id * 1000 + turn as id, [w for w in {TOKS} if w != ''] as toks from conversations")
+b.add_cte("turn_toks", f"select conv_id::varchar || '/' || turn::varchar as id, conv_id, turn, [w for w in {TOKS} if w != ''] as toks from conversations")
 
 
 def words_of(text="text"):
@@ -18,11 +19,11 @@ def words_of(text="text"):
 
 
 def doc_toks(t):
-    return t.spread("documents").select("doc_id", words_of().alias("toks"))
+    return t.documents.select("doc_id", words_of().alias("toks"))
 
 
 def turn_toks(t):
-    return t.spread("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words_of().alias("toks"))
+    return t.conversations.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "conv_id", "turn", words_of().alias("toks"))
 
 
 def digest(items, sep=" "):
@@ -125,7 +126,7 @@ def p10_undo_pieces(t):
        '[\\pZ\\t\\n\\r]', ' ', 'g'))), '([\\pP$+<=>^`|~])', ' \\1 ', 'g'), '[ \\t\\n\\r]+') if w != ''] as toks from documents)""",
 )
 def p17_basic_tokens(t):
-    return t.spread("documents").select("doc_id", tf.basic_tokens(F.col("text")).alias("toks")).select(
+    return t.documents.select("doc_id", tf.basic_tokens(F.col("text")).alias("toks")).select(
         "doc_id", F.size("toks").cast("long").alias("n"), F.md5(F.array_join("toks", " ")).alias("toks")
     )
 
@@ -137,13 +138,12 @@ for _old, _new in tf.CLEANUPS:
 
 @query(
     "p20_ids_to_text",
-    b.using("turn_toks", "doc_toks") + f""", v as (select row_number() over (order by word) + 2 as vid, word from (select word, count(*) as n from (select unnest(toks) as word from doc_toks)
-       group by word order by n desc, word limit 500)), f as (select id, i, toks[i] as w from turn_toks, unnest(range(1, len(toks) + 1)) as r(i)),
-       g as (select id, string_agg(w, ' ' order by i) as text2 from f join v on v.word = w group by id)
+    b.using("turn_toks", "doc_toks") + f""", v as (select row_number() over (order by word) + 2 as vid, word from (select distinct word from (select unnest(toks) as word from doc_toks))), f as (select id, i, toks[i] as w from turn_toks, unnest(range(1, len(toks) + 1)) as r(i)),
+       g as (select id, coalesce(text2, '') as text2 from turn_toks left join (select id, string_agg(w, ' ' order by i) as text2 from f join v on v.word = w group by id) using (id))
        select id, md5({_CLEAN}) as text from g""",
 )
 def p20_ids_to_text(t):
-    vocab = ft.build_vocabulary(doc_toks(t).select(F.explode("toks").alias("word")), 500)
+    vocab = ft.build_vocabulary(doc_toks(t).select(F.explode("toks").alias("word")))
     ids = ft.to_ids(turn_toks(t), vocab, "id")
     return ft.ids_to_text(ids, vocab, "id").select("id", F.md5("text").alias("text"))
 
@@ -205,8 +205,9 @@ def a10_schema_words(t):
 @query(
     "j8_word_ids",
     b.using("doc_toks") + _VOCAB + """, f as (select doc_id, i, toks[i] as w from doc_toks, unnest(range(1, len(toks) + 1)) as r(i))
-     select doc_id, count(*) + 2 as n, count_if(vocab.id is null) as unknown, md5('1 ' || string_agg(coalesce(vocab.id, 0)::varchar, ' ' order by i) || ' 2') as ids
-     from f left join vocab on vocab.word = f.w group by doc_id""",
+     select doc_id, count(f.w) + 2 as n, count_if(f.w is not null and vocab.id is null) as unknown,
+       md5('1 ' || coalesce(string_agg(coalesce(vocab.id, 0)::varchar, ' ' order by i) filter (where f.w is not null) || ' ', '') || '2') as ids
+     from doc_toks left join f using (doc_id) left join vocab on vocab.word = f.w group by doc_id""",
 )
 def j8_word_ids(t):
     ids = ft.to_ids(doc_toks(t), doc_vocab(t), "doc_id")
@@ -218,7 +219,8 @@ def j8_word_ids(t):
 @query(
     "x2_id_lines",
     b.using("turn_toks", "doc_toks") + _VOCAB + """, f as (select id, i, toks[i] as w from turn_toks, unnest(range(1, len(toks) + 1)) as r(i))
-     select f.id, string_agg(coalesce(vocab.id, 0)::varchar, ' ' order by i) as line from f left join vocab on vocab.word = f.w group by f.id""",
+     select t.id, coalesce(string_agg(coalesce(vocab.id, 0)::varchar, ' ' order by i) filter (where f.w is not null), '') as line
+     from turn_toks t left join f on f.id = t.id left join vocab on vocab.word = f.w group by t.id""",
 )
 def x2_id_lines(t):
     ids = ft.to_ids(turn_toks(t), doc_vocab(t), "id", ends=False)
@@ -241,13 +243,15 @@ def x23_extend_vocabulary(t):
 
 @query(
     "j14_word_vectors",
-    b.using("doc_toks") + """, used as (select 'w' || (doc_id % 700)::varchar as word, min(doc_id) as place from doc_toks group by 1),
-      v as (select 'w' || vec_id::varchar as word, embedding[1] as first from embeddings)
+    b.using("doc_toks") + """, used as (select word, min(doc_id) as place from (select doc_id, unnest(toks) as word from doc_toks) group by word),
+      w as (select word, row_number() over (order by word) - 1 as vec_id from (select distinct word from used)),
+      v as (select word, embedding[1] as first from w join embeddings using (vec_id))
       select (row_number() over (order by place, word) + 2)::int as id, word, first from used join v using (word)""",
 )
 def j14_word_vectors(t):
-    used = doc_toks(t).select(F.concat(F.lit("w"), (F.col("doc_id") % 700).cast("string")).alias("word"), F.col("doc_id").alias("place"))
-    vectors = t.embeddings.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), F.get("embedding", F.lit(0)).alias("first"))
+    used = doc_toks(t).select("doc_id", F.explode("toks").alias("word")).select("word", F.col("doc_id").alias("place"))
+    listed = numbered_in_order(used.select("word").distinct(), ["word"], "no").select("word", (F.col("no") - 1).alias("vec_id"))
+    vectors = listed.join(t.embeddings, "vec_id").select("word", F.get("embedding", F.lit(0)).alias("first"))
     return ft.used_vectors(used, vectors, "place").select("id", "word", "first")
 
 
@@ -341,14 +345,15 @@ def x6_fit(t):
 
 b.add_cte(
     "turn_pairs",
-    "select a.id, a.toks as one, b.toks as two from turn_toks a join turn_toks b on b.id = a.id + 1",
+    "select a.id, a.toks as one, b.toks as two from turn_toks a join turn_toks b on b.conv_id = a.conv_id and b.turn = a.turn + 1",
     "turn_toks",
 )
 
 
 def turn_pairs(t):
     toks = turn_toks(t)
-    return toks.select("id", F.col("toks").alias("one")).join(toks.select((F.col("id") - 1).alias("id"), F.col("toks").alias("two")), "id")
+    after = toks.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("toks").alias("two"))
+    return toks.withColumnRenamed("toks", "one").join(after, ["conv_id", "turn"]).select("id", "one", "two")
 
 
 @query(

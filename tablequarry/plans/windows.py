@@ -21,7 +21,7 @@ def w1_numbering(t):
 )
 def w2_top_k(t):
     rows = t.events.select("user_id", "event_id", "value")
-    return od.ranked_by_score(rows, ["user_id"], [F.desc("value"), "event_id"], 3, "rk", tie="event_id").select("user_id", "event_id", "rk")
+    return od.ranked_by_score(rows, ["user_id"], [F.desc("value"), "event_id"], 3, "rk").select("user_id", "event_id", "rk")
 
 
 @query("w3_arg_max", "select user_id, arg_max(event_id, {'v': value, 'e': -event_id}) as best from events group by user_id")

@@ -51,7 +51,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"part": 2}, {"part": 1}])
 def test_slot_semantics(spark, slots, options):
     got, _ = run(spark, slots, CASES, **options)
     assert got["all"]["n_rows"] == 4
@@ -103,7 +103,7 @@ def test_large_and_small_tables_agree(spark):
         conds = [(0, 0, rnd.choice("abcd"), False)] if i % 2 else [(1, rnd.randint(0, 2), str(rnd.randint(0, 9)), True)]
         cases.append((str(i), "t", 1, rnd.randint(0, 5), conds))
     small, _ = run(spark, (tables, rows), cases)
-    large, _ = run(spark, (tables, rows), cases, block_rows=40)
+    large, _ = run(spark, (tables, rows), cases, part=7)
     assert {k: tuple(r) for k, r in small.items()} == {k: tuple(r) for k, r in large.items()}
     for q, _, sel, agg, conds in cases:
         c, op, v, num = conds[0]
@@ -231,10 +231,61 @@ def test_running_number_blocks(spark):
             assert got[(k, o)] == i + 1
 
 
-def test_running_number_by_text(spark):
-    words = [f"{c}{i}" for c in "abz" for i in range(20)]
-    got = {r["w"]: r["no"] for r in od.running_by_text(spark.createDataFrame([(w,) for w in words], "w string"), "w", "no", 1).collect()}
-    assert got == {w: i + 1 for i, w in enumerate(sorted(words))}
+def test_numbered_in_order(spark):
+    for words in ([f"same beginning {i}" for i in range(300)], [f"{c}{i}" for c in "abz" for i in range(20)], [str(hash(i)) for i in range(0, 1 << 62, 1 << 54)], ["one"], []):
+        frame = spark.createDataFrame([(w, len(w)) for w in words], "w string, n int").repartition(7)
+        assert {r["w"]: r["no"] for r in od.numbered_in_order(frame, ["w"], "no").collect()} == {w: i + 1 for i, w in enumerate(sorted(words))}
+        ties = {r["w"]: r["no"] for r in od.numbered_in_order(frame, ["n", "w"], "no").collect()}
+        assert ties == {w: i + 1 for i, w in enumerate(sorted(words, key=lambda w: (len(w), w)))}
+
+
+def test_top_of_groups(spark):
+    frame = spark.range(500).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("s"), "id")
+    got = sorted((r["k"], r["rk"], r["id"]) for r in od.ranked_by_score(frame, ["k"], [F.desc("s"), "id"], 4, "rk").collect())
+    rows = sorted(((r["k"], -r["s"], r["id"]) for r in frame.collect()))
+    assert got == [(k, i + 1, x) for k in range(3) for i, (_, _, x) in enumerate([r for r in rows if r[0] == k][:4])]
+
+
+def test_slot_odd_values(spark):
+    """Text in number columns, negative zero, unknown tables and columns, in any number of parts."""
+    tables = spark.createDataFrame([("t", ["A", "B"], ["text", "real"])], "table_id string, header array<string>, types array<string>")
+    data = [("t", i, [f"x{i}", v]) for i, v in enumerate(["-0", "3d", "3", "NaN", "1e1", "0.0", None, "x"])]
+    rows = spark.createDataFrame(data, "table_id string, row_id long, cells array<string>")
+    cases = [
+        ("zero", "t", 0, 3, [(1, 0, "0", True)]), ("three", "t", 0, 3, [(1, 0, "3", True)]), ("more", "t", 0, 3, [(1, 1, "3", True)]),
+        ("lost", "u", 0, 3, []), ("lost list", "u", 0, 0, []), ("column", "t", 5, 0, []), ("total", "t", 1, 4, []),
+    ]
+    for part in (100, 3, 1):
+        got, frame = run(spark, (tables, rows), cases, part=part)
+        assert {k: got[k]["num"] for k in ("zero", "three", "more", "total")} == {"zero": 2, "three": 1, "more": 4, "total": 16}
+        assert all(got[k]["error"] for k in ("lost", "lost list", "column")) and len(got) == len(cases)
+    other = spark.createDataFrame([(q, "u", 1, 0, []) for q in ("lost", "lost list")], frame.schema)
+    scores = sc.execution_scores(frame.filter("table_id = 'u'"), other, tables, rows).collect()
+    assert [r["ex"] for r in scores] == [0, 0]
+
+
+def test_long_key_chain(spark):
+    n = 30
+    edges = [(i, i + 1) for i in range(n - 1)]
+    edges = sorted([(a, b, 10 * a, 10 * b) for a, b in edges] + [(b, a, 10 * b, 10 * a) for a, b in edges])
+    graph = spark.createDataFrame([("d", edges)], "db_id string, edges array<struct<a:int,b:int,a_col:int,b_col:int>>")
+    items = spark.createDataFrame([(1, "d", [0, n - 1])], "item_id int, db_id string, used array<int>")
+    row = sm.complete_from(items, graph).first()
+    assert row["tables"] == list(range(n)) and len(row["conds"]) == n - 1
+
+
+def test_no_text_is_lost(spark):
+    frame = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["new"])], "k int, toks array<string>")
+    vocab = ft.build_vocabulary(frame.limit(1).select(F.explode("toks").alias("word")))
+    ids = ft.to_ids(frame, vocab, "k")
+    assert {r["k"]: r["ids"] for r in ids.collect()} == {1: [1, 3, 4, 3, 2], 2: [1, 2], 3: [1, 0, 2]}
+    assert {r["k"]: r["text"] for r in ft.ids_to_text(ids, vocab, "k").collect()} == {1: "a b a", 2: "", 3: ""}
+
+
+def test_vectors_of_one_place(spark):
+    used = spark.createDataFrame([(w, 5) for w in "dbca"], "word string, place int")
+    vectors = spark.createDataFrame([(w, 1.0) for w in "abcde"], "word string, first double").repartition(3)
+    assert {r["word"]: r["id"] for r in ft.used_vectors(used, vectors, "place").collect()} == {"a": 3, "b": 4, "c": 5, "d": 6}
 
 
 @pytest.mark.parametrize("parts", [1, 4, 17])
