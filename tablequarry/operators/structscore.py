@@ -230,11 +230,12 @@ def rolled_scores(scores: DataFrame) -> DataFrame:
 # ---- answers and beams ------------------------------------------------------------------------------
 
 
-def same_answer(gold: DataFrame, predicted: DataFrame, gold_units: list[str], pred_units: list[str]) -> DataFrame:
+def same_answer(gold: DataFrame, predicted: DataFrame, gold_units: list[str], pred_units: list[str], place: str | None = None) -> DataFrame:
     """One row: do two answers agree when their columns are keyed by select unit?
 
     Columns are named by their unit; rows are compared as a bag, by counting, so neither
-    answer is gathered.
+    answer is gathered. Where the query orders its rows, ``place`` names a column of both
+    answers with the place of each row, and rows must agree place by place.
     """
     if sorted(set(gold_units)) != sorted(set(pred_units)):
         return gold.sparkSession.range(1).select(F.lit(False).alias("same"))
@@ -242,11 +243,13 @@ def same_answer(gold: DataFrame, predicted: DataFrame, gold_units: list[str], pr
 
     def keyed(df, units, side):
         at = {u: i for i, u in enumerate(units)}
-        plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        return plain.select(*[F.col(f"c{at[u]}").cast("string").alias(f"u{i}") for i, u in enumerate(names)], F.lit(side).alias("side"))
+        shown = [c for c in df.columns if c != place]
+        spot = F.col(place) if place else F.lit(0)
+        plain = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(shown)], spot.alias("place"))
+        return plain.select(*[F.col(f"c{at[u]}").cast("string").alias(f"u{i}") for i, u in enumerate(names)], "place", F.lit(side).alias("side"))
 
     both = keyed(gold, gold_units, 1).unionByName(keyed(predicted, pred_units, -1))
-    diff = both.groupBy(*[f"u{i}" for i in range(len(names))]).agg(F.sum("side").alias("d"))
+    diff = both.groupBy("place", *[f"u{i}" for i in range(len(names))]).agg(F.sum("side").alias("d"))
     return diff.agg(F.coalesce(F.max(F.abs("d")), F.lit(0)).alias("m")).select((F.col("m") == 0).alias("same"))
 
 

@@ -160,22 +160,36 @@ def e12_rolled_scores(t):
     return ss.rolled_scores(ss.score_pairs(struct_pairs(t)))
 
 
+_E13_GOLD = "select o_orderstatus as a, count(*) as n from {} group by o_orderstatus"
+_E13_OTHER = "select o_orderstatus as a, count(distinct o_custkey) as n from {} where o_totalprice > 100000 group by o_orderstatus"
+_E13_PLACED = "select a, n, row_number() over (order by a {1}) as place from (select o_orderstatus as a, count(*) as n from {0} group by o_orderstatus) x"
+
+
 @query(
     "e13_same_answer",
-    "select 'swapped' as pair, true as same union all select 'other', false union all select 'units', false",
+    f"""with gold as ({_E13_GOLD.format('orders')}), other as ({_E13_OTHER.format('orders')}), up as ({_E13_PLACED.format('orders', '')}), down as ({_E13_PLACED.format('orders', 'desc')})
+      select 'swapped' as pair, (select count(*) from (select a, n from gold except all select a, n from gold)) = 0 as same
+      union all select 'other', (select count(*) from (select a, n from gold except all select a, n from other)) = 0
+        and (select count(*) from gold) = (select count(*) from other)
+      union all select 'units', false
+      union all select 'same order', (select count(*) from (select * from up except all select * from up)) = 0
+      union all select 'other order', (select count(*) from (select * from up except all select * from down)) = 0""",
 )
 def e13_same_answer(t):
     t.orders.createOrReplaceTempView("e13_orders")
     run = t.spark.sql
-    gold = run("select o_orderstatus, count(*) from e13_orders group by o_orderstatus")
+    gold = run(_E13_GOLD.format("e13_orders"))
     swapped = run("select count(*), o_orderstatus from e13_orders group by o_orderstatus")
-    other = run("select count(distinct o_custkey), o_orderstatus from e13_orders where o_totalprice > 100000 group by o_orderstatus")
+    other = run(_E13_OTHER.format("e13_orders")).select("n", "a")
+    up, down = (run(_E13_PLACED.format("e13_orders", way)) for way in ("", "desc"))
     units = ["status", "count *"]
     named = lambda n, df: df.select(F.lit(n).alias("pair"), "same")
     return (
         named("swapped", ss.same_answer(gold, swapped, units, units[::-1]))
         .unionByName(named("other", ss.same_answer(gold, other, units, units[::-1])))
         .unionByName(named("units", ss.same_answer(gold, other, units, ["status", "sum"])))
+        .unionByName(named("same order", ss.same_answer(up, up, units, units, "place")))
+        .unionByName(named("other order", ss.same_answer(up, down, units, units, "place")))
     )
 
 
