@@ -34,12 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """The rows written to a Parquet table in the shared folder and read back: lineage ends there.
 
-    Tasks that are run again read the files; the folder is the caller's to remove after the job.
+    Tasks that are run again read the files; ``discard`` removes them, else the folder is the
+    caller's to remove after the job.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that no later step reads."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_blocks(batch, column: int, most: int = 1 << 20):
