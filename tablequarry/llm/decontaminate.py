@@ -3,7 +3,7 @@
 A spaced seed hashes the words at some places of a window and ignores the others, so a changed word
 at an ignored place does no harm. Hashes of the benchmark items and of the documents are joined; at
 every hit the words around it are compared, and a document holds an item where at most
-``MOST_WRONG`` words of ``WINDOW`` words in a row differ.
+``MOST_WRONG`` words of ``WINDOW`` words in a row differ (words beyond a text's ends differ).
 """
 
 import numpy as np
