@@ -281,10 +281,10 @@ def fold(n, d):
     return zlib.crc32(str(d).encode()) % n
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
 @pytest.mark.parametrize("name, label, folds, held", [("op10_quality", "quality", 5, 0), ("op3_toxicity", "toxic", 4, 2)])
 def test_held_out(spark, name, label, folds, held):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # enough labelled texts of each language
     rows = queries.QUERIES[name](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (fold(folds, r.doc_id) == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     test = [(r.score, r[label]) for r in rows if r.held_out]
