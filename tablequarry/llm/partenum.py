@@ -8,9 +8,10 @@ share one. Candidates are checked with parity sketches (the number of bits in wh
 differ is never above the number of shingles in which the sets differ) and then exactly.
 
 Large groups: a bucket is never paired with itself as a whole. Its members are first compared with
-one leader; members that are now in one class need no more links. What is left of small buckets is
-compared directly, and members of large buckets meet again only if they also share a signature of a
-second, independent cut of the domain, and so on until no bucket has two classes left to compare.
+one leader; members that are now in one class need no more links. Where few
+are left outside the largest class, these are compared with the others directly; members of other
+buckets meet again only if they also share a signature of a second, independent cut of the domain,
+and so on until no bucket has two classes left to compare.
 """
 
 import numpy as np
@@ -29,7 +30,7 @@ BAND = 1.6
 SPARE = 1.1
 #: Shingles that so many documents of one task hold are common; any choice gives the same links.
 COMMON = 8
-#: Members of a bucket that are compared directly once its leader is done.
+#: Members of a bucket outside its largest class that are compared directly once its leader is done.
 SMALL = 24
 #: Sizes of the filters: 2 to this power bits (2 MB and 8 MB).
 COMMON_BITS, REPEATED_BITS = 24, 26
@@ -287,11 +288,10 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = links.unionByName(more)
         named = components(links)
         left = stored(_left(members, named, cut))
-        direct = _direct(left).distinct()
-        more = _similar(direct, own, documents, id_col, text_col)
+        more = _similar(stored(_direct(left)), own, documents, id_col, text_col)
         links = stored(links.unionByName(more))
         cut += 1
-        large = left.where(F.col("size") > SMALL)
+        large = left.where(F.col("minor") > SMALL)
         if large.isEmpty():
             named = components(links)
             break
@@ -327,19 +327,29 @@ def _round(members: DataFrame, named: DataFrame, cut: int) -> DataFrame:
 
 
 def _left(members: DataFrame, named: DataFrame, cut: int) -> DataFrame:
-    """Members other than the leader, of buckets that hold two classes without it, and how many there are."""
+    """Members other than the leader, of buckets that hold two classes without it.
+
+    ``major`` is the class with most members of the bucket, ``minor`` the number of members of
+    other classes. Of buckets with the same members one is kept.
+    """
     rows = _labelled(members, named)
     lead = rows.groupBy("sig").agg(F.min(_order(cut)).alias("lead")).select("sig", F.col("lead.doc").alias("lead"))
     rest = rows.join(lead, "sig").where("doc <> lead").select("sig", "doc", "label")
-    open_ = rest.groupBy("sig").agg(F.count("*").alias("size"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("sig", "size")
-    return rest.join(open_, "sig")
+    of = rest.groupBy("sig", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    open_ = of.groupBy("sig").agg(
+        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.sum("s").alias("s"), F.count("*").alias("labels")
+    ).where("labels > 1")
+    once = open_.groupBy("size", "s").agg(F.min(F.struct("sig", "top")).alias("b"))
+    once = once.select(F.col("b.sig").alias("sig"), F.col("b.top.label").alias("major"), (F.col("size") - F.col("b.top.n")).alias("minor"))
+    return rest.join(once, "sig")
 
 
 def _direct(left: DataFrame) -> DataFrame:
-    """Pairs of different classes in buckets of at most ``SMALL`` members."""
-    small = left.where(F.col("size") <= SMALL)
-    other = small.select("sig", F.col("doc").alias("b"), F.col("label").alias("of"))
-    return small.select("sig", F.col("doc").alias("a"), "label").join(other, "sig").where("a < b and label <> of").select("a", "b")
+    """Pairs of the members outside a bucket's largest class with all members of other classes, where they are at most ``SMALL``."""
+    few = left.where(F.col("minor") <= SMALL)
+    other = few.select("sig", F.col("doc").alias("b"), F.col("label").alias("of"))
+    pairs = few.where("label <> major").select("sig", F.col("doc").alias("a"), "label").join(other, "sig").where("label <> of")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def query(spark, folder):
