@@ -1,5 +1,6 @@
 """Helpers shared by the corpus operators: table reads, stored tables, Arrow text access."""
 
+import contextlib
 import functools
 import gc
 import tempfile
@@ -116,3 +117,15 @@ def settle(spark: SparkSession) -> None:
     """Collect garbage on the driver, so that Spark removes the shuffle files of steps that are done and stored."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs run inside; for rows that are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

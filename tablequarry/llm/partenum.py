@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, mixed, stored, table, text_blocks
+from .common import bitmap, in_bitmap, mixed, small_batches, stored, table, text_blocks
 from .components import components
 from .spans import windows, words
 
@@ -146,7 +146,7 @@ def _profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Size, digests and sketch of each set; rows without ``d1`` carry the common shingles of a task."""
     kind = df.schema[id_col].dataType.simpleString()
     names = ["doc", "n", "d1", "d2", "sketch", "often"]
-    keep = 4_000_000  # shingles counted together in a task
+    keep = 2_000_000  # shingles counted together in a task
 
     def often(held):
         value, count = np.unique(np.concatenate(held), return_counts=True)
@@ -186,6 +186,9 @@ def _signature_rows(df: DataFrame, id_col: str, text_col: str, common, cut: int,
     """
     kind = df.schema[id_col].dataType.simpleString()
 
+    def rows(part, docs, sigs):
+        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "sigs"])
+
     def run(batches):
         words_common, words_repeated = common.value, repeated and repeated.value
         seen: set = set()
@@ -195,22 +198,26 @@ def _signature_rows(df: DataFrame, id_col: str, text_col: str, common, cut: int,
                 flags = in_bitmap(value, words_common)
                 keys = list(zip(*(d.tolist() for d in digests(value, at))))
                 buckets = part.column(2).to_pylist() if within else None
-                docs, sigs = [], []
+                docs, sigs, size = [], [], 0
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     if a == b or (not within and keys[k] in seen):
                         continue
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     seen.add(keys[k])
                     own = signatures(value[a:b], flags[a:b], cut)
-                    if within:
-                        own = np.concatenate([mixed(own ^ np.uint64(x & 0xFFFFFFFFFFFFFFFF)) for x in buckets[k]])
-                    if repeated:
-                        own = own[in_bitmap(own, words_repeated)]
-                    if len(own):
-                        docs.append(k)
-                        sigs.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "sigs"])
+                    for x in buckets[k] if within else [None]:
+                        more = own if x is None else mixed(own ^ np.uint64(x & 0xFFFFFFFFFFFFFFFF))
+                        if repeated:
+                            more = more[in_bitmap(more, words_repeated)]
+                        if len(more):
+                            docs.append(k)
+                            sigs.append(more.view(np.int64))
+                            size += len(more)
+                        if size > 200_000:
+                            yield rows(part, docs, sigs)
+                            docs, sigs, size = [], [], 0
+                yield rows(part, docs, sigs)
 
     cols = [F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *([F.col(within)] if within else [])]
     return df.select(*cols).mapInArrow(run, f"doc {kind}, sigs array<long>").select(F.explode("sigs").alias("sig"), "doc")
@@ -224,7 +231,7 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     def by_sketch(batches):
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            keep = [9 * differing(x, y) <= s for x, y, s in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n.tolist())]
+            keep = [9 * differing(x.as_buffer(), y.as_buffer()) <= s for x, y, s in zip(batch.column(3), batch.column(5), n.tolist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     near = pairs.join(side.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -240,8 +247,8 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     def by_set(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both) > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -250,7 +257,8 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     asked = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(ends, "doc", "left_semi")
     held = asked.mapInArrow(sets, f"doc {kind}, held binary")
     full = near.join(held.select(F.col("doc").alias("a"), F.col("held").alias("ha")), "a").join(held.select(F.col("doc").alias("b"), F.col("held").alias("hb")), "b")
-    return stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, f"a {kind}, b {kind}").distinct())
+    with small_batches(documents.sparkSession, 500):  # a row holds two whole sets
+        return stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, f"a {kind}, b {kind}").distinct())
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,6 +305,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         asked = large.groupBy("doc").agg(F.collect_list("sig").alias("buckets"))  # as many as a set has signatures
         again = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(asked, "doc")
+        again = again.repartition(4 * spark.sparkContext.defaultParallelism, "doc")  # few rows in, many out
         rows = stored(_signature_rows(again, "doc", "text", common, cut, within="buckets"))
         several = rows.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sig")
         members = stored(rows.join(several, "sig", "left_semi"))
