@@ -46,9 +46,12 @@ def numbered_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
     The order columns are cut into ranges of about equal size; each range is numbered on its
     own and the sizes of the ranges before it are added. Only one row a range goes through
-    one task.
+    one task. The ranged rows are written once to the checkpoint folder: made a second time
+    for the sizes, the ranges may be cut at other places.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    from ..session import cut_lineage
+
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))

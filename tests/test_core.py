@@ -239,6 +239,18 @@ def test_numbered_in_order(spark):
         assert ties == {w: i + 1 for i, w in enumerate(sorted(words, key=lambda w: (len(w), w)))}
 
 
+def test_numbered_in_order_wide(spark):
+    n = 1_200_000
+    word = F.md5(F.col("id").cast("string"))
+    frame = spark.range(n).select(word.alias("w"), F.repeat(word, 4).alias("extra"))
+    got = od.numbered_in_order(frame, ["w"], "no")
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("no").alias("d"), F.min("no").alias("low"), F.max("no").alias("high"), F.count_if(F.col("extra") != F.repeat("w", 4)).alias("bad")).first()
+    assert (r.n, r.d, r.low, r.high, r.bad) == (n, n, 1, n, 0)
+    places = F.floor(F.col("no") / 200_000)
+    ends = [(x.a, x.b) for x in got.groupBy(places.alias("p")).agg(F.min("w").alias("a"), F.max("w").alias("b")).orderBy("p").collect()]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_top_of_groups(spark):
     frame = spark.range(500).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("s"), "id")
     got = sorted((r["k"], r["rk"], r["id"]) for r in od.ranked_by_score(frame, ["k"], [F.desc("s"), "id"], 4, "rk").collect())
