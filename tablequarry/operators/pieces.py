@@ -66,7 +66,7 @@ def tokenise(texts: DataFrame, key: str, toks: str, split_words, shared) -> Data
     ``split_words(word, shared)`` cuts one word; ``shared`` is the vocabulary or the merge
     ranks, whose size is a parameter of the job, and goes to each executor once. Each
     distinct word is cut once; frequent words then meet their texts in a join that
-    adaptive execution may split.
+    adaptive execution may split. A text without words has no pieces.
     """
     sent = texts.sparkSession.sparkContext.broadcast(shared)
 
@@ -77,14 +77,15 @@ def tokenise(texts: DataFrame, key: str, toks: str, split_words, shared) -> Data
     pieces_of = F.pandas_udf(cut, "array<string>")
     flat = texts.select(key, F.posexplode(toks).alias("pos", "word"))
     known = flat.select("word").distinct().withColumn("pieces", pieces_of("word"))
-    joined = flat.join(known, "word")
-    return joined.groupBy(key).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pieces"))), lambda x: x.pieces)).alias("pieces")
+    joined = flat.join(known, "word").select(key, F.struct("pos", "pieces").alias("piece"))
+    every = texts.select(key).withColumn("piece", F.lit(None).cast(joined.schema["piece"].dataType))
+    return joined.unionByName(every).groupBy(key).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x.pieces)).alias("pieces")
     )
 
 
 def token_counts(texts: DataFrame, key: str, toks: str, split_words, shared) -> DataFrame:
-    """Number of pieces of every text, without putting the pieces back in order."""
+    """Number of pieces of every text, 0 where it has no words, without putting the pieces back in order."""
     sent = texts.sparkSession.sparkContext.broadcast(shared)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -94,7 +95,9 @@ def token_counts(texts: DataFrame, key: str, toks: str, split_words, shared) ->
     counted = F.pandas_udf(count, "int")
     per_text = texts.select(key, F.explode(toks).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
     known = per_text.select("word").distinct().withColumn("n", counted("word"))
-    return per_text.join(known, "word").groupBy(key).agg(F.sum(F.col("n") * F.col("times")).alias("n_tokens"))
+    found = per_text.join(known, "word").select(key, (F.col("n") * F.col("times")).alias("n"))
+    every = texts.select(key, F.lit(0).cast("long").alias("n"))
+    return found.unionByName(every).groupBy(key).agg(F.sum("n").alias("n_tokens"))
 
 
 def letter_pairs(words: DataFrame, most: int) -> dict[tuple[str, str], int]:

@@ -156,6 +156,13 @@ def test_piece_counts_match_brute_force(spark):
     assert got == {i: [p for w in ws for p in pc.word_pieces(w, vocab)] for i, ws in data}
 
 
+def test_pieces_keep_texts_without_words(spark):
+    df = spark.createDataFrame([(1, ["ab"]), (2, []), (3, None), (4, [None]), (None, [])], "id long, toks array<string>")
+    assert {r["id"]: r["n_tokens"] for r in pc.token_counts(df, "id", "toks", pc.word_pieces, {"a", "##b"}).collect()} == {1: 2, 2: 0, 3: 0, 4: 0, None: 0}
+    got = {r["id"]: r["pieces"] for r in pc.tokenise(df, "id", "toks", pc.word_pieces, {"a", "##b"}).collect()}
+    assert got == {1: ["a", "##b"], 2: [], 3: [], 4: [], None: []}
+
+
 def test_basic_tokens(spark):
     df = texts(spark, " \tHeLLo!how  \n Are yoU?  ", "Héllo", "ah博推zz")
     got = [r[0] for r in df.select(tf.basic_tokens(F.col("v"))).collect()]
