@@ -219,9 +219,31 @@ def allowed_pair(kind: Column, agg: Column) -> Column:
     )
 
 
-def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: int = 4) -> DataFrame:
+def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: int = 4, tries: int = 5) -> DataFrame:
     """``n`` random queries per table that give an answer: query_id, table_id, sel, agg, conds, n_rows.
 
+    Queries without an answer are drawn again with another seed, together, until each number
+    has had ``tries`` tries; a number that never gave an answer has no row.
+    """
+    from ..session import cut_lineage
+
+    data = lower_cells(rows).select("table_id", "row_id", "cells")
+    wanted = tables.select("table_id", "types", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("no")).select(
+        F.concat_ws("#", "table_id", F.col("no").cast("string")).alias("query_id"), "table_id", "types"
+    )
+    found = None
+    for k in range(tries):
+        made = cut_lineage(_drawn_queries(wanted, data, seed if k == 0 else f"{seed} try {k}", rounds))
+        found = made if found is None else found.unionByName(made)
+        wanted = cut_lineage(wanted.join(made.select("query_id"), "query_id", "left_anti"))
+        if wanted.isEmpty():
+            break
+    return found
+
+
+def _drawn_queries(wanted: DataFrame, data: DataFrame, seed, rounds: int) -> DataFrame:
+    """One try for each wanted query (query_id, table_id, types); only those with an answer come out.
+
     A select column is drawn; in each round a further column, an operator and the cell of
     a drawn row of the current answer make a condition, kept only if it changes the
     answer. As a condition can only remove rows, the answer changes if and only if its
@@ -231,13 +253,9 @@ def generate_queries(tables: DataFrame, rows: DataFrame, n: int, seed, rounds: i
     from ..functions.seeded import pick_item, pick_number, unit
     from ..session import cut_lineage
 
-    state = tables.select("table_id", "types", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("no")).select(
-        F.concat_ws("#", "table_id", F.col("no").cast("string")).alias("query_id"), "table_id", "types"
-    )
-    state = state.withColumn("sel", pick_number(F.size("types"), seed, "select", "query_id"))
+    state = wanted.withColumn("sel", pick_number(F.size("types"), seed, "select", "query_id"))
     state = state.withColumn("open", F.filter(F.sequence(F.lit(0), F.size("types") - 1), lambda i: i != F.col("sel")))
     state = state.withColumn("conds", F.expr("cast(array() as array<struct<col:int,op:int,val:string,is_num:boolean>>)"))
-    data = lower_cells(rows).select("table_id", "row_id", "cells")
     alive = cut_lineage(state.select("query_id", "table_id").join(data, "table_id").drop("table_id"))
     for r in range(rounds):
         drawn = alive.groupBy("query_id").agg(
