@@ -379,6 +379,40 @@ def test_decontaminate(spark, odd):
     assert decontaminate.leaks(odd, bench).count() == 0
 
 
+@pytest.mark.parametrize("size", range(1, 14))
+def test_no_item_size_is_missed(size):
+    most = size * decontaminate.MOST_WRONG // decontaminate.WINDOW
+    words = np.random.RandomState(size).randint(1, 1 << 60, size).astype(np.uint64)
+    first = np.array([0, size])
+    item = dict(zip(*(x.tolist() for x in decontaminate._item_seeds(words, first)[::-1])))
+    for bad in itertools.combinations(range(size), most):
+        doc = words.copy()
+        doc[list(bad)] = 0
+        runs = [decontaminate.run_length(size)] if size < decontaminate.SEEDED else []
+        at, hashes = decontaminate._seeds(doc, first, runs)
+        assert any(item.get(x) == a for a, x in zip(at.tolist(), hashes.tolist()))
+
+
+def test_short_items(spark, monkeypatch):
+    draw = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(draw.choice(vocabulary) for _ in range(1 + k % 13))) for k in range(26)] + [(90, None), (91, "")]
+    docs = []
+    for d in range(130):
+        leak = items[d % 26][1].split()
+        if d >= 26:
+            leak[draw.randrange(len(leak))] = "changed"
+        before, after = ([draw.choice(["x", "y", "z"]) for _ in range(draw.choice([0, 0, 3]))] for _ in range(2))
+        docs.append((d, " ".join([*before, *leak, *after])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(frame, bench).collect()
+    monkeypatch.setattr(decontaminate, "SHORTEST", 1)
+    want = brute_leaks(docs, [(i, t) for i, t in items if t])
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert {(d, d) for d in range(26)} <= want and len(want) > 100
+
+
 # ---- near duplicates --------------------------------------------------------------
 
 
