@@ -375,13 +375,13 @@ def task_features(rows: DataFrame, first: Column, second: Column, label: Column,
 
 
 def paired_features(rows: DataFrame, question: str, sql: str, labels: str, length: int) -> DataFrame:
-    """Question and SQL sequence side by side; kept where both have the same number of columns."""
+    """Question and SQL sequence side by side; ``error`` where they differ in their number of columns."""
     cut = rows.withColumn(question, F.slice(question, 1, length)).withColumn(sql, F.slice(sql, 1, length))
     seps = lambda c: F.transform(c, lambda x: x == SEP)
     made = cut.withColumn("q_seps", seps(question)).withColumn("s_seps", seps(sql))
     made = made.withColumn("col_label_ids", column_label_ids(F.col(question), F.col(labels)))
     count = lambda c: F.size(F.filter(c, lambda x: x))
-    return made.filter(count("q_seps") == count("s_seps"))
+    return made.withColumn("error", F.coalesce(count("q_seps") != count("s_seps"), F.lit(True)))
 
 
 def used_column_labels(toks: Column, used: Column) -> Column:

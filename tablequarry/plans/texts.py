@@ -461,7 +461,7 @@ def x17_paired_features(t):
     tail = F.slice("toks", F.array_position("toks", F.lit("</s>")).cast("int"), F.size("toks"))
     sql = F.concat(F.array(F.lit("<s>"), F.lit("select")), tail)
     made = ft.paired_features(rows.withColumn("sql_toks", sql), "toks", "sql_toks", "labels", 218)
-    return made.select("query_id", F.size(F.filter("q_seps", lambda x: x)).cast("long").alias("q_seps"), F.lit(True).alias("same"))
+    return made.select("query_id", F.size(F.filter("q_seps", lambda x: x)).cast("long").alias("q_seps"), (~F.col("error")).alias("same"))
 
 
 @query(

@@ -272,6 +272,13 @@ def test_numbered_in_order_wide(spark):
     assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_paired_features_keep_unequal_rows(spark):
+    rows = [(1, ["<s>", "a", "</s>"], ["<s>", "b", "</s>"]), (2, ["<s>", "</s>", "a", "</s>"], ["b", "</s>"]), (3, None, ["b", "</s>"])]
+    frame = spark.createDataFrame(rows, "id int, q array<string>, s array<string>").withColumn("labels", F.array(F.lit(1), F.lit(0)))
+    got = {r["id"]: r["error"] for r in ft.paired_features(frame, "q", "s", "labels", 10).collect()}
+    assert got == {1: False, 2: True, 3: True}
+
+
 def test_top_of_groups(spark):
     frame = spark.range(500).select((F.col("id") % 3).alias("k"), F.pmod(F.xxhash64("id"), F.lit(40)).alias("s"), "id")
     got = sorted((r["k"], r["rk"], r["id"]) for r in od.ranked_by_score(frame, ["k"], [F.desc("s"), "id"], 4, "rk").collect())
