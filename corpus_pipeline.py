@@ -23,18 +23,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; of rows with one id, the first text.
+    """The document with the smallest id of each group of near duplicates; of rows with one id and text, one.
 
-    Rows without id are in no group and stay.
+    Rows with one id and unlike texts are documents of their own. Rows without id are in no group
+    and stay.
     """
-    groups = partenum.classes(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    several = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(several, "doc_id", "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text).alias("text"))))
+    groups = partenum.classes(keyed.select("__key", "text"), "__key")
+    first = groups.where("__key = component_id").select("__key").distinct()
+    kept = keyed.join(first, "__key", "left_semi")
+    several = kept.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key")
+    once = kept.join(several, "__key", "left_anti")
     names = docs.columns
-    again = kept.join(several, "doc_id", "left_semi").groupBy("doc_id")
-    again = again.agg(F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    again = kept.join(several, "__key", "left_semi").groupBy("__key", text.alias("__text"))
+    again = again.agg(F.min(F.struct(*names)).alias("row")).select("row.*")
     return once.select(*names).unionByName(again).unionByName(docs.where("doc_id is null"))
 
 

@@ -574,6 +574,15 @@ def test_pipeline(spark, docs):
             assert all(r.decoded_sha256 == hashlib.sha256(rows[r.doc_id].encode()).hexdigest() for r in out.collect())
 
 
+def test_rows_with_one_id_and_unlike_texts_stay(spark):
+    import corpus_pipeline as p
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near), (2, near + " end"), (2, "quite another text with some words"), (3, "a third text of its own"), (3, "a third text of its own"), (3, "unlike the third in all"), (None, near)]
+    out = p.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert sorted((d or 0, t) for d, t in texts(out)) == sorted({(d or 0, t) for d, t in rows if t != near + " end"})
+
+
 def test_pipeline_odd_input(spark, odd):
     import corpus_pipeline as p
 
