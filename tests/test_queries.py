@@ -2,6 +2,9 @@
 
 import glob
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +36,22 @@ def test_same_as_sql(spark, con, name):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [["tablequarry/llm"], ["corpus_pipeline.py"], ["tablequarry/llm", "corpus_pipeline.py"]])
+def test_core_without_corpus_parts(tmp_path, gone):
+    """A copy without the corpus operators, the pipeline or both still names all core queries."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for part in ("tablequarry", "__spark_entry__.py", "corpus_pipeline.py"):
+        if part in gone or not os.path.exists(source := os.path.join(root, part)):
+            continue
+        copy = shutil.copytree if os.path.isdir(source) else shutil.copy
+        options = {"ignore": shutil.ignore_patterns("__pycache__", *[os.path.basename(g) for g in gone])} if os.path.isdir(source) else {}
+        copy(source, tmp_path / part, **options)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    from tablequarry.plans import QUERIES
+
+    assert set(QUERIES) <= set(done.stdout.split())
+    assert "pipeline" not in done.stdout.split()
