@@ -129,3 +129,19 @@ def small_batches(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def runs(raw: bytes, keep: bytes, most: int = 1 << 20):
+    """Lists of the maximal runs of bytes that the table ``keep`` does not turn into a space, ``most`` bytes at a time.
+
+    A run is never cut, so a text of any length needs memory for one piece and its longest run.
+    """
+    raw = raw.translate(keep)
+    at = 0
+    while at < len(raw):
+        to = at + most
+        if to < len(raw):
+            to = raw.find(b" ", to)
+            to = len(raw) if to < 0 else to
+        yield raw[at:to].split()
+        at = to

@@ -1,6 +1,6 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, suffixes, toxicity
+from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, spelling, suffixes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_license_scan": licenses.query,
     "op10_quality": quality.query,
+    "op13_spelling_variants": spelling.query,
 }
 
 SQL = {
