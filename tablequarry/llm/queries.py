@@ -1,6 +1,6 @@
 """The corpus queries, by name: a Spark function and, where SQL can say it, its DuckDB twin."""
 
-from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, spelling, suffixes, toxicity
+from . import bpe_text, chat, decontaminate, licenses, packed, partenum, quality, repetition, search, spelling, suffixes, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_license_scan": licenses.query,
     "op10_quality": quality.query,
+    "op12_ranked_search": search.query,
     "op13_spelling_variants": spelling.query,
 }
 
 SQL = {
     "op8_chat_format": chat.SQL,
     "op9_license_scan": licenses.SQL,
+    "op12_ranked_search": search.SQL,
 }
