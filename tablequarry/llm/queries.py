@@ -21,4 +21,5 @@ SQL = {
     "op8_chat_format": chat.SQL,
     "op9_license_scan": licenses.SQL,
     "op12_ranked_search": search.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }

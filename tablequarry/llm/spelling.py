@@ -155,3 +155,29 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
 def query(spark, folder):
     """op13: spelling variants of all words of ``documents``."""
     return variants(table(spark, folder, "documents"))
+
+
+SQL = r"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+found as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents),
+run as (select doc_id, run, count(*) as n, string_split(coalesce(doc_id::varchar, '') || ':' || run, '') as c from found group by doc_id, run),
+byte as (select run, n, flatten(list_transform(c, lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x)::bigint >> 6), 128 + (unicode(x)::bigint & 63)] end)) as b from run),
+sum as (select run, n, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) as h from byte, crc),
+slip as (select case when h % 97 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from sum),
+word as (select word, sum(n)::bigint as n from slip where length(word) >= 5 group by word having sum(n) >= 3),
+spot as (select word, n, unnest(range(1, length(word) + 1)) as i from word),
+cut as (select word, n, i, word[:i - 1] || '_' || word[i + 1:] as hole, word[:i - 1] || word[i + 1:] as less from spot),
+pair as (
+  select a.word as a, a.n as na, b.word as b, b.n as nb from cut a join cut b on a.hole = b.hole and a.i = b.i and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from cut a join word b on a.less = b.word
+  union select b.word, b.n, a.word, a.n from cut a join word b on a.less = b.word),
+near as (select a as word, na as n, count(*) as n_near, max(nb) as top from pair group by all),
+form as (select word, n_near, case when top >= 2 * n then (select min(b) from pair where a = word and nb = top) end as form, case when top >= 2 * n then top end as form_n from near),
+path as (
+  select word, form as upper from form where form is not null
+  union all select path.word, form.form from path join form on path.upper = form.word where form.form is not null),
+final as (select word, upper from path where upper not in (select word from form where form is not null))
+select word, form, coalesce(final.upper, word) as root, n, coalesce(n_near, 0) as n_near, form_n
+from word left join form using (word) left join final using (word)"""
