@@ -20,20 +20,20 @@ def binary_metrics(df: DataFrame, pred: str, label: str) -> DataFrame:
     return c.select(acc.alias("acc"), f1.alias("f1"), ((acc + f1) / 2).alias("acc_and_f1"), mcc.alias("mcc"))
 
 
-def average_ranks(df: DataFrame, column: str, out: str, width: float) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the rank of each value; equal values share the mean of their ranks.
 
-    Ranks come from counts per distinct value, cut in blocks of ``width``, so no task
+    Ranks come from counts per distinct value, added up over ranges of values, so no task
     sorts the whole column.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    upto = running_total(counts, [], column, F.col("__n"), "__upto", block=width)
+    upto = running_total(counts, [], column, F.col("__n"), "__upto")
     ranks = upto.select(column, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(out))
     return df.join(ranks, column)
 
 
-def score_correlations(df: DataFrame, pred: str, label: str, width: float) -> DataFrame:
+def score_correlations(df: DataFrame, pred: str, label: str) -> DataFrame:
     """Pearson, Spearman and their mean."""
-    ranked = average_ranks(average_ranks(df.select(pred, label), pred, "__rp", width), label, "__rl", width)
+    ranked = average_ranks(average_ranks(df.select(pred, label), pred, "__rp"), label, "__rl")
     both = ranked.agg(F.corr(pred, label).alias("pearson"), F.corr("__rp", "__rl").alias("spearman"))
     return both.withColumn("mean", (F.col("pearson") + F.col("spearman")) / 2)

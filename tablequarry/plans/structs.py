@@ -230,5 +230,5 @@ def e15_task_metrics(t):
 )
 def e15_correlations(t):
     rows = t.lineitem.select(F.col("l_quantity").alias("p"), (F.col("l_discount") * 100).alias("y"))
-    m = mt.score_correlations(rows, "p", "y", width=5.0)
+    m = mt.score_correlations(rows, "p", "y")
     return m.select(*[F.round(c, 9).alias(c) for c in m.columns])

@@ -1,5 +1,7 @@
 """Operators on small hand-made frames, with golden values and brute force."""
 
+import collections
+import hashlib
 import json
 import random
 
@@ -252,6 +254,40 @@ def test_running_number_blocks(spark):
             assert got[(k, o)] == i + 1
 
 
+@pytest.mark.parametrize("block", [None, 16, 100_000])
+def test_running_sums_over_ranges(spark, block):
+    """Hashed 64-bit order keys, one hot group, small groups, a NULL group and no group at all."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randrange(-(1 << 62), 1 << 62), rng.choice([0, 1, 2, None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, o long, v int").repartition(5)
+    for keys in (["k"], []):
+        got = {r.o: (r.no, r.total, r.last) for r in od.carried_marker(
+            od.running_total(od.running_number(df, keys, "o", "no", block), keys, ["o"], F.col("v"), "total", block), keys, "o", F.when(F.col("v") == 2, F.col("o")), "last", block).collect()}
+        groups = collections.defaultdict(list)
+        for k, o, v in rows:
+            groups[k if keys else None].append((o, v))
+        for group in groups.values():
+            total, last = 0, None
+            for no, (o, v) in enumerate(sorted(group), 1):
+                total, last = total + (v or 0), o if v == 2 else last
+                assert got[o] == (no, total, last)
+    assert od.running_number(df.limit(0), ["k"], "o", "no").count() == 0
+
+
+def test_running_number_by_text(spark):
+    df = spark.createDataFrame([(f"t{i % 3}", hashlib.md5(str(i).encode()).hexdigest()) for i in range(300)], "k string, w string")
+    got = {(r.k, r.no): r.w for r in od.running_number(df, ["k"], "w", "no", block=20).collect()}
+    for k in ("t0", "t1", "t2"):
+        words = sorted(r.w for r in df.collect() if r.k == k)
+        assert [got[k, i + 1] for i in range(100)] == words
+
+
+def test_no_range_holds_a_hot_group(spark):
+    ranged = od.in_ranges(spark.range(100_000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("o")), ["k", "o"], 10_000)
+    sizes = [r["count"] for r in ranged.groupBy("__range").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 20_000
+
+
 def test_numbered_in_order(spark):
     for words in ([f"same beginning {i}" for i in range(300)], [f"{c}{i}" for c in "abz" for i in range(20)], [str(hash(i)) for i in range(0, 1 << 62, 1 << 54)], ["one"], []):
         frame = spark.createDataFrame([(w, len(w)) for w in words], "w string, n int").repartition(7)
