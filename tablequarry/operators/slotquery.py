@@ -6,18 +6,20 @@ Shapes:
     queries  query_id, table_id, sel int, agg int,
              conds array<struct<col int, op int, val string, is_num boolean>>
 
-All queries over all tables run in one job: one join by table, on whose pairs the
-conditions are tested, then one aggregation with partial sums. The rows and the queries
-of a table are both dealt over parts, as many as their number asks for, so a large table
-or one with many queries is spread over tasks; an answer does not depend on the parts.
+All queries over all tables run in one job, over a sorted index of the cells of every
+column. A condition is a stretch of places in its column, found by sorting its literal among
+the cells. A query reads the shortest stretch of its conditions, block by block, and tests
+the others on the rows of it: work is in proportion to the rows that the shortest stretch
+holds. A table of one block needs no index, it is the block. A block that many queries read
+is given to several tasks; no answer depends on the size of blocks or parts.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.literals import AGGREGATES, COMPARISONS, leading_number, literal_number, name_of, strict_number
 
-#: Rows or queries of a table in one part.
-PART = 100_000
+#: Cells of a column in one block of the index, and queries that read a block in one task.
+BLOCK, PART = 256, 100_000
 
 
 def rows_from_nested(tables: DataFrame) -> DataFrame:
@@ -82,10 +84,13 @@ def _prepare(queries: DataFrame, tables: DataFrame, last_value_wins: bool) -> Da
     return found.withColumn("error", F.coalesce(bad, F.lit(True))).drop("types")
 
 
-def holds(cells: Column, c: Column) -> Column:
-    """Does one prepared condition hold for a row? Text sorts after every number."""
+def holds(cells: Column, c: Column, numbers: Column | None = None) -> Column:
+    """Does one prepared condition hold for a row? Text sorts after every number.
+
+    ``numbers`` are the cells as numbers, where the caller tests a row more than once.
+    """
     cell = F.get(cells, c.col)
-    number = strict_number(cell)
+    number = strict_number(cell) if numbers is None else F.get(numbers, c.col)
     as_number = (
         F.when(number.isNull(), c.op == 1)
         .when(c.op == 0, number == c.num)
@@ -96,36 +101,124 @@ def holds(cells: Column, c: Column) -> Column:
     return F.coalesce(F.when(cell.isNull(), F.lit(False)).when(c.type == "real", as_number).otherwise(as_text), F.lit(False))
 
 
-def _parts(df: DataFrame, key: str, part: int) -> DataFrame:
-    """How many parts the rows of each table are dealt over."""
-    return df.groupBy("table_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(part)).cast("int").alias(key))
+# Classes of cells of a column in their order: numbers, texts, and the end. Whole rows are a column of their own.
+_NUMBER, _TEXT, _END, _ROWS = 0, 1, 2, -1
+_STRETCH = ["table_id", "col", "class", "num", "txt", "side", "row_id"]
+
+
+def _cell_entries(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """The cells of every column, and every row once, as entries of the index. NULL cells have none."""
+    def entry(cell, i):
+        number = F.when(F.get("types", i) == "real", strict_number(cell))
+        kind = F.when(cell.isNull(), None).when(number.isNotNull(), _NUMBER).otherwise(_TEXT)
+        return F.struct(i.alias("col"), kind.alias("class"), number.alias("num"), F.when(number.isNull(), cell).alias("txt"))
+
+    row = F.struct(F.lit(_ROWS).alias("col"), F.lit(_NUMBER).alias("class"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("txt"))
+    known = rows.join(tables.select("table_id", "types"), "table_id")
+    found = known.select("table_id", "row_id", F.explode(F.concat(F.array(row), F.transform("cells", entry))).alias("e"))
+    return found.filter("e.class is not null").select("table_id", "e.*", F.lit(0).alias("side"), "row_id")
+
+
+def _bound_entries(asked: DataFrame) -> DataFrame:
+    """Where the stretches of all conditions begin and end, as entries among the cells.
+
+    ``side`` puts a bound before (-1) or after (1) the cells that equal its literal. A query
+    without conditions reads all rows.
+    """
+    def bound(which, k, col, kind, num=None, txt=None, side=0):
+        none = F.lit(None)
+        return F.struct(
+            F.lit(which).alias("which"), k.alias("k"), col.alias("col"), kind.alias("class"), (none if num is None else num).cast("double").alias("num"),
+            (none if txt is None else txt).cast("string").alias("txt"), F.lit(side).alias("side"),
+        )
+
+    def bounds(c, k):
+        kind = F.when(c.type == "real", _NUMBER).otherwise(_TEXT)
+        txt = F.when(c.type != "real", c.txt)
+        before, after = [lambda which, side=side: bound(which, k, c.col, kind, c.num, txt, side) for side in (-1, 1)]
+        to_end = bound("last", k, c.col, F.lit(_END))
+        return F.when(c.op == 0, F.array(before("first"), after("last"))).when(c.op == 1, F.array(after("first"), to_end)).otherwise(F.array(before("last")))
 
+    every = F.array(bound("last", F.lit(0), F.lit(_ROWS), F.lit(_END)))
+    made = F.when(F.size("conds") == 0, every).otherwise(F.flatten(F.transform("conds", bounds)))
+    return asked.select("query_id", "table_id", F.explode(made).alias("b")).select("query_id", "table_id", "b.*")
 
-def _dealt(df: DataFrame, by: str, own: DataFrame, own_key: str, other: DataFrame, other_key: str, mine: str, others: str) -> DataFrame:
-    """Each row with the part that its hash names, once for every part of the other side."""
-    sized = df.join(own, "table_id").join(other, "table_id")
-    return sized.withColumn(mine, F.pmod(F.xxhash64(by), F.col(own_key))).withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other_key) - 1))).drop(own_key, other_key)
 
+def _stretches(asked: DataFrame, rows: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index (table_id, col, place, row_id), and the shortest stretch of each query (query_id, table_id, col, first, last).
+
+    A stretch is the places above ``first`` up to ``last``; queries with an empty one are left out.
+    """
+    from .ordered import running_total
+
+    bounds, cells = _bound_entries(asked), _cell_entries(rows, tables)
+    placed = running_total(
+        cells.unionByName(bounds, allowMissingColumns=True), ["table_id", "col"], _STRETCH[2:], F.when(F.col("which").isNull(), 1).otherwise(0), "place"
+    )
+    def at(which):
+        return F.coalesce(F.max(F.when(F.col("which") == which, F.col("place"))), F.lit(0))
 
-def _selected(ready: DataFrame, rows: DataFrame, part: int) -> DataFrame:
+    found = placed.filter("which is not null").repartition("query_id").groupBy("query_id", "k", "table_id", "col").agg(at("first").alias("first"), at("last").alias("last"))
+    shortest = found.groupBy("query_id").agg(F.min_by(F.struct("table_id", "col", "first", "last"), F.struct(F.col("last") - F.col("first"), "k")).alias("s")).select("query_id", "s.*")
+    return placed.filter("which is null").select("table_id", "col", "place", "row_id"), shortest.filter("last > first")
+
+
+_IN_BLOCK = ["table_id", "col", "block"]
+
+
+def _read_blocks(asked: DataFrame, data: DataFrame, tables: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """What the queries read of tables that have several blocks, and these blocks with the cells of their rows."""
+    index, shortest = _stretches(asked, data, tables)
+    wanted = F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("last") - 1) / block)))
+    read = shortest.withColumn("block", wanted)
+    blocks = index.withColumn("block", F.floor((F.col("place") - 1) / block)).join(read.select(*_IN_BLOCK).distinct(), _IN_BLOCK, "left_semi")
+    return read.join(asked.drop("table_id"), "query_id"), blocks.join(data, ["table_id", "row_id"])
+
+
+def _selected(ready: DataFrame, rows: DataFrame, tables: DataFrame, part: int, block: int) -> DataFrame:
     """query_id, agg, sel_type, row_id, txt (the selected cell) for every selected row."""
-    asked = ready.filter(~F.col("error"))
-    data = lower_cells(rows).select("table_id", "row_id", "cells")
-    n_rows, n_queries = _parts(data, "__rows", part), _parts(asked, "__queries", part)
-    left = _dealt(asked, "query_id", n_queries, "__queries", n_rows, "__rows", "__q", "__r")
-    right = _dealt(data, "row_id", n_rows, "__rows", n_queries, "__queries", "__r", "__q")
-    both = left.join(right, ["table_id", "__q", "__r"])
-    return both.filter(F.forall("conds", lambda c: holds(F.col("cells"), c))).select(
+    from ..session import cut_lineage
+
+    asked = ready.filter(~F.col("error")).select("query_id", "table_id", "sel", "agg", "sel_type", "conds")
+    data = lower_cells(rows).select("table_id", "row_id", "cells", F.transform("cells", strict_number).alias("nums"))
+    large = cut_lineage(rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("table_id"))
+
+    def whole(df):
+        return df.withColumns({"col": F.lit(_ROWS), "block": F.lit(0).cast("long")})
+
+    left, right, near = whole(asked), whole(data), F.lit(True)
+    if not large.isEmpty():
+        of_large = lambda df, how: df.join(large, "table_id", how)
+        read, blocks = _read_blocks(of_large(asked, "left_semi"), of_large(data, "left_semi"), tables, block)
+        left = of_large(left, "left_anti").unionByName(read, allowMissingColumns=True)
+        right = of_large(right, "left_anti").unionByName(blocks, allowMissingColumns=True)
+        near = F.coalesce((F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")), F.lit(True))
+    parts = left.groupBy(*_IN_BLOCK).agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).filter("parts > 1")
+    several = cut_lineage(parts)
+    if not several.isEmpty():
+        one = F.coalesce("parts", F.lit(1).cast("long"))
+        left = left.join(several, _IN_BLOCK, "left").withColumn("part", F.pmod(F.xxhash64("query_id"), one)).drop("parts")
+        right = right.join(several, _IN_BLOCK, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
+    both = left.join(right, [c for c in left.columns if c in (*_IN_BLOCK, "part")]).filter(near)
+    return both.filter(F.forall("conds", lambda c: holds(F.col("cells"), c, F.col("nums")))).select(
         "query_id", "agg", "sel_type", "row_id", F.get("cells", F.col("sel")).alias("txt")
     )
 
 
-def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PART, last_value_wins: bool = True) -> DataFrame:
+def _run(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PART, block: int = BLOCK, last_value_wins: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The prepared queries, written once to the checkpoint folder, and the rows they select."""
+    from ..session import cut_lineage
+
+    ready = cut_lineage(_prepare(queries.select("query_id", "table_id", "sel", "agg", "conds"), tables, last_value_wins))
+    return ready, _selected(ready, rows, tables, part, block)
+
+
+def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """The rows each query selects: query_id, agg, sel_type, row_id, txt (the selected cell)."""
-    return _selected(_prepare(queries, tables, last_value_wins), rows, part)
+    return _run(queries, tables, rows, **options)[1]
 
 
-def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PART, last_value_wins: bool = True) -> DataFrame:
+def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """One row per query: query_id, agg, error, n_rows, num and txt.
 
     num is the value of an aggregate over numbers, txt of MAX or MIN over a text column.
@@ -133,11 +226,14 @@ def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int
     (unknown table, column or operator, no number in the literal for a number column)
     has error set.
     """
-    ready = _prepare(queries, tables, last_value_wins)
+    return _totals(*_run(queries, tables, rows, **options))
+
+
+def _totals(ready: DataFrame, found: DataFrame) -> DataFrame:
     number = F.when(F.col("sel_type") == "real", strict_number(F.col("txt")))
     summand = F.when(F.col("txt").isNotNull(), F.coalesce(number, leading_number(F.col("txt"))))
     text = F.when(F.col("sel_type") != "real", F.col("txt"))
-    totals = _selected(ready, rows, part).groupBy("query_id").agg(
+    totals = found.groupBy("query_id").agg(
         F.count("row_id").alias("n_rows"), F.count("txt").alias("n_cells"), F.max(number).alias("max_num"), F.min(number).alias("min_num"),
         F.max(text).alias("max_txt"), F.min(text).alias("min_txt"), F.sum(summand).alias("total"),
     )
@@ -157,8 +253,8 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
 
     A number is written ``n`` and its rounded value, a text ``t`` and the text, so a list
     of one number equals an aggregate with that number. An aggregate is a list of one; a
-    query that cannot run has the one cell ``error``. The selected cells of the list
-    queries are written to the checkpoint folder, since numbering reads them twice.
+    query that cannot run has the one cell ``error``. All queries run together; the rows they
+    select are written to the checkpoint folder, as aggregates and lists both read them.
     """
     from ..session import cut_lineage
     from .ordered import running_number
@@ -166,19 +262,18 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
     def number(c):
         return F.concat(F.lit("n"), F.round(c, digits).cast("string"))
 
-    total = summaries(queries.filter(F.col("agg") != 0), tables, rows, **options)
+    ready, found = _run(queries, tables, rows, **options)
+    found = cut_lineage(found)
+    total = _totals(ready.filter("agg <> 0 or error"), found.filter("agg <> 0"))
     single = total.select(
         "query_id", F.lit(1).cast("long").alias("place"),
         F.when(F.col("error"), "error").otherwise(F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none"))).alias("cell"),
     )
-    ready = _prepare(queries.filter(F.col("agg") == 0), tables, options.get("last_value_wins", True))
-    failed = ready.filter("error").select("query_id", F.lit(1).cast("long").alias("place"), F.lit("error").alias("cell"))
     text = F.concat(F.lit("t"), F.col("txt"))
     cell = F.when(F.col("sel_type") == "real", F.coalesce(number(strict_number(F.col("txt"))), text)).otherwise(text)
-    found = _selected(ready, rows, options.get("part", PART))
-    kept = found.select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell"))
-    placed = running_number(cut_lineage(kept), ["query_id"], "row_id", "place")
-    return single.unionByName(failed).unionByName(placed.select("query_id", "place", "cell"))
+    kept = found.filter("agg = 0").select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell"))
+    placed = running_number(kept, ["query_id"], "row_id", "place")
+    return single.unionByName(placed.select("query_id", "place", "cell"))
 
 
 def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:

@@ -85,9 +85,8 @@ def execution_scores(gold, predicted, tables, rows, lenient: bool = False) -> Da
 
 
 def item_and_mean(scores: DataFrame, key: str, parts: list[str]) -> DataFrame:
-    """Score rows of all items and one row (key NULL) with the means."""
-    means = scores.agg(*[F.avg(p).alias(p) for p in parts]).select(F.lit(None).cast(scores.schema[key].dataType).alias(key), *parts)
-    return scores.select(key, *[F.col(p).cast("double").alias(p) for p in parts]).unionByName(means)
+    """Score rows of all items (``key`` tells them apart) and one row, key NULL, with the means: one run, two grouping sets."""
+    return scores.rollup(key).agg(*[F.avg(p).alias(p) for p in parts])
 
 
 def with_gold_order(gold_cols: Column, pred_cols: Column) -> Column:

@@ -127,6 +127,50 @@ def test_large_and_small_tables_agree(spark):
         assert small[q]["n_rows"] == sum(test(cells[c]) for _, _, cells in data)
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 16}, {"block": 7, "part": 3}])
+def test_index_beside_all_pairs(spark, options):
+    """Tables of several blocks and of one: ties, NULL cells, short rows, texts in a number column, up to three conditions."""
+    rnd = random.Random(8)
+    tables = spark.createDataFrame([(t, ["A", "B", "C"], ["text", "real", "real"]) for t in ("t", "u", "none")], "table_id string, header array<string>, types array<string>")
+    data = []
+    for t, n in (("t", 200), ("u", 6)):
+        for i in range(n):
+            cells = [rnd.choice(["Ab", "b", "C d", "", None]), rnd.choice([str(rnd.randint(-3, 12)), "2.50", "-0", "many", None]), str(rnd.randint(0, 3))]
+            data.append((t, i, cells[: rnd.choice([3, 3, 3, 2])]))
+    rows = spark.createDataFrame(data, "table_id string, row_id long, cells array<string>").repartition(3)
+    cases = []
+    for i in range(120):
+        conds = [(0, rnd.randint(0, 2), rnd.choice(["AB", "b", "c d", "zz", ""]), False) if rnd.random() < 0.4 else (rnd.randint(1, 2), rnd.randint(0, 2), str(rnd.choice([0, 1, 2.5, 3, 11, 40])), True) for _ in range(rnd.randint(0, 3))]
+        cases.append((i, rnd.choice("ttuun").replace("n", "none"), rnd.randint(0, 2), 0, conds))
+    q = spark.createDataFrame(cases, f"query_id long, table_id string, sel int, agg int, conds {COND}")
+    got = collections.defaultdict(set)
+    for r in sq.matches(q, tables, rows, last_value_wins=False, **options).collect():
+        assert (r.row_id, r.txt) not in got[r.query_id]
+        got[r.query_id].add((r.row_id, r.txt))
+
+    def place(cell, real):
+        try:
+            return (0, float(cell)) if real else (1, cell.lower())
+        except ValueError:
+            return (1, cell.lower())
+
+    def holds(cells, c, op, val):
+        if c >= len(cells) or cells[c] is None:
+            return False
+        a, b = place(cells[c], c > 0), place(val, c > 0)
+        return (a == b, a > b, a < b and a[0] == b[0])[op]
+
+    for i, t, sel, _, conds in cases:
+        want = {(r, (cells[sel].lower() if sel < len(cells) and cells[sel] is not None else None)) for tt, r, cells in data if tt == t and all(holds(cells, c, op, v) for c, op, v, _ in conds)}
+        assert got[i] == want, (i, t, sel, conds)
+
+
+def test_means_stand_beside_items(spark):
+    scores = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 0)], "query_id long, ex int, lf int")
+    got = {r.query_id: (r.ex, r.lf) for r in sc.item_and_mean(scores, "query_id", ["ex", "lf"]).collect()}
+    assert got == {1: (1.0, 0.0), 2: (0.0, 0.0), 3: (1.0, 1.0), 4: (1.0, 0.0), None: (0.75, 0.25)}
+
+
 def test_literal_number(spark):
     df = texts(spark, "1,234.5", "about 7 or 8", "-5", "x -5", "none", "-.5 m")
     assert [r[0] for r in df.select(literal_number(F.col("v"))).collect()] == [1234.5, 7.0, -5.0, 5.0, None, -0.5]
