@@ -1,9 +1,12 @@
 """Corpus tokenisation: words to pieces, one job over the distinct words."""
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 UNKNOWN = "[UNK]"
 LONGEST_WORD = 100
@@ -42,81 +45,170 @@ def byte_letters(word: str) -> list[str]:
 
 
 def byte_pairs(letters: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merge the best-ranked neighbours of a list of letters until none is left."""
-    parts = list(letters)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
-        if best not in ranks:
-            break
-        merged, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                merged.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                merged.append(parts[i])
-                i += 1
-        parts = merged
-    return parts
-
-
-def tokenise(texts: DataFrame, key: str, toks: str, split_words, shared) -> DataFrame:
-    """Pieces of every text: (key, pieces array<string>).
+    """Merge the best-ranked neighbours of a list of letters, all their places from the left, until none is left.
 
-    ``split_words(word, shared)`` cuts one word; ``shared`` is the vocabulary or the merge
-    ranks, whose size is a parameter of the job, and goes to each executor once. Each
-    distinct word is cut once; frequent words then meet their texts in a join that
-    adaptive execution may split. A text without words has no pieces.
+    Places are kept per pair and the open pairs in a heap, so a long word costs little more
+    than its length.
+    """
+    parts, after, before = list(letters), list(range(1, len(letters) + 1)), list(range(-1, len(letters) - 1))
+    places: dict[tuple[str, str], set[int]] = defaultdict(set)
+    heap: list[tuple[int, tuple[str, str]]] = []
+
+    def note(i):
+        if i >= 0 and after[i] < len(parts):
+            pair = (parts[i], parts[after[i]])
+            if pair in ranks:
+                if not places[pair]:
+                    heapq.heappush(heap, (ranks[pair], pair))
+                places[pair].add(i)
+
+    def forget(i):
+        if i >= 0 and after[i] < len(parts):
+            places[parts[i], parts[after[i]]].discard(i)
+
+    for i in range(len(parts)):
+        note(i)
+    while heap:
+        pair = heapq.heappop(heap)[1]
+        for i in sorted(places.pop(pair, ())):
+            j = after[i]
+            if parts[i] != pair[0] or j >= len(parts) or parts[j] != pair[1]:
+                continue
+            forget(before[i])
+            forget(i)
+            forget(j)
+            parts[i], parts[j] = pair[0] + pair[1], None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            note(before[i])
+            note(i)
+    return [p for p in parts if p is not None]
+
+
+# Words to pieces, as frames: (word) to (word, pieces). ------------------------------------
+
+
+def by_broadcast(split_words, shared):
+    """Cut each distinct word with ``split_words(word, shared)``; for a ``shared`` of known, small size.
+
+    It goes to each executor once. A vocabulary or merges of any size are joined instead
+    (``by_vocabulary``, ``by_merges``).
     """
-    sent = texts.sparkSession.sparkContext.broadcast(shared)
+    def cut(words: DataFrame) -> DataFrame:
+        sent = words.sparkSession.sparkContext.broadcast(shared)
+
+        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield batch.map(lambda w: split_words(w, sent.value))
+
+        return words.withColumn("pieces", F.pandas_udf(split, "array<string>")("word"))
+
+    return cut
+
+
+def _spans(words: DataFrame, least: int, most: Column) -> DataFrame:
+    """All parts of each word with ``least`` to ``most`` letters: word, first (from 0), part."""
+    starts = words.withColumn("first", F.explode(F.sequence(F.lit(0), F.length("word") - least)))
+    sizes = F.explode(F.sequence(F.lit(least), F.least(most, F.length("word") - F.col("first"))))
+    return starts.withColumn("size", sizes).select("word", "first", F.expr("substring(word, first + 1, size)").alias("part"))
+
+
+def by_vocabulary(vocabulary: DataFrame, longest: int = LONGEST_WORD):
+    """Greedy longest pieces of each word, from a vocabulary frame with a column ``piece``.
+
+    The parts of the distinct words are joined with the vocabulary; the longest known part
+    from each letter on is a step, and a word's pieces are the steps from its first letter.
+    Later pieces carry ``##``. A word that the steps do not cover, or longer than
+    ``longest``, is unknown.
+    """
+    def cut(words: DataFrame) -> DataFrame:
+        short = words.filter(F.length("word").between(1, longest))
+        found = _spans(short, 1, F.length("word")).withColumn("piece", F.concat(F.when(F.col("first") > 0, "##").otherwise(""), "part"))
+        known = found.join(vocabulary.select("piece").distinct(), "piece").groupBy("word", "first").agg(F.max(F.length("part")).alias("size"))
+        steps = known.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("first", "size"))).alias("steps"))
+
+        def walk(state, _):
+            size = F.try_element_at("steps", state["at"])
+            piece = F.concat(F.when(state["at"] > 0, "##").otherwise(""), F.col("word").substr(state["at"] + 1, size))
+            on = size.isNotNull()
+            return F.when(on, F.struct((state["at"] + size).alias("at"), F.concat(state["found"], F.array(piece)).alias("found"))).otherwise(state)
+
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("found"))
+        walked = words.join(steps, "word", "left").withColumn("walk", F.aggregate(F.sequence(F.lit(1), F.length("word")), start, walk))
+        whole = F.col("steps").isNotNull() & (F.col("walk.at") == F.length("word"))
+        return walked.select("word", F.when(whole, F.col("walk.found")).otherwise(F.array(F.lit(UNKNOWN))).alias("pieces"))
+
+    return cut
+
 
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(lambda w: split_words(w, sent.value))
+def visible_letters(word: Column) -> Column:
+    """The UTF-8 bytes of a word as visible letters, one a byte (``byte_letters`` as a column)."""
+    hidden = [chr(x) for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255)]
+    return F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(hidden), "".join(chr(256 + k) for k in range(len(hidden))))
 
-    pieces_of = F.pandas_udf(cut, "array<string>")
+
+@F.pandas_udf(ArrayType(StringType()))
+def _merged(words: pd.Series, rules: pd.Series) -> pd.Series:
+    return pd.Series([byte_pairs(list(w), {} if r is None else {(x["left"], x["right"]): x["rank"] for x in r}) for w, r in zip(words, rules)])
+
+
+def by_merges(merges: DataFrame):
+    """Byte-pair pieces of each word of visible letters, from a frame of merges: rank, left, right.
+
+    A merge can happen in a word only where the two sides together are part of it, so the parts
+    of the distinct words are joined with the merges, and each word is merged with the few that
+    it met. A pair that is listed twice has its last rank.
+    """
+    def cut(words: DataFrame) -> DataFrame:
+        rules = merges.groupBy("left", "right").agg(F.max("rank").alias("rank")).withColumn("part", F.concat("left", "right"))
+        longest = rules.agg(F.coalesce(F.max(F.length("part")), F.lit(2)).alias("n")).scalar()
+        met = _spans(words.filter(F.length("word") > 1), 2, longest).select("word", "part").distinct().join(rules, "part")
+        own = met.groupBy("word").agg(F.collect_list(F.struct("rank", "left", "right")).alias("rules"))
+        return words.join(own, "word", "left").select("word", _merged("word", "rules").alias("pieces"))
+
+    return cut
+
+
+def tokenise(texts: DataFrame, key: str, toks: str, cut, shared=None) -> DataFrame:
+    """Pieces of every text: (key, pieces array<string>).
+
+    ``cut`` makes pieces of a frame of words (``by_vocabulary``, ``by_merges``), or of one word
+    with ``shared`` (``by_broadcast``). Each distinct word is cut once; frequent words then
+    meet their texts in a join that adaptive execution may split. A text without words has no
+    pieces.
+    """
+    cut = cut if shared is None else by_broadcast(cut, shared)
     flat = texts.select(key, F.posexplode(toks).alias("pos", "word"))
-    known = flat.select("word").distinct().withColumn("pieces", pieces_of("word"))
-    joined = flat.join(known, "word").select(key, F.struct("pos", "pieces").alias("piece"))
+    joined = flat.join(cut(flat.select("word").distinct()), "word").select(key, F.struct("pos", "pieces").alias("piece"))
     every = texts.select(key).withColumn("piece", F.lit(None).cast(joined.schema["piece"].dataType))
     return joined.unionByName(every).groupBy(key).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x.pieces)).alias("pieces")
     )
 
 
-def token_counts(texts: DataFrame, key: str, toks: str, split_words, shared) -> DataFrame:
+def token_counts(texts: DataFrame, key: str, toks: str, cut, shared=None) -> DataFrame:
     """Number of pieces of every text, 0 where it has no words, without putting the pieces back in order."""
-    sent = texts.sparkSession.sparkContext.broadcast(shared)
-
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(lambda w: len(split_words(w, sent.value)))
-
-    counted = F.pandas_udf(count, "int")
+    cut = cut if shared is None else by_broadcast(cut, shared)
     per_text = texts.select(key, F.explode(toks).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
-    known = per_text.select("word").distinct().withColumn("n", counted("word"))
+    known = cut(per_text.select("word").distinct()).select("word", F.size("pieces").alias("n"))
     found = per_text.join(known, "word").select(key, (F.col("n") * F.col("times")).alias("n"))
     every = texts.select(key, F.lit(0).cast("long").alias("n"))
     return found.unionByName(every).groupBy(key).agg(F.sum("n").alias("n_tokens"))
 
 
-def letter_pairs(words: DataFrame, most: int) -> dict[tuple[str, str], int]:
-    """Merge ranks for ``byte_pairs`` from the most frequent neighbouring letters; at most ``most`` entries."""
-    letters = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word"))))
-    pair = letters.filter(F.col("at") < F.length("word")).select(F.expr("substring(word, at, 2)").alias("pair"), "n")
-    top = pair.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(most)
-    return {(r["pair"][0], r["pair"][1]): i for i, r in enumerate(top.orderBy(F.desc("n"), "pair").collect())}
+def piece_ids(pieces: DataFrame, key: str, vocabulary: DataFrame, unknown: str = UNKNOWN) -> DataFrame:
+    """Ids of the pieces of every text (key, pieces): (key, ids array<int>); pieces beyond the vocabulary have the id of ``unknown``."""
+    other = vocabulary.filter(F.col("piece") == unknown).agg(F.max("id").alias("id")).scalar()
+    flat = pieces.select(key, F.posexplode_outer("pieces").alias("pos", "piece")).join(vocabulary.select(F.col("id").alias("__id"), "piece"), "piece", "left")
+    flat = flat.withColumn("__id", F.coalesce("__id", other))
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("__id").alias("id")))
+    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.id).alias("ids"))
 
 
-def piece_vocabulary(words: DataFrame, most: int) -> set[str]:
-    """A vocabulary for ``word_pieces``: frequent words and, alone and with ``##``, frequent letters."""
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    letters = (
-        words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.explode(F.split("word", "")).alias("word"), "n").filter("word != ''")
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    )
-    kept = {r["word"] for r in top.collect()}
-    for r in letters.collect():
-        kept |= {r["word"], "##" + r["word"]}
-    return kept
+def words_and_letters(words: DataFrame, least: int) -> DataFrame:
+    """A vocabulary of all words seen ``least`` times or more and of all letters, alone and with ``##``: column ``piece``."""
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    letter = counts.select(F.explode(F.split("word", "")).alias("piece")).filter("piece != ''").distinct()
+    marked = letter.select(F.explode(F.array("piece", F.concat(F.lit("##"), "piece"))).alias("piece"))
+    return counts.filter(F.col("n") >= least).select(F.col("word").alias("piece")).union(marked).distinct()

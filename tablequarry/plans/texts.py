@@ -255,19 +255,53 @@ def j14_word_vectors(t):
     return ft.used_vectors(used, vectors, "place").select("id", "word", "first")
 
 
-@query("x1_piece_counts", None)
+#: Words seen so often are pieces of the vocabulary of these queries, beside all letters.
+_LEAST = 20
+
+b.add_cte(
+    "piece_words",
+    f"""with recursive seen as (select word, count(*) as n from (select unnest(toks) as word from doc_toks) group by word),
+       letter as (select distinct unnest(string_split(word, '')) as piece from seen),
+       vocab as (select word as piece from seen where n >= {_LEAST} union select piece from letter union select '##' || piece from letter),
+       start as (select word, i as first from seen, unnest(range(length(word))) as r(i) where length(word) <= 100),
+       part as (select word, first, j as size from start, unnest(range(1, length(word) - first + 1)) as r(j)),
+       step as (select word, first, max(size) as size from part semi join vocab on piece = case when first > 0 then '##' else '' end || substring(word, first + 1, size) group by word, first),
+       walk as (select word, 0 as pos, 0 as n from seen union all
+         select word, pos + size, walk.n + 1 from walk join step using (word) where step.first = walk.pos),
+       last as (select word, max(n) filter (where pos = length(word)) as n from walk group by word)
+       select word, coalesce(n, 1)::bigint as n from last""",
+    "doc_toks",
+)
+
+
+@query(
+    "x1_piece_counts",
+    b.using("piece_words", "doc_toks") + """select doc_id, coalesce(sum(n), 0)::bigint as n_tokens
+      from (select doc_id, unnest(case when len(toks) > 0 then toks else [null] end) as word from doc_toks) left join piece_words using (word) group by doc_id""",
+)
 def x1_piece_counts(t):
     toks = doc_toks(t)
-    vocab = pc.piece_vocabulary(toks.select(F.explode("toks").alias("word")), 2000)
-    return pc.token_counts(toks, "doc_id", "toks", pc.word_pieces, vocab)
+    vocabulary = pc.words_and_letters(toks.select(F.explode("toks").alias("word")), _LEAST)
+    return pc.token_counts(toks, "doc_id", "toks", pc.by_vocabulary(vocabulary))
+
+
+def byte_pair_files(spark):
+    """Vocabulary and merges of a public byte-pair tokenizer, whose place is a parameter."""
+    import public_tokenizers
+
+    from ..sources.readers import read_tokenizer_json
+
+    return read_tokenizer_json(spark, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("x1_byte_pairs", None)
 def x1_byte_pairs(t):
-    toks = turn_toks(t)
-    ranks = pc.letter_pairs(toks.select(F.explode("toks").alias("word")), 200)
-    out = pc.tokenise(toks, "id", "toks", lambda w, r: pc.byte_pairs(list(w), r), ranks)
-    return out.select("id", F.size("pieces").alias("n"), F.array_join("pieces", " ").alias("pieces"))
+    vocabulary, merges = byte_pair_files(t.spark)
+    turn = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    toks = t.conversations.select(turn.alias("id"), F.transform(pc.byte_words(F.coalesce("text", F.lit(""))), pc.visible_letters).alias("toks"))
+    pieces = pc.tokenise(toks, "id", "toks", pc.by_merges(merges))
+    ids = pc.piece_ids(pieces, "id", vocabulary, "<|endoftext|>")
+    return pieces.join(ids, "id").select("id", F.size("pieces").alias("n"), F.array_join("pieces", " ").alias("pieces"), F.array_join("ids", " ").alias("ids"))
 
 
 # ---- captions and their features ------------------------------------------------------------

@@ -53,6 +53,45 @@ def read_word_vectors(spark: SparkSession, path: str, word: str = "word", vector
     return spark.read.parquet(path).select(F.col(word).alias("word"), F.col(vector).cast("array<float>").alias("vec"))
 
 
+# ---- vocabularies and merges -----------------------------------------------------------
+
+
+def parse_piece_lines(lines: DataFrame) -> DataFrame:
+    """Lines (line_no, value) of a piece vocabulary, one piece a line: (id, piece); the id is the line number."""
+    return lines.select(F.col("line_no").cast("int").alias("id"), F.regexp_replace("value", r"\r?$", "").alias("piece"))
+
+
+def read_piece_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return parse_piece_lines(numbered_lines(spark, path))
+
+
+def parse_merge_lines(lines: DataFrame) -> DataFrame:
+    """Lines (line_no, value) of a merges file: (rank, left, right). The first line is a heading; blank lines have no merge."""
+    sides = F.split(F.trim("value"), " ")
+    rows = lines.filter((F.col("line_no") > 0) & (F.size(sides) == 2))
+    return rows.select((F.col("line_no") - 1).cast("int").alias("rank"), F.get(sides, F.lit(0)).alias("left"), F.get(sides, F.lit(1)).alias("right"))
+
+
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    return parse_merge_lines(numbered_lines(spark, path))
+
+
+def read_vocabulary_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object of pieces and their ids: (id, piece)."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>")).alias("piece", "id")).select("id", "piece")
+
+
+def read_tokenizer_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (id, piece) and merges (rank, left, right) of a tokenizer's JSON file; merges are pairs or texts with a space."""
+    text = spark.read.text(path, wholetext=True)
+    vocabulary = text.select(F.explode(F.from_json("value", "model struct<vocab map<string,int>>").model.vocab).alias("piece", "id"))
+    pairs = F.from_json("value", "model struct<merges array<array<string>>>").model.merges
+    flat = F.transform(F.from_json("value", "model struct<merges array<string>>").model.merges, lambda m: F.split(m, " "))
+    is_pair = F.get(F.get(pairs, F.lit(0)), F.lit(0)).isNotNull()
+    merges = text.select(F.posexplode(F.when(is_pair, pairs).otherwise(flat)).alias("rank", "m"))
+    return vocabulary.select("id", "piece"), merges.select("rank", F.get("m", F.lit(0)).alias("left"), F.get("m", F.lit(1)).alias("right"))
+
+
 # ---- web tables ------------------------------------------------------------------------
 
 MARKS = [("<special7>", "<tabn>"), ("<special8>", "<coln>"), ("<special9>", "<entry>"), ("*", ""), ("|||", "")]

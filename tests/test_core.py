@@ -216,6 +216,77 @@ def test_piece_counts_match_brute_force(spark):
     assert got == {i: [p for w in ws for p in pc.word_pieces(w, vocab)] for i, ws in data}
 
 
+def test_pieces_from_files(spark, tmp_path):
+    """Vocabulary and merges files of the two kinds, read and used by joins: the known pieces and ids."""
+    marked = tmp_path / "vocab.txt"
+    marked.write_text("".join(p + "\n" for p in ["[UNK]", "[CLS]", "[SEP]", "want", "##want", "##ed", "wa", "un", "runn", "##ing", ",", "low", "lowest"]))
+    vocab = rd.read_piece_vocabulary(spark, str(marked))
+    assert {r.piece: r.id for r in vocab.collect()}["##ing"] == 9
+    df = spark.createDataFrame([(1, "UNwant\u00e9d,running"), (2, "unwantedX running"), (3, None), (4, " "), (5, "a" * 101)], "id int, v string")
+    toks = df.select("id", tf.basic_tokens(F.col("v")).alias("toks"))
+    pieces = pc.tokenise(toks, "id", "toks", pc.by_vocabulary(vocab))
+    got = {r.id: r.pieces for r in pieces.collect()}
+    assert got == {1: ["un", "##want", "##ed", ",", "runn", "##ing"], 2: ["[UNK]", "runn", "##ing"], 3: [], 4: [], 5: ["[UNK]"]}
+    ids = {r.id: r.ids for r in pc.piece_ids(pieces, "id", vocab).collect()}
+    assert ids == {1: [7, 4, 5, 10, 8, 9], 2: [0, 8, 9], 3: [], 4: [], 5: [0]}
+    assert {r.id: r.n_tokens for r in pc.token_counts(toks, "id", "toks", pc.by_vocabulary(vocab)).collect()} == {1: 6, 2: 3, 3: 0, 4: 0, 5: 1}
+
+    merges, names = tmp_path / "merges.txt", tmp_path / "vocab.json"
+    merges.write_text("#version: 0.2\n\u0120 l\n\u0120l o\n\u0120lo w\ne r\n", encoding="utf-8")
+    listed = ["l", "o", "w", "e", "r", "s", "t", "i", "d", "n", "\u0120", "\u0120l", "\u0120n", "\u0120lo", "\u0120low", "er", "\u0120lowest", "\u0120newer", "\u0120wider", "<unk>"]
+    names.write_text(json.dumps({p: i for i, p in enumerate(listed)}), encoding="utf-8")
+    rules = rd.read_merges(spark, str(merges))
+    assert [tuple(r) for r in rules.orderBy("rank").collect()] == [(0, "\u0120", "l"), (1, "\u0120l", "o"), (2, "\u0120lo", "w"), (3, "e", "r")]
+    words = F.transform(pc.byte_words(F.concat(F.lit(" "), "v")), pc.visible_letters)
+    text = spark.createDataFrame([(1, "lower newer"), (2, ""), (3, "\u00e9")], "id int, v string").select("id", words.alias("toks"))
+    pieces = pc.tokenise(text, "id", "toks", pc.by_merges(rules))
+    assert {r.id: r.pieces for r in pieces.collect()}[1] == ["\u0120low", "er", "\u0120", "n", "e", "w", "er"]
+    ids = {r.id: r.ids for r in pc.piece_ids(pieces, "id", rd.read_vocabulary_json(spark, str(names)), "<unk>").collect()}
+    assert ids == {1: [14, 15, 10, 9, 3, 2, 15], 2: [10], 3: [10, 19, 19]}
+
+
+def test_byte_pairs_as_the_library(spark):
+    """All merges of a public tokenizer by joins beside the tokenizers library, on odd and long words."""
+    public, library = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    whole = library.Tokenizer.from_file(path)
+    rnd = random.Random(6)
+    values = ["it's  20 km!\n\n ok", "na\u00efve \u65e5\u672c \U0001F600", "a" * 3000, "-" * 500, "\u0000 \t", "", " ".join("".join(rnd.choices("abcdeinrst\u00e9", k=rnd.randint(1, 14))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string").select("id", F.transform(pc.byte_words(F.col("v")), pc.visible_letters).alias("toks"))
+    vocabulary, merges = rd.read_tokenizer_json(spark, path)
+    pieces = pc.tokenise(df, "id", "toks", pc.by_merges(merges))
+    ids = {r.id: r.ids for r in pc.piece_ids(pieces, "id", vocabulary, "<|endoftext|>").collect()}
+    assert ids == {i: whole.encode(v, add_special_tokens=False).ids for i, v in enumerate(values)}
+
+
+def test_byte_pairs_merge_in_rank_order():
+    """Beside a plain loop over the whole word, with random merges, repeats and overlaps."""
+    def plain(parts, ranks):
+        while len(parts) > 1:
+            best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
+            if best not in ranks:
+                break
+            out, i = [], 0
+            while i < len(parts):
+                two = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
+                out.append("".join(parts[i : i + 2]) if two else parts[i])
+                i += 2 if two else 1
+            parts = out
+        return parts
+
+    rnd = random.Random(2)
+    for _ in range(400):
+        pool = list("ab")
+        pairs = []
+        for _ in range(rnd.randint(0, 12)):
+            pairs.append((rnd.choice(pool), rnd.choice(pool)))
+            pool.append("".join(pairs[-1]))
+        rnd.shuffle(pairs)
+        ranks = {p: i for i, p in enumerate(dict.fromkeys(pairs))}
+        letters = rnd.choices("abc", weights=[5, 5, 1], k=rnd.randint(0, 40))
+        assert pc.byte_pairs(letters, ranks) == plain(letters, ranks)
+
+
 def test_pieces_keep_texts_without_words(spark):
     df = spark.createDataFrame([(1, ["ab"]), (2, []), (3, None), (4, [None]), (None, [])], "id long, toks array<string>")
     assert {r["id"]: r["n_tokens"] for r in pc.token_counts(df, "id", "toks", pc.word_pieces, {"a", "##b"}).collect()} == {1: 2, 2: 0, 3: 0, 4: 0, None: 0}
