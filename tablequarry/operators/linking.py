@@ -9,6 +9,8 @@ Shapes:
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.binding import let
+
 # English stop words; words of this list give no partial or cell link.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself yourselves he him his himself she she's her "
@@ -37,35 +39,53 @@ def word_grams(questions: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
     return sized.select("item_id", "db_id", "first", "n", gram.alias("gram")).filter(F.trim("gram") != "")
 
 
-def name_keys(names: DataFrame, key: str) -> DataFrame:
-    """Each name and its beginnings that end at a word bound: db_id, key, text, whole."""
+def schema_names(columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """All names that words may link to: db_id, kind ('column' or 'table'), target, name. The column ``*`` has none."""
+    named = columns.filter("col_id > 0").select("db_id", F.lit("column").alias("kind"), F.col("col_id").alias("target"), "name")
+    return named.unionByName(tables.select("db_id", F.lit("table").alias("kind"), F.col("tab_id").alias("target"), "name"))
+
+
+def name_beginnings(names: DataFrame) -> DataFrame:
+    """The names and their beginnings that end at a word bound, each distinct name cut once: name, gram, whole."""
     word_at = lambda i: F.substring("name", i, 1).rlike(r"\w")
-    cut = names.select("db_id", key, "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("stop"))
+    cut = names.select("name").distinct().withColumn("stop", F.explode(F.sequence(F.lit(1), F.length("name"))))
     bound = word_at(F.col("stop")) != word_at(F.col("stop") + 1)
     starts = F.left(F.col("name"), F.col("stop"))
     whole = F.col("stop") == F.length("name")
     part_ok = bound & word_at(F.lit(1)) & ~is_common(starts)
-    return cut.filter(whole | part_ok).select("db_id", key, starts.alias("text"), whole.alias("whole"))
+    return cut.filter(whole | part_ok).select("name", starts.alias("gram"), whole.alias("whole"))
+
+
+def _marked(hits: DataFrame) -> DataFrame:
+    """The words of the runs that met a name: item_id, q_id, kind, target, whole; a whole name wins."""
+    marked = hits.select("item_id", "kind", "target", "whole", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("q_id"))
+    return marked.groupBy("item_id", "q_id", "kind", "target").agg(F.max("whole").alias("whole"))
+
 
+def _link(whole: Column) -> Column:
+    return F.concat(F.when(F.col("kind") == "column", "C").otherwise("T"), F.when(whole, "EM").otherwise("PM"))
 
-def name_links(questions: DataFrame, names: DataFrame, key: str, exact: str, partial: str) -> DataFrame:
-    """Links of question words to names: item_id, q_id, key, link.
+
+def exact_links(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """Words of runs that are a name: item_id, q_id, kind, target, link; an equi-join on the names as they are."""
+    hits = word_grams(questions).join(names.withColumnRenamed("name", "gram"), ["db_id", "gram"])
+    return _marked(hits.withColumn("whole", F.lit(True))).select("item_id", "q_id", "kind", "target", _link(F.lit(True)).alias("link"))
+
+
+def name_links(questions: DataFrame, names: DataFrame) -> DataFrame:
+    """Links of question words to names: item_id, q_id, kind, target, link.
 
     A run of words equal to a name links all its words exactly; a run that begins the
     name at a word bound links them partially; exact wins.
     """
-    hits = word_grams(questions).join(name_keys(names, key).withColumnRenamed("text", "gram"), ["db_id", "gram"])
-    marked = hits.select("item_id", key, "whole", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("q_id"))
-    best = marked.groupBy("item_id", "q_id", key).agg(F.max("whole").alias("whole"))
-    return best.select("item_id", "q_id", key, F.when(F.col("whole"), exact).otherwise(partial).alias("link"))
+    keys = names.join(name_beginnings(names), "name").select("db_id", "kind", "target", "gram", "whole")
+    best = _marked(word_grams(questions).join(keys, ["db_id", "gram"]))
+    return best.select("item_id", "q_id", "kind", "target", _link(F.col("whole")).alias("link"))
 
 
 def column_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
-    return name_links(questions, columns.filter("col_id > 0").select("db_id", "col_id", "name"), "col_id", "CEM", "CPM")
-
-
-def table_links(questions: DataFrame, tables: DataFrame) -> DataFrame:
-    return name_links(questions, tables.select("db_id", "tab_id", "name"), "tab_id", "TEM", "TPM")
+    names = schema_names(columns, columns.select("db_id", F.lit(0).alias("tab_id"), "name").limit(0))
+    return name_links(questions, names).select("item_id", "q_id", F.col("target").alias("col_id"), "link")
 
 
 def question_words(questions: DataFrame) -> DataFrame:
@@ -98,92 +118,86 @@ def all_links(questions, columns, tables, cells) -> DataFrame:
 
     For a word and a column the order is: name, then cell, then number or time.
     """
-    def named(df, key, kind, rank):
-        return df.select("item_id", "q_id", F.lit(kind).alias("kind"), F.col(key).alias("target"), "link", F.lit(rank).alias("rank"))
-
-    both = (
-        named(column_links(questions, columns), "col_id", "column", 0)
-        .unionByName(named(cell_links(questions, cells), "col_id", "column", 1))
-        .unionByName(named(number_links(questions, columns), "col_id", "column", 2))
-        .unionByName(named(table_links(questions, tables), "tab_id", "table", 0))
-    )
+    def of_column(df, rank):
+        return df.select("item_id", "q_id", F.lit("column").alias("kind"), F.col("col_id").alias("target"), "link", F.lit(rank).alias("rank"))
+
+    named = name_links(questions, schema_names(columns, tables)).withColumn("rank", F.lit(0))
+    both = named.unionByName(of_column(cell_links(questions, cells), 1)).unionByName(of_column(number_links(questions, columns), 2))
     return both.groupBy("item_id", "q_id", "kind", "target").agg(F.min_by("link", "rank").alias("link"))
 
 
-def relations(questions, columns, tables, foreign_keys, primary_keys, links, reach: int = 2) -> DataFrame:
+_RELATION = "i_kind", "i", "j_kind", "j", "relation"
+
+
+def _relation(i_kind, i, j_kind, j, relation) -> Column:
+    values = [F.lit(i_kind) if isinstance(i_kind, str) else i_kind, i.cast("int"), F.lit(j_kind) if isinstance(j_kind, str) else j_kind, j.cast("int"), F.lit(relation) if isinstance(relation, str) else relation]
+    return F.struct(*[v.alias(n) for v, n in zip(values, _RELATION)])
+
+
+def relations(questions, schemas, links, reach: int = 2) -> DataFrame:
     """Relations of an item that are not the default of their block: item_id, i_kind, i, j_kind, j, relation.
 
     Question words: distances below ``reach`` (further words have the clamped distance).
-    Words with columns and tables: the links, both ways. Columns: themselves and foreign
-    keys. Columns with tables: own table, own primary key, ``*`` with every table.
-    Tables: themselves and foreign keys. Left out, since they follow from these rows:
-    defaults, clamped distances, and the same-table relation of two columns (equal
-    ``table_match`` rows). So a row count is linear in the item, not square.
+    Words with columns and tables: the links, both ways. The rest are the relations of the
+    database (``schema_relations``; ``schemas`` has one row of arrays a database). Left out,
+    since they follow from these rows: defaults, clamped distances, and the same-table
+    relation of two columns (equal ``table_match`` rows). So a row count is linear in the
+    item, not square.
+    """
+    size = F.size("toks")
+    near = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1 - reach), F.lit(reach - 1)), lambda d: F.struct(i.alias("i"), d.alias("d")))))
+    kept = F.filter(near, lambda x: (x.i + x.d >= 0) & (x.i + x.d < size))
+    words = F.transform(kept, lambda x: _relation("question", x.i, "question", x.i + x.d, F.concat(F.lit("qq_dist "), x.d.cast("string"))))
+    of_schema = schemas.select("db_id", schema_relations(schemas).alias("__schema"))
+    own = questions.join(of_schema, "db_id").select("item_id", F.explode(F.concat(words, "__schema")).alias("r"))
+    first = F.substring("kind", 1, 1)
+    there = _relation("question", F.col("q_id"), F.col("kind"), F.col("target"), F.concat(F.lit("q"), first, "link"))
+    back = _relation(F.col("kind"), F.col("target"), "question", F.col("q_id"), F.concat(first, F.lit("q"), "link"))
+    return own.unionByName(links.select("item_id", F.explode(F.array(there, back)).alias("r"))).select("item_id", "r.*")
+
+
+def schema_relations(schemas: DataFrame) -> Column:
+    """The relations of a database as an array, from its row: column_names, table_names, primary_keys, foreign_keys.
+
+    Columns: themselves and foreign keys. Columns with tables: own table, own primary key,
+    foreign keys, ``*`` with every table. Tables: themselves and foreign keys.
     """
-    def rows(df, i_kind, i, j_kind, j, relation):
-        return df.select(
-            "item_id", F.lit(i_kind).alias("i_kind"), F.col(i).cast("int").alias("i"), F.lit(j_kind).alias("j_kind"), F.col(j).cast("int").alias("j"),
-            relation.alias("relation"),
+    def places(a):
+        return F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def made(v):
+        keys, other = v.keys, F.filter(v.keys, lambda k: k.a != k.b)
+        members = F.filter(v.cols, lambda c: c.tab >= 0)
+        word = lambda c: F.when(F.array_contains(v.main, c.col), "primary_key").otherwise("table_match")
+        there = F.array_distinct(F.transform(other, lambda k: F.struct(k.a, k.b)))
+        back = F.transform(there, lambda k: F.struct(k.b.alias("a"), k.a.alias("b")))
+        way = lambda k: F.when(F.array_contains(there, k) & F.array_contains(back, k), "both").when(F.array_contains(there, k), "forward").otherwise("backward")
+        return F.concat(
+            F.transform(v.cols, lambda c: _relation("column", c.col, "column", c.col, "cc_dist 0")),
+            F.transform(v.tabs, lambda x: _relation("table", x, "table", x, "tt_dist 0")),
+            F.transform(other, lambda k: _relation("column", k["from"], "column", k["to"], "cc_foreign_key_forward")),
+            F.transform(other, lambda k: _relation("column", k["to"], "column", k["from"], "cc_foreign_key_backward")),
+            F.transform(keys, lambda k: _relation("column", k["from"], "table", k.b, "ct_foreign_key")),
+            F.transform(keys, lambda k: _relation("table", k.b, "column", k["from"], "tc_foreign_key")),
+            F.transform(members, lambda c: _relation("column", c.col, "table", c.tab, F.concat(F.lit("ct_"), word(c)))),
+            F.transform(members, lambda c: _relation("table", c.tab, "column", c.col, F.concat(F.lit("tc_"), word(c)))),
+            F.transform(v.tabs, lambda x: _relation("column", F.lit(0), "table", x, "ct_any_table")),
+            F.transform(v.tabs, lambda x: _relation("table", x, "column", F.lit(0), "tc_any_table")),
+            F.transform(F.array_distinct(F.concat(there, back)), lambda k: _relation("table", k.a, "table", k.b, F.concat(F.lit("tt_foreign_key_"), way(k)))),
         )
 
-    def both_ways(df, kind, target, prefix, back):
-        return rows(df, "question", "q_id", kind, target, F.concat(F.lit(prefix), "link")).unionByName(
-            rows(df, kind, target, "question", "q_id", F.concat(F.lit(back), "link"))
-        )
+    table_of = lambda i: F.get(F.get("column_names", i), F.lit(0)).cast("int")
+    cols = F.transform(places(F.col("column_names")), lambda i: F.struct(i.alias("col"), table_of(i).alias("tab")))
+    keys = F.transform("foreign_keys", lambda k: F.struct(
+        F.get(k, F.lit(0)).alias("from"), F.get(k, F.lit(1)).alias("to"), table_of(F.get(k, F.lit(0))).alias("a"), table_of(F.get(k, F.lit(1))).alias("b")
+    ))
+    return let(made, cols=cols, tabs=places(F.col("table_names")), keys=keys, main=F.col("primary_keys"))
 
-    items = questions.select("item_id", "db_id")
-    words = questions.select("item_id", F.size("toks").alias("n"), F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("i"))
-    near = words.withColumn("d", F.explode(F.sequence(F.lit(1 - reach), F.lit(reach - 1)))).withColumn("j", F.col("i") + F.col("d"))
-    near = near.filter((F.col("j") >= 0) & (F.col("j") < F.col("n")))
-    out = rows(near, "question", "i", "question", "j", F.concat(F.lit("qq_dist "), F.col("d").cast("string")))
-    out = out.unionByName(both_ways(links.filter("kind = 'column'"), "column", "target", "qc", "cq"))
-    out = out.unionByName(both_ways(links.filter("kind = 'table'"), "table", "target", "qt", "tq"))
-
-    schema = schema_relations(columns, tables, foreign_keys, primary_keys)
-    return out.unionByName(items.join(schema, "db_id").select("item_id", "i_kind", "i", "j_kind", "j", "relation"))
-
-
-def schema_relations(columns, tables, foreign_keys, primary_keys) -> DataFrame:
-    """The part of ``relations`` that depends on the database only; made once per database."""
-    def rows(df, i_kind, i, j_kind, j, relation):
-        return df.select("db_id", F.lit(i_kind).alias("i_kind"), F.col(i).cast("int").alias("i"), F.lit(j_kind).alias("j_kind"), F.col(j).cast("int").alias("j"), relation.alias("relation"))
-
-    own = lambda name: F.lit(name)
-    out = rows(columns, "column", "col_id", "column", "col_id", own("cc_dist 0"))
-    out = out.unionByName(rows(tables, "table", "tab_id", "table", "tab_id", own("tt_dist 0")))
-    place = columns.select("db_id", "col_id", "tab_id")
-    source = place.select("db_id", F.col("col_id").alias("from_col"), F.col("tab_id").alias("from_tab"))
-    target = place.select("db_id", F.col("col_id").alias("to_col"), F.col("tab_id").alias("to_tab"))
-    keys = foreign_keys.select("db_id", "from_col", "to_col").join(source, ["db_id", "from_col"]).join(target, ["db_id", "to_col"])
-    other = keys.filter("from_tab != to_tab")
-    out = out.unionByName(rows(other, "column", "from_col", "column", "to_col", own("cc_foreign_key_forward")))
-    out = out.unionByName(rows(other, "column", "to_col", "column", "from_col", own("cc_foreign_key_backward")))
-    out = out.unionByName(rows(keys, "column", "from_col", "table", "to_tab", own("ct_foreign_key")))
-    out = out.unionByName(rows(keys, "table", "to_tab", "column", "from_col", own("tc_foreign_key")))
-    main = primary_keys.select("db_id", "col_id", F.lit(True).alias("main"))
-    member = place.filter("tab_id >= 0").join(main, ["db_id", "col_id"], "left")
-    word = F.when(F.col("main"), "primary_key").otherwise("table_match")
-    out = out.unionByName(rows(member, "column", "col_id", "table", "tab_id", F.concat(F.lit("ct_"), word)))
-    out = out.unionByName(rows(member, "table", "tab_id", "column", "col_id", F.concat(F.lit("tc_"), word)))
-    star = tables.select("db_id", "tab_id", F.lit(0).alias("col_id"))
-    out = out.unionByName(rows(star, "column", "col_id", "table", "tab_id", own("ct_any_table")))
-    out = out.unionByName(rows(star, "table", "tab_id", "column", "col_id", own("tc_any_table")))
-    pairs = other.select("db_id", F.col("from_tab").alias("a"), F.col("to_tab").alias("b"), F.lit(1).alias("f"), F.lit(0).alias("r"))
-    pairs = pairs.unionByName(other.select("db_id", F.col("to_tab").alias("a"), F.col("from_tab").alias("b"), F.lit(0).alias("f"), F.lit(1).alias("r")))
-    merged = pairs.groupBy("db_id", "a", "b").agg(F.max("f").alias("f"), F.max("r").alias("r"))
-    way = F.when((F.col("f") == 1) & (F.col("r") == 1), "tt_foreign_key_both").when(F.col("f") == 1, "tt_foreign_key_forward").otherwise("tt_foreign_key_backward")
-    return out.unionByName(rows(merged, "table", "a", "table", "b", way))
-
-
-def item_records(questions, columns, tables, links, section: Column) -> DataFrame:
-    """One record per item: question, columns and tables of its database, links; with its section.
-
-    Schemas are put together once per database before they meet the questions.
-    """
-    cols = columns.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "name"))), lambda c: c["name"]).alias("columns"))
-    tabs = tables.groupBy("db_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("tab_id", "name"))), lambda c: c["name"]).alias("tables"))
+
+def item_records(questions, schemas, links, section: Column) -> DataFrame:
+    """One record per item: question, columns and tables of its database (one row of arrays each), links; with its section."""
+    names = schemas.select("db_id", F.transform("column_names", lambda c: F.get(c, F.lit(1))).alias("columns"), F.col("table_names").alias("tables"))
     linked = links.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("q_id", "kind", "target", "link"))).alias("links"))
-    return (
-        questions.join(cols, "db_id").join(tabs, "db_id").join(linked, "item_id", "left")
-        .select("item_id", "db_id", section.alias("section"), F.col("toks").alias("question"), "columns", "tables", "links")
+    return questions.join(names, "db_id").join(linked, "item_id", "left").select(
+        "item_id", "db_id", section.alias("section"), F.col("toks").alias("question"), "columns", "tables", "links"
     )

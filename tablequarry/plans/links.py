@@ -158,15 +158,13 @@ b.add_cte(
 @query("j4_exact_links", b.using("col_link", "tab_link") + "select item_id, q_id, col_id as target, link from col_link where link = 'CEM' union all select item_id, q_id, tab_id, link from tab_link where link = 'TEM'")
 def j4_exact_links(t):
     s = schemas(t)
-    c = lk.column_links(asked(t), s["columns"]).filter("link = 'CEM'").withColumnRenamed("col_id", "target")
-    return c.unionByName(lk.table_links(asked(t), s["tables"]).filter("link = 'TEM'").withColumnRenamed("tab_id", "target"))
+    return lk.exact_links(asked(t), lk.schema_names(s["columns"], s["tables"])).drop("kind")
 
 
 @query("j5_partial_links", b.using("col_link", "tab_link") + "select item_id, q_id, col_id as target, link from col_link where link = 'CPM' union all select item_id, q_id, tab_id, link from tab_link where link = 'TPM'")
 def j5_partial_links(t):
     s = schemas(t)
-    c = lk.column_links(asked(t), s["columns"]).filter("link = 'CPM'").withColumnRenamed("col_id", "target")
-    return c.unionByName(lk.table_links(asked(t), s["tables"]).filter("link = 'TPM'").withColumnRenamed("tab_id", "target"))
+    return lk.name_links(asked(t), lk.schema_names(s["columns"], s["tables"])).filter("link in ('CPM', 'TPM')").drop("kind")
 
 
 @query("j6_number_links", b.using("num_link") + "select * from num_link")
@@ -205,8 +203,7 @@ _OWN = "case when p.col_id is not null then 'primary_key' else 'table_match' end
       select relation, i_kind, j_kind, count(*) as n, sum((item_id * 31 + i * 7 + j) % 1000003)::bigint as mark from r group by relation, i_kind, j_kind""",
 )
 def j15_relations(t):
-    s = schemas(t)
-    rel = lk.relations(asked(t), s["columns"], s["tables"], s["foreign_keys"], s["primary_keys"], links(t))
+    rel = lk.relations(asked(t), raw_schemas(t), links(t))
     mark = F.sum((F.col("item_id") * 31 + F.col("i") * 7 + F.col("j")) % 1000003)
     return rel.groupBy("relation", "i_kind", "j_kind").agg(F.count(F.lit(1)).alias("n"), mark.alias("mark"))
 
@@ -305,9 +302,8 @@ def f15_valid_from(t):
       (select count(*) from all_link l where l.item_id = a.item_id) as n_links from asked a""",
 )
 def x14_item_records(t):
-    s = schemas(t)
     section = F.when(F.col("item_id") % 10 == 0, "val").otherwise("train")
-    rec = lk.item_records(asked(t), s["columns"], s["tables"], links(t), section)
+    rec = lk.item_records(asked(t), raw_schemas(t), links(t), section)
     return rec.select(
         "item_id", "section", F.array_join("question", " ").alias("question"), F.array_join("columns", "|").alias("columns"),
         F.array_join("tables", "|").alias("tables"), F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"),
