@@ -78,10 +78,40 @@ def build_vocabulary(words: DataFrame, max_count: int | None = None, min_freq: i
 
 
 def words_once_per_schema(items: DataFrame, group: str, word: str) -> DataFrame:
-    """Words of questions as they are, words of schemas once per database."""
+    """Distinct words of every schema; ``vocabulary_words`` counts repeats inside a schema."""
     return items.dropDuplicates([group, word])
 
 
+def schema_words(schemas: DataFrame, with_table: bool = False) -> DataFrame:
+    """All words of the column and table names of a database, as often as they stand there: db_id, word.
+
+    ``schemas`` has one row a database: column_names (table, name), column_types, table_names. A
+    column begins with the word of its type; with ``with_table`` its table's words follow.
+    """
+    def table_words(i):
+        return F.when(i < 0, F.array(F.lit("<any-table>"))).otherwise(F.split(F.get("table_names", i), " "))
+
+    def column_words(c, i):
+        kind = F.concat(F.lit("<type: "), F.get("column_types", i), F.lit(">"))
+        own = F.concat(F.array(kind), F.split(F.get(c, F.lit(1)), " "))
+        return F.concat(own, F.array(F.lit("<table-sep>")), table_words(F.get(c, F.lit(0)).cast("int"))) if with_table else own
+
+    columns = F.flatten(F.transform("column_names", column_words))
+    tables = F.flatten(F.transform("table_names", lambda n: F.split(n, " ")))
+    return schemas.select("db_id", F.explode(F.concat(columns, tables)).alias("word"))
+
+
+def vocabulary_words(items: DataFrame, schemas: DataFrame, section: str = "train", with_table: bool = False) -> DataFrame:
+    """The words a vocabulary is counted from, one row an occurrence: word.
+
+    All question words of one section (items: db_id, section, toks), and the words of each
+    database that a question of it asks, once a database, repeats inside a schema counted.
+    """
+    own = items.filter(F.col("section") == section)
+    asked = schema_words(schemas, with_table).join(own.select("db_id").distinct(), "db_id", "left_semi")
+    return own.select(F.explode("toks").alias("word")).unionByName(asked.select("word"))
+
+
 def to_ids(tokens: DataFrame, vocab: DataFrame, key: str, toks: str = "toks", ends: bool = True) -> DataFrame:
     """Token lists to id lists in the same order; unknown words get 0.
 
@@ -384,6 +414,63 @@ def paired_features(rows: DataFrame, question: str, sql: str, labels: str, lengt
     return made.withColumn("error", F.coalesce(count("q_seps") != count("s_seps"), F.lit(True)))
 
 
+def sequence_ids(rows: DataFrame, key: str, sequences: list[str], vocab: DataFrame, unknown: int = 0) -> DataFrame:
+    """Ids of several token lists of a row in one pass: the key and each list as ids under its name.
+
+    Words beyond the vocabulary (id, word) get ``unknown``; an empty or NULL list stays empty.
+    """
+    tagged = F.flatten(F.array(*[_tagged(c, k) for k, c in enumerate(sequences)]))
+    flat = rows.select(key, F.explode_outer(tagged).alias("t")).select(key, "t.*")
+    found = flat.join(vocab.select("word", F.col("id").alias("__id")), "word", "left").withColumn("__id", F.coalesce("__id", F.lit(unknown)))
+    at = F.when(F.col("pos").isNotNull(), F.struct("pos", "__id"))
+    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") == k, at))), lambda x: x["__id"]).alias(c) for k, c in enumerate(sequences)]
+    return found.groupBy(key).agg(*lists)
+
+
+def _tagged(sequence: str, k: int) -> Column:
+    none = F.expr("cast(array() as array<string>)")
+    return F.transform(F.coalesce(F.col(sequence), none), lambda w, i: F.struct(F.lit(k).alias("seq"), i.alias("pos"), w.alias("word")))
+
+
+def _at_separators(toks: Column) -> Column:
+    """True at the separators but the last."""
+    return let(lambda v: F.transform(toks, lambda x, i: (x == SEP) & (i < F.coalesce(F.element_at(F.concat(F.array(F.lit(-1)), v.seps), -1), F.lit(-1)))), seps=separators(toks))
+
+
+def three_sequences(rows: DataFrame, key: str, names: tuple[str, str, str], labels: str, vocab: DataFrame, length: int, words: Column, seed, masked: bool = True) -> DataFrame:
+    """The features of a consistency example: a caption, its question and its SQL, each of one length.
+
+    ``names`` are the columns of the three token lists, ``labels`` the column labels of the
+    caption, ``words`` the words that may stand for a masked one. Gives the key and
+
+    - ids, mask, col_label_ids, lm_label_ids of the caption; with ``masked`` its ids are those of
+      the masked tokens, and lm_label_ids (id of the old token, -1 elsewhere) are given either way;
+    - question_ids, question_mask, question_cols and sql_ids, sql_mask, sql_cols (true at the
+      separators but the last);
+    - error, where the caption has not one label a column, or the others differ in their columns.
+
+    Pad is id 1, label -1 and false. A row with an error keeps its features.
+    """
+    main, question, sql = names
+    cut = rows.select(key, F.col(labels).alias("__labels"), *[F.slice(n, 1, length).alias(n) for n in names])
+    made = cut.withColumn("__m", mask_words(F.col(main), words, seed, key))
+    made = made.withColumns({"__input": F.col("__m.toks") if masked else F.col(main), "__old": F.col("__m.labels")})
+    ids = sequence_ids(made, key, ["__input", "__old", question, sql], vocab)
+    ids = ids.select(key, F.col("__input").alias("__ids"), F.col("__old").alias("__old_ids"), F.col(question).alias("__q_ids"), F.col(sql).alias("__s_ids"))
+    both = made.join(ids, key)
+    old = F.transform("__old_ids", lambda x, i: F.when(F.get("__old", i) == "", NO_LABEL).otherwise(x))
+    n_cols = lambda c: F.greatest(F.size(separators(F.col(c))) - 1, F.lit(0))
+    wrong = (n_cols(main) != F.size("__labels")) | (n_cols(question) != n_cols(sql))
+    return both.select(
+        key, fit(F.col("__ids"), length, PAD_ID).alias("ids"), input_mask(F.col("__ids"), length).alias("mask"),
+        fit(column_label_ids(F.col(main), F.col("__labels")), length, NO_LABEL).alias("col_label_ids"), fit(old, length, NO_LABEL).alias("lm_label_ids"),
+        fit(F.col("__q_ids"), length, PAD_ID).alias("question_ids"), input_mask(F.col("__q_ids"), length).alias("question_mask"),
+        fit(_at_separators(F.col(question)), length, False).alias("question_cols"),
+        fit(F.col("__s_ids"), length, PAD_ID).alias("sql_ids"), input_mask(F.col("__s_ids"), length).alias("sql_mask"),
+        fit(_at_separators(F.col(sql)), length, False).alias("sql_cols"), F.coalesce(wrong, F.lit(True)).alias("error"),
+    )
+
+
 def used_column_labels(toks: Column, used: Column) -> Column:
     """1 at the separator of a used column, 0 at the others but the last, -1 elsewhere."""
     return let(

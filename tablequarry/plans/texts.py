@@ -202,6 +202,27 @@ def a10_schema_words(t):
     return ft.words_once_per_schema(words, "source", "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+b.add_cte(
+    "train_words",
+    """select unnest(toks) as word from asked where item_id % 10 != 0
+       union all select unnest(list_concat(['<type: ' || type || '>'], string_split(name, ' '))) from db_col where db_id in (select db_id from asked where item_id % 10 != 0)
+       union all select unnest(string_split(name, ' ')) from db_tab where db_id in (select db_id from asked where item_id % 10 != 0)""",
+    "asked", "db_col", "db_tab",
+)
+
+
+@query(
+    "a10_train_vocabulary",
+    b.using("train_words") + """select id, word, n from (select (row_number() over (order by word) + 2)::int as id, word, n from (select word, count(*) as n from train_words group by word))
+      union all select * from (values (0, '<UNK>', 0), (1, '<BOS>', 0), (2, '<EOS>', 0)) v(id, word, n)""",
+)
+def a10_train_vocabulary(t):
+    from .links import asked, raw_schemas
+
+    items = asked(t).withColumn("section", F.when(F.col("item_id") % 10 == 0, "val").otherwise("train"))
+    return ft.build_vocabulary(ft.vocabulary_words(items, raw_schemas(t)))
+
+
 @query(
     "j8_word_ids",
     b.using("doc_toks") + _VOCAB + """, f as (select doc_id, i, toks[i] as w from doc_toks, unnest(range(1, len(toks) + 1)) as r(i))
@@ -486,6 +507,61 @@ def x16_task_features(t):
     return made.select("conv_id", "turn", F.col("label_id").alias("label"), ones.alias("n_tokens"), (32 - ones).alias("n_pad"))
 
 
+_X16 = "list_concat(['[CLS]'], a, ['[SEP]'], b, ['[SEP]'])"
+
+
+@query(
+    "x16_pair_features",
+    f"""select doc_id, n_chars::double as label, {digest_sql(f"list_resize({_X16}, 48, '[PAD]')")} as tokens,
+       {digest_sql(f"list_resize([1 for x in {_X16}], 48, 0)")} as mask, {digest_sql("list_resize(list_concat([0 for x in a], [0, 0], [1 for x in b], [1]), 48, 0)")} as segments
+       from (select doc_id, n_chars, b, case when 48 - 3 - len(b) > 0 then a[1:48 - 3 - len(b)] else a end as a
+       from (select doc_id, n_chars, w[1:len(w) // 2][1:60] as a, w[len(w) // 2 + 1:][1:20] as b from (select doc_id, n_chars, [w for w in {TOKS} if w != ''] as w from documents)) where len(b) > 0)""",
+)
+def x16_pair_features(t):
+    words = t.documents.select("doc_id", "n_chars", words_of().alias("w")).withColumn("h", F.floor(F.size("w") / 2).cast("int"))
+    pairs = words.select("doc_id", "n_chars", F.slice("w", 1, F.least("h", F.lit(60))).alias("a"), F.slice("w", F.col("h") + 1, 20).alias("b")).filter(F.size("b") > 0)
+    made = ft.task_features(pairs, F.col("a"), F.col("b"), F.col("n_chars"), None, 48)
+    return made.select("doc_id", F.col("label_id").alias("label"), digest("tokens").alias("tokens"), digest("input_mask").alias("mask"), digest("segments").alias("segments"))
+
+
+_LM = f"case when x not in ('<s>', '</s>') and {_MU} < 0.15 then x else '' end"
+_IN = f"case when x in ('<s>', '</s>') or {_MU} >= 0.15 then x when {_MU} / 0.15 < 0.8 then '<mask>' when {_MU} / 0.15 < 0.9 then {_OTHER} else x end"
+_WIDE = 34
+_FLAGS = "list_transform({0}, lambda x, i: x = '</s>' and len([j for j in range(i + 1, len({0}) + 1) if {0}[j] = '</s>']) > 0)"
+b.add_cte("three", f"""select query_id, labels, toks[1:{_WIDE}] as toks, question[1:{_WIDE}] as q, sql[1:{_WIDE}] as s from (
+   select *, toks[1:list_position(toks, '</s>') - 1] as head, list_concat(['<s>', 'select'], toks[list_position(toks, '</s>'):]) as sql, list_concat(['<s>'], toks[list_position(toks, '</s>'):]) as question from captions)""", "captions")
+b.add_cte("three_ids", """select map_from_entries(list({'k': word, 'v': (id)::int})) as m from (select row_number() over (order by word) + 2 as id, word from (select distinct unnest(toks) as word from captions))""", "captions")
+
+
+def _sql_ids(words):
+    return f"list_transform({words}, lambda y: coalesce(m[y], 0))"
+
+
+@query(
+    "x17_three_sequences",
+    b.using("three", "three_ids") + f"""select query_id, {digest_sql(f"list_resize({_sql_ids(f'list_transform(toks, lambda x, i: {_IN})')}, {_WIDE}, 1)")} as ids,
+       {digest_sql(f"list_resize([1 for x in toks], {_WIDE}, 0)")} as mask,
+       {digest_sql(f"list_resize(list_transform(list_transform(toks, lambda x, i: {_LM}), lambda y: case when y = '' then -1 else coalesce(m[y], 0) end), {_WIDE}, -1)")} as lm,
+       {digest_sql(f"list_resize(list_transform(toks, lambda x, i: case when ({_FLAGS.format('toks')})[i] then coalesce(labels[len([j for j in range(1, i + 1) if toks[j] = '</s>'])], -1) else -1 end), {_WIDE}, -1)")} as cols,
+       {digest_sql(f"list_concat(list_resize({_sql_ids('q')}, {_WIDE}, 1), list_resize([1 for x in q], {_WIDE}, 0))")} as question,
+       {digest_sql(f"list_concat(list_resize({_sql_ids('s')}, {_WIDE}, 1), list_resize([1 for x in s], {_WIDE}, 0))")} as sql,
+       {digest_sql(f"list_concat(list_resize({_FLAGS.format('q')}, {_WIDE}, false), list_resize({_FLAGS.format('s')}, {_WIDE}, false))")} as flags,
+       greatest(len([x for x in toks if x = '</s>']) - 1, 0) != len(labels) or len([x for x in q if x = '</s>']) != len([x for x in s if x = '</s>']) as error
+       from three, three_ids""",
+)
+def x17_three_sequences(t):
+    rows = captions(t)
+    tail = F.slice("toks", F.array_position("toks", F.lit("</s>")).cast("int"), F.size("toks"))
+    rows = rows.select("query_id", "toks", "labels", F.concat(F.array(F.lit("<s>")), tail).alias("question"), F.concat(F.array(F.lit("<s>"), F.lit("select")), tail).alias("sql"))
+    vocab = ft.build_vocabulary(rows.select(F.explode("toks").alias("word")))
+    made = ft.three_sequences(rows, "query_id", ("toks", "question", "sql"), "labels", vocab, _WIDE, b.strings(_WORDS), 8)
+    both = lambda a, c: digest(F.concat(F.transform(a, lambda x: x.cast("string")), F.transform(c, lambda x: x.cast("string"))))
+    return made.select(
+        "query_id", digest("ids").alias("ids"), digest("mask").alias("mask"), digest("lm_label_ids").alias("lm"), digest("col_label_ids").alias("cols"),
+        both("question_ids", "question_mask").alias("question"), both("sql_ids", "sql_mask").alias("sql"), both("question_cols", "sql_cols").alias("flags"), "error",
+    )
+
+
 @query(
     "x17_paired_features",
     b.using("captions", "slot_questions") + f"""select query_id, len({_SEPS.format('toks')})::bigint as q_seps, true as same from captions""",

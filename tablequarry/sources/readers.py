@@ -326,6 +326,20 @@ def read_caption_corpus(spark: SparkSession, path: str) -> DataFrame:
     return parse_caption_corpus(numbered_lines(spark, path))
 
 
+def parse_consistency_corpus(lines: DataFrame) -> DataFrame:
+    """Lines (file, line_no, value) of four parts to (file, line_no, toks, labels, question, sql); blank lines are left out."""
+    parts = F.split("value", r"\|\|\|")
+    part = lambda i: F.trim(F.get(parts, F.lit(i)))
+    words = lambda i: F.filter(F.split(part(i), " "), lambda w: w != "")
+    return lines.filter(F.trim("value") != "").select(
+        "file", "line_no", words(0).alias("toks"), F.transform(words(1), lambda x: x.cast("int")).alias("labels"), words(2).alias("question"), words(3).alias("sql")
+    )
+
+
+def read_consistency_corpus(spark: SparkSession, path: str) -> DataFrame:
+    return parse_consistency_corpus(numbered_lines(spark, path))
+
+
 # ---- sentence-task files ---------------------------------------------------------------------
 
 # Which column holds what in the train file of each task, its id mark and labels.

@@ -423,6 +423,43 @@ def test_numbered_in_order_wide(spark):
     assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_consistency_line_to_three_sequences(spark, tmp_path):
+    """A corpus line of four parts to all arrays, padded and cut, by hand."""
+    path = tmp_path / "lines.txt"
+    path.write_text("<s> how big </s> size </s> name </s> ||| 5 7 ||| <s> big </s> a </s> ||| <s> select size </s> b </s>\n\n<s> x </s> y </s> ||| 1 2 ||| <s> q </s> ||| <s> </s> </s>\n<s> a b c d e f g h i j </s> k </s> ||| 3 ||| q ||| r\n")
+    rows = rd.read_consistency_corpus(spark, str(path)).withColumn("key", F.col("line_no"))
+    vocab = spark.createDataFrame([(3, "<s>"), (4, "</s>"), (5, "big"), (6, "size"), (7, "how"), (8, "select")], "id int, word string")
+    got = {r.key: r for r in ft.three_sequences(rows, "key", ("toks", "question", "sql"), "labels", vocab, 9, F.array(F.lit("big")), 1, masked=False).collect()}
+    r = got[0]
+    assert r.ids == [3, 7, 5, 4, 6, 4, 0, 4, 1] and r.mask == [1] * 8 + [0]
+    assert r.col_label_ids == [-1, -1, -1, 5, -1, 7, -1, -1, -1] and not r.error
+    assert r.question_ids == [3, 5, 4, 0, 4, 1, 1, 1, 1] and r.question_mask == [1] * 5 + [0] * 4
+    assert r.question_cols == [False, False, True] + [False] * 6
+    assert r.sql_ids == [3, 8, 6, 4, 0, 4, 1, 1, 1] and r.sql_cols == [False] * 3 + [True] + [False] * 5
+    assert all(x in (-1, y) for x, y in zip(r.lm_label_ids, r.ids))
+    assert got[2].error and got[3].error  # a label too many; the cut caption has lost its columns
+    masked = {r.key: r for r in ft.three_sequences(rows, "key", ("toks", "question", "sql"), "labels", vocab, 9, F.array(F.lit("big")), 1).collect()}
+    for k, r in masked.items():
+        assert r.lm_label_ids == got[k].lm_label_ids and len(r.ids) == 9
+        assert all(x == y for x, y, old in zip(r.ids, got[k].ids, r.lm_label_ids) if old == -1)
+
+
+def test_pair_features(spark):
+    rows = spark.createDataFrame([(1, ["a"] * 9, ["b", "c"], "2.5"), (2, ["a"], ["b"] * 9, "1"), (3, ["a"], [], None)], "id int, a array<string>, b array<string>, label string")
+    got = {r.id: r for r in ft.task_features(rows, F.col("a"), F.col("b"), F.col("label"), None, 8).collect()}
+    assert got[1].tokens == ["[CLS]", "a", "a", "a", "[SEP]", "b", "c", "[SEP]"] and got[1].segments == [0] * 5 + [1] * 3 and got[1].label_id == 2.5
+    assert got[3].tokens == ["[CLS]", "a", "[SEP]"] + ["[PAD]"] * 5 and got[3].input_mask == [1] * 3 + [0] * 5 and got[3].label_id is None
+
+
+def test_vocabulary_of_the_train_section(spark):
+    items = spark.createDataFrame([("d", "train", ["how", "how"]), ("d", "train", ["big"]), ("e", "val", ["never"])], "db_id string, section string, toks array<string>")
+    schema = [("d", ["big name", "big"], [["-1", "*"], ["0", "big big"]], ["text", "number"]), ("e", ["never"], [["0", "never"]], ["text"])]
+    frame = spark.createDataFrame(schema, "db_id string, table_names array<string>, column_names array<array<string>>, column_types array<string>")
+    count = lambda df: dict(collections.Counter(r.word for r in df.collect()))
+    assert count(ft.vocabulary_words(items, frame)) == {"how": 2, "big": 5, "name": 1, "*": 1, "<type: text>": 1, "<type: number>": 1}
+    assert count(ft.vocabulary_words(items, frame, with_table=True)) == {"how": 2, "big": 6, "name": 2, "*": 1, "<type: text>": 1, "<type: number>": 1, "<any-table>": 1, "<table-sep>": 2}
+
+
 def test_paired_features_keep_unequal_rows(spark):
     rows = [(1, ["<s>", "a", "</s>"], ["<s>", "b", "</s>"]), (2, ["<s>", "</s>", "a", "</s>"], ["b", "</s>"]), (3, None, ["b", "</s>"])]
     frame = spark.createDataFrame(rows, "id int, q array<string>, s array<string>").withColumn("labels", F.array(F.lit(1), F.lit(0)))
