@@ -16,7 +16,7 @@ from ..functions.names import first_words
 from ..functions.seeded import pick_item, pick_number, unit
 from ..functions.textforms import fill_slots as replace_slots, fill_sql
 from .filters import capped_columns, for_one_table, unique_columns, within_budget
-from .ordered import running_number
+from .ordered import numbered_in_order, running_number
 
 # Chances and ranges of the draws.
 ADD_KEY, KEY_IS_NAME = 0.7, 0.3
@@ -217,9 +217,8 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     ready = analyse_patterns(templates).withColumn("labels", label_columns(F.col("pattern")))
     one = for_one_table(templates).select("template_id", F.col("questions").alias("one_questions"))
     both = ready.join(one, "template_id", "left")
-    every = both.agg(F.array_sort(F.collect_list("template_id")).alias("a")).scalar()
-    single = both.filter("one_questions is not null").agg(F.array_sort(F.collect_list("template_id")).alias("a")).scalar()
-    return both.withColumn("all_at", F.array_position(every, F.col("template_id"))).withColumn("one_at", F.array_position(single, F.col("template_id")))
+    single = numbered_in_order(both.filter("one_questions is not null").select("template_id"), ["template_id"], "one_at")
+    return numbered_in_order(both, ["template_id"], "all_at").join(single, "template_id", "left")
 
 
 def draw_templates(dbs: DataFrame, prepared: DataFrame, seed) -> DataFrame:
@@ -356,34 +355,46 @@ def fill_slots(drawn: DataFrame, seed, id_rule: str = "first") -> DataFrame:
 
 
 def verbalise(filled: DataFrame, phrases: DataFrame, seed) -> DataFrame:
-    """Adds the question text and the SQL text. Phrases: component, key, phrases; a small resource."""
-    book = phrases.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "component", "key"), "phrases"))).alias("m")).scalar()
-    key = ("db_id", "sample_no")
+    """Adds the question text and the SQL text. Phrases: component, key, phrases.
+
+    The slots that are said by a phrase are exploded and meet the phrases by (component, key)
+    in a join; each draws its own. A phrase book of any size is on no row and in no task whole.
+    """
+    key = ["db_id", "sample_no"]
     value = F.col("values")
     direction = value[F.lit("{DASC}")]
     numbered = F.when(F.col("number") > 1, F.concat(direction, F.lit("_NUM"))).otherwise(direction)
     has = lambda w, s: F.contains(w, F.lit(s))
 
-    def say(component, k, slot):
-        return pick_item(F.col("book")[F.concat_ws("|", F.lit(component), k)], seed, "phrase", *key, slot)
+    def source(s):
+        """Component and key of the phrases of a slot; NULL for a slot that is said by its value."""
+        of = lambda component, k: F.struct(s.alias("slot"), F.lit(component).alias("component"), k.alias("key"))
+        more = F.replace(s, F.lit("SC_COL_COUNT_LIMIT"), F.lit(""))
+        return (
+            F.when(s.isin("{TABLE0}", "{TABLE1}"), F.lit(None)).when(s == "SC", of("SC", direction)).when(s == "SC_COL_LIMIT", of("SC_COL_LIMIT", numbered))
+            .when(has(s, "SC_COL_COUNT_LIMIT"), of("SC_COL_COUNT_LIMIT", F.concat(numbered, more))).when(has(s, "SC"), of("SC_COL", direction))
+            .when(has(s, "OP"), of("OP", value[s])).when(has(s, "AGG"), of("AGG", value[s]))
+        )
+
+    asked = F.array_compact(F.transform(F.array_distinct("q_slots"), source))
+    slots = filled.select(*key, F.explode(asked).alias("s")).select(*key, "s.slot", "s.component", F.col("s.key").alias("key"))
+    drawn = pick_item(F.col("phrases"), seed, "phrase", *key, "slot")
+    said = slots.join(phrases, ["component", "key"]).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", drawn.alias("said")))).alias("said"))
 
     def word(s):
         by_column = F.when(has(s, "C1"), value[F.lit("{COLUMN1}")]).when(has(s, "C2"), value[F.lit("{COLUMN2}")])
-        more = F.replace(s, F.lit("SC_COL_COUNT_LIMIT"), F.lit(""))
+        phrase = F.col("said")[s]
         return (
-            F.when(s == "{TABLE0}", F.col("t0.name")).when(s == "{TABLE1}", F.col("t1.name"))
-            .when(s == "SC", say("SC", direction, s))
-            .when(s == "SC_COL_LIMIT", F.replace(say("SC_COL_LIMIT", numbered, s), F.lit("[NUM]"), F.col("number").cast("string")))
-            .when(has(s, "SC_COL_COUNT_LIMIT"), F.replace(say("SC_COL_COUNT_LIMIT", F.concat(numbered, more), s), F.lit("[NUM]"), F.col("number").cast("string")))
-            .when(has(s, "SC"), F.replace(say("SC_COL", direction, s), F.lit("[COL]"), by_column))
-            .when(has(s, "OP"), say("OP", value[s], s)).when(has(s, "AGG"), say("AGG", value[s], s))
+            F.when(s == "{TABLE0}", F.col("t0.name")).when(s == "{TABLE1}", F.col("t1.name")).when(s == "SC", phrase)
+            .when((s == "SC_COL_LIMIT") | has(s, "SC_COL_COUNT_LIMIT"), F.replace(phrase, F.lit("[NUM]"), F.col("number").cast("string")))
+            .when(has(s, "SC"), F.replace(phrase, F.lit("[COL]"), by_column)).when(has(s, "OP") | has(s, "AGG"), phrase)
             .when(has(s, "COLUMN"), first_words(value[s], 5, start=2)).when(has(s, "VALUE"), first_words(value[s], 5))
         )
 
-    made = filled.withColumn("book", book)
+    made = filled.join(said, key, "left")
     words = F.map_from_entries(F.transform("q_slots", lambda s: F.struct(s.alias("key"), F.coalesce(word(s), F.lit("")).alias("value"))))
     made = made.withColumn("q_words", words)
-    return made.withColumn("question_text", replace_slots(F.col("question"), F.col("q_words"))).withColumn("sql_text", fill_sql(F.col("pattern"), value)).drop("book", "q_words")
+    return made.withColumn("question_text", replace_slots(F.col("question"), F.col("q_words"))).withColumn("sql_text", fill_sql(F.col("pattern"), value)).drop("said", "q_words")
 
 
 def label_examples(spoken: DataFrame) -> DataFrame:
@@ -414,11 +425,13 @@ def keep_last_schema(examples: DataFrame, order: str = "db_id") -> DataFrame:
     return keyed.join(last, ["__schema", order], "left_semi").drop("__schema")
 
 
-def finalise_examples(labelled: DataFrame, label_ids: DataFrame, n_tokens=None, budget: int = MOST_TOKENS) -> DataFrame:
+def finalise_examples(labelled: DataFrame, label_ids: DataFrame, n_tokens=None, budget: int = MOST_TOKENS, cut=None) -> DataFrame:
     """Final rows: question, columns, values, column_labels; within the token budget.
 
     ``label_ids`` (label, label_id) has one row per distinct label and is joined to the
-    exploded labels, so it may grow; an example with an unknown label is dropped.
+    exploded labels, so it may grow; an example with an unknown label is dropped. The budget
+    counts words, or what ``n_tokens`` makes of the text, or the pieces that ``cut`` makes of
+    its words (``pieces.by_vocabulary``, ``pieces.by_merges``).
     """
     cols = F.concat(
         F.array(F.struct(F.lit("*").alias("full"), F.lit("*").alias("name"), F.lit("").alias("value"))),
@@ -440,11 +453,18 @@ def finalise_examples(labelled: DataFrame, label_ids: DataFrame, n_tokens=None,
     part = lambda f: F.transform("cols", lambda c: c[f])
     made = made.select("db_id", "sample_no", "question", part("name").alias("columns"), part("value").alias("values"), part("label").alias("column_labels"))
     text = F.concat(F.lit("<s> "), "question", F.lit(" </s> "), F.array_join("columns", " </s> "), F.lit(" </s> "))
-    count = n_tokens(text) if n_tokens else F.size(F.split(F.trim(text), r"\s+"))
-    return made.filter(within_budget(count, budget))
+    if cut is None:
+        count = n_tokens(text) if n_tokens else F.size(F.split(F.trim(text), r"\s+"))
+        return made.filter(within_budget(count, budget))
+    from .pieces import token_counts
+
+    key = ["db_id", "sample_no"]
+    words = made.select(F.struct(*key).alias("k"), F.split(F.trim(text), r"\s+").alias("toks"))
+    counted = token_counts(words, "k", "toks", cut).filter(within_budget(F.col("n_tokens"), budget))
+    return made.join(counted.select("k.*"), key, "left_semi")
 
 
-def final_examples(labelled: DataFrame, n_tokens=None, budget: int = MOST_TOKENS) -> DataFrame:
+def final_examples(labelled: DataFrame, n_tokens=None, budget: int = MOST_TOKENS, cut=None) -> DataFrame:
     """Label ids over all examples, then the final rows.
 
     The label counts need all examples before any of them can be written, so the
@@ -455,4 +475,18 @@ def final_examples(labelled: DataFrame, n_tokens=None, budget: int = MOST_TOKENS
 
     rows = cut_lineage(labelled.select("db_id", "sample_no", "tables", "question_text", "example_labels"))
     ids = frequency_ids(rows.select(F.explode(F.map_values("example_labels")).alias("label")), "label")
-    return finalise_examples(rows, ids, n_tokens, budget)
+    return finalise_examples(rows, ids, n_tokens, budget, cut)
+
+
+def synthesise(tables: DataFrame, key: str, templates: DataFrame, phrases: DataFrame, size: int, seed, budget: int = MOST_TOKENS, cut=None) -> DataFrame:
+    """The whole run, from web tables (``key`` of any type, name, cols) to about ``size`` final examples.
+
+    Databases of one or two tables, key columns, the number of examples of each database,
+    templates, slot values, texts, labels; of databases with equal schema text the last one
+    stays; label ids by frequency and the token budget (``finalise_examples``). Every step
+    draws with its own part of the seed.
+    """
+    dbs = add_key_column(group_tables(tables, key, f"{seed} pairs"), key, f"{seed} keys")
+    drawn = draw_templates(sample_counts(dbs, size, f"{seed} counts"), prepare_templates(templates), f"{seed} templates")
+    spoken = verbalise(fill_slots(drawn, f"{seed} values"), phrases, f"{seed} words")
+    return final_examples(keep_last_schema(label_examples(spoken)), None, budget, cut)

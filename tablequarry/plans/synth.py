@@ -235,6 +235,26 @@ def g17_examples(t):
     return out.select("db_id", "sample_no", "question", text("columns").alias("columns"), text("values").alias("vals"), text("column_labels").alias("labels"))
 
 
+@query("g17_from_tables", None)
+def g17_from_tables(t):
+    """The whole chain, with text keys, two and a half examples a table and the budget in pieces."""
+    from ..operators import pieces as pc
+    from .texts import byte_pair_files
+
+    tables = web_tables(t).withColumn("table_id", F.concat(F.lit("t-"), F.col("table_id").cast("string")))
+    marked = lambda words: words.withColumn("plain", F.col("word")).withColumn("word", pc.visible_letters(F.concat(F.lit(" "), "word")))
+    merged = pc.by_merges(byte_pair_files(t.spark)[1])
+
+    def cut(words):
+        both = marked(words)
+        return both.join(merged(both.select("word").distinct()), "word").select(F.col("plain").alias("word"), "pieces")
+
+    size = int(SIZE_FACTOR * t.part.count())
+    out = sy.synthesise(tables, "table_id", template_frame(t.spark), phrase_frame(t.spark), size, 36, cut=cut)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
+    return out.select("db_id", "sample_no", "question", text("columns").alias("columns"), text("values").alias("vals"), text("column_labels").alias("labels"))
+
+
 @query(
     "f13_known_labels",
     "select o_orderkey as example_id from orders where o_orderpriority != '5-LOW' and o_orderstatus != 'P'",

@@ -583,6 +583,29 @@ def test_slots_are_filled(spoken):
             assert r["template_id"] != 6
 
 
+def test_from_marked_lines_to_examples(spark, tmp_path):
+    """A file of marked tables, with text keys, to final examples in one chain; the budget counts pieces."""
+    lines = ["<special7> my list of town {0} <special8> town name <special9> rome {0} <special8> size <special9> {0} <special8> shop kind <special9> bakery".format(w) for w in ("alpha", "beta", "gamma", "delta", "omega", "alpha")]
+    (tmp_path / "tables.txt").write_text("\n".join(lines) + "\n")
+    tables = rd.read_marked_tables(spark, str(tmp_path / "tables.txt"))
+    assert tables.count() == 6 and dict(tables.dtypes)["table_id"] == "string"
+    vocab = pc.words_and_letters(spark.createDataFrame([("the",)], "word string"), 1)
+    made = lambda **o: sy.synthesise(tables, "table_id", template_frame(spark), phrase_frame(spark), 40, 7, **o)
+    rows = made().collect()
+    dbs = {r.db_id for r in rows}
+    assert len(rows) > 15 and len(dbs) >= 3 and dbs <= {r.table_id for r in tables.collect()}
+    for r in rows:
+        assert len(r.columns) == len(r["values"]) == len(r.column_labels) and r.question == r.question.lower() and "{" not in r.question
+        assert any(r.column_labels)
+    assert {tuple(r) for r in map(lambda r: (r.db_id, r.sample_no, r.question), made().collect())} == {(r.db_id, r.sample_no, r.question) for r in rows}
+    every = pc.by_vocabulary(vocab)  # only letters are known, so nearly every word is one unknown piece
+    words = {(r.db_id, r.sample_no): len(f"<s> {r.question} </s> {' </s> '.join(r.columns)} </s>".split()) for r in rows}
+    limit = sorted(words.values())[len(words) // 2]
+    kept = {(r.db_id, r.sample_no) for r in made(cut=pc.by_broadcast(lambda w, _: [w], 0), budget=limit).collect()}
+    assert kept == {k for k, n in words.items() if n <= limit}
+    assert made(cut=every, budget=0).count() == 0
+
+
 def test_final_examples(spark, spoken):
     rows = sy.final_examples(spoken).collect()
     assert len(rows) == spoken.count()
