@@ -70,9 +70,33 @@ def normal(q: Column, keys: Column, set_ops: bool = True) -> Column:
 
 # ---- the ten parts ------------------------------------------------------------------------------
 
+_SEP, _END = "\u001f", "\u001e"  # between the fields of an item, and after an item
 
-def _same_bag(a: Column, b: Column) -> Column:
-    return F.array_sort(a) == F.array_sort(b)
+
+def _text(*fields) -> Column:
+    """An item as text; NULL fields differ from empty ones."""
+    return F.concat_ws(_SEP, *[F.coalesce(f.cast("string"), F.lit("\u0001")) for f in fields])
+
+
+def _bag(items: Column) -> Column:
+    """Texts of items in any order as one text."""
+    return F.array_join(F.array_sort(items), _END)
+
+
+def _set(items: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(items)), _END)
+
+
+def _col_unit(u: Column) -> Column:
+    return F.when(u.isNotNull(), _text(u.agg, u.col))
+
+
+def _val_unit(u: Column) -> Column:
+    return F.when(u.isNotNull(), _text(u.op, _col_unit(u.c1), _col_unit(u.c2)))
+
+
+def _condition(c: Column) -> Column:
+    return _text(c.negated, c.op, _val_unit(c.unit), c.sub1, c.sub2)
 
 
 def keywords(q: Column, set_ops: bool = True) -> Column:
@@ -89,76 +113,80 @@ def keywords(q: Column, set_ops: bool = True) -> Column:
     return F.array_sort(F.filter(F.array(*marks), lambda m: m.isNotNull()))
 
 
+#: The texts of a query that its parts are compared by, and the counts of its parts.
+_TEXTS = ["sel", "sel_units", "where", "where_units", "grp", "grp_full", "ord", "ao", "words"]
+_COUNTS = ["n_sel", "n_where", "n_grp", "n_ord", "n_ao", "n_words"]
+
+
+def signature(q: Column, set_ops: bool = True) -> Column:
+    """A query in normal form as one sorted text for each part, made once and compared by equality.
+
+    Fields: ``_TEXTS`` (a part that both queries lack is the same), ``tables``, ``_COUNTS``, and
+    for each set operation the text and the tables of its inner query (NULL where it has none).
+    """
+    units = lambda a: _bag(F.transform(a, lambda c: _val_unit(c.unit)))
+    order = _text(F.array_join(F.transform(q.ord, _val_unit), _END), q.order_dir, q.lim.isNull())
+    group = F.concat_ws(
+        "\u001d", F.array_join(F.transform(q.grp, lambda u: u.col), _END), F.array_join(F.transform(q.having, _condition), _END), F.array_join(q.having_ao, _END)
+    )
+
+    def made(v):
+        found = {
+            "sel": _bag(F.transform(q.sel, lambda x: _text(x.agg, _val_unit(x.unit)))), "sel_units": units(q.sel),
+            "where": _bag(F.transform(q["where"], _condition)), "where_units": units(q["where"]),
+            "grp": _bag(F.transform(q.grp, lambda u: F.substring_index(u.col, ".", -1))), "grp_full": F.when(F.size(q.grp) > 0, group).otherwise(""),
+            "ord": F.when(F.size(q.ord) > 0, order).otherwise(""), "ao": _set(q.where_ao), "words": F.array_join(v.words, _END),
+            "tables": _bag(q.tables), "n_sel": F.size(q.sel), "n_where": F.size(q["where"]), "n_grp": F.size(q.grp), "n_ord": F.size(q.ord),
+            "n_ao": F.size(F.array_distinct(q.where_ao)), "n_words": F.size(v.words), "any_table": F.size(q.tables) > 0,
+        }
+        if set_ops:
+            for s in SET_OPS:
+                inner = let(lambda w: F.struct(_text(*[w.i[f] for f in (*_TEXTS, *_COUNTS)]).alias("body"), w.i.tables.alias("tables"), w.i.any_table.alias("any_table")), i=signature(q[s], False))
+                found[s] = F.when(q[s].isNotNull(), inner)
+        return F.struct(*[c.alias(n) for n, c in found.items()])
+
+    return let(made, words=keywords(q, set_ops))
+
+
 def _score(label: Column, pred: Column, same: Column) -> Column:
     return F.struct(label.cast("int").alias("label_total"), pred.cast("int").alias("pred_total"), F.coalesce(same, F.lit(False)).cast("int").alias("score"))
 
 
-def part_scores(p: Column, g: Column, set_ops: bool = True) -> Column:
-    """Map of the ten parts to (label_total, pred_total, score); both queries in normal form."""
-    some = lambda a: (F.size(a) > 0).cast("int")
-    unit_of = lambda a: F.transform(a, lambda c: c.unit)
-    bare = lambda a: F.transform(a, lambda c: F.substring_index(c.col, ".", -1))
-    cols = lambda a: F.transform(a, lambda c: c.col)
-    one_set = lambda a: F.array_sort(F.array_distinct(a))
-    both_empty = lambda a, b: (F.size(a) == 0) & (F.size(b) == 0)
-    same_group = both_empty(p.grp, g.grp) | (
-        (F.size(p.grp) > 0) & (F.size(g.grp) > 0) & (cols(p.grp) == cols(g.grp)) & (p.having == g.having) & (p.having_ao == g.having_ao)
-    )
-    same_order = both_empty(p.ord, g.ord) | (
-        (F.size(p.ord) > 0) & (p.ord == g.ord) & (p.order_dir == g.order_dir) & (p.lim.isNull() == g.lim.isNull())
-    )
-    same_ao = one_set(p.where_ao) == one_set(g.where_ao)
-    n_ao = lambda a: F.size(F.array_distinct(a))
-    if set_ops:
-        inner = lambda s: F.when(
-            p[s].isNotNull() & g[s].isNotNull(), let(lambda v: exact(v.p, v.g, set_ops=False), p=p[s], g=g[s])
-        ).otherwise(F.lit(False))
-        n_p = sum((p[s].isNotNull().cast("int") for s in SET_OPS), F.lit(0))
-        n_g = sum((g[s].isNotNull().cast("int") for s in SET_OPS), F.lit(0))
-        hits = sum((inner(s).cast("int") for s in SET_OPS), F.lit(0))
-        iuen = _score(n_g, n_p, (n_p == n_g) & (hits == n_p))
-        kp, kg = keywords(p), keywords(g)
-    else:
-        iuen = _score(F.lit(0), F.lit(0), F.lit(True))
-        kp, kg = keywords(p, False), keywords(g, False)
+def _same_tables(p: Column, g: Column) -> Column:
+    return ~g.any_table | (p.tables == g.tables)
+
+
+def part_scores(p: Column, g: Column) -> Column:
+    """Map of the ten parts to (label_total, pred_total, score), from two signatures."""
+    some = lambda n: (n > 0).cast("int")
+    same = lambda f: p[f] == g[f]
+    n_of = lambda q: sum((q[s].isNotNull().cast("int") for s in SET_OPS), F.lit(0))
+    hits = sum((F.coalesce((p[s].body == g[s].body) & _same_tables(p[s], g[s]), F.lit(False)).cast("int") for s in SET_OPS), F.lit(0))
+    one_ao = lambda n: F.when(same("ao"), 1).otherwise(n)
     parts = [
-        _score(F.size(g.sel), F.size(p.sel), _same_bag(p.sel, g.sel)),
-        _score(F.size(g.sel), F.size(p.sel), _same_bag(unit_of(p.sel), unit_of(g.sel))),
-        _score(F.size(g["where"]), F.size(p["where"]), _same_bag(p["where"], g["where"])),
-        _score(F.size(g["where"]), F.size(p["where"]), _same_bag(unit_of(p["where"]), unit_of(g["where"]))),
-        _score(F.size(g.grp), F.size(p.grp), _same_bag(bare(p.grp), bare(g.grp))),
-        _score(some(g.grp), some(p.grp), same_group),
-        _score(some(g.ord), some(p.ord), same_order),
-        _score(F.when(same_ao, 1).otherwise(n_ao(p.where_ao)), F.when(same_ao, 1).otherwise(n_ao(g.where_ao)), same_ao),
-        iuen,
-        _score(F.size(kg), F.size(kp), kp == kg),
+        _score(g.n_sel, p.n_sel, same("sel")), _score(g.n_sel, p.n_sel, same("sel_units")),
+        _score(g.n_where, p.n_where, same("where")), _score(g.n_where, p.n_where, same("where_units")),
+        _score(g.n_grp, p.n_grp, same("grp")), _score(some(g.n_grp), some(p.n_grp), same("grp_full") & (some(g.n_grp) == some(p.n_grp))),
+        _score(some(g.n_ord), some(p.n_ord), same("ord")), _score(one_ao(p.n_ao), one_ao(g.n_ao), same("ao")),
+        _score(n_of(g), n_of(p), (n_of(p) == n_of(g)) & (hits == n_of(p))), _score(g.n_words, p.n_words, same("words")),
     ]
     return F.map_from_arrays(F.array(*[F.lit(n) for n in PARTS]), F.array(*parts))
 
 
 def all_right(scores: Column, p: Column, g: Column) -> Column:
-    """All parts right and the same FROM tables."""
-    same_tables = (F.size(g.tables) == 0) | (F.array_sort(p.tables) == F.array_sort(g.tables))
-    return F.forall(F.map_values(scores), lambda s: s.score == 1) & same_tables
-
-
-def exact(p: Column, g: Column, set_ops: bool = True) -> Column:
-    return all_right(part_scores(p, g, set_ops), p, g)
+    """All parts right and the same FROM tables; ``p`` and ``g`` are signatures."""
+    return F.forall(F.map_values(scores), lambda s: s.score == 1) & _same_tables(p, g)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs (item_id, gold, pred, keys) to item_id, hardness, exact and the part scores.
 
-    The normal forms are made once per row and then compared.
+    The signatures are made once per row, in a projection of their own, and then compared.
     """
-    def compared(v):
-        return let(
-            lambda w: F.struct(w.parts.alias("parts"), all_right(w.parts, v.p, v.g).cast("int").alias("exact")), parts=part_scores(v.p, v.g)
-        )
-
-    found = let(compared, p=normal(F.col("pred"), F.col("keys")), g=normal(F.col("gold"), F.col("keys")))
-    made = pairs.select("item_id", hardness(F.col("gold")).alias("hardness"), found.alias("s"))
-    return made.select("item_id", "hardness", F.col("s.exact").alias("exact"), F.col("s.parts").alias("parts"))
+    signed = lambda q: let(lambda v: signature(v.n), n=normal(F.col(q), F.col("keys")))
+    made = pairs.select("item_id", hardness(F.col("gold")).alias("hardness"), signed("pred").alias("p"), signed("gold").alias("g"))
+    scored = made.select("item_id", "hardness", "p", "g", part_scores(F.col("p"), F.col("g")).alias("parts"))
+    return scored.select("item_id", "hardness", all_right(F.col("parts"), F.col("p"), F.col("g")).cast("int").alias("exact"), "parts")
 
 
 # ---- hardness -------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Registered queries: structural scores of multi-table queries, task metrics and beams.
 
-Every order gives one gold query in one of seven shapes and a prediction with one of six
-kinds of change; the SQL twins state the outcome of each shape and change.
+Every order gives one gold query in one of seven shapes and a prediction with one of twelve
+kinds of change, so that each of the ten parts is right in some rows and wrong in others; the
+SQL twins state the outcome of each shape and change.
 """
 
 from pyspark.sql import functions as F
@@ -55,17 +56,19 @@ def _full(*args, inter=None, **kw):
 _PRICE, _STATUS, _CUST, _PRIO = "orders.o_totalprice", "orders.o_orderstatus", "orders.o_custkey", "orders.o_orderpriority"
 
 
-def _shapes(v, op, agg, dir_, key, conn="and"):
-    """The seven shapes; v: literal, op: first operator, agg: first aggregate, dir_: direction, key: key column."""
+def _shapes(v, op, agg, dir_, key, conn="and", inner=True, other_group=False, least=">=", picked=_PRICE, asked=None):
+    """The seven shapes; v: literal, op: first operator, agg: first aggregate, dir_: direction, key: key column,
+    conn: connector, inner: with the set operation, other_group: another group column, least: operator of HAVING,
+    picked: first selected column, asked: first column of WHERE instead of the own one."""
     join = [_cond(_CUST, "=", "'customer.c_custkey'")]
     sub = "'{\"select\":\"c_custkey\",\"from\":\"customer\"}'"
     return [
-        _full(_sel((agg, _PRICE)), ["orders"], where=[_cond(_STATUS, op, v), _cond(_PRICE, ">", v)], ao=[conn]),
+        _full(_sel((agg, picked)), ["orders"], where=[_cond(asked or _STATUS, op, v), _cond(_PRICE, ">", v)], ao=[conn]),
         _full(_sel((3, "*")), ["orders", "customer"], where=[_cond(key, "=", v)], from_conds=join),
-        _full(_sel((0, _PRIO), (1, _PRICE)), ["orders"], grp=[_cu(_PRIO)], order_dir=dir_, ord_=[_vu("*", 3)], lim="3"),
-        _full(_sel((0, _CUST)), ["orders"], where=[_cond(_PRICE, op, v)], distinct="true",
-              inter=_core(_sel((0, "customer.c_custkey")), ["customer"], where=[_cond("customer.c_mktsegment", "!=", v)])),
-        _full(_sel((agg, _PRICE), (0, _STATUS)), ["orders"], where=[_cond(_CUST, "in", _NONE, sub=sub)], grp=[_cu(_STATUS)], having=[_cond("*", ">=", v, agg=3)]),
+        _full(_sel((0, _PRIO), (1, _PRICE)), ["orders"], grp=[_cu(_STATUS if other_group else _PRIO)], order_dir=dir_, ord_=[_vu("*", 3)], lim="3"),
+        _full(_sel((0, _CUST)), ["orders"], where=[_cond(asked or _PRICE, op, v)], distinct="true",
+              inter=inner and _core(_sel((0, "customer.c_custkey")), ["customer"], where=[_cond("customer.c_mktsegment", "!=", v)])),
+        _full(_sel((agg, picked), (0, _STATUS)), ["orders"], where=[_cond(_CUST, "in", _NONE, sub=sub)], grp=[_cu(_PRIO if other_group else _STATUS)], having=[_cond("*", least, v, agg=3)]),
         _full(_sel((0, "orders.o_orderkey")), ["orders"], where=[_cond(_PRIO, "like", v)], order_dir=dir_, ord_=[_vu(_PRICE)], lim="1"),
         _full(_sel((3, "*")), ["orders"]),
     ]
@@ -79,46 +82,55 @@ def _gold_sql():
     return _by_shape(_shapes("cast(o_custkey as string)", "=", 5, "desc", "orders.o_custkey"))
 
 
-# Kinds of change: 0 none, 1 literals, 2 first operator, 3 first aggregate, 4 direction, 5 equal key column of the other table.
+# Kinds of change: 0 none, 1 literals, 2 first operator, 3 first aggregate, 4 direction, 5 equal key column of the other table,
+# 6 connector, 7 no set operation, 8 group column, 9 operator of HAVING, 10 selected column, 11 column of WHERE.
+_CHANGES = {
+    2: {"op": "<"}, 3: {"agg": 1}, 4: {"dir_": "asc"}, 5: {"key": "customer.c_custkey"}, 6: {"conn": "or"}, 7: {"inner": None},
+    8: {"other_group": True}, 9: {"least": ">"}, 10: {"picked": "orders.o_shippriority"}, 11: {"asked": "orders.o_clerk"},
+}
+_KINDS = 12
+
+
 def _pred_sql(kind):
     v = "'other'" if kind == 1 else "cast(o_custkey as string)"
-    return _by_shape(
-        _shapes(v, "<" if kind == 2 else "=", 1 if kind == 3 else 5, "asc" if kind == 4 else "desc", "customer.c_custkey" if kind == 5 else "orders.o_custkey")
-    )
+    return _by_shape(_shapes(**{"v": v, "op": "=", "agg": 5, "dir_": "desc", "key": "orders.o_custkey", **_CHANGES.get(kind, {})}))
 
 
 def struct_pairs(t):
-    kind = pick_number(6, 11, "kind", "o_orderkey")
+    kind = pick_number(_KINDS, 11, "kind", "o_orderkey")
     base = t.orders.select("o_orderkey", "o_custkey", kind.alias("kind"))
     pred = F.when(F.col("kind") == 0, F.expr(_pred_sql(0)))
-    for k in range(1, 6):
+    for k in range(1, _KINDS):
         pred = pred.when(F.col("kind") == k, F.expr(_pred_sql(k)))
     keys = F.create_map(F.lit("orders.o_custkey"), F.lit("customer.c_custkey"), F.lit("customer.c_custkey"), F.lit("customer.c_custkey"))
     return base.select(F.col("o_orderkey").alias("item_id"), F.expr(_gold_sql()).alias("gold"), pred.alias("pred"), keys.alias("keys"))
 
 
-_KIND = b.n_sql(6, 11, "kind", "o_orderkey")
+_KIND = b.n_sql(_KINDS, 11, "kind", "o_orderkey")
 b.add_cte("kinds", f"select o_orderkey as item_id, o_orderkey % 7 as shape, {_KIND} as kind from orders")
 # Outcome of a change in a shape: wrong parts.
 b.add_cte(
     "outcomes",
     """select *, case shape when 6 then 'easy' when 0 then 'medium' when 1 then 'medium' when 2 then 'hard' when 3 then 'hard' else 'extra' end as hardness,
-       not (kind = 2 and shape in (0, 3) or kind = 3 and shape in (0, 4) or kind = 4 and shape in (2, 5)) as exact,
-       not (kind = 3 and shape in (0, 4)) as sel_ok, not (kind = 2 and shape in (0, 3)) as where_ok,
-       not (kind = 4 and shape in (2, 5)) as order_ok from kinds""",
+       not (kind in (3, 10) and shape in (0, 4)) as sel_ok, not (kind = 10 and shape in (0, 4)) as units_ok,
+       not (kind in (2, 11) and shape in (0, 3)) as where_ok, not (kind = 11 and shape in (0, 3)) as where_units_ok,
+       not (kind = 8 and shape in (2, 4)) as grp_ok, not (kind = 8 and shape in (2, 4) or kind = 9 and shape = 4) as having_ok,
+       not (kind = 4 and shape in (2, 5)) as order_ok, not (kind = 6 and shape = 0) as ao_ok, not (kind = 7 and shape = 3) as set_ok,
+       not (kind = 4 and shape in (2, 5) or kind = 6 and shape = 0 or kind = 7 and shape = 3) as words_ok from kinds""",
     "kinds",
 )
+_ALL_OK = "sel_ok and where_ok and having_ok and order_ok and ao_ok and set_ok"
 
 
-@query("e8_part_matches", b.using("outcomes") + """select item_id, sel_ok::int as sel, 1 as sel_no_agg, where_ok::int as wh, 1 as wh_no_op, 1 as grp_no_having, 1 as grp, order_ok::int as ord,
-   1 as and_or, 1 as iuen, order_ok::int as keywords from outcomes""")
+@query("e8_part_matches", b.using("outcomes") + """select item_id, sel_ok::int as sel, units_ok::int as sel_no_agg, where_ok::int as wh, where_units_ok::int as wh_no_op, grp_ok::int as grp_no_having,
+   having_ok::int as grp, order_ok::int as ord, ao_ok::int as and_or, set_ok::int as iuen, words_ok::int as keywords from outcomes""")
 def e8_part_matches(t):
     s = ss.score_pairs(struct_pairs(t))
     names = ["sel", "sel_no_agg", "wh", "wh_no_op", "grp_no_having", "grp", "ord", "and_or", "iuen", "keywords"]
     return s.select("item_id", *[F.col("parts")[p].score.alias(n) for p, n in zip(ss.PARTS, names)])
 
 
-@query("e9_exact_match", b.using("outcomes") + "select item_id, exact::int as exact from outcomes")
+@query("e9_exact_match", b.using("outcomes") + f"select item_id, ({_ALL_OK})::int as exact from outcomes")
 def e9_exact_match(t):
     return ss.score_pairs(struct_pairs(t)).select("item_id", "exact")
 
@@ -130,8 +142,8 @@ def e10_hardness(t):
 
 @query(
     "e11_normal_form",
-    b.using("kinds") + """select item_id, case shape when 1 then 'customer.c_custkey' when 0 then 'orders.o_orderstatus' when 3 then 'orders.o_totalprice'
-      when 4 then 'customer.c_custkey' when 5 then 'orders.o_orderpriority' end as where_col, 0::bigint as literals from kinds""",
+    b.using("kinds") + """select item_id, case when kind = 11 and shape in (0, 3) then 'orders.o_clerk' else case shape when 1 then 'customer.c_custkey' when 0 then 'orders.o_orderstatus' when 3 then 'orders.o_totalprice'
+      when 4 then 'customer.c_custkey' when 5 then 'orders.o_orderpriority' end end as where_col, 0::bigint as literals from kinds""",
 )
 def e11_normal_form(t):
     n = struct_pairs(t).select("item_id", ss.normal(F.col("pred"), F.col("keys")).alias("n"))
@@ -141,20 +153,23 @@ def e11_normal_form(t):
     )
 
 
-_PART = {"select": "sel_ok", "where": "where_ok", "order": "order_ok", "keywords": "order_ok"}
-_HAS = {
-    "select": "true", "select(no AGG)": "true", "where": "shape in (0, 1, 3, 4, 5)", "where(no OP)": "shape in (0, 1, 3, 4, 5)", "group(no Having)": "shape in (2, 4)",
-    "group": "shape in (2, 4)", "order": "shape in (2, 5)", "and/or": "true", "IUEN": "shape = 3", "keywords": "shape != 6",
+# Each part: right, in the gold query, in the prediction.
+_PART = {
+    "select": ("sel_ok", "true", "true"), "select(no AGG)": ("units_ok", "true", "true"), "where": ("where_ok", "shape in (0, 1, 3, 4, 5)", None),
+    "where(no OP)": ("where_units_ok", "shape in (0, 1, 3, 4, 5)", None), "group(no Having)": ("grp_ok", "shape in (2, 4)", None), "group": ("having_ok", "shape in (2, 4)", None),
+    "order": ("order_ok", "shape in (2, 5)", None), "and/or": ("ao_ok", "true", None), "IUEN": ("set_ok", "shape = 3", "shape = 3 and kind != 7"), "keywords": ("words_ok", "shape != 6", None),
 }
-_LONG = " union all ".join(f"select hardness, '{p}' as part, {_HAS[p]} as has, ({_PART.get(p, 'true')})::int as score from outcomes" for p in ss.PARTS)
+_LONG = " union all ".join(
+    f"select hardness, '{p}' as part, {gold} as in_gold, {pred or gold} as in_pred, ({ok})::int as score from outcomes" for p, (ok, gold, pred) in _PART.items()
+)
 
 
 @query(
     "e12_rolled_scores",
-    b.using("outcomes") + f""", l as ({_LONG}), m as (select coalesce(hardness, 'all') as level, part, count(*) as n, coalesce(avg(case when has then score end), 0) as a
+    b.using("outcomes") + f""", l as ({_LONG}), m as (select coalesce(hardness, 'all') as level, part, count(*) as n, coalesce(avg(case when in_pred then score end), 0) as a, coalesce(avg(case when in_gold then score end), 0) as r
       from l group by grouping sets ((part, hardness), (part)))
-      select level, part, n, a as acc, a as rec, case when a = 0 then 1.0 else a end as f1 from m
-      union all select coalesce(hardness, 'all'), 'exact', count(*), avg(exact::int), null, null from outcomes group by rollup (hardness)""",
+      select level, part, n, a as acc, r as rec, case when a = 0 and r = 0 then 1.0 else 2 * a * r / (a + r) end as f1 from m
+      union all select coalesce(hardness, 'all'), 'exact', count(*), avg(({_ALL_OK})::int), null, null from outcomes group by rollup (hardness)""",
 )
 def e12_rolled_scores(t):
     return ss.rolled_scores(ss.score_pairs(struct_pairs(t)))
