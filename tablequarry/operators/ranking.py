@@ -124,6 +124,19 @@ def rerank_valid(candidates: DataFrame, key: str, item: str, k: int) -> DataFram
     return ranked_by_score(kept, [key], [F.desc("score"), item], k, "place")
 
 
+def rerank_by_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame, key: str, item: str, k: int) -> DataFrame:
+    """The best k candidates of each group whose FROM part holds (``schemas.valid_from``); of a group without one, the best k of all.
+
+    Candidates: ``key`` of the group, ``item`` (one row a candidate), db_id, tables, columns,
+    key_columns, score. All candidates of all groups are checked in one run.
+    """
+    from .schemas import valid_from
+
+    parts = candidates.select(F.col(item).alias("item_id"), "db_id", "tables", "columns", "key_columns")
+    valid = valid_from(parts, columns, edges).select(F.col("item_id").alias(item), "valid")
+    return rerank_valid(candidates.join(valid, item), key, item, k)
+
+
 def queries_of_pointers(df: DataFrame) -> DataFrame:
     """Pointer sequences back to slot queries: adds ``sel``, ``agg`` and ``conds`` of the prediction.
 

@@ -278,21 +278,51 @@ def j10_complete_from(t):
 )
 def f15_valid_from(t):
     """Predictions: right ones, ones with a repeated table, with a column of a missing table, without keys."""
-    s = schemas(t)
-    kind = F.col("item_id") % 4
+    preds = _predicted_from(used_tables(t), F.col("item_id") % 4).select("item_id", "db_id", "tables", "columns", "key_columns")
+    return sm.valid_from(preds, _all_columns(t), _edges(t)).select("item_id", "valid")
+
+
+def _predicted_from(used, kind):
     x = F.array_max("used")
     path = F.sequence(F.lit(0), x)
     keys = F.flatten(F.slice(F.array(F.array(F.lit(1), F.lit(5)), F.array(F.lit(3), F.lit(8))), 1, x))
-    preds = used_tables(t).select(
-        "item_id", "db_id", F.when(kind == 1, F.concat(path, F.array(F.lit(0)))).otherwise(path).alias("tables"),
+    return used.select(
+        "*", F.when(kind == 1, F.concat(path, F.array(F.lit(0)))).otherwise(path).alias("tables"),
         F.when(kind == 2, F.array(F.lit(26))).otherwise(F.array(F.lit(0), F.lit(2))).alias("columns"),
         F.when(kind == 3, F.expr("cast(array() as array<int>)")).otherwise(keys).alias("key_columns"),
     )
-    edges = sm.edges_of(s["foreign_keys"], s["columns"])
-    all_columns = t.customer.select(F.concat(F.lit("db"), F.col("c_custkey").cast("string")).alias("db_id")).select(
+
+
+def _edges(t):
+    s = schemas(t)
+    return sm.edges_of(s["foreign_keys"], s["columns"])
+
+
+def _all_columns(t):
+    return t.customer.select(F.concat(F.lit("db"), F.col("c_custkey").cast("string")).alias("db_id")).select(
         "db_id", F.posexplode(F.array(*[F.lit(c[0]) for c in COLUMNS])).alias("col_id", "tab_id")
     )
-    return sm.valid_from(preds, all_columns, edges).select("item_id", "valid")
+
+
+_CAND = b.u_sql(19, "beam", "cand")
+
+
+@query(
+    "k7_by_from",
+    f"""with {_USED}, cands as (select item_id, item_id * 4 + k as cand, kind != 1 and kind != 2 and (kind != 3 or x = 0) as valid from (
+         select item_id, x, k, case when item_id % 5 = 0 and k in (0, 3) then 1 else k end as kind from used, unnest(range(4)) as r(k)))
+       select item_id, cand, place from (select *, row_number() over (partition by item_id order by {_CAND} desc, cand) as place from (
+         select *, max(valid::int) over (partition by item_id) as some_valid from cands) where valid or some_valid = 0) where place <= 2""",
+)
+def k7_by_from(t):
+    """Four candidates an item, of the kinds of F15; every fifth item has none that holds."""
+    from ..functions.seeded import unit
+    from ..operators import ranking as rk
+
+    four = used_tables(t).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    kind = F.when((F.col("item_id") % 5 == 0) & F.col("k").isin(0, 3), 1).otherwise(F.col("k"))
+    cands = _predicted_from(four, kind).withColumn("cand", F.col("item_id") * 4 + F.col("k")).withColumn("score", unit(19, "beam", "cand"))
+    return rk.rerank_by_from(cands, _all_columns(t), _edges(t), "item_id", "cand", 2).select("item_id", "cand", "place")
 
 
 @query(
