@@ -10,7 +10,7 @@ from ..operators.vocab import frequency_ids
 from . import base as b
 from .files import web_tables
 from .registry import query
-from .templates import TEMPLATES, phrase_frame, template_frame
+from .templates import PHRASES, TEMPLATES, phrase_frame, template_frame
 
 SIZE_FACTOR = 2.5
 
@@ -276,3 +276,97 @@ def f14_capped_columns(t):
     cols = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.struct(i.alias("i"), ((F.col("o_orderkey") + i) % 13 == 0).cast("int").alias("lab")))
     kept = t.orders.select("o_orderkey", fl.capped_columns(cols, "lab").alias("k"))
     return kept.select("o_orderkey", F.size("k").cast("long").alias("kept"), F.aggregate("k", F.lit(0).cast("long"), lambda a, c: a + c.i).alias("places"))
+
+
+# ---- single steps on rows that SQL can make too ----------------------------------------------
+
+
+def _said(component, key, slot):
+    """SQL of the phrase drawn for a slot."""
+    cases = " ".join(
+        f"when '{k}' then ({b.sql_list(p)})[floor({b.u_sql(40, 'phrase', 'db_id', 'sample_no', repr(slot))} * {len(p)})::int + 1]" for k, p in PHRASES[component].items()
+    )
+    return f"case {key} {cases} end"
+
+
+_OP = f"({b.sql_list(sy.OPERATORS)})[(o_orderkey % {len(sy.OPERATORS)})::int + 1]"
+_AGG = f"({b.sql_list(sy.AGGREGATES)})[(o_orderkey % {len(sy.AGGREGATES)})::int + 1]"
+b.add_cte(
+    "to_say",
+    f"""select o_custkey as db_id, o_orderkey as sample_no, (o_orderkey % 4)::int as kind, {_OP} as op, {_AGG} as agg, case when o_orderkey % 2 = 0 then 'ASC' else 'DESC' end as dasc,
+       case when o_orderkey % 3 = 0 then 1 else 3 end as number, o_orderpriority as val from orders""",
+)
+_QUESTIONS = ["show {COLUMN0} of {TABLE0} that {OP0} {VALUE0}", "{AGG0} {COLUMN0} SC_COL_LIMIT {COLUMN1}", "list {TABLE1} SC", "{TABLE0} SC_COL_C1 SC_COL_COUNT_LIMIT"]
+_NUM = "dasc || case when number > 1 then '_NUM' else '' end"
+
+
+def to_say(t):
+    pick = lambda items: F.get(b.strings(items), (F.col("o_orderkey") % len(items)).cast("int"))
+    entry = lambda k, v: (F.lit(k), v)
+    values = F.create_map(
+        *entry("{COLUMN0}", F.lit("orders total price of one")), *entry("{COLUMN1}", F.lit("orders order date")), *entry("{OP0}", pick(sy.OPERATORS)),
+        *entry("{AGG0}", pick(sy.AGGREGATES)), *entry("{DASC}", F.when(F.col("o_orderkey") % 2 == 0, "ASC").otherwise("DESC")), *entry("{VALUE0}", F.col("o_orderpriority")),
+    )
+    question = pick(_QUESTIONS)
+    return t.orders.select(
+        F.col("o_custkey").alias("db_id"), F.col("o_orderkey").alias("sample_no"), values.alias("values"), question.alias("question"), sy.question_slots(question).alias("q_slots"),
+        F.lit("SELECT {COLUMN0} {FROM} WHERE {COLUMN1} {OP0} {VALUE0}").alias("pattern"), F.struct(F.lit("first table").alias("name")).alias("t0"),
+        F.struct(F.lit("second").alias("name")).alias("t1"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(3).alias("number"),
+    )
+
+
+@query(
+    "g13_said",
+    b.using("to_say") + f"""select db_id, sample_no, case kind when 0 then 'show total price of one of first table that ' || {_said('OP', 'op', '{OP0}')} || ' ' || array_to_string(string_split(val, ' ')[1:5], ' ')
+       when 1 then {_said('AGG', 'agg', '{AGG0}')} || ' total price of one ' || replace({_said('SC_COL_LIMIT', f'({_NUM})', 'SC_COL_LIMIT')}, '[NUM]', number::varchar) || ' order date'
+       when 2 then 'list second ' || {_said('SC', 'dasc', 'SC')}
+       else 'first table ' || replace({_said('SC_COL', 'dasc', 'SC_COL_C1')}, '[COL]', 'orders order date') || ' ' || replace({_said('SC_COL_COUNT_LIMIT', f'({_NUM})', 'SC_COL_COUNT_LIMIT')}, '[NUM]', number::varchar) end as question
+       from to_say""",
+)
+def g13_said(t):
+    return sy.verbalise(to_say(t), phrase_frame(t.spark), 40).select("db_id", "sample_no", F.col("question_text").alias("question"))
+
+
+@query("p16_filled_patterns", b.using("to_say") + "select sample_no, 'SELECT orders_=_total_=_price_=_of_=_one WHERE orders_=_order_=_date ' || op || ' ' || val as sql_text from to_say")
+def p16_filled_patterns(t):
+    from ..functions.textforms import fill_sql
+
+    return to_say(t).select("sample_no", fill_sql(F.col("pattern"), F.col("values")).alias("sql_text"))
+
+
+@query(
+    "g15_labels",
+    """select o_orderkey as sample_no, case when o_orderkey % 3 = 0 then 'a b=WHERE ' || o_orderstatus else 'a b=SELECT;c d=WHERE ' || o_orderstatus end
+       || case when o_orderkey % 2 = 0 then ';one *=SELECT' else '' end || case when o_orderkey % 5 = 0 then ';two *=SELECT' else '' end as labels from orders""",
+)
+def g15_labels(t):
+    """Two slots that take the same column in every third row, and ``*`` columns of used tables."""
+    k = F.col("o_orderkey")
+    table = lambda n: F.struct(F.array(F.struct(F.lit(n).alias("name"))).alias("cols"))
+    rows = t.orders.select(
+        k.alias("sample_no"), F.create_map(F.lit("{COLUMN0}"), F.lit("SELECT"), F.lit("{COLUMN1}"), F.lit("WHERE {OP0}")).alias("labels"),
+        F.create_map(F.lit("{COLUMN0}"), F.lit("a b"), F.lit("{COLUMN1}"), F.when(k % 3 == 0, "a b").otherwise("c d"), F.lit("{OP0}"), F.col("o_orderstatus")).alias("values"),
+        (k % 2 == 0).alias("star0"), (k % 5 == 0).alias("star1"), table("one *").alias("t0"), table("two *").alias("t1"),
+    )
+    text = F.array_join(F.transform(F.map_entries("example_labels"), lambda e: F.concat_ws("=", e.key, e.value)), ";")
+    return sy.label_examples(rows).select("sample_no", text.alias("labels"))
+
+
+@query(
+    "a9_ids_of_labels",
+    "select label, n, (row_number() over (order by n desc, label))::int as label_id from (select o_orderpriority || ' ' || o_orderstatus || ' ' || (o_custkey % 97)::varchar as label, count(*) as n from orders group by 1)",
+)
+def a9_ids_of_labels(t):
+    label = F.concat_ws(" ", "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 97).cast("string"))
+    return frequency_ids(t.orders.select(label.alias("label")), "label")
+
+
+@query(
+    "u6_equal_schemas",
+    "select db_id, sample_no from (select p_partkey as db_id, max(p_partkey) over (partition by p_brand, p_size % 3) as last from part) x, unnest(range(2)) as r(sample_no) where db_id = last",
+)
+def u6_equal_schemas(t):
+    col = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    tables = F.array(F.struct(F.array(col("brand", F.col("p_brand"))).alias("cols")), F.struct(F.array(col("size", F.col("p_size") % 3)).alias("cols")))
+    two = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("sample_no")
+    return sy.keep_last_schema(t.part.select(F.col("p_partkey").alias("db_id"), tables.alias("tables"), two)).select("db_id", "sample_no")

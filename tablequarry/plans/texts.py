@@ -100,7 +100,10 @@ def p8_rebuild(t):
     return turn_toks(t).select("id", F.md5(tf.rebuild(F.col("toks"), after)).alias("text"))
 
 
-@query("p9_merge_tokens", None)
+@query(
+    "p9_merge_tokens",
+    b.using("slot_questions") + "select query_id, array_to_string([lower(c.val) for c in conds], '|') as merged, array_to_string([lower(c.val) for c in conds], '|') as given from slot_questions",
+)
 def p9_merge_tokens(t):
     from ..operators import spans
 
@@ -469,7 +472,18 @@ def x10_piece_maps(t):
     return made.select("query_id", text(word_of).alias("word_of"), text(first).alias("first"))
 
 
-@query("x13_pointer_targets", None)
+_SQL_AT = [1 + sum(len(w.split(" ")) + 1 for w in ft.SQL_WORDS[:i]) for i in range(len(ft.SQL_WORDS) + 1)]
+_FIRST = "(list_position([array_to_string(toks[k:k + len(string_split(c.val, ' ')) - 1], ' ') for k in range(1, len(toks) + 1)], lower(c.val)) - 1)"
+_HEAD_AT = f"({_SQL_AT[-1]} + len(toks) + 1 + coalesce(list_sum([len(string_split(h, ' ')) + 1 for h in header[1:{{0}}]]), 0))::int"
+
+
+@query(
+    "x13_pointer_targets",
+    b.using("slot_questions") + f"""select query_id, array_to_string([x::varchar for x in list_concat([{_SQL_AT[12]}, {_SQL_AT[6]}, ({_SQL_AT})[agg + 1], {_HEAD_AT.format('sel')}],
+       case when len(conds) > 0 then list_concat([{_SQL_AT[7]}], flatten(list_transform(conds, lambda c, i: list_concat(
+         [{_HEAD_AT.format('c.col')}, ({_SQL_AT})[c.op + 10], ({_FIRST} + {_SQL_AT[-1]})::int, ({_FIRST} + {_SQL_AT[-1]} + len(string_split(c.val, ' ')) - 1)::int], case when i < len(conds) then [{_SQL_AT[8]}] else [] end)))) else [] end,
+       [{_SQL_AT[13]}])], ' ') as pointers from slot_questions""",
+)
 def x13_pointer_targets(t):
     return pointer_rows(t).select("query_id", F.array_join(F.transform("pointers", lambda x: x.cast("string")), " ").alias("pointers"))
 
@@ -599,7 +613,15 @@ def x19_hints(t):
     return ft.filled_hints(rows, "batch", "hints", "n").select("query_id", F.array_join(F.transform("hints", lambda x: x.cast("string")), "").alias("hints"))
 
 
-@query("x20_pointer_input", None)
+_MARKED = "list_concat(flatten([list_concat(w, ['[SEP]']) for w in {0}]))"
+_FRONT = _MARKED.format(f"([string_split(w, ' ') for w in {b.sql_list(ft.SQL_WORDS)}])")
+
+
+@query(
+    "x20_pointer_input",
+    b.using("slot_questions") + f"""select query_id, len(x)::int as n, md5(array_to_string(x, ' ')) as toks, (1 + len(front))::int as q_start, {len(ft.SQL_WORDS)} as n_sql, (2 + len(front) + len(toks))::int as h_start
+       from (select *, list_concat(['[CLS]'], front, toks, ['[SEP]'], {_MARKED.format("([string_split(lower(h), ' ') for h in header])")}) as x from (select *, {_FRONT} as front from slot_questions))""",
+)
 def x20_pointer_input(t):
     rows = pointer_rows(t)
     return rows.select(
