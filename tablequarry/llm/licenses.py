@@ -3,7 +3,9 @@
 The index holds, for each template word, its places in the templates. A file's words that are
 template words are kept with their positions; the rarest words of a key phrase (by document
 frequency over the whole corpus) give the places where a template may start, places on which the
-two rarest agree stay, and there the mandatory key phrase and the rest of the template are checked.
+two rarest agree stay, and the places of the other words of the mandatory key phrase are intersected
+with them; at what is left the rest of the template is counted. All steps are passes over the hits
+of a text, so work is in proportion to them.
 """
 
 from __future__ import annotations
@@ -120,29 +122,28 @@ def _template_places(t: int, e: Entry, hits: Column, idf: dict[str, float], size
         own = F.filter(hits, lambda h: F.pmod(h, F.lit(size)) == number[e.words[j]])
         return F.transform(own, lambda h: F.floor(h / F.lit(size)).cast("long") - j)
 
-    def stands(start, j):
-        return F.array_contains(hits, (start + j) * size + number[e.words[j]])
-
-    def place(start):
-        n = F.lit(e.key[1] - e.key[0])
-        for j in rest:
-            n = n + stands(start, j).cast("int")
-        return F.struct(F.lit(t).alias("t"), (start + e.key[0]).alias("at"), (n / F.lit(len(e.words))).alias("share"))
-
     starts = begins(rare[0])
-    if len(rare) > 1:
-        starts = F.array_intersect(starts, begins(rare[1]))
-    if key:
-        starts = F.filter(starts, lambda start: _all([stands(start, j) for j in key]))
-    found = F.transform(starts, place)
+    for j in [*rare[1:], *key]:
+        starts = F.array_intersect(starts, begins(j))
+    none = F.expr(_NO_PLACES)
+    found = let(lambda v: F.when(F.size(v["s"]) == 0, none).otherwise(_shares(v["s"], [begins(j) for j in rest], t, e)), s=starts)
     return found if e.base else F.filter(found, lambda m: m["share"] >= LEAST_SHARE)
 
 
-def _all(tests: list[Column]) -> Column:
-    out = tests[0]
-    for x in tests[1:]:
-        out = out & x
-    return out
+_NO_PLACES = "cast(array() as array<struct<t:int,at:bigint,share:double>>)"
+
+
+def _shares(starts: Column, rest: list[Column], t: int, e: Entry) -> Column:
+    """The places of a template with the share of its words, each other word of it counted at all starts in one go."""
+    def counted(v):
+        firsts = F.filter(F.sequence(F.lit(0), F.size(v["all"]) - 1), lambda i: (i == 0) | (F.get(v["all"], i) != F.get(v["all"], i - 1)))
+        return let(lambda w: F.transform(w["first"], lambda i, k: place(v["all"], i, F.coalesce(F.get(w["first"], k + 1), F.size(v["all"])) - i - 1)), first=firsts)
+
+    def place(every, i, n):
+        share = (n + F.lit(e.key[1] - e.key[0])) / F.lit(len(e.words))
+        return F.struct(F.lit(t).alias("t"), (F.get(every, i) + e.key[0]).alias("at"), share.alias("share"))
+
+    return let(counted, all=F.array_sort(F.concat(F.array_distinct(starts), *[F.array_intersect(starts, begins) for begins in rest])))
 
 
 def scan(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -157,8 +158,7 @@ def scan(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     idf = rarity(files)
     names = F.array(*[F.lit(e.label) for e in every])
     n_base = sum(e.base for e in every)
-    none = F.expr("cast(array() as array<struct<t:int,at:bigint,share:double>>)")
-    found = F.when(F.size("hits") > 1, _matches(F.col("hits"), idf)).otherwise(none)
+    found = F.when(F.size("hits") > 1, _matches(F.col("hits"), idf)).otherwise(F.expr(_NO_PLACES))
     base = F.filter("__found", lambda m: m["t"] < n_base)
 
     def labels(of):

@@ -7,6 +7,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -274,6 +275,47 @@ def test_licences(spark, odd):
     assert licenses.scan(stored(licenses.postings(odd.limit(0)))).count() == 0
 
 
+def test_license_text_full_of_key_words(spark):
+    """One text of 2 MB of key phrases takes little longer than a short one: work follows the hits."""
+    def scanned(text):
+        files = stored(licenses.postings(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+        start = time.time()
+        return licenses.scan(files).first(), time.time() - start
+
+    scanned("mit license")
+    _, fixed = scanned("mit license")
+    row, took = scanned("mit license " * 170_000)
+    assert (row.n_words, row.n_base, row.first_word, row.last_word, row.labels, row.score) == (340_000, 170_000, 0, 339_998, "mit", 1.0)
+    assert took < fixed + 20
+
+
+def test_license_share_beside_plain_count(spark):
+    """Shares of templates whose other words stand only in part, at several starts of one text."""
+    entry = next(e for e in licenses.entries() if e.label == "apache-notice")
+    rng = random.Random(4)
+    texts_ = []
+    for _ in range(30):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = list(entry.words)
+            for j in range(entry.key[1], len(words)):
+                if rng.random() < rng.choice([0.1, 0.5, 0.9]):
+                    words[j] = "other"
+            parts += words + ["and"] * rng.randrange(3)
+        texts_.append(" ".join(parts))
+    frame = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(stored(licenses.postings(frame))).collect()}
+    for k, text in enumerate(texts_):
+        words, labels, best = text.split(), set(), 0.0
+        for e in licenses.entries():
+            for at in range(-len(e.words), len(words)):
+                same = [0 <= at + j < len(words) and words[at + j] == w for j, w in enumerate(e.words)]
+                if all(same[e.key[0] : e.key[1]]) and (e.base or sum(same) / len(same) >= licenses.LEAST_SHARE):
+                    labels.add(e.label)
+                    best = max(best, sum(same) / len(same))
+        assert got[k] == (",".join(sorted(labels)), round(best, 9))
+
+
 # ---- classifiers ------------------------------------------------------------------
 
 
