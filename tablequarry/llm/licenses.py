@@ -122,11 +122,13 @@ def _template_places(t: int, e: Entry, hits: Column, idf: dict[str, float], size
         own = F.filter(hits, lambda h: F.pmod(h, F.lit(size)) == number[e.words[j]])
         return F.transform(own, lambda h: F.floor(h / F.lit(size)).cast("long") - j)
 
-    starts = begins(rare[0])
-    for j in [*rare[1:], *key]:
-        starts = F.array_intersect(starts, begins(j))
+    def agreed(starts):
+        for j in [*rare[1:], *key]:
+            starts = F.array_intersect(starts, begins(j))
+        return let(lambda v: F.when(F.size(v["s"]) == 0, none).otherwise(_shares(v["s"], [begins(j) for j in rest], t, e)), s=starts)
+
     none = F.expr(_NO_PLACES)
-    found = let(lambda v: F.when(F.size(v["s"]) == 0, none).otherwise(_shares(v["s"], [begins(j) for j in rest], t, e)), s=starts)
+    found = let(lambda v: F.when(F.size(v["s"]) == 0, none).otherwise(agreed(v["s"])), s=begins(rare[0]))  # most texts lack the rarest word
     return found if e.base else F.filter(found, lambda m: m["share"] >= LEAST_SHARE)
 
 
