@@ -147,7 +147,9 @@ PROBE = (-1, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/
 def query(spark, folder):
     """op8: every conversation and the probe, formatted and read back."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(PROBE[0], k, *row) for k, row in enumerate(PROBE[1])], "conv_id long, turn long, role string, text string")
+    row = lambda k, role, text: F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text"))
+    turns = F.explode(F.array(*[row(k, *said) for k, said in enumerate(PROBE[1])])).alias("r")
+    probe = spark.range(1).select(F.lit(PROBE[0]).cast("long").alias("conv_id"), turns).select("conv_id", "r.*")
     made = formatted(given.unionByName(probe))
     said = F.array_join(F.transform(turns_of(F.col("formatted")), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return made.select(
