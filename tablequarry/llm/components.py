@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -11,7 +11,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node hands its smallest neighbour to its
     larger neighbours, then to its smaller ones. Only rows of two numbers move, minima are taken
     before the shuffle, and a node's neighbours are never gathered; the number of rounds grows with
-    the logarithm of the longest chain.
+    the logarithm of the longest chain. The result is a stored table; the tables of the rounds are
+    removed.
     """
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -23,11 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before, links = links, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     named = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = links.select(F.col("v").alias("node")).distinct().join(named, "node", "left_anti")
-    return named.unionByName(roots.select("node", F.col("node").alias("component")))
+    out = stored(named.unionByName(roots.select("node", F.col("node").alias("component"))))
+    discard(links)
+    return out

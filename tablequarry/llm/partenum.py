@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, mixed, small_batches, stored, table, text_blocks
+from .common import bitmap, discard, in_bitmap, mixed, settle, small_batches, stored, table, text_blocks
 from .components import components
 from .spans import windows, words
 
@@ -223,6 +223,41 @@ def _signature_rows(df: DataFrame, id_col: str, text_col: str, common, cut: int,
     return df.select(*cols).mapInArrow(run, f"doc {kind}, sigs array<long>").select(F.explode("sigs").alias("sig"), "doc")
 
 
+def _members(df: DataFrame, id_col: str, text_col: str, common, cut: int, within: str | None = None) -> DataFrame:
+    """``sig, doc`` of the buckets with two documents or more; of buckets with the same documents one is kept.
+
+    Near copies share most of their signatures, so this leaves a small part of the rows. Buckets
+    count as the same by their size, smallest and largest id and the sum of the hashes of their ids.
+    """
+    spark = df.sparkSession
+    rows = _signature_rows(df, id_col, text_col, common, cut, within=within)
+    several = stored(rows.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sig"))
+    sent = spark.sparkContext.broadcast(bitmap(several, "sig", REPEATED_BITS))
+    discard(several)
+    settle(spark)
+    held = stored(_signature_rows(df, id_col, text_col, common, cut, repeated=sent, within=within))
+    sent.destroy()
+    same = ["least", "most", "n", "s"]
+    of = held.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    once = of.where("least < most").groupBy(*same).agg(F.min("sig").alias("sig")).select("sig")
+    out = stored(held.join(once, "sig", "left_semi"))
+    discard(held)
+    settle(spark)
+    return out
+
+
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """The component table with more links; a component so far goes in as links of its members to its name."""
+    if links.isEmpty():
+        discard(links)
+        return named
+    out = components(links.unionByName(named.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+    discard(links)
+    discard(named)
+    settle(named.sparkSession)
+    return out
+
+
 def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs ``a, b`` that link: by size and sketch first, then by their shingles."""
     kind = documents.schema[id_col].dataType.simpleString()
@@ -258,7 +293,9 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     held = asked.mapInArrow(sets, f"doc {kind}, held binary")
     full = near.join(held.select(F.col("doc").alias("a"), F.col("held").alias("ha")), "a").join(held.select(F.col("doc").alias("b"), F.col("held").alias("hb")), "b")
     with small_batches(documents.sparkSession, 500):  # a row holds two whole sets
-        return stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, f"a {kind}, b {kind}").distinct())
+        out = stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, f"a {kind}, b {kind}").distinct())
+    discard(near)
+    return out
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,37 +315,34 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = spark.sparkContext.broadcast(bitmap(often, "h", COMMON_BITS))
 
     own = profile.where("n > 0 and doc is not null")
-    equal = own.groupBy("n", "d1", "d2").agg(F.min("doc").alias("a"))
-    edges = own.join(equal, ["n", "d1", "d2"]).where("doc <> a").select("a", F.col("doc").alias("b"))
+    equal = own.groupBy("n", "d1", "d2").agg(F.min("doc").alias("component"))
+    named = stored(own.join(equal, ["n", "d1", "d2"]).where("doc <> component").select(F.col("doc").alias("node"), "component").distinct())
     documents = documents.where(F.col(id_col).isNotNull())
 
-    rows = _signature_rows(documents, id_col, text_col, common, 0)
-    several = stored(rows.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sig"))
-    sent = spark.sparkContext.broadcast(bitmap(several, "sig", REPEATED_BITS))
-    members = stored(_signature_rows(documents, id_col, text_col, common, 0, repeated=sent).join(several, "sig", "left_semi"))
-    links, named, cut = stored(edges), None, 0
+    members, cut = _members(documents, id_col, text_col, common, 0), 0
     while True:
-        named = components(links)
         step = _round(members, named, cut)
         if step.isEmpty():
             break
-        more = _similar(step, own, documents, id_col, text_col)
-        links = links.unionByName(more)
-        named = components(links)
+        named = _joined(named, _similar(step, own, documents, id_col, text_col))
+        discard(step)
         left = stored(_left(members, named, cut))
-        more = _similar(stored(_direct(left)), own, documents, id_col, text_col)
-        links = stored(links.unionByName(more))
+        discard(members)
+        pairs = stored(_direct(left))
+        named = _joined(named, _similar(pairs, own, documents, id_col, text_col))
+        discard(pairs)
         cut += 1
         large = left.where(F.col("minor") > SMALL)
         if large.isEmpty():
-            named = components(links)
             break
-        asked = large.groupBy("doc").agg(F.collect_list("sig").alias("buckets"))  # as many as a set has signatures
+        asked = stored(large.groupBy("doc").agg(F.collect_list("sig").alias("buckets")))  # as many as a set has signatures
+        discard(left)
         again = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(asked, "doc")
         again = again.repartition(4 * spark.sparkContext.defaultParallelism, "doc")  # few rows in, many out
-        rows = stored(_signature_rows(again, "doc", "text", common, cut, within="buckets"))
-        several = rows.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sig")
-        members = stored(rows.join(several, "sig", "left_semi"))
+        members = _members(again, "doc", "text", common, cut, within="buckets")
+        discard(asked)
+    common.destroy()
+    settle(spark)
 
     named = named.select(F.col("node").alias("doc"), F.col("component"))
     return profile.join(named, "doc", "left").select(
