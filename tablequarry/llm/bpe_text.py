@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
-from .common import table, text_blocks
+from .common import table, text_blocks, tidied
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
@@ -20,6 +20,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kind = df.schema[id_col].dataType.simpleString()
     extra = ["begins", "ends"] * offsets + ["decoded"] * decoded
 
+    @tidied
     def run(batches):
         coder = bpe.coder(vocabulary)
         for batch in batches:
@@ -51,6 +52,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
     names = [id_col, *keep]
     kinds = ", ".join(f"c{k} {df.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
 
+    @tidied
     def run(batches):
         coder = bpe.coder(vocabulary)
         for batch in batches:

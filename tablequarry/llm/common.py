@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators: table reads, stored tables, Arrow text access."""
 
 import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
@@ -72,6 +73,49 @@ def text_blocks(batch, column: int, most: int = 1 << 20):
         at = to
 
 
+def tidy() -> None:
+    """Give the memory that this Python process has freed back to the system (glibc and Arrow keep it)."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run, most: int = 1 << 22):
+    """A function on Arrow batches that tidies up after every ``most`` bytes of input and at its end.
+
+    Python workers are kept for later tasks; without this each of them also keeps its largest block.
+    """
+
+    def counted(batches):
+        size = 0
+        for batch in batches:
+            size += batch.nbytes
+            yield batch
+            if size >= most:
+                del batch
+                tidy()
+                size = 0
+
+    def out(batches):
+        yield from run(counted(batches))
+        tidy()
+
+    return out
+
+
+def text_rows(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most so many rows from here on in this session, as rows carry whole texts; a smaller setting stays.
+
+    For frames that run after the call that made them; ``small_batches`` serves jobs that run inside.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit numbers (public-domain splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, in_bitmap, mixed, stored, table, text_blocks
+from .common import bitmap, in_bitmap, mixed, stored, table, text_blocks, tidied
 from .spans import words
 
 #: A leak is a window of so many words with at most so many of them changed.
@@ -90,6 +90,7 @@ def _around(h: np.ndarray, first: np.ndarray, at: np.ndarray, text: np.ndarray,
 def _rows(text_col: int, words_filter, runs, keys):
     """The hashes of all texts of the batches, with the words around them; without a filter, those of items."""
 
+    @tidied
     def run(batches):
         held = words_filter and words_filter.value
         for batch in batches:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bitmap, discard, in_bitmap, mixed, settle, small_batches, stored, table, text_blocks
+from .common import bitmap, discard, in_bitmap, mixed, settle, small_batches, stored, table, text_blocks, tidied
 from .components import components
 from .spans import windows, words
 
@@ -155,6 +155,7 @@ def _profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def last(held, t):
         return pa.RecordBatch.from_arrays([pa.array([None], t), *(pa.array([None], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([often(held)], pa.list_(pa.int64()))], names)
 
+    @tidied
     def run(batches):
         held, size, t = [], 0, None
         for batch in batches:
@@ -189,6 +190,7 @@ def _signature_rows(df: DataFrame, id_col: str, text_col: str, common, cut: int,
     def rows(part, docs, sigs):
         return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "sigs"])
 
+    @tidied
     def run(batches):
         words_common, words_repeated = common.value, repeated and repeated.value
         seen: set = set()
@@ -263,6 +265,7 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     kind = documents.schema[id_col].dataType.simpleString()
     side = profile.select("doc", "n", "sketch")
 
+    @tidied
     def by_sketch(batches):
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
@@ -273,12 +276,14 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
     near = near.join(side.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
     near = stored(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(by_sketch, f"a {kind}, b {kind}").distinct())
 
+    @tidied
     def sets(batches):
         for batch in batches:
             for part, texts in text_blocks(batch, 1):
                 value, at = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["doc", "held"])
 
+    @tidied
     def by_set(batches):
         for batch in batches:
             keep = []

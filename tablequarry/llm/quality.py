@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .bpe import span_hashes
-from .common import mixed, table, text_blocks
+from .common import mixed, table, text_blocks, tidied
 from .labelled import remainder, sample
 
 #: Hash space of the features: 2 to this power weights (1 MB).
@@ -108,6 +108,7 @@ def score(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
 
+    @tidied
     def run(batches):
         weights = np.frombuffer(sent.value, np.float32).astype(np.float64)
         for batch in batches:
@@ -125,6 +126,7 @@ def scored(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
     schema = StructType([*(df.schema[c] for c in names), StructField("score", DoubleType())])
 
+    @tidied
     def run(batches):
         weights = np.frombuffer(sent.value, np.float32).astype(np.float64)
         for batch in batches:
