@@ -2,14 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the stage before kept; ``run``
 writes every result as Parquet in the shared folder and reads it again. All stages but the last
-return the columns of ``documents``. Rows without text count as empty; rows with equal ids stay
+return the columns of ``documents``. As rows carry whole texts, the stages lower the session's Arrow
+batch size to 1,000 rows. Rows without text count as empty; rows with equal ids stay
 separate rows unless a stage rejects them.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablequarry.llm import bpe_text, decontaminate, partenum, quality, suffixes
-from tablequarry.llm.common import stored, table
+from tablequarry.llm.common import stored, table, text_rows
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The model is fitted on labelled documents of the table itself, so it does not depend on what
     is passed in as ``docs``.
     """
+    text_rows(spark)
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).where(F.col("score") >= quality.THRESHOLD).drop("score")
 
@@ -28,6 +30,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with one id and unlike texts are documents of their own. Rows without id are in no group
     and stay.
     """
+    text_rows(spark)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64(text).alias("text"))))
     groups = partenum.classes(keyed.select("__key", "text"), "__key")
@@ -47,11 +50,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A repeat may begin or end inside a character; what is left of such a character goes too.
     ``n_chars`` follows the text.
     """
+    text_rows(spark)
     return suffixes.rest(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    text_rows(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -59,6 +64,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, their number, and digests of the ids and of the bytes that they decode to."""
     import public_tokenizers
 
+    text_rows(spark)
     coded = bpe_text.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
