@@ -120,7 +120,7 @@ def execution_guided(selects: DataFrame, conditions: DataFrame, counts: DataFram
 def rerank_valid(candidates: DataFrame, key: str, item: str, k: int) -> DataFrame:
     """The best k valid candidates of each group; of a group without a valid one, the best k of all."""
     some = candidates.groupBy(key).agg(F.max(F.col("valid").cast("int")).alias("__some"))
-    kept = candidates.join(some, key).filter(F.col("valid") | (F.col("__some") == 0)).drop("__some")
+    kept = candidates.join(some.hint("merge"), key).filter(F.col("valid") | (F.col("__some") == 0)).drop("__some")
     return ranked_by_score(kept, [key], [F.desc("score"), item], k, "place")
 
 
@@ -134,7 +134,7 @@ def rerank_by_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame,
 
     parts = candidates.select(F.col(item).alias("item_id"), "db_id", "tables", "columns", "key_columns")
     valid = valid_from(parts, columns, edges).select(F.col("item_id").alias(item), "valid")
-    return rerank_valid(candidates.join(valid, item), key, item, k)
+    return rerank_valid(candidates.join(valid.hint("merge"), item), key, item, k)
 
 
 def queries_of_pointers(df: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Database schemas: summaries, key maps, paths over foreign keys, FROM completion."""
+"""Database schemas: summaries, key maps, paths over foreign keys, FROM completion.
+
+Joins with a row for every column, key or candidate carry a merge hint (see ``linking``).
+"""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,10 +21,10 @@ def table_shapes(columns: DataFrame, tables: DataFrame, foreign_keys: DataFrame)
     )
     a = columns.select("db_id", F.col("col_id").alias("from_col"), F.col("tab_id").alias("tab_id"))
     b = columns.select("db_id", F.col("col_id").alias("to_col"), F.col("tab_id").alias("to_tab"))
-    points = foreign_keys.join(a, ["db_id", "from_col"]).join(b, ["db_id", "to_col"]).groupBy("db_id", "tab_id").agg(
+    points = foreign_keys.join(a.hint("merge"), ["db_id", "from_col"]).join(b.hint("merge"), ["db_id", "to_col"]).groupBy("db_id", "tab_id").agg(
         F.array_sort(F.collect_set("to_tab")).alias("fk_tables")
     )
-    return tables.join(spans, ["db_id", "tab_id"]).join(points, ["db_id", "tab_id"], "left")
+    return tables.join(spans.hint("merge"), ["db_id", "tab_id"]).join(points.hint("merge"), ["db_id", "tab_id"], "left")
 
 
 def key_map(raw: DataFrame) -> DataFrame:
@@ -50,10 +53,11 @@ def edges_of(foreign_keys: DataFrame, columns: DataFrame) -> DataFrame:
     """
     a = columns.select("db_id", F.col("col_id").alias("from_col"), F.col("tab_id").alias("a"))
     b = columns.select("db_id", F.col("col_id").alias("to_col"), F.col("tab_id").alias("b"))
-    one = foreign_keys.join(a, ["db_id", "from_col"]).join(b, ["db_id", "to_col"])
-    there = one.select("db_id", "fk_no", "a", "b", F.col("from_col").alias("a_col"), F.col("to_col").alias("b_col"))
-    back = one.select("db_id", "fk_no", F.col("b").alias("a"), F.col("a").alias("b"), F.col("to_col").alias("a_col"), F.col("from_col").alias("b_col"))
-    last = there.unionByName(back).groupBy("db_id", "a", "b").agg(F.max_by(F.struct("a_col", "b_col"), "fk_no").alias("c"))
+    one = foreign_keys.join(a.hint("merge"), ["db_id", "from_col"]).join(b.hint("merge"), ["db_id", "to_col"])
+    there = F.struct("a", "b", F.col("from_col").alias("a_col"), F.col("to_col").alias("b_col"))
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("to_col").alias("a_col"), F.col("from_col").alias("b_col"))
+    both = one.select("db_id", "fk_no", F.explode(F.array(there, back)).alias("e")).select("db_id", "fk_no", "e.*")
+    last = both.groupBy("db_id", "a", "b").agg(F.max_by(F.struct("a_col", "b_col"), "fk_no").alias("c"))
     edge = F.struct("a", "b", F.col("c.a_col").alias("a_col"), F.col("c.b_col").alias("b_col"))
     return last.groupBy("db_id").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
@@ -93,7 +97,7 @@ def complete_from(items: DataFrame, edges: DataFrame) -> DataFrame:
     """
     from ..functions.binding import let
 
-    with_edges = items.join(edges, "db_id", "left").withColumn("used", F.array_sort(F.array_distinct("used")))
+    with_edges = items.join(edges.hint("merge"), "db_id", "left").withColumn("used", F.array_sort(F.array_distinct("used")))
     walk = with_edges.withColumn("walk", shortest_paths(F.coalesce("edges", F.expr("cast(array() as array<struct<a:int,b:int,a_col:int,b_col:int>>)")), F.array_min("used")))
     paths = F.transform(F.filter("walk", lambda w: F.array_contains(F.col("used"), w.table)), lambda w: w.path)
 
@@ -122,7 +126,7 @@ def valid_from(candidates: DataFrame, columns: DataFrame, edges: DataFrame) -> D
     place = columns.filter("tab_id >= 0").groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("col_id", "tab_id"))).alias("table_of"))
     joined = candidates.withColumn("used", F.col("tables"))
     full = complete_from(joined.select("item_id", "db_id", "used"), edges).select("item_id", "conds", F.col("used").alias("known"))
-    both = candidates.join(full, "item_id").join(place, "db_id")
+    both = candidates.join(full.hint("merge"), "item_id").join(place.hint("merge"), "db_id")
     inside = F.filter("conds", lambda c: F.array_contains("tables", F.col("table_of")[c.a_col]) & F.array_contains("tables", F.col("table_of")[c.b_col]))
     needed = F.array_sort(F.array_distinct(F.flatten(F.transform(inside, lambda c: F.array(c.a_col, c.b_col)))))
     owners = F.filter(F.transform("columns", lambda c: F.col("table_of")[c]), lambda x: x.isNotNull())

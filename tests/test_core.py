@@ -12,7 +12,7 @@ from tablequarry.functions import names as nm, textforms as tf
 from tablequarry.functions.literals import literal_number
 from tablequarry.functions.seeded import unit
 from tablequarry.operators import features as ft, linking as lk, mining as mi, ordered as od, pieces as pc, schemas as sm, slotquery as sq, slotscore as sc, spans
-from tablequarry.operators import structscore as ss, synthesis as sy
+from tablequarry.operators import ranking as rk, structscore as ss, synthesis as sy
 from tablequarry.plans.templates import phrase_frame, template_frame
 from tablequarry.sources import readers as rd, sinks as sk
 
@@ -692,3 +692,31 @@ def test_label_ids_and_last_schema(spark):
 def test_filled_sql(spark):
     df = spark.createDataFrame([("SELECT {COLUMN0} {FROM} WHERE {COLUMN1} {OP0} {VALUE0}", {"{COLUMN0}": "t a b", "{COLUMN1}": "t c", "{OP0}": ">", "{VALUE0}": "5 km"})], "p string, m map<string,string>")
     assert one(df, tf.fill_sql(F.col("p"), F.col("m"))) == "SELECT t_=_a_=_b WHERE t_=_c > 5 km"
+
+
+# ---- joins of frames that are larger than the files they come from --------------------------------
+
+
+def _stored(spark, folder, **frames):
+    """The frames written as small files, so Spark's estimates take them for tiny."""
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / name))
+    return [spark.read.parquet(str(folder / name)) for name in frames]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_from_checks_gather_no_frame_on_the_driver(spark, tmp_path):
+    cols, keys, cands = _stored(
+        spark, tmp_path,
+        cols=([("d", 0, 0), ("d", 1, 0), ("d", 2, 1), ("d", 3, 1)], "db_id string, col_id int, tab_id int"), keys=([("d", 0, 1, 2)], "db_id string, fk_no int, from_col int, to_col int"),
+        cands=([(1, 10, "d", [0, 1], [0], [1, 2], 0.1), (1, 11, "d", [0, 1], [0], [], 0.9), (2, 20, "d", [0, 0], [0], [], 0.2), (2, 21, "d", [1, 1], [0], [], 0.3)],
+               "item_id long, cand long, db_id string, tables array<int>, columns array<int>, key_columns array<int>, score double"),
+    )
+    edges = sm.edges_of(keys, cols)
+    assert [tuple(e) for e in edges.first()["edges"]] == [(0, 1, 1, 2), (1, 0, 2, 1)]
+    best = rk.rerank_by_from(cands, cols, edges, "item_id", "cand", 1)
+    assert "Broadcast" not in _plan(best) and "Broadcast" not in _plan(sm.table_shapes(cols, cols.select("db_id", "tab_id").distinct(), keys))
+    assert {(r["item_id"], r["cand"]) for r in best.collect()} == {(1, 10), (2, 21)}  # item 2 has none that holds
