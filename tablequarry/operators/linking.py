@@ -5,6 +5,10 @@ Shapes:
     columns    db_id, col_id, tab_id, name, type      (column 0 is ``*``)
     tables     db_id, tab_id, name
     cells      db_id, col_id, cell
+
+Frames with a row for every word, column or link are many times the files they are made of,
+which Spark's size estimates do not see; their joins carry a merge hint, or the driver would
+gather them for a broadcast.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,12 +35,26 @@ def is_common(word: Column) -> Column:
     return word.isin(STOP_WORDS) | word.isin(PUNCTUATION)
 
 
-def word_grams(questions: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
-    """All runs of 1 to ``longest`` words: item_id, db_id, first, n, gram."""
-    places = questions.select("item_id", "db_id", "toks", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("first"))
+def word_grams(questions: DataFrame, longest: int = LONGEST_GRAM, more: tuple[str, ...] = ()) -> DataFrame:
+    """All runs of 1 to ``longest`` words: item_id, db_id, first, n, gram, and the columns ``more`` of the question."""
+    places = questions.select("item_id", "db_id", "toks", *more, F.explode(F.sequence(F.lit(0), F.size("toks") - 1)).alias("first"))
     sized = places.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("toks") - F.col("first")))))
     gram = F.array_join(F.slice("toks", F.col("first") + 1, F.col("n")), " ")
-    return sized.select("item_id", "db_id", "first", "n", gram.alias("gram")).filter(F.trim("gram") != "")
+    return sized.select("item_id", "db_id", *more, "first", "n", gram.alias("gram")).filter(F.trim("gram") != "")
+
+
+def _grams_with_names(questions: DataFrame, keys: DataFrame) -> DataFrame:
+    """The runs of words that are a key of their database: item_id, first, n, kind, target, whole.
+
+    The keys (db_id, gram, kind, target, whole) are a map in one row a database, joined to
+    the questions; a run looks itself up there, so runs are neither shuffled nor sent about.
+    """
+    near = keys.filter("gram is not null").repartition("db_id")
+    listed = near.groupBy("db_id", "gram").agg(F.collect_list(F.struct("kind", "target", "whole")).alias("found"))
+    known = listed.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "found"))).alias("known"))
+    grams = word_grams(questions.join(known.hint("merge"), "db_id"), more=("known",))
+    hits = grams.select("item_id", "first", "n", F.explode(F.try_element_at("known", F.col("gram"))).alias("hit"))
+    return hits.select("item_id", "first", "n", "hit.*")
 
 
 def schema_names(columns: DataFrame, tables: DataFrame) -> DataFrame:
@@ -67,9 +85,9 @@ def _link(whole: Column) -> Column:
 
 
 def exact_links(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Words of runs that are a name: item_id, q_id, kind, target, link; an equi-join on the names as they are."""
-    hits = word_grams(questions).join(names.withColumnRenamed("name", "gram"), ["db_id", "gram"])
-    return _marked(hits.withColumn("whole", F.lit(True))).select("item_id", "q_id", "kind", "target", _link(F.lit(True)).alias("link"))
+    """Words of runs that are a name: item_id, q_id, kind, target, link; runs meet the names as they are."""
+    keys = names.select("db_id", "kind", "target", F.col("name").alias("gram"), F.lit(True).alias("whole"))
+    return _marked(_grams_with_names(questions, keys)).select("item_id", "q_id", "kind", "target", _link(F.lit(True)).alias("link"))
 
 
 def name_links(questions: DataFrame, names: DataFrame) -> DataFrame:
@@ -79,7 +97,7 @@ def name_links(questions: DataFrame, names: DataFrame) -> DataFrame:
     name at a word bound links them partially; exact wins.
     """
     keys = names.join(name_beginnings(names), "name").select("db_id", "kind", "target", "gram", "whole")
-    best = _marked(word_grams(questions).join(keys, ["db_id", "gram"]))
+    best = _marked(_grams_with_names(questions, keys))
     return best.select("item_id", "q_id", "kind", "target", _link(F.col("whole")).alias("link"))
 
 
@@ -97,7 +115,7 @@ def number_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Number words to every number or time column of their database: item_id, q_id, col_id, link."""
     words = question_words(questions).filter(F.col("word").rlike(NUMBER_WORD)).select("item_id", "db_id", "q_id")
     targets = columns.filter((F.col("col_id") > 0) & F.col("type").isin("number", "time")).select("db_id", "col_id", F.upper("type").alias("link"))
-    return words.join(targets, "db_id").select("item_id", "q_id", "col_id", "link")
+    return words.join(targets.hint("merge"), "db_id").select("item_id", "q_id", "col_id", "link")
 
 
 def cell_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -110,7 +128,7 @@ def cell_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
     low = F.lower("cell")
     parts = F.explode(F.array_distinct(F.concat(F.split(low, " "), F.array(low))))
     known = cells.filter(F.col("cell").isNotNull()).select("db_id", "col_id", parts.alias("key")).filter("key != ''").distinct()
-    return words.join(known, ["db_id", "key"]).select("item_id", "q_id", "col_id", F.lit("CELLMATCH").alias("link"))
+    return words.join(known.hint("merge"), ["db_id", "key"]).select("item_id", "q_id", "col_id", F.lit("CELLMATCH").alias("link"))
 
 
 def all_links(questions, columns, tables, cells) -> DataFrame:
@@ -149,7 +167,7 @@ def relations(questions, schemas, links, reach: int = 2) -> DataFrame:
     kept = F.filter(near, lambda x: (x.i + x.d >= 0) & (x.i + x.d < size))
     words = F.transform(kept, lambda x: _relation("question", x.i, "question", x.i + x.d, F.concat(F.lit("qq_dist "), x.d.cast("string"))))
     of_schema = schemas.select("db_id", schema_relations(schemas).alias("__schema"))
-    own = questions.join(of_schema, "db_id").select("item_id", F.explode(F.concat(words, "__schema")).alias("r"))
+    own = questions.join(of_schema.hint("merge"), "db_id").select("item_id", F.explode(F.concat(words, "__schema")).alias("r"))
     first = F.substring("kind", 1, 1)
     there = _relation("question", F.col("q_id"), F.col("kind"), F.col("target"), F.concat(F.lit("q"), first, "link"))
     back = _relation(F.col("kind"), F.col("target"), "question", F.col("q_id"), F.concat(first, F.lit("q"), "link"))
@@ -198,6 +216,6 @@ def item_records(questions, schemas, links, section: Column) -> DataFrame:
     """One record per item: question, columns and tables of its database (one row of arrays each), links; with its section."""
     names = schemas.select("db_id", F.transform("column_names", lambda c: F.get(c, F.lit(1))).alias("columns"), F.col("table_names").alias("tables"))
     linked = links.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("q_id", "kind", "target", "link"))).alias("links"))
-    return questions.join(names, "db_id").join(linked, "item_id", "left").select(
+    return questions.join(names.hint("merge"), "db_id").join(linked.hint("merge"), "item_id", "left").select(
         "item_id", "db_id", section.alias("section"), F.col("toks").alias("question"), "columns", "tables", "links"
     )

@@ -92,7 +92,7 @@ def cells(t):
     found = t.customer.select(db("c_custkey"), F.lit(10).alias("col_id"), F.col("c_mktsegment").alias("cell"))
     found = found.unionByName(t.orders.select(db("o_custkey"), F.lit(13).alias("col_id"), F.col("o_orderstatus").alias("cell")))
     found = found.unionByName(t.orders.select(db("o_custkey"), F.lit(16).alias("col_id"), F.replace("o_orderpriority", F.lit("-"), F.lit(" ")).alias("cell")))
-    return found.join(columns, ["db_id", "col_id"])
+    return found.join(columns.hint("merge"), ["db_id", "col_id"])
 
 
 def links(t):

@@ -720,3 +720,24 @@ def test_from_checks_gather_no_frame_on_the_driver(spark, tmp_path):
     best = rk.rerank_by_from(cands, cols, edges, "item_id", "cand", 1)
     assert "Broadcast" not in _plan(best) and "Broadcast" not in _plan(sm.table_shapes(cols, cols.select("db_id", "tab_id").distinct(), keys))
     assert {(r["item_id"], r["cand"]) for r in best.collect()} == {(1, 10), (2, 21)}  # item 2 has none that holds
+
+
+def test_links_gather_no_frame_on_the_driver(spark, tmp_path):
+    q, cols, tabs, cells, raw = _stored(
+        spark, tmp_path, q=([(1, "d", "show the order date of red in 2019".split()), (2, "e", ["order"]), (3, None, ["order"])], "item_id long, db_id string, toks array<string>"),
+        cols=([("d", 0, -1, "*", "text"), ("d", 1, 0, "order date", "time"), ("d", 2, 0, "date", "number"), ("d", 3, 0, None, "text"), (None, 1, 0, "order", "text")],
+              "db_id string, col_id int, tab_id int, name string, type string"),
+        tabs=([("d", 0, "order"), ("d", 1, "order")], "db_id string, tab_id int, name string"), cells=([("d", 3, "dark red"), ("d", 3, "Red")], "db_id string, col_id int, cell string"),
+        raw=([("d", ["order", "order"], [["-1", "*"], ["0", "date"]], [1], [[1, 1]])], "db_id string, table_names array<string>, column_names array<array<string>>, primary_keys array<int>, foreign_keys array<array<int>>"),
+    )
+    names = lk.schema_names(cols, tabs)
+    exact = lk.exact_links(q, names)
+    assert {tuple(r)[1:] for r in exact.collect()} == {(2, "column", 1, "CEM"), (3, "column", 1, "CEM"), (3, "column", 2, "CEM"), (2, "table", 0, "TEM"), (2, "table", 1, "TEM")}
+    both = lk.name_links(q, names)
+    assert {tuple(r) for r in both.collect()} == {tuple(r) for r in exact.collect()}
+    given = spark.read.parquet(str(tmp_path / "q")).select("item_id", F.lit(0).alias("q_id"), F.lit("table").alias("kind"), F.lit(0).alias("target"), F.lit("TEM").alias("link"))
+    number, cell = lk.number_links(q, cols), lk.cell_links(q, cells)
+    assert {tuple(r) for r in number.collect()} == {(1, 7, 1, "TIME"), (1, 7, 2, "NUMBER")} and {tuple(r) for r in cell.collect()} == {(1, 5, 3, "CELLMATCH")}
+    for df in (exact, number, cell, lk.item_records(q, raw, given, F.lit("train")), lk.relations(q, raw, given)):
+        assert "Broadcast" not in _plan(df)
+    assert _plan(lk.name_links(q, names)).count("BroadcastExchange") == 1  # the distinct names, each cut once
