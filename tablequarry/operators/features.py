@@ -321,7 +321,7 @@ def words_of_pieces(rows: DataFrame, key: str, pieces: str) -> DataFrame:
 
 def links_to_pieces(links: DataFrame, words: DataFrame, key: str) -> DataFrame:
     """Carry links (key, word_no, ...) from words to the first piece of the word."""
-    return links.join(words.select(key, "word_no", "first"), [key, "word_no"]).withColumnRenamed("first", "piece_no").drop("word_no")
+    return links.join(words.select(key, "word_no", "first").hint("merge"), [key, "word_no"]).withColumnRenamed("first", "piece_no").drop("word_no")
 
 
 def inverse_permutation(order: Column) -> Column:

@@ -741,3 +741,11 @@ def test_links_gather_no_frame_on_the_driver(spark, tmp_path):
     for df in (exact, number, cell, lk.item_records(q, raw, given, F.lit("train")), lk.relations(q, raw, given)):
         assert "Broadcast" not in _plan(df)
     assert _plan(lk.name_links(q, names)).count("BroadcastExchange") == 1  # the distinct names, each cut once
+
+
+def test_links_to_pieces_gather_no_frame_on_the_driver(spark, tmp_path):
+    links, words = _stored(spark, tmp_path, links=([(1, 0, "a"), (1, 1, "b"), (1, 1, "c")], "item_id long, word_no int, link string"),
+                           words=([(1, 0, 0), (1, 1, 2)], "item_id long, word_no int, first int"))
+    made = ft.links_to_pieces(links, words, "item_id")
+    assert "Broadcast" not in _plan(made)
+    assert sorted((r["link"], r["piece_no"]) for r in made.collect()) == [("a", 0), ("b", 2), ("c", 2)]
