@@ -181,25 +181,31 @@ def label_columns(pattern: Column) -> Column:
             return F.coalesce(F.get(tk, i), F.lit(""))
 
         def label(w, i):
-            before = F.slice(tk, 1, i + 1)
-            clause = F.element_at(F.filter(before, lambda x: x.isin(clauses)), -1)
-            seen = F.filter(before, lambda x: x.isin(nests))
-            selects = F.size(F.filter(before, lambda x: x == "SELECT"))
-            nest = F.when(F.size(seen) > 0, F.array_join(seen, " ")).when(selects > 1, "OP_SEL").otherwise("")
-            last = at(i - 1)
-            direction = lambda j: F.when(at(j) == "{DASC}", "{DASC}").otherwise("ASC")
-            limit = lambda j: F.when((at(j) == "LIMIT") | ((at(j) == "{DASC}") & (at(j + 1) == "LIMIT")), "LIMIT").otherwise("")
-            tail = (
-                F.when((clause == "SELECT") & (last == "("), at(i - 2)).when(clause == "SELECT", "")
-                .when((clause == "WHERE") & ((last == "OR") | (at(i + 3) == "OR")), F.concat(F.lit("OR "), at(i + 1)))
-                .when(clause == "WHERE", at(i + 1)).when(clause == "GROUP_BY", "")
-                .when(clause == "HAVING", F.concat_ws(" ", at(i - 2), at(i + 2)))
-                .when(last == "(", F.concat_ws(" ", at(i - 2), direction(i + 2), limit(i + 2)))
-                .otherwise(F.concat_ws(" ", direction(i + 1), limit(i + 1)))
-            )
-            return F.struct(w.alias("col"), F.trim(F.concat_ws(" ", F.trim(F.concat_ws(" ", nest, clause)), tail)).alias("label"))
-
-        found = F.filter(F.transform(tk, label), lambda x: F.contains(x.col, F.lit("COLUMN")) | (x.col == "*"))
+            def of(u):
+                clause, last = u.clause, at(i - 1)
+                nest = F.when(F.size(u.seen) > 0, F.array_join(u.seen, " ")).when(u.selects > 1, "OP_SEL").otherwise("")
+                direction = lambda j: F.when(at(j) == "{DASC}", "{DASC}").otherwise("ASC")
+                limit = lambda j: F.when((at(j) == "LIMIT") | ((at(j) == "{DASC}") & (at(j + 1) == "LIMIT")), "LIMIT").otherwise("")
+                tail = (
+                    F.when((clause == "SELECT") & (last == "("), at(i - 2)).when(clause == "SELECT", "")
+                    .when((clause == "WHERE") & ((last == "OR") | (at(i + 3) == "OR")), F.concat(F.lit("OR "), at(i + 1)))
+                    .when(clause == "WHERE", at(i + 1)).when(clause == "GROUP_BY", "")
+                    .when(clause == "HAVING", F.concat_ws(" ", at(i - 2), at(i + 2)))
+                    .when(last == "(", F.concat_ws(" ", at(i - 2), direction(i + 2), limit(i + 2)))
+                    .otherwise(F.concat_ws(" ", direction(i + 1), limit(i + 1)))
+                )
+                return F.struct(w.alias("col"), F.trim(F.concat_ws(" ", F.trim(F.concat_ws(" ", nest, clause)), tail)).alias("label"))
+
+            def parts(u):
+                return let(
+                    of, clause=F.element_at(F.filter(u.before, lambda x: x.isin(clauses)), -1), seen=F.filter(u.before, lambda x: x.isin(nests)),
+                    selects=F.size(F.filter(u.before, lambda x: x == "SELECT")),
+                )
+
+            return let(parts, before=F.slice(tk, 1, i + 1))
+
+        is_column = lambda w: F.contains(w, F.lit("COLUMN")) | (w == "*")
+        found = F.filter(F.transform(tk, lambda w, i: F.when(is_column(w), label(w, i))), lambda x: x.isNotNull())
 
         def merged(u):
             cols = F.array_distinct(F.transform(u.found, lambda x: x.col))

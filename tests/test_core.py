@@ -749,3 +749,9 @@ def test_links_to_pieces_gather_no_frame_on_the_driver(spark, tmp_path):
     made = ft.links_to_pieces(links, words, "item_id")
     assert "Broadcast" not in _plan(made)
     assert sorted((r["link"], r["piece_no"]) for r in made.collect()) == [("a", 0), ("b", 2), ("c", 2)]
+
+
+def test_labels_of_columns_only(spark):
+    """Stars and columns get the label of their own clause, direction and limit, several joined in order."""
+    (got,) = spark.sql("select 'SELECT {COLUMN0} , count ( * ) {FROM} WHERE {COLUMN1} {OP0} {VALUE0} GROUP BY {COLUMN0} ORDER BY count ( * ) {DASC} LIMIT {VALUE1}' as p").select(sy.label_columns(F.col("p"))).first()
+    assert got == {"{COLUMN0}": "SELECT GROUP_BY", "*": "SELECT count ORDER_BY count {DASC} LIMIT", "{COLUMN1}": "WHERE {OP0}"}
