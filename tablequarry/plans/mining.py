@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import mining as mi
+from ..session import cut_lineage
 from . import base as b
 from .registry import query
 
@@ -148,7 +149,7 @@ def a7_pattern_counts(t):
     b.using("general") + "select eid, tuned, count(*) over (partition by tuned) as count, question || ' ||| ' || wider || ' ||| ' || query as member from general",
 )
 def a7_pattern_members(t):
-    rows = general(t)
+    rows = cut_lineage(general(t).select("eid", "tuned", "question", "wider", "query"))  # patterns are made once
     counts = rows.groupBy("tuned").agg(F.count(F.lit(1)).alias("count"))
     return rows.join(counts, "tuned").select("eid", "tuned", "count", F.concat_ws(" ||| ", "question", "wider", "query").alias("member"))
 

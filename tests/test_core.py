@@ -755,3 +755,12 @@ def test_labels_of_columns_only(spark):
     """Stars and columns get the label of their own clause, direction and limit, several joined in order."""
     (got,) = spark.sql("select 'SELECT {COLUMN0} , count ( * ) {FROM} WHERE {COLUMN1} {OP0} {VALUE0} GROUP BY {COLUMN0} ORDER BY count ( * ) {DASC} LIMIT {VALUE1}' as p").select(sy.label_columns(F.col("p"))).first()
     assert got == {"{COLUMN0}": "SELECT GROUP_BY", "*": "SELECT count ORDER_BY count {DASC} LIMIT", "{COLUMN1}": "WHERE {OP0}"}
+
+
+def test_pattern_members_make_patterns_once(spark, tmp_path):
+    from tablequarry.plans import QUERIES
+
+    _stored(spark, tmp_path, **{"orders.parquet": ([(i, i, "O", 5.0 + i, "1-HIGH") for i in range(12)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")})
+    made = QUERIES["a7_pattern_members"](spark, str(tmp_path))
+    assert "regexp_replace" not in _plan(made)
+    assert {r["count"] for r in made.collect()} == {2} and made.count() == 12
