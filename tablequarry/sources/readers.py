@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.binding import let
 from ..functions.names import first_words, is_number_text, name_from_title, qualify
 from ..functions.seeded import unit
 
@@ -106,11 +107,6 @@ def parse_marked_lines(lines: DataFrame, key: str, seed: int = 0) -> DataFrame:
     text = F.lower("value")
     for mark, new in MARKS:
         text = F.replace(text, F.lit(mark), F.lit(new))
-    chunks = F.split(text, " <coln> ")
-    titled = F.filter(F.col("__chunks"), lambda c: F.contains(c, F.lit("<tabn>")))
-    title = F.trim(F.replace(F.element_at(titled, -1), F.lit("<tabn>"), F.lit("")))
-    pairs = F.transform(F.filter(F.col("__chunks"), lambda c: ~F.contains(c, F.lit("<tabn>"))), lambda c: F.split(c, " <entry> "))
-    good = F.filter(pairs, lambda p: (F.size(p) == 2) & (F.length(F.trim(F.get(p, F.lit(0)))) > 1))
 
     def column(p, i):
         original, cell = F.trim(F.get(p, F.lit(0))), F.trim(F.get(p, F.lit(1)))
@@ -119,12 +115,20 @@ def parse_marked_lines(lines: DataFrame, key: str, seed: int = 0) -> DataFrame:
             F.when(is_number_text(cell), "real").otherwise("text").alias("type"), first_words(cell, 5).alias("value"),
         )
 
-    found = (
-        lines.withColumn("__chunks", chunks).withColumn("name", name_from_title(title, seed, key))
-        .withColumn("cols", F.transform(good, column))
-        .filter((F.length("name") >= 2) & (F.size("cols") >= 3))
-    )
-    return found.select(key, "name", qualify(F.col("name"), F.col("cols")).alias("cols"))
+    def parts(v):
+        titled = F.filter(v.chunks, lambda c: F.contains(c, F.lit("<tabn>")))
+        title = F.trim(F.replace(F.element_at(titled, -1), F.lit("<tabn>"), F.lit("")))
+        pairs = F.transform(F.filter(v.chunks, lambda c: ~F.contains(c, F.lit("<tabn>"))), lambda c: F.split(c, " <entry> "))
+        good = F.filter(pairs, lambda p: (F.size(p) == 2) & (F.length(F.trim(F.get(p, F.lit(0)))) > 1))
+        return let(kept, name=name_from_title(title, seed, key), cols=F.transform(good, column))
+
+    def kept(v):
+        whole = F.struct(v["name"].alias("name"), qualify(v["name"], v.cols).alias("cols"))
+        return F.when((F.length(v["name"]) >= 2) & (F.size(v.cols) >= 3), F.array(whole))
+
+    # A filter would be pushed under the parse and make it run again; the explode parses a line once.
+    tables = F.explode(let(parts, chunks=F.split(text, " <coln> ")))
+    return lines.select(key, tables.alias("t")).select(key, "t.name", "t.cols")
 
 
 def read_marked_tables(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:

@@ -764,3 +764,11 @@ def test_pattern_members_make_patterns_once(spark, tmp_path):
     made = QUERIES["a7_pattern_members"](spark, str(tmp_path))
     assert "regexp_replace" not in _plan(made)
     assert {r["count"] for r in made.collect()} == {2} and made.count() == 12
+
+
+def test_marked_lines_are_parsed_once(spark, tmp_path):
+    line = "<special7> big list <special8> a b <special9> 1 <special8> cd <special9> x y <special8> ef <special9> z"
+    (lines,) = _stored(spark, tmp_path, lines=([(1, line), (2, "<special7> big <special8> a b <special9> 1"), (3, None), (4, line.replace("big list", "1"))], "table_id long, value string"))
+    made = rd.parse_marked_lines(lines, "table_id").select("table_id", F.explode("cols").alias("c")).filter("c.pos is not null")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("lower(value") == 1
+    assert [(r["table_id"], r["c"]["pos"], r["c"]["original"], r["c"]["type"]) for r in made.collect()] == [(1, 0, "*", "text"), (1, 1, "a b", "real"), (1, 2, "cd", "text"), (1, 3, "ef", "text")]
