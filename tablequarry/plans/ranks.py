@@ -159,7 +159,8 @@ def k9_same_pointers(t):
        select rule_id, parent, child, min(rule_id) over (partition by kind, parent) as first_id, max(rule_id) over (partition by kind, parent) as last_id from n""",
 )
 def a11_productions(t):
-    q = b.slot_queries(t)
+    # The nodes that a query gives follow from its aggregate and operators; only their distinct kinds are carried on.
+    q = b.slot_queries(t).select("agg", F.transform("conds", lambda c: F.struct(c.op.alias("op"))).alias("conds")).distinct()
     node = lambda df, s, ty, f: df.select(s.alias("sum_type"), ty.alias("type"), f.alias("fields"))
     none = F.lit(None).cast("string")
     nodes = node(q, none, F.lit("sql"), F.when(F.size("conds") > 0, "select where").otherwise("select"))

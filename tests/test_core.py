@@ -772,3 +772,13 @@ def test_marked_lines_are_parsed_once(spark, tmp_path):
     made = rd.parse_marked_lines(lines, "table_id").select("table_id", F.explode("cols").alias("c")).filter("c.pos is not null")
     assert made._jdf.queryExecution().optimizedPlan().toString().count("lower(value") == 1
     assert [(r["table_id"], r["c"]["pos"], r["c"]["original"], r["c"]["type"]) for r in made.collect()] == [(1, 0, "*", "text"), (1, 1, "a b", "real"), (1, 2, "cd", "text"), (1, 3, "ef", "text")]
+
+
+def test_productions_draw_the_queries_at_most_twice(spark, tmp_path):
+    from tablequarry.plans import QUERIES
+
+    _stored(spark, tmp_path, **{"orders.parquet": ([(i, i, "O", 5.0 + i, "1-HIGH") for i in range(40)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")})
+    made = QUERIES["a11_productions"](spark, str(tmp_path))
+    rules = [tuple(r) for r in made.collect()]
+    assert [r[0] for r in sorted(rules)] == list(range(len(rules))) and {r[1] for r in rules} >= {"agg", "op", "sql", "cond*"}
+    assert _plan(made).split("== Initial Plan ==")[0].count("Scan parquet") <= 2  # with and without the filter of the explode
