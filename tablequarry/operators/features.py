@@ -1,6 +1,9 @@
 """Training rows for encoders: ids, masks, labels, spans."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.binding import let
 from ..functions.names import first_words, short_header
@@ -414,22 +417,65 @@ def paired_features(rows: DataFrame, question: str, sql: str, labels: str, lengt
     return made.withColumn("error", F.coalesce(count("q_seps") != count("s_seps"), F.lit(True)))
 
 
-def sequence_ids(rows: DataFrame, key: str, sequences: list[str], vocab: DataFrame, unknown: int = 0) -> DataFrame:
+#: So many words of a vocabulary, the most frequent ones, go whole to the tasks.
+KNOWN_WORDS = 20_000
+
+
+def _known_ids(vocab: DataFrame, most: int):
+    """The ids of a list of words, as a column function: NULL for a word that is not among the most frequent of the vocabulary."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ordered = vocab.orderBy(F.desc("n"), "id") if "n" in vocab.columns else vocab
+    top = ordered.select("word", "id").filter("word is not null").limit(most).collect()
+    sent = vocab.sparkSession.sparkContext.broadcast(([r.word for r in top], [r.id for r in top]))
+
+    def look_up(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, ids = pa.array(sent.value[0], pa.string()), pa.array(sent.value[1], pa.int32())
+        for batch in lists:
+            found = ids.take(pc.index_in(batch.flatten().cast(pa.string()), words, skip_nulls=True))
+            ends = pc.cumulative_sum(pc.list_value_length(batch)).to_pylist()
+            yield pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), found)
+
+    look_up.__annotations__ = {"lists": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(look_up, ArrayType(IntegerType()))
+
+
+def sequence_ids(rows: DataFrame, key: str, sequences: list[str], vocab: DataFrame, unknown: int = 0, known: int = KNOWN_WORDS) -> DataFrame:
     """Ids of several token lists of a row in one pass: the key and each list as ids under its name.
 
-    Words beyond the vocabulary (id, word) get ``unknown``; an empty or NULL list stays empty.
+    Words beyond the vocabulary (id, word) get ``unknown``; an empty or NULL list stays empty. The
+    ``known`` most frequent words are looked up on the row. Only the others meet the vocabulary
+    in a join, once a row, so no word that many rows hold is a key of it. ``rows`` are read twice.
     """
-    tagged = F.flatten(F.array(*[_tagged(c, k) for k, c in enumerate(sequences)]))
-    flat = rows.select(key, F.explode_outer(tagged).alias("t")).select(key, "t.*")
-    found = flat.join(vocab.select("word", F.col("id").alias("__id")), "word", "left").withColumn("__id", F.coalesce("__id", F.lit(unknown)))
-    at = F.when(F.col("pos").isNotNull(), F.struct("pos", "__id"))
-    lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") == k, at))), lambda x: x["__id"]).alias(c) for k, c in enumerate(sequences)]
-    return found.groupBy(key).agg(*lists)
+    none = F.expr("cast(array() as array<string>)")
+    lists = [F.coalesce(F.col(c), none) for c in sequences]
+    flat = rows.select(key, F.concat(*lists).alias("__words"), F.array(*[F.size(x) for x in lists]).alias("__sizes"))
+    flat = flat.withColumn("__ids", _known_ids(vocab, known)("__words"))
+    flat = flat.withColumn("__open", F.zip_with("__words", "__ids", lambda w, x: F.when(x.isNull(), w))).drop("__words")
+    others = flat.select(key, F.explode(F.array_distinct(F.filter("__open", lambda w: w.isNotNull()))).alias("word"))
+    met = others.join(vocab.select("word", F.col("id").alias("__id")).hint("merge"), "word").select(key, F.struct("word", "__id").alias("__met"))
+    both = flat.select(key, F.struct("__sizes", "__ids", "__open").alias("__row")).unionByName(met, allowMissingColumns=True)
+    grouped = both.groupBy(key).agg(F.collect_list("__row").alias("__rows"), F.collect_list("__met").alias("__met"))
 
+    def id_of(x, w):
+        found = F.get(F.filter("__met", lambda m: m["word"] == w), F.lit(0))["__id"]
+        return F.coalesce(x, F.when(w.isNotNull(), found), F.lit(unknown))
 
-def _tagged(sequence: str, k: int) -> Column:
-    none = F.expr("cast(array() as array<string>)")
-    return F.transform(F.coalesce(F.col(sequence), none), lambda w, i: F.struct(F.lit(k).alias("seq"), i.alias("pos"), w.alias("word")))
+    def filled(row):
+        return F.struct(row["__sizes"].alias("sizes"), F.zip_with(row["__ids"], row["__open"], id_of).alias("ids"))
+
+    whole = grouped.select(key, F.transform("__rows", filled).alias("__rows"))
+
+    def part(row, k):
+        before = F.aggregate(F.slice(row["sizes"], 1, k), F.lit(0), lambda a, n: a + n) if k else F.lit(0)
+        return F.slice(row["ids"], before + 1, F.get(row["sizes"], F.lit(k)))
+
+    def together(k):
+        placed = F.flatten(F.transform("__rows", lambda row: F.transform(part(row, k), lambda x, i: F.struct(i.alias("i"), x.alias("x")))))
+        return F.when(F.size("__rows") == 1, part(F.get("__rows", F.lit(0)), k)).otherwise(F.transform(F.array_sort(placed), lambda p: p["x"]))
+
+    return whole.select(key, *[together(k).alias(c) for k, c in enumerate(sequences)])
 
 
 def _at_separators(toks: Column) -> Column:
@@ -451,23 +497,28 @@ def three_sequences(rows: DataFrame, key: str, names: tuple[str, str, str], labe
 
     Pad is id 1, label -1 and false. A row with an error keeps its features.
     """
+    from ..session import stored_rows
+
     main, question, sql = names
     cut = rows.select(key, F.col(labels).alias("__labels"), *[F.slice(n, 1, length).alias(n) for n in names])
     made = cut.withColumn("__m", mask_words(F.col(main), words, seed, key))
-    made = made.withColumns({"__input": F.col("__m.toks") if masked else F.col(main), "__old": F.col("__m.labels")})
-    ids = sequence_ids(made, key, ["__input", "__old", question, sql], vocab)
-    ids = ids.select(key, F.col("__input").alias("__ids"), F.col("__old").alias("__old_ids"), F.col(question).alias("__q_ids"), F.col(sql).alias("__s_ids"))
-    both = made.join(ids, key)
-    old = F.transform("__old_ids", lambda x, i: F.when(F.get("__old", i) == "", NO_LABEL).otherwise(x))
     n_cols = lambda c: F.greatest(F.size(separators(F.col(c))) - 1, F.lit(0))
     wrong = (n_cols(main) != F.size("__labels")) | (n_cols(question) != n_cols(sql))
+    made = stored_rows(made.select(
+        key, (F.col("__m.toks") if masked else F.col(main)).alias("__input"), F.col("__m.labels").alias("__old"), question, sql,
+        fit(column_label_ids(F.col(main), F.col("__labels")), length, NO_LABEL).alias("col_label_ids"),
+        fit(_at_separators(F.col(question)), length, False).alias("question_cols"), fit(_at_separators(F.col(sql)), length, False).alias("sql_cols"),
+        F.transform("__m.labels", lambda w: w != "").alias("__chosen"), F.coalesce(wrong, F.lit(True)).alias("error"),
+    ))
+    ids = sequence_ids(made, key, ["__input", "__old", question, sql], vocab)
+    ids = ids.select(key, F.col("__input").alias("__ids"), F.col("__old").alias("__old_ids"), F.col(question).alias("__q_ids"), F.col(sql).alias("__s_ids"))
+    both = made.drop("__input", "__old", question, sql).join(ids.hint("merge"), key)
+    old = F.transform("__old_ids", lambda x, i: F.when(~F.get("__chosen", i), NO_LABEL).otherwise(x))
     return both.select(
         key, fit(F.col("__ids"), length, PAD_ID).alias("ids"), input_mask(F.col("__ids"), length).alias("mask"),
-        fit(column_label_ids(F.col(main), F.col("__labels")), length, NO_LABEL).alias("col_label_ids"), fit(old, length, NO_LABEL).alias("lm_label_ids"),
-        fit(F.col("__q_ids"), length, PAD_ID).alias("question_ids"), input_mask(F.col("__q_ids"), length).alias("question_mask"),
-        fit(_at_separators(F.col(question)), length, False).alias("question_cols"),
-        fit(F.col("__s_ids"), length, PAD_ID).alias("sql_ids"), input_mask(F.col("__s_ids"), length).alias("sql_mask"),
-        fit(_at_separators(F.col(sql)), length, False).alias("sql_cols"), F.coalesce(wrong, F.lit(True)).alias("error"),
+        "col_label_ids", fit(old, length, NO_LABEL).alias("lm_label_ids"),
+        fit(F.col("__q_ids"), length, PAD_ID).alias("question_ids"), input_mask(F.col("__q_ids"), length).alias("question_mask"), "question_cols",
+        fit(F.col("__s_ids"), length, PAD_ID).alias("sql_ids"), input_mask(F.col("__s_ids"), length).alias("sql_mask"), "sql_cols", "error",
     )
 
 

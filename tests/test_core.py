@@ -782,3 +782,16 @@ def test_productions_draw_the_queries_at_most_twice(spark, tmp_path):
     rules = [tuple(r) for r in made.collect()]
     assert [r[0] for r in sorted(rules)] == list(range(len(rules))) and {r[1] for r in rules} >= {"agg", "op", "sql", "cond*"}
     assert _plan(made).split("== Initial Plan ==")[0].count("Scan parquet") <= 2  # with and without the filter of the explode
+
+
+def test_words_of_many_rows_are_looked_up_on_the_row(spark):
+    """Ids are the same however many words are looked up on the row."""
+    rows = spark.createDataFrame([(i, ["a", "b", f"w{i}", None, "zz"], ["a"] if i else None) for i in range(40)], "key int, one array<string>, two array<string>")
+    rows = rows.unionByName(rows.filter("key = 7"))  # a key that stands twice
+    vocab = spark.createDataFrame([(1, "a", 80), (2, "b", 40)] + [(10 + i, f"w{i}", 1) for i in range(40)], "id int, word string, n long")
+    got = {}
+    for known in (1, 2, 50):
+        got[known] = {r.key: r for r in ft.sequence_ids(rows, "key", ["one", "two"], vocab, known=known).collect()}
+    assert got[1] == got[2] == got[50] and len(got[2]) == 40
+    assert got[2][3].one == [1, 2, 13, 0, 0] and got[2][3].two == [1] and got[2][0].two == []
+    assert got[2][7].one == [1, 1, 2, 2, 17, 17, 0, 0, 0, 0] and got[2][7].two == [1, 1]
