@@ -90,22 +90,26 @@ def execution_guided(selects: DataFrame, conditions: DataFrame, counts: DataFram
     selects: item_id, table_id, sel, agg, prob; conditions: item_id, col, op, val, is_num,
     prob; counts: item_id, n, prob. The best of the k most likely allowed select pairs is
     taken (the k-th if none is allowed). Each of the k most likely conditions is run alone
-    with it, all items in one job. The number of conditions has the largest product of its
+    with it, all items in one job. The chosen pairs and the queries that are tried are stored
+    once. The number of conditions has the largest product of its
     own probability and that of the last condition taken.
     """
+    from ..session import stored_rows
     from .slotquery import allowed_pair, with_answer
 
     best = ranked_by_score(selects, ["item_id"], [F.desc("prob"), "sel", "agg"], k, "rank")
-    typed = best.join(tables.select("table_id", "types"), "table_id").withColumn("ok", allowed_pair(F.get("types", F.col("sel")), F.col("agg")))
+    pairs = best.groupBy("item_id", "table_id").agg(F.collect_list(F.struct("rank", "sel", "agg")).alias("pairs"))
+    typed = pairs.join(tables.select("table_id", "types"), "table_id").select("item_id", "table_id", "types", F.explode("pairs").alias("p")).select("*", "p.*")
+    typed = typed.withColumn("ok", allowed_pair(F.get("types", F.col("sel")), F.col("agg")))
     order = F.struct(F.when(F.col("ok"), 0).otherwise(1), F.when(F.col("ok"), F.col("rank")).otherwise(-F.col("rank")))
-    chosen = typed.groupBy("item_id").agg(F.min_by(F.struct("table_id", "sel", "agg"), order).alias("s")).select("item_id", "s.*")
+    chosen = stored_rows(typed.groupBy("item_id").agg(F.min_by(F.struct("table_id", "sel", "agg"), order).alias("s")).select("item_id", "s.*"))
 
     top = ranked_by_score(conditions, ["item_id"], [F.desc("prob"), "col", "op", "val"], k, "rank")
     cond = F.struct("col", "op", "val", "is_num")
-    tried = top.join(chosen, "item_id").select(
+    tried = stored_rows(top.join(chosen, "item_id").select(
         F.concat_ws(":", F.col("item_id").cast("string"), F.col("rank").cast("string")).alias("query_id"), "item_id", "table_id", "sel", "agg",
         F.array(cond).alias("conds"), "prob", "rank",
-    )
+    ))
     good = with_answer(tried, tables, rows)
     listed = good.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "prob", F.get("conds", F.lit(0)).alias("cond")))).alias("found"))
     chances = counts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "prob"))).alias("p_n"))

@@ -176,7 +176,7 @@ def _read_blocks(asked: DataFrame, data: DataFrame, tables: DataFrame, block: in
 
 
 def _selected(ready: DataFrame, rows: DataFrame, tables: DataFrame, part: int, block: int) -> DataFrame:
-    """query_id, agg, sel_type, row_id, txt (the selected cell) for every selected row."""
+    """query_id, agg, sel_type, row_id, txt (the selected cell) and num (its number) for every selected row, and whether its table has several blocks."""
     from ..session import cut_lineage
 
     asked = ready.filter(~F.col("error")).select("query_id", "table_id", "sel", "agg", "sel_type", "conds")
@@ -186,13 +186,14 @@ def _selected(ready: DataFrame, rows: DataFrame, tables: DataFrame, part: int, b
     def whole(df):
         return df.withColumns({"col": F.lit(_ROWS), "block": F.lit(0).cast("long")})
 
-    left, right, near = whole(asked), whole(data), F.lit(True)
+    left, right, near, of_blocks = whole(asked), whole(data), F.lit(True), F.lit(False)
     if not large.isEmpty():
         of_large = lambda df, how: df.join(large, "table_id", how)
         read, blocks = _read_blocks(of_large(asked, "left_semi"), of_large(data, "left_semi"), tables, block)
         left = of_large(left, "left_anti").unionByName(read, allowMissingColumns=True)
         right = of_large(right, "left_anti").unionByName(blocks, allowMissingColumns=True)
         near = F.coalesce((F.col("place") > F.col("first")) & (F.col("place") <= F.col("last")), F.lit(True))
+        of_blocks = F.col("place").isNotNull()
     parts = left.groupBy(*_IN_BLOCK).agg(F.ceil(F.count(F.lit(1)) / part).alias("parts")).filter("parts > 1")
     several = cut_lineage(parts)
     if not several.isEmpty():
@@ -201,7 +202,8 @@ def _selected(ready: DataFrame, rows: DataFrame, tables: DataFrame, part: int, b
         right = right.join(several, _IN_BLOCK, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("parts")
     both = left.join(right, [c for c in left.columns if c in (*_IN_BLOCK, "part")]).filter(near)
     return both.filter(F.forall("conds", lambda c: holds(F.col("cells"), c, F.col("nums")))).select(
-        "query_id", "agg", "sel_type", "row_id", F.get("cells", F.col("sel")).alias("txt")
+        "query_id", "agg", "sel_type", "row_id", F.get("cells", F.col("sel")).alias("txt"),
+        F.get("nums", F.col("sel")).alias("num"), of_blocks.alias("of_blocks"),
     )
 
 
@@ -215,7 +217,7 @@ def _run(queries: DataFrame, tables: DataFrame, rows: DataFrame, part: int = PAR
 
 def matches(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """The rows each query selects: query_id, agg, sel_type, row_id, txt (the selected cell)."""
-    return _run(queries, tables, rows, **options)[1]
+    return _run(queries, tables, rows, **options)[1].drop("num", "of_blocks")
 
 
 def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
@@ -230,7 +232,7 @@ def summaries(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options)
 
 
 def _totals(ready: DataFrame, found: DataFrame) -> DataFrame:
-    number = F.when(F.col("sel_type") == "real", strict_number(F.col("txt")))
+    number = F.when(F.col("sel_type") == "real", F.col("num"))
     summand = F.when(F.col("txt").isNotNull(), F.coalesce(number, leading_number(F.col("txt"))))
     text = F.when(F.col("sel_type") != "real", F.col("txt"))
     totals = found.groupBy("query_id").agg(
@@ -254,7 +256,8 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
     A number is written ``n`` and its rounded value, a text ``t`` and the text, so a list
     of one number equals an aggregate with that number. An aggregate is a list of one; a
     query that cannot run has the one cell ``error``. All queries run together; the rows they
-    select are written to the checkpoint folder, as aggregates and lists both read them.
+    select are written to the checkpoint folder, as aggregates and lists both read them. A
+    list from a table of one block is numbered in one task, longer ones over ranges.
     """
     from ..session import cut_lineage
     from .ordered import running_number
@@ -270,24 +273,34 @@ def answer_items(queries: DataFrame, tables: DataFrame, rows: DataFrame, digits:
         F.when(F.col("error"), "error").otherwise(F.coalesce(number(F.col("num")), F.concat(F.lit("t"), F.col("txt")), F.lit("none"))).alias("cell"),
     )
     text = F.concat(F.lit("t"), F.col("txt"))
-    cell = F.when(F.col("sel_type") == "real", F.coalesce(number(strict_number(F.col("txt"))), text)).otherwise(text)
-    kept = found.filter("agg = 0").select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell"))
-    placed = running_number(kept, ["query_id"], "row_id", "place")
-    return single.unionByName(placed.select("query_id", "place", "cell"))
+    cell = F.when(F.col("sel_type") == "real", F.coalesce(number(F.col("num")), text)).otherwise(text)
+    kept = found.filter("agg = 0").select("query_id", "row_id", F.coalesce(cell, F.lit("none")).alias("cell"), "of_blocks")
+    inside = F.row_number().over(Window.partitionBy("query_id").orderBy("row_id")).cast("long")
+    placed = [kept.filter(~F.col("of_blocks")).withColumn("place", inside)]
+    long = kept.filter("of_blocks")
+    if not long.isEmpty():
+        placed.append(running_number(long, ["query_id"], "row_id", "place"))
+    for lists in placed:
+        single = single.unionByName(lists.select("query_id", "place", "cell"))
+    return single
 
 
 def answer_digests(queries: DataFrame, tables: DataFrame, rows: DataFrame, **options) -> DataFrame:
     """One row per query with its whole answer in comparable form: query_id, error, n_items, answer.
 
-    Each item is hashed with its place and the hashes are summed exactly, so two lists of
-    any length are compared without gathering either in one task.
+    Each item is hashed with its place and the hashes are summed exactly (their halves as long
+    numbers), so two long lists are compared without gathering either in one task.
     """
+    def total(digest):
+        high, low = F.sum(F.shiftright(digest, 32)), F.sum(digest.bitwiseAND(F.lit((1 << 32) - 1)))
+        return high.cast("decimal(38,0)") * F.lit(1 << 32) + low
+
     whole = F.col("cell") != "error"
     digest = answer_items(queries, tables, rows, **options).groupBy("query_id").agg(
         F.max(~whole).alias("error"), F.count_if(whole).alias("n_items"),
         F.concat_ws(
-            "|", F.sum(F.xxhash64("place", "cell").cast("decimal(38,0)")).cast("string"),
-            F.sum(F.xxhash64(F.lit(17), "cell", "place").cast("decimal(38,0)")).cast("string"),
+            "|", total(F.xxhash64("place", "cell")).cast("decimal(38,0)").cast("string"),
+            total(F.xxhash64(F.lit(17), "cell", "place")).cast("decimal(38,0)").cast("string"),
         ).alias("answer"),
     )
     return queries.select("query_id").join(digest, "query_id", "left").select(
@@ -300,9 +313,13 @@ def with_answer(candidates: DataFrame, tables: DataFrame, rows: DataFrame, **opt
     """Keep the candidates whose answer list is not empty.
 
     MAX, MIN, COUNT, SUM and AVG always give a list of one item; a plain list must have rows.
+    All candidates run, but only the number of their rows leaves the run.
     """
-    total = summaries(candidates, tables, rows, **options)
-    good = total.filter(~F.col("error") & ((F.col("agg") > 0) | (F.col("n_rows") > 0)))
+    ready, found = _run(candidates, tables, rows, **options)
+    selected = found.groupBy("query_id").agg(F.count("row_id").alias("n_rows"))
+    runs = ready.filter(~F.col("error")).select("query_id", (F.col("agg") > 0).alias("one"))
+    both = runs.unionByName(selected, allowMissingColumns=True).groupBy("query_id").agg(F.max("one").alias("one"), F.max("n_rows").alias("n_rows"))
+    good = both.filter("one or n_rows > 0")
     return candidates.join(good.select("query_id"), "query_id", "left_semi")
 
 

@@ -795,3 +795,29 @@ def test_words_of_many_rows_are_looked_up_on_the_row(spark):
     assert got[1] == got[2] == got[50] and len(got[2]) == 40
     assert got[2][3].one == [1, 2, 13, 0, 0] and got[2][3].two == [1] and got[2][0].two == []
     assert got[2][7].one == [1, 1, 2, 2, 17, 17, 0, 0, 0, 0] and got[2][7].two == [1, 1]
+
+
+def counted(spark, df, column):
+    """The frame with a counter of the rows that its column is made for."""
+    count = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        count.add(1)
+        return x
+
+    made = F.udf(seen, df.schema[column].dataType).asNondeterministic()
+    return df.withColumn(column, made(column)), count
+
+
+def test_execution_guided_reads_its_parts_once(spark):
+    tables = spark.createDataFrame([("t", ["text", "real"])], "table_id string, types array<string>")
+    rows = spark.createDataFrame([("t", i, [f"c{i}", str(i)]) for i in range(5)], "table_id string, row_id long, cells array<string>")
+    selects = spark.createDataFrame([(i, "t", s, a, 0.1 * s + 0.01 * a) for i in range(6) for s in (0, 1) for a in (0, 3, 5)], "item_id int, table_id string, sel int, agg int, prob double")
+    conds = [(i, 0, 0, v, False, p) for i in range(6) for v, p in (("c1", 0.9), ("nowhere", 0.95))]
+    conditions = spark.createDataFrame(conds, "item_id int, col int, op int, val string, is_num boolean, prob double")
+    counts = spark.createDataFrame([(i, n, 0.2 + 0.1 * n) for i in range(6) for n in range(3)], "item_id int, n int, prob double")
+    selects, n_selects = counted(spark, selects, "prob")
+    conditions, n_conditions = counted(spark, conditions, "prob")
+    got = rk.execution_guided(selects, conditions, counts, tables, rows, 2).collect()
+    assert n_selects.value == 36 and n_conditions.value == 12
+    assert len(got) == 6 and all((r.sel, r.agg) == (1, 5) and [c.val for c in r.conds] in (["nowhere", "c1"], ["nowhere"]) for r in got)
