@@ -60,8 +60,14 @@ def execution_scores(gold, predicted, tables, rows, lenient: bool = False) -> Da
     """query_id, ex (answers equal), lf (logical form equal).
 
     Strict: answer lists are equal; a failed prediction or one that cannot run is wrong.
-    Lenient: an empty predicted list is wrong as well.
+    Lenient: an empty predicted list is wrong as well. Both frames are stored, as they are run
+    and compared.
     """
+    from ..session import stored_rows
+
+    gold = stored_rows(gold.select("query_id", "table_id", "sel", "agg", "conds"))
+    predicted = stored_rows(predicted.select("query_id", "table_id", "sel", "agg", "conds", *[c for c in predicted.columns if c == "failed"]))
+
     def side(df, name):
         return df.select(F.concat(F.lit(name), F.col("query_id").cast("string")).alias("query_id"), "table_id", "sel", "agg", "conds")
 

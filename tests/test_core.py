@@ -821,3 +821,16 @@ def test_execution_guided_reads_its_parts_once(spark):
     got = rk.execution_guided(selects, conditions, counts, tables, rows, 2).collect()
     assert n_selects.value == 36 and n_conditions.value == 12
     assert len(got) == 6 and all((r.sel, r.agg) == (1, 5) and [c.val for c in r.conds] in (["nowhere", "c1"], ["nowhere"]) for r in got)
+
+
+def test_execution_scores_read_the_queries_once(spark):
+    tables = spark.createDataFrame([("t", ["text", "real"])], "table_id string, types array<string>")
+    rows = spark.createDataFrame([("t", i, [f"c{i % 3}", str(i)]) for i in range(9)], "table_id string, row_id long, cells array<string>")
+    schema = "query_id int, table_id string, sel int, agg int, conds array<struct<col:int,op:int,val:string,is_num:boolean>>"
+    gold = spark.createDataFrame([(1, "t", 1, 0, [(0, 0, "c1", False)]), (2, "t", 1, 4, []), (3, "t", 0, 0, [(1, 1, "6", True)])], schema)
+    made = spark.createDataFrame([(1, "t", 1, 0, [(0, 0, "C1", False)]), (2, "t", 1, 5, []), (3, "t", 0, 0, [(1, 1, "5", True)])], schema)
+    gold, n_gold = counted(spark, gold, "sel")
+    made, n_made = counted(spark, made, "sel")
+    got = {r.query_id: (r.ex, r.lf) for r in sc.execution_scores(gold, made, tables, rows).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+    assert n_gold.value == 3 and n_made.value == 3
