@@ -106,12 +106,18 @@ def execution_guided(selects: DataFrame, conditions: DataFrame, counts: DataFram
 
     top = ranked_by_score(conditions, ["item_id"], [F.desc("prob"), "col", "op", "val"], k, "rank")
     cond = F.struct("col", "op", "val", "is_num")
-    tried = stored_rows(top.join(chosen, "item_id").select(
-        F.concat_ws(":", F.col("item_id").cast("string"), F.col("rank").cast("string")).alias("query_id"), "item_id", "table_id", "sel", "agg",
-        F.array(cond).alias("conds"), "prob", "rank",
-    ))
-    good = with_answer(tried, tables, rows)
-    listed = good.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "prob", F.get("conds", F.lit(0)).alias("cond")))).alias("found"))
+    tried = top.join(chosen, "item_id").groupBy("item_id", "table_id", "sel", "agg").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "prob", cond.alias("cond")))).alias("tried")
+    )
+    tried = stored_rows(tried)
+    alone = tried.select("item_id", "table_id", "sel", "agg", F.explode("tried").alias("c")).select(
+        F.concat_ws(":", F.col("item_id").cast("string"), F.col("c.rank").cast("string")).alias("query_id"), "item_id", "table_id", "sel", "agg",
+        F.array("c.cond").alias("conds"), F.col("c.rank").alias("rank"),
+    )
+    good = with_answer(alone, tables, rows).groupBy("item_id").agg(F.collect_list("rank").alias("ranks"))
+    listed = tried.select("item_id", "tried").join(good.hint("merge"), "item_id").select(
+        "item_id", F.filter("tried", lambda c: F.array_contains("ranks", c["rank"])).alias("found")
+    )
     chances = counts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "prob"))).alias("p_n"))
     both = chosen.join(chances, "item_id").join(listed, "item_id", "left")
     found = F.coalesce("found", F.slice(F.array(F.struct(F.lit(0).alias("rank"), F.lit(0.0).alias("prob"), F.struct(F.lit(0).alias("col"), F.lit(0).alias("op"), F.lit("").alias("val"), F.lit(False).alias("is_num")).alias("cond"))), 1, 0))
