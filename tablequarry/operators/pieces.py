@@ -4,10 +4,15 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pac
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..session import stored_rows
+
 UNKNOWN = "[UNK]"
 LONGEST_WORD = 100
 
@@ -109,8 +114,9 @@ def by_broadcast(split_words, shared):
 
 def _spans(words: DataFrame, least: int, most: Column) -> DataFrame:
     """All parts of each word with ``least`` to ``most`` letters: word, first (from 0), part."""
-    starts = words.withColumn("first", F.explode(F.sequence(F.lit(0), F.length("word") - least)))
-    sizes = F.explode(F.sequence(F.lit(least), F.least(most, F.length("word") - F.col("first"))))
+    starts = words.filter(F.length("word") >= least).withColumn("first", F.explode(F.sequence(F.lit(0), F.length("word") - least)))
+    last = F.least(most, F.length("word") - F.col("first"))
+    sizes = F.explode(F.when(last >= least, F.sequence(F.lit(least), last)))
     return starts.withColumn("size", sizes).select("word", "first", F.expr("substring(word, first + 1, size)").alias("part"))
 
 
@@ -120,26 +126,53 @@ def by_vocabulary(vocabulary: DataFrame, longest: int = LONGEST_WORD):
     The parts of the distinct words are joined with the vocabulary; the longest known part
     from each letter on is a step, and a word's pieces are the steps from its first letter.
     Later pieces carry ``##``. A word that the steps do not cover, or longer than
-    ``longest``, is unknown.
+    ``longest``, is unknown. Only parts as long as a piece can be are made. Pieces of one
+    letter, no more than there are letters in Unicode, are looked up in the tasks instead: nearly
+    every letter would be a row, and a frequent letter a key of many rows.
     """
     def cut(words: DataFrame) -> DataFrame:
+        listed = vocabulary.select("piece").filter("piece != ''").distinct()
+        marked = F.col("piece").startswith("##") & (F.length("piece") > 2)
+        # A piece that begins with the mark is also a beginning of words that do.
+        later = F.when(marked, F.length("piece") - 2)
+        sizes = listed.agg(F.max(F.length("piece")).alias("first"), F.max(later).alias("later")).first()
+        single = [r.piece for r in listed.filter((F.length("piece") == 1) | (later == 1)).collect()]
+        sent = words.sparkSession.sparkContext.broadcast(frozenset(single))
+
         short = words.filter(F.length("word").between(1, longest))
-        found = _spans(short, 1, F.length("word")).withColumn("piece", F.concat(F.when(F.col("first") > 0, "##").otherwise(""), "part"))
-        known = found.join(vocabulary.select("piece").distinct(), "piece").groupBy("word", "first").agg(F.max(F.length("part")).alias("size"))
-        steps = known.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("first", "size"))).alias("steps"))
+        most = F.when(F.col("first") == 0, F.least(F.length("word"), F.lit(sizes["first"] or 0))).otherwise(
+            F.least(F.length("word") - F.col("first"), F.lit(sizes["later"] or 0))
+        )
+        piece = F.concat(F.when(F.col("first") > 0, "##").otherwise(""), "part")
+        step = F.col("first") * (longest + 1) + F.length("part")
+        found = _spans(short, 2, most).select("word", step.alias("step"), piece.alias("piece"))
+        steps = found.join(listed.hint("shuffle_hash"), "piece").groupBy("word").agg(F.collect_list("step").alias("steps"))
+
+        def walked(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, known in columns:
+                lists = [_walk(w, s, sent.value, longest) for w, s in zip(texts.to_pylist(), known.to_pylist())]
+                yield pa.array(lists, pa.list_(pa.string()))
+
+        pieces = F.arrow_udf(walked, ArrayType(StringType()))
+        return words.join(steps.hint("merge"), "word", "left").select("word", pieces("word", "steps").alias("pieces"))
 
-        def walk(state, _):
-            size = F.try_element_at("steps", state["at"])
-            piece = F.concat(F.when(state["at"] > 0, "##").otherwise(""), F.col("word").substr(state["at"] + 1, size))
-            on = size.isNotNull()
-            return F.when(on, F.struct((state["at"] + size).alias("at"), F.concat(state["found"], F.array(piece)).alias("found"))).otherwise(state)
+    return cut
 
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("found"))
-        walked = words.join(steps, "word", "left").withColumn("walk", F.aggregate(F.sequence(F.lit(1), F.length("word")), start, walk))
-        whole = F.col("steps").isNotNull() & (F.col("walk.at") == F.length("word"))
-        return walked.select("word", F.when(whole, F.col("walk.found")).otherwise(F.array(F.lit(UNKNOWN))).alias("pieces"))
 
-    return cut
+def _walk(word: str | None, steps: list[int] | None, single: frozenset[str], longest: int) -> list[str]:
+    """The pieces of a word by the places and sizes of its known longer parts and the known pieces of one letter."""
+    if word is None or not 0 < len(word) <= longest:
+        return [UNKNOWN]
+    sizes = dict(divmod(step, longest + 1) for step in sorted(steps or ()))
+    found, at = [], 0
+    while at < len(word):
+        mark = "##" if at else ""
+        size = sizes.get(at) or (mark + word[at] in single)
+        if not size:
+            return [UNKNOWN]
+        found.append(mark + word[at:at + size])
+        at += size
+    return found
 
 
 def visible_letters(word: Column) -> Column:
@@ -187,16 +220,54 @@ def tokenise(texts: DataFrame, key: str, toks: str, cut, shared=None) -> DataFra
     )
 
 
-def token_counts(texts: DataFrame, key: str, toks: str, cut, shared=None) -> DataFrame:
-    """Number of pieces of every text, 0 where it has no words, without putting the pieces back in order."""
+#: The pieces of so many words, the most frequent ones, are counted on the row.
+FREQUENT_WORDS = 20_000
+
+
+def token_counts(texts: DataFrame, key: str, toks: str, cut, shared=None, counts: DataFrame | None = None, frequent: int = FREQUENT_WORDS) -> DataFrame:
+    """Number of pieces of every text, 0 where it has no words, without putting the pieces back in order.
+
+    ``counts``: the distinct words of the texts and how often they stand there (word, n), where
+    they are at hand. The ``frequent`` most frequent ones are then looked up on the row, from a list
+    sent to the tasks, and only the others are exploded and meet their pieces in a join.
+    """
     cut = cut if shared is None else by_broadcast(cut, shared)
-    per_text = texts.select(key, F.explode(toks).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
-    known = cut(per_text.select("word").distinct()).select("word", F.size("pieces").alias("n"))
-    found = per_text.join(known, "word").select(key, (F.col("n") * F.col("times")).alias("n"))
     every = texts.select(key, F.lit(0).cast("long").alias("n"))
+    if counts is None:
+        per_text = texts.select(key, F.explode(toks).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("times"))
+        known = cut(per_text.select("word").distinct()).select("word", F.size("pieces").alias("n"))
+        found = per_text.join(known, "word").select(key, (F.col("n") * F.col("times")).alias("n"))
+    else:
+        known = stored_rows(cut(counts.select("word")).select("word", F.size("pieces").alias("n")))
+        top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word")
+        split = texts.select(key, _counted(known.join(top, "word"))(toks).alias("row")).select(key, "row.*")
+        others = split.select(key, F.explode("others").alias("word")).join(known.hint("merge"), "word").select(key, F.col("n").cast("long").alias("n"))
+        found = others.unionByName(split.select(key, "n"))
     return found.unionByName(every).groupBy(key).agg(F.sum("n").alias("n_tokens"))
 
 
+def _counted(words: DataFrame):
+    """A column function for lists of words: n, the pieces of the listed words (word, n), and the words that are not listed."""
+    rows = words.filter("word is not null").collect()
+    sent = words.sparkSession.sparkContext.broadcast(([r.word for r in rows], [r.n for r in rows]))
+
+    def look_up(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        listed, n = pa.array(sent.value[0], pa.string()), pa.array(sent.value[1], pa.int64())
+        for batch in lists:
+            flat = batch.flatten().cast(pa.string())
+            found = n.take(pac.index_in(flat, listed, skip_nulls=True))
+            open_ = found.is_null()
+            row = pac.list_parent_indices(batch).to_numpy()
+            sums = np.zeros(len(batch), dtype=np.int64)
+            np.add.at(sums, row, found.fill_null(0).to_numpy())
+            ends = np.cumsum(np.bincount(row[open_.to_numpy(zero_copy_only=False)], minlength=len(batch)))
+            others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat.filter(open_))
+            yield pa.StructArray.from_arrays([pa.array(sums), others], ["n", "others"])
+
+    look_up.__annotations__ = {"lists": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(look_up, "n long, others array<string>")
+
+
 def piece_ids(pieces: DataFrame, key: str, vocabulary: DataFrame, unknown: str = UNKNOWN) -> DataFrame:
     """Ids of the pieces of every text (key, pieces): (key, ids array<int>); pieces beyond the vocabulary have the id of ``unknown``."""
     other = vocabulary.filter(F.col("piece") == unknown).agg(F.max("id").alias("id")).scalar()
@@ -208,7 +279,11 @@ def piece_ids(pieces: DataFrame, key: str, vocabulary: DataFrame, unknown: str =
 
 def words_and_letters(words: DataFrame, least: int) -> DataFrame:
     """A vocabulary of all words seen ``least`` times or more and of all letters, alone and with ``##``: column ``piece``."""
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted_and_letters(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), least)
+
+
+def counted_and_letters(counts: DataFrame, least: int) -> DataFrame:
+    """``words_and_letters`` from the distinct words and their counts: word, n."""
     letter = counts.select(F.explode(F.split("word", "")).alias("piece")).filter("piece != ''").distinct()
     marked = letter.select(F.explode(F.array("piece", F.concat(F.lit("##"), "piece"))).alias("piece"))
     return counts.filter(F.col("n") >= least).select(F.col("word").alias("piece")).union(marked).distinct()

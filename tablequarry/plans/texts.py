@@ -6,6 +6,7 @@ from ..functions import names as nm, textforms as tf
 from ..functions.seeded import unit
 from ..operators import features as ft, pieces as pc, slotquery as sq
 from ..operators.ordered import numbered_in_order
+from ..session import stored_rows
 from . import base as b
 from .registry import query
 
@@ -305,8 +306,9 @@ b.add_cte(
 )
 def x1_piece_counts(t):
     toks = doc_toks(t)
-    vocabulary = pc.words_and_letters(toks.select(F.explode("toks").alias("word")), _LEAST)
-    return pc.token_counts(toks, "doc_id", "toks", pc.by_vocabulary(vocabulary))
+    counts = stored_rows(toks.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    vocabulary = stored_rows(pc.counted_and_letters(counts, _LEAST))
+    return pc.token_counts(toks, "doc_id", "toks", pc.by_vocabulary(vocabulary), counts=counts)
 
 
 def byte_pair_files(spark):

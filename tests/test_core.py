@@ -834,3 +834,31 @@ def test_execution_scores_read_the_queries_once(spark):
     got = {r.query_id: (r.ex, r.lf) for r in sc.execution_scores(gold, made, tables, rows).collect()}
     assert got == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
     assert n_gold.value == 3 and n_made.value == 3
+
+
+def test_pieces_of_one_letter_are_not_joined(spark, monkeypatch):
+    """Greedy pieces by brute force over odd words; single letters and parts longer than any piece make no rows."""
+    made = []
+    spans = pc._spans
+    monkeypatch.setattr(pc, "_spans", lambda *a: made.append(spans(*a)) or made[-1])
+    pieces = ["a", "##a", "##b", "b", "ab", "##", "##ab", "#", "###", "é", "##é", "ba", "##ba", "", None]
+    words = ["a", "ab", "abab", "bab", "##ab", "##", "#a", "éa", "aaé", "zz", "az", "a" * 101, "a" * 100, "béba", ""]
+    vocabulary = spark.createDataFrame([(p,) for p in pieces + ["ab"]], "piece string")
+    got = {r.word: r.pieces for r in pc.by_vocabulary(vocabulary)(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {w: pc.word_pieces(w, set(pieces)) if w else ["[UNK]"] for w in words}
+    long = spark.createDataFrame([("b" * 50,)], "word string")
+    pc.by_vocabulary(vocabulary)(long)
+    assert made[-1].count() <= 3 + 49
+    pc.by_vocabulary(vocabulary.filter("length(replace(piece, '##', '')) = 1"))(long)
+    assert made[-1].count() <= 2  # beginnings as long as a marked letter
+
+
+def test_frequent_words_are_counted_on_the_row(spark):
+    data = [(1, ["ab", "a", "zz", "ab"]), (2, []), (3, None), (1, ["c", "ab", None]), (None, ["ab", "zz"]), (4, ["c"] * 30)]
+    df = spark.createDataFrame(data, "id long, toks array<string>")
+    counts = df.select(F.explode("toks").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cut = pc.by_vocabulary(spark.createDataFrame([("a",), ("##b",), ("c",)], "piece string"))
+    want = {1: 2 + 1 + 1 + 2 + 1 + 2, 2: 0, 3: 0, None: 2 + 1, 4: 30}
+    for frequent in (0, 1, 2, 100):
+        got = {r.id: r.n_tokens for r in pc.token_counts(df, "id", "toks", cut, counts=counts, frequent=frequent).collect()}
+        assert got == want
