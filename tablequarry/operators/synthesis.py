@@ -15,6 +15,7 @@ from ..functions.binding import let
 from ..functions.names import first_words
 from ..functions.seeded import pick_item, pick_number, unit
 from ..functions.textforms import fill_slots as replace_slots, fill_sql
+from ..session import stored_rows
 from .filters import capped_columns, for_one_table, unique_columns, within_budget
 from .ordered import numbered_in_order, running_number
 
@@ -52,9 +53,10 @@ def group_tables(tables: DataFrame, key: str, seed, most_columns: int = MOST_COL
     """Databases of one or two tables: db_id, tables array<struct<key, name, cols>>.
 
     Tables are numbered in key order; two neighbours become one database with chance one
-    half, if they have few enough columns and no column name twice; no table is lost.
+    half, if they have few enough columns and no column name twice; no table is lost. The
+    tables are stored first: cutting them into ranges makes them twice.
     """
-    numbered = running_number(tables, [], key, "__no").withColumn("pair", F.floor((F.col("__no") - 1) / 2))
+    numbered = running_number(stored_rows(tables), [], key, "__no").withColumn("pair", F.floor((F.col("__no") - 1) / 2))
     item = F.struct(key, "name", "cols")
     both = numbered.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("__no", item.alias("t")))).alias("ts"))
     both = both.withColumn("ts", F.transform("ts", lambda x: x.t))
@@ -365,7 +367,11 @@ def verbalise(filled: DataFrame, phrases: DataFrame, seed) -> DataFrame:
 
     The slots that are said by a phrase are exploded and meet the phrases by (component, key)
     in a join; each draws its own. A phrase book of any size is on no row and in no task whole.
+    ``filled`` is stored, as slots and texts are made from it: give it no more columns than are
+    needed after. Its stored size does not tell that of the slots, so they are merged back, and are
+    the left side of an outer join with the phrases, which is never sent to all tasks.
     """
+    filled = stored_rows(filled)
     key = ["db_id", "sample_no"]
     value = F.col("values")
     direction = value[F.lit("{DASC}")]
@@ -385,7 +391,7 @@ def verbalise(filled: DataFrame, phrases: DataFrame, seed) -> DataFrame:
     asked = F.array_compact(F.transform(F.array_distinct("q_slots"), source))
     slots = filled.select(*key, F.explode(asked).alias("s")).select(*key, "s.slot", "s.component", F.col("s.key").alias("key"))
     drawn = pick_item(F.col("phrases"), seed, "phrase", *key, "slot")
-    said = slots.join(phrases, ["component", "key"]).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", drawn.alias("said")))).alias("said"))
+    said = slots.join(phrases, ["component", "key"], "left").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", drawn.alias("said")))).alias("said"))
 
     def word(s):
         by_column = F.when(has(s, "C1"), value[F.lit("{COLUMN1}")]).when(has(s, "C2"), value[F.lit("{COLUMN2}")])
@@ -397,7 +403,7 @@ def verbalise(filled: DataFrame, phrases: DataFrame, seed) -> DataFrame:
             .when(has(s, "COLUMN"), first_words(value[s], 5, start=2)).when(has(s, "VALUE"), first_words(value[s], 5))
         )
 
-    made = filled.join(said, key, "left")
+    made = filled.join(said.hint("merge"), key, "left")
     words = F.map_from_entries(F.transform("q_slots", lambda s: F.struct(s.alias("key"), F.coalesce(word(s), F.lit("")).alias("value"))))
     made = made.withColumn("q_words", words)
     return made.withColumn("question_text", replace_slots(F.col("question"), F.col("q_words"))).withColumn("sql_text", fill_sql(F.col("pattern"), value)).drop("said", "q_words")

@@ -37,6 +37,13 @@ def spoken(t):
     return sy.verbalise(filled(t), phrase_frame(t.spark), 34)
 
 
+def texts(t):
+    """``spoken`` for queries that ask for its texts only, with the columns that these are made of."""
+    name = lambda c: F.struct(F.col(c)["name"].alias("name")).alias(c)
+    needed = filled(t).select("db_id", "sample_no", "pattern", "question", "q_slots", "values", name("t0"), name("t1"), "number")
+    return sy.verbalise(needed, phrase_frame(t.spark), 34)
+
+
 def labelled(t):
     return sy.label_examples(spoken(t))
 
@@ -204,12 +211,12 @@ def g12_slot_values(t):
 
 @query("g13_verbalised", None)
 def g13_verbalised(t):
-    return spoken(t).select("db_id", "sample_no", "question_text", "sql_text")
+    return texts(t).select("db_id", "sample_no", "question_text", "sql_text")
 
 
 @query("p16_filled_sql", None)
 def p16_filled_sql(t):
-    return spoken(t).select("db_id", "sample_no", "pattern", "sql_text")
+    return texts(t).select("db_id", "sample_no", "pattern", "sql_text")
 
 
 @query("g15_example_labels", None)

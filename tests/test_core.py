@@ -862,3 +862,26 @@ def test_frequent_words_are_counted_on_the_row(spark):
     for frequent in (0, 1, 2, 100):
         got = {r.id: r.n_tokens for r in pc.token_counts(df, "id", "toks", cut, counts=counts, frequent=frequent).collect()}
         assert got == want
+
+
+def test_slots_are_filled_once(spark):
+    """The given rows of ``verbalise`` and ``group_tables`` are made once, whatever reads them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    noted = F.udf(note, "long").asNondeterministic()
+    tables = spark.range(40).select(noted("id").alias("table_id"), F.lit("t").alias("name"), F.expr("array(named_struct('name', concat('c', id)))").alias("cols"))
+    assert sy.group_tables(tables, "table_id", 1).count() >= 20
+    assert seen.value == 40
+    values = F.expr("map('{OP0}', '=', '{VALUE0}', 'x')")
+    name = lambda c: F.struct(F.lit(c).alias("name")).alias(c)
+    rows = spark.range(30).select(
+        noted("id").alias("db_id"), F.lit(1).alias("sample_no"), F.lit("a {OP0} {VALUE0}").alias("pattern"), F.lit("that {OP0} {VALUE0}").alias("question"),
+        F.array(F.lit("{OP0}"), F.lit("{VALUE0}")).alias("q_slots"), values.alias("values"), name("t0"), name("t1"), F.lit(1).alias("number"),
+    )
+    said = sy.verbalise(rows, phrase_frame(spark), 5).collect()
+    assert seen.value == 70 and len(said) == 30
+    assert {r.question_text for r in said} == {"that is x", "that equals x"} and {r.sql_text for r in said} == {"a = x"}
