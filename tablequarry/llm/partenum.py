@@ -7,17 +7,22 @@ signature (enumerating the subsets of parts of size n - k with one part each), a
 share one. Candidates are checked with parity sketches (the number of bits in which two sketches
 differ is never above the number of shingles in which the sets differ) and then exactly.
 
+A set has no partner if fewer of its signatures are found in other sets than any partner must share
+(all its parts but those in which the two can differ). Of sets that may have partners only the
+rarest signatures are kept, as many as are sure to hold one that a partner shares.
+
 Large groups: a bucket is never paired with itself as a whole. Its members are first compared with
-one leader; members that are now in one class need no more links. Where few
-are left outside the largest class, these are compared with the others directly; members of other
-buckets meet again only if they also share a signature of a second, independent cut of the domain,
-and so on until no bucket has two classes left to compare.
+one leader; members that are now in one class need no more links. Where few are left outside the
+largest class, these are compared with the others directly; members of other buckets get the
+signatures of a second, independent cut of the domain among themselves, and so on until no bucket
+has two classes left to compare. What counts as few grows from round to round, so this ends.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bpe import _spread
 from .common import bitmap, discard, in_bitmap, mixed, settle, small_batches, stored, table, text_blocks, tidied
 from .components import components
 from .spans import windows, words
@@ -28,12 +33,10 @@ SHINGLE = 5
 BAND = 1.6
 #: Parts beyond k + 1, so that most sets can do without parts of common shingles only.
 SPARE = 1.1
-#: Shingles that so many documents of one task hold are common; any choice gives the same links.
-COMMON = 8
-#: Members of a bucket outside its largest class that are compared directly once its leader is done.
+#: Members of a bucket outside its largest class that are compared directly once its leader is done; eight times as many in each further round.
 SMALL = 24
 #: Sizes of the filters: 2 to this power bits (2 MB and 8 MB).
-COMMON_BITS, REPEATED_BITS = 24, 26
+ROW_BITS, REPEATED_BITS = 24, 26
 
 
 def band_limits() -> np.ndarray:
@@ -98,152 +101,195 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def signatures(value: np.ndarray, common: np.ndarray, cut: int) -> np.ndarray:
-    """The signatures of one set in its band and, if larger partners may be there, in the next one.
+def schemes(value: np.ndarray, at: np.ndarray, common: np.ndarray, cut: int):
+    """Signatures of many sets (hashes in a row, where each set starts): rows of ``set, part, need`` and their signatures.
 
-    A part that holds common shingles only is left out when more parts hold other shingles than
-    the set and any partner of it can differ in: one of those parts is then the same in both.
+    A row is a set in its band or, if larger partners may be there, in the next one. A part that
+    holds common shingles only is left out when more parts hold other shingles than the set and any
+    partner of it can differ in: one of those parts is then the same in both. ``need`` of the row's
+    signatures at least are those of any partner too: all parts with other shingles but the
+    ``differ`` in which both can differ. Returned are the three columns, the number of signatures of
+    each row and the signatures; ``part`` tells the rows of a set apart.
     """
-    size = len(value)
     out = []
-    band = int(np.searchsorted(LIMITS, size))
-    for b in (band, band + 1):
-        if b > band and 4 * (int(LIMITS[band]) + 1) > 5 * size:
-            break
-        largest = int(LIMITS[b])
+    every = np.diff(at)
+    for ahead in (0, 1):
+        band = np.searchsorted(LIMITS, every)
+        own = np.flatnonzero((every > 0) & ((ahead == 0) | (4 * (LIMITS[band] + 1) <= 5 * every)))
+        if not len(own):
+            continue
+        size, band = every[own], band[own] + ahead
+        largest = LIMITS[band]
         k = 2 * largest // 9
-        parts = max(k + 1, int((k + 1) * SPARE)) if k else 1
-        part = (mixed(value + np.uint64(1 + 1_000_003 * cut)) % np.uint64(parts)).astype(np.int64)
-        held = np.bincount(part, minlength=parts) > 0
-        rare = np.bincount(part[~common], minlength=parts) > 0
-        differ = (size + min(largest, 5 * size // 4)) // 9
-        use = rare if rare.sum() > differ else held
-        if parts > 1 and not held.all():
-            # the part that is the same in both sets may be an empty one: see ``lonely``
-            out.append(lonely(value, part, parts, held, b, cut, differ))
-        total = np.zeros(parts, np.uint64)
+        parts = np.where(k > 0, np.maximum(k + 1, ((k + 1) * SPARE).astype(np.int64)), 1)
+        base = np.cumsum(parts) - parts
+        row, shingle = np.repeat(np.arange(len(own)), size), _spread(at[:-1][own], size)
+        v, rarer = value[shingle], ~common[shingle]
+        slot = base[row] + (mixed(v + np.uint64(1 + 1_000_003 * cut)) % parts[row].astype(np.uint64)).astype(np.int64)
+        n = int(parts.sum())
+        held = np.bincount(slot, minlength=n) > 0
+        rare = np.bincount(slot[rarer], minlength=n) > 0
+        n_held, n_rare = (np.add.reduceat(x.astype(np.int64), base) for x in (held, rare))
+        differ = (size + np.minimum(largest, 5 * size // 4)) // 9
+        total = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
-            np.add.at(total, part, mixed(value))
-        mark = mixed(np.arange(parts, dtype=np.uint64) + np.uint64(b << 40) + np.uint64(cut << 50))
-        out.append(mixed(total ^ mark)[use])
-    return np.concatenate(out)
+            np.add.at(total, slot, mixed(v))
+        of = np.repeat(np.arange(len(own)), parts)
+        mark = mixed((np.arange(n) - base[of] + (band << 40)[of] + (cut << 50)).astype(np.uint64))
+        use = np.where((n_rare > differ)[of], rare, held)
+        out.append((own, 2 * band, np.maximum(n_rare - differ, 0), np.add.reduceat(use.astype(np.int64), base), mixed(total ^ mark)[use]))
+        # the part that is the same in both sets may be an empty one: see ``lonely``
+        few = np.flatnonzero((parts > 1) & (n_held < parts) & (n_held <= differ))
+        more = [lonely(value[at[own[j]] : at[own[j] + 1]], int(band[j]), cut) for j in few.tolist()]
+        if more:
+            out.append((own[few], 2 * band[few] + 1, np.zeros(len(few), np.int64), np.array(list(map(len, more))), np.concatenate(more)))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def signatures(value: np.ndarray, common: np.ndarray, cut: int) -> np.ndarray:
+    """All signatures of one set."""
+    return schemes(value, np.array([0, len(value)]), common, cut)[4]
 
 
-def lonely(value, part, parts, held, band: int, cut: int, differ: int) -> np.ndarray:
+def lonely(value: np.ndarray, band: int, cut: int) -> np.ndarray:
     """Extra signatures of a set for which all parts that are the same in a partner may be empty.
 
     That needs at least as many differing shingles as parts that hold any. Such a set also gives
     the smallest ``size - least overlap + 1`` shingles (prefix filter): two sets that link share one.
     """
-    if held.sum() > differ:
-        return np.zeros(0, np.uint64)
     size = len(value)
     least = -(-4 * size // 5)  # a partner shares at least four fifths of the set
     return mixed(np.sort(mixed(value))[: size - least + 1] ^ np.uint64((band << 40) + (cut << 50) + 7))
 
 
-def _profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Size, digests and sketch of each set; rows without ``d1`` carry the common shingles of a task."""
-    kind = df.schema[id_col].dataType.simpleString()
-    names = ["doc", "n", "d1", "d2", "sketch", "often"]
-    keep = 2_000_000  # shingles counted together in a task
+def _lists(sigs: np.ndarray, count: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(sigs.view(np.int64)))
 
-    def often(held):
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        return value[count >= COMMON].view(np.int64)
 
-    def last(held, t):
-        return pa.RecordBatch.from_arrays([pa.array([None], t), *(pa.array([None], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array([often(held)], pa.list_(pa.int64()))], names)
+def _profile(df: DataFrame) -> DataFrame:
+    """Two kinds of rows: ``doc, row, node, n`` of each text, and the signature rows of its set (with ``part``).
+
+    ``node`` is a digest of the set and names it from here on. Equal sets of one task give their
+    signatures once; rows without id give none.
+    """
+    kind = df.schema["doc"].dataType.simpleString()
+    names = ["doc", "row", "node", "n", "part", "need", "sigs"]
 
     @tidied
     def run(batches):
-        held, size, t = [], 0, None
+        seen: set = set()
         for batch in batches:
-            t = batch.column(0).type
-            for part, texts in text_blocks(batch, 1):
+            for part, texts in text_blocks(batch, 2):
                 value, at = shingle_sets(texts)
-                d1, d2 = digests(value, at)
-                odd = [sketch(value[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(odd, pa.binary()), pa.nulls(len(texts), pa.list_(pa.int64()))], names
-                )
-                held.append(value)
-                size += len(value)
-                if size > keep:
-                    yield last(held, t)
-                    held, size = [], 0
-        if held:
-            yield last(held, t)
-
-    cut = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return cut.mapInArrow(run, f"doc {kind}, n long, d1 long, d2 long, sketch binary, often array<long>")
-
-
-def _signature_rows(df: DataFrame, id_col: str, text_col: str, common, cut: int, repeated=None, within: str | None = None) -> DataFrame:
-    """``sig, doc`` of every set. Equal sets of one task give their rows once.
-
-    ``repeated`` is a filter of signatures; ``within`` names a column of earlier buckets of the
-    document: each signature is then one inside each of them.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
+                node, size = digests(value, at)[0], np.diff(at)
+                none = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(size), *none], names)
+                if len(seen) > 50_000:
+                    seen.clear()
+                new = np.zeros(len(texts), bool)
+                for k in np.flatnonzero((size > 0) & part.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    new[k] = int(node[k]) not in seen
+                    seen.add(int(node[k]))
+                held = np.repeat(new, size)
+                value = value[held]
+                own, band, need, count, sigs = schemes(value, np.concatenate([[0], np.cumsum(size * new)]), np.zeros(len(value), bool), 0)
+                col = [pa.nulls(len(own), part.column(0).type), part.column(1).take(pa.array(own)), pa.array(node[own].view(np.int64)), pa.array(size[own])]
+                yield pa.RecordBatch.from_arrays([*col, pa.array(band), pa.array(need), _lists(sigs, count)], names)
+
+    return df.select("doc", "row", "text").mapInArrow(run, f"doc {kind}, row long, node long, n long, part long, need long, sigs array<long>")
+
+
+def _again(sets: DataFrame, cut: int) -> DataFrame:
+    """Signature rows of sets by another cut."""
+    names = ["row", "node", "part", "need", "sigs"]
+
+    @tidied
+    def run(batches):
+        for batch in batches:
+            each = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+            value, at = np.concatenate([np.zeros(0, np.uint64), *each]), np.cumsum([0, *map(len, each)])
+            own, band, need, count, sigs = schemes(value, at, np.zeros(len(value), bool), cut)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int64)), batch.column(0).take(pa.array(own)), pa.array(band), pa.array(need), _lists(sigs, count)], names)
 
-    def rows(part, docs, sigs):
-        return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(docs, pa.int64())), pa.array(sigs, pa.list_(pa.int64()))], ["doc", "sigs"])
+    return sets.select("node", "held").mapInArrow(run, "row long, node long, part long, need long, sigs array<long>")
+
+
+def _shared(rows: DataFrame, known) -> DataFrame:
+    """Signature rows cut to the signatures in a filter; those with fewer than ``need`` of them go, as they have no partner."""
+    names = ["row", "node", "part", "need", "sigs"]
 
     @tidied
     def run(batches):
-        words_common, words_repeated = common.value, repeated and repeated.value
-        seen: set = set()
+        words_known = known.value
         for batch in batches:
-            for part, texts in text_blocks(batch, 1):
-                value, at = shingle_sets(texts)
-                flags = in_bitmap(value, words_common)
-                keys = list(zip(*(d.tolist() for d in digests(value, at))))
-                buckets = part.column(2).to_pylist() if within else None
-                docs, sigs, size = [], [], 0
-                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                    if a == b or (not within and keys[k] in seen):
-                        continue
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen.add(keys[k])
-                    own = signatures(value[a:b], flags[a:b], cut)
-                    for x in buckets[k] if within else [None]:
-                        more = own if x is None else mixed(own ^ np.uint64(x & 0xFFFFFFFFFFFFFFFF))
-                        if repeated:
-                            more = more[in_bitmap(more, words_repeated)]
-                        if len(more):
-                            docs.append(k)
-                            sigs.append(more.view(np.int64))
-                            size += len(more)
-                        if size > 200_000:
-                            yield rows(part, docs, sigs)
-                            docs, sigs, size = [], [], 0
-                yield rows(part, docs, sigs)
-
-    cols = [F.col(id_col).alias("doc"), F.col(text_col).alias("text"), *([F.col(within)] if within else [])]
-    return df.select(*cols).mapInArrow(run, f"doc {kind}, sigs array<long>").select(F.explode("sigs").alias("sig"), "doc")
-
-
-def _members(df: DataFrame, id_col: str, text_col: str, common, cut: int, within: str | None = None) -> DataFrame:
-    """``sig, doc`` of the buckets with two documents or more; of buckets with the same documents one is kept.
-
-    Near copies share most of their signatures, so this leaves a small part of the rows. Buckets
-    count as the same by their size, smallest and largest id and the sum of the hashes of their ids.
+            lists = batch.column(4)
+            sigs, count = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy()
+            hit = in_bitmap(sigs, words_known)
+            ends = np.cumsum(count)
+            so_far = np.concatenate([[0], np.cumsum(hit)])
+            got = so_far[ends] - so_far[ends - count]
+            keep = got >= np.maximum(batch.column(3).to_numpy(), 1)
+            col = [batch.column(k).filter(pa.array(keep)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*col, _lists(sigs[hit & np.repeat(keep, count)], got[keep])], names)
+
+    return rows.select("row", "node", "part", "need", "sigs").mapInArrow(run, "row long, node long, part long, need long, sigs array<long>")
+
+
+def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``sig, doc`` of the buckets with two sets or more, and the signature rows that may have partners.
+
+    A set has no partner if fewer of its signatures than a partner must share (``need``) are those of
+    another set too. Of the others, ``need - 1`` can be left out: in any one order of all signatures
+    the first that two partners share is among the rest of both. The order is that of the number of
+    sets, so the largest buckets are left out. Of buckets with the same sets one is kept; buckets
+    count as the same by their size, smallest and largest set and the exclusive or of the hashes of
+    their sets.
     """
-    spark = df.sparkSession
-    rows = _signature_rows(df, id_col, text_col, common, cut, within=within)
-    several = stored(rows.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sig"))
-    sent = spark.sparkContext.broadcast(bitmap(several, "sig", REPEATED_BITS))
-    discard(several)
+    spark = rows.sparkSession
+    several = rows.select(F.explode("sigs").alias("sig"), "node").repartition("sig").groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    sent = spark.sparkContext.broadcast(bitmap(several.where("least < most"), "sig", REPEATED_BITS))
     settle(spark)
-    held = stored(_signature_rows(df, id_col, text_col, common, cut, repeated=sent, within=within))
+    kept = stored(_shared(rows, sent).dropDuplicates(["node", "part"]))
     sent.destroy()
-    same = ["least", "most", "n", "s"]
-    of = held.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
-    once = of.where("least < most").groupBy(*same).agg(F.min("sig").alias("sig")).select("sig")
-    out = stored(held.join(once, "sig", "left_semi"))
-    discard(held)
+    flat = kept.select(F.explode("sigs").alias("sig"), "node", "part", "need")
+    often = flat.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = flat.join(often, "sig").groupBy("node", "part", "need").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("held"))
+    ranked = ranked.where("size(held) >= need").select(F.col("node").alias("doc"), F.expr("slice(held, 1, size(held) - greatest(need - 1, 0)).sig").alias("sigs"))
+    flat = stored(ranked.select(F.explode("sigs").alias("sig"), "doc"))
+    settle(spark)
+    of = flat.groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s"))
+    once = of.where("least < most").groupBy("least", "most", "n", "s").agg(F.min("sig").alias("sig")).select("sig")
+    out = stored(flat.join(once, "sig", "left_semi"))
+    discard(flat)
+    settle(spark)
+    return out, kept
+
+
+def _sets(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """``node, n, sketch, held`` of the sets in signature rows, from the text of one row of each."""
+    spark = df.sparkSession
+    asked = stored(kept.groupBy("node").agg(F.min("row").alias("row")))
+    sent = spark.sparkContext.broadcast(bitmap(asked, "row", ROW_BITS))
+    names = ["node", "n", "sketch", "held"]
+
+    @tidied
+    def run(batches):
+        words_asked = sent.value
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(batch.column(0).to_numpy().view(np.uint64), words_asked)))
+            for _, texts in text_blocks(batch, 1):
+                value, at = shingle_sets(texts)
+                each = [value[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                col = [pa.array(digests(value, at)[0].view(np.int64)), pa.array(np.diff(at)), pa.array(list(map(sketch, each)), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*col, pa.array([x.astype("<u8").tobytes() for x in each], pa.binary())], names)
+
+    found = df.select("row", "text").mapInArrow(run, "node long, n long, sketch binary, held binary")
+    out = stored(found.join(asked.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+    sent.destroy()
+    discard(asked)
     settle(spark)
     return out
 
@@ -260,10 +306,9 @@ def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link: by size and sketch first, then by their shingles."""
-    kind = documents.schema[id_col].dataType.simpleString()
-    side = profile.select("doc", "n", "sketch")
+    side = sets.select("node", "n", "sketch")
 
     @tidied
     def by_sketch(batches):
@@ -272,16 +317,9 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
             keep = [9 * differing(x.as_buffer(), y.as_buffer()) <= s for x, y, s in zip(batch.column(3), batch.column(5), n.tolist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    near = pairs.join(side.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    near = near.join(side.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    near = stored(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(by_sketch, f"a {kind}, b {kind}").distinct())
-
-    @tidied
-    def sets(batches):
-        for batch in batches:
-            for part, texts in text_blocks(batch, 1):
-                value, at = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())], ["doc", "held"])
+    near = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    near = near.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+    near = stored(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(by_sketch, "a long, b long"))
 
     @tidied
     def by_set(batches):
@@ -293,13 +331,13 @@ def _similar(pairs: DataFrame, profile: DataFrame, documents: DataFrame, id_col:
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both) > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    ends = near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))).distinct()
-    asked = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(ends, "doc", "left_semi")
-    held = asked.mapInArrow(sets, f"doc {kind}, held binary")
-    full = near.join(held.select(F.col("doc").alias("a"), F.col("held").alias("ha")), "a").join(held.select(F.col("doc").alias("b"), F.col("held").alias("hb")), "b")
-    with small_batches(documents.sparkSession, 500):  # a row holds two whole sets
-        out = stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, f"a {kind}, b {kind}").distinct())
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    held = sets.select("node", "held").join(ends, "node", "left_semi")
+    full = near.join(held.select(F.col("node").alias("a"), F.col("held").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("hb")), "b")
+    with small_batches(pairs.sparkSession, 500):  # a row holds two whole sets
+        out = stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, "a long, b long"))
     discard(near)
+    settle(pairs.sparkSession)
     return out
 
 
@@ -314,44 +352,53 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other columns are not read.
     """
     spark = documents.sparkSession
-    found = stored(_profile(documents, id_col, text_col))
-    profile = found.where("d1 is not null")
-    often = found.where("often is not null").select(F.explode("often").alias("h"))
-    common = spark.sparkContext.broadcast(bitmap(often, "h", COMMON_BITS))
-
-    own = profile.where("n > 0 and doc is not null")
-    equal = own.groupBy("n", "d1", "d2").agg(F.min("doc").alias("component"))
-    named = stored(own.join(equal, ["n", "d1", "d2"]).where("doc <> component").select(F.col("doc").alias("node"), "component").distinct())
-    documents = documents.where(F.col(id_col).isNotNull())
-
-    members, cut = _members(documents, id_col, text_col, common, 0), 0
+    df = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
+    found = stored(_profile(df))
+    profile = stored(found.where("part is null").select("doc", "node", "n"))
+    own = profile.where("n > 0 and doc is not null").select("doc", "node")
+
+    # sets of rows with one id are in one class
+    several = own.groupBy("doc").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc", F.col("least").alias("component"))
+    named = stored(own.join(several, "doc").where("node <> component").select("node", "component").distinct())
+    named = _joined(named, stored(named.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+
+    members, kept = _members(found.where("part is not null"))
+    discard(found)
+    sets, cut = _sets(df, kept), 0
+    discard(kept)
     while True:
         step = _round(members, named, cut)
         if step.isEmpty():
             break
-        named = _joined(named, _similar(step, own, documents, id_col, text_col))
+        named = _joined(named, _similar(step, sets))
         discard(step)
         left = stored(_left(members, named, cut))
         discard(members)
-        pairs = stored(_direct(left))
-        named = _joined(named, _similar(pairs, own, documents, id_col, text_col))
+        small = SMALL << (3 * cut)
+        pairs = stored(_direct(left, small))
+        named = _joined(named, _similar(pairs, sets))
         discard(pairs)
         cut += 1
-        large = left.where(F.col("minor") > SMALL)
+        large = left.where(F.col("minor") > small)
         if large.isEmpty():
             break
-        asked = stored(large.groupBy("doc").agg(F.collect_list("sig").alias("buckets")))  # as many as a set has signatures
+        asked = stored(large.select(F.col("doc").alias("node")).distinct())
         discard(left)
-        again = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(asked, "doc")
-        again = again.repartition(4 * spark.sparkContext.defaultParallelism, "doc")  # few rows in, many out
-        members = _members(again, "doc", "text", common, cut, within="buckets")
+        with small_batches(spark, 500):
+            rows = stored(_again(sets.join(asked, "node", "left_semi"), cut))
         discard(asked)
-    common.destroy()
+        members, kept = _members(rows)
+        discard(rows)
+        discard(kept)
+    discard(sets)
     settle(spark)
 
-    named = named.select(F.col("node").alias("doc"), F.col("component"))
-    return profile.join(named, "doc", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"),
+    label = own.join(named, "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
+    label = stored(label.distinct())
+    first = stored(label.groupBy("component").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first"))
+    label = label.join(first, "component").where("doc <> first").select("doc", "first")
+    return profile.join(label, "doc", "left").select(
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first", "doc").alias("component_id"),
     )
 
 
@@ -383,18 +430,18 @@ def _left(members: DataFrame, named: DataFrame, cut: int) -> DataFrame:
     rows = _labelled(members, named)
     lead = rows.groupBy("sig").agg(F.min(_order(cut)).alias("lead")).select("sig", F.col("lead.doc").alias("lead"))
     rest = rows.join(lead, "sig").where("doc <> lead").select("sig", "doc", "label")
-    of = rest.groupBy("sig", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"))
+    of = rest.groupBy("sig", "label").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s"))
     open_ = of.groupBy("sig").agg(
-        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.sum("s").alias("s"), F.count("*").alias("labels")
+        F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.bit_xor("s").alias("s"), F.count("*").alias("labels")
     ).where("labels > 1")
     once = open_.groupBy("size", "s").agg(F.min(F.struct("sig", "top")).alias("b"))
     once = once.select(F.col("b.sig").alias("sig"), F.col("b.top.label").alias("major"), (F.col("size") - F.col("b.top.n")).alias("minor"))
     return rest.join(once, "sig")
 
 
-def _direct(left: DataFrame) -> DataFrame:
-    """Pairs of the members outside a bucket's largest class with all members of other classes, where they are at most ``SMALL``."""
-    few = left.where(F.col("minor") <= SMALL)
+def _direct(left: DataFrame, small: int) -> DataFrame:
+    """Pairs of the members outside a bucket's largest class with all members of other classes, where they are at most ``small``."""
+    few = left.where(F.col("minor") <= small)
     other = few.select("sig", F.col("doc").alias("b"), F.col("label").alias("of"))
     pairs = few.where("label <> major").select("sig", F.col("doc").alias("a"), "label").join(other, "sig").where("label <> of")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

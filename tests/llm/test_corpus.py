@@ -528,6 +528,44 @@ def test_signatures_are_shared():
             assert len(np.intersect1d(one, two))
 
 
+def test_sets_without_partner_give_no_candidates(spark):
+    """Texts that share half of their words with others are not paired; of near copies only the rarest signatures are."""
+    word = lambda d, n: " ".join(f"{d}x{i}" for i in range(n))
+    rows = [(d, word("same", 150) + " " + word(d, 150)) for d in range(40)]
+    rows += [(100 + d, word("near", 300) + " " + word(100 + d, 10)) for d in range(3)]
+    frame = spark.createDataFrame(rows, "doc long, text string").withColumn("row", F.xxhash64("doc", "text"))
+    found = stored(partenum._profile(frame))
+    members, kept = partenum._members(found.where("part is not null"))
+    nodes = {r.node for r in found.where("doc >= 100").collect()}
+    assert {r.doc for r in members.collect()} == nodes and nodes <= {r.node for r in kept.collect()}
+    whole = found.where("part is not null").selectExpr("node", "size(sigs) as n").groupBy("node").sum("n").collect()
+    assert members.count() < sum(r[1] for r in whole if r.node in nodes) / 2
+    out = {r.doc: r.component_id for r in partenum.classes(frame, "doc").collect()}
+    assert out == {d: 100 if d >= 100 else d for d, _ in rows}
+
+
+def test_shared_signatures_are_as_many_as_needed():
+    """Two sets that link share at least ``need`` signatures of a row of one size band, in each cut."""
+    draw = np.random.RandomState(7)
+    for _ in range(300):
+        size = int(draw.choice([9, 17, 30, 60, 150, 400]))
+        a = np.unique(draw.randint(1, 1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.randint(0, size // 9 + 1) :], draw.randint(1, 1 << 62, draw.randint(0, size // 9 + 1)).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        for cut in (0, 1):
+            met = 0
+            rows = []
+            for x in (a, b):
+                _, part, need, count, sigs = partenum.schemes(x, np.array([0, len(x)]), np.zeros(len(x), bool), cut)
+                rows.append({p: (n, s) for p, n, s in zip(part.tolist(), need.tolist(), np.split(sigs, np.cumsum(count)[:-1]))})
+            for p in rows[0].keys() & rows[1].keys():
+                (m, x), (n, y) = rows[0][p], rows[1][p]
+                met += len(np.intersect1d(x, y)) >= max(m, n, 1)
+            assert met
+
+
 def test_classes_odd_input(spark, odd):
     rows = partenum.classes(odd).collect()
     assert len(rows) == odd.count()
