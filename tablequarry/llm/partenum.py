@@ -252,7 +252,8 @@ def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = rows.select(F.explode("sigs").alias("sig"), "node").repartition("sig").groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most"))
     sent = spark.sparkContext.broadcast(bitmap(several.where("least < most"), "sig", REPEATED_BITS))
     settle(spark)
-    kept = stored(_shared(rows, sent).dropDuplicates(["node", "part"]))
+    with small_batches(spark, 1_000):
+        kept = stored(_shared(rows, sent).dropDuplicates(["node", "part"]))
     sent.destroy()
     flat = kept.select(F.explode("sigs").alias("sig"), "node", "part", "need")
     often = flat.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
@@ -287,7 +288,8 @@ def _sets(df: DataFrame, kept: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*col, pa.array([x.astype("<u8").tobytes() for x in each], pa.binary())], names)
 
     found = df.select("row", "text").mapInArrow(run, "node long, n long, sketch binary, held binary")
-    out = stored(found.join(asked.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
+    with small_batches(spark, 1_000):
+        out = stored(found.join(asked.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
     sent.destroy()
     discard(asked)
     settle(spark)
@@ -319,7 +321,8 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     near = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     near = near.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
-    near = stored(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(by_sketch, "a long, b long"))
+    with small_batches(pairs.sparkSession, 1_000):
+        near = stored(near.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(by_sketch, "a long, b long"))
 
     @tidied
     def by_set(batches):
@@ -334,7 +337,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     held = sets.select("node", "held").join(ends, "node", "left_semi")
     full = near.join(held.select(F.col("node").alias("a"), F.col("held").alias("ha")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("hb")), "b")
-    with small_batches(pairs.sparkSession, 500):  # a row holds two whole sets
+    with small_batches(pairs.sparkSession, 50):  # a row holds two whole sets
         out = stored(full.select("a", "b", "ha", "hb").mapInArrow(by_set, "a long, b long"))
     discard(near)
     settle(pairs.sparkSession)
@@ -353,7 +356,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = documents.sparkSession
     df = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
-    found = stored(_profile(df))
+    with small_batches(spark, 1_000):  # rows carry whole texts
+        found = stored(_profile(df))
     profile = stored(found.where("part is null").select("doc", "node", "n"))
     own = profile.where("n > 0 and doc is not null").select("doc", "node")
 
@@ -384,7 +388,7 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         asked = stored(large.select(F.col("doc").alias("node")).distinct())
         discard(left)
-        with small_batches(spark, 500):
+        with small_batches(spark, 100):
             rows = stored(_again(sets.join(asked, "node", "left_semi"), cut))
         discard(asked)
         members, kept = _members(rows)
