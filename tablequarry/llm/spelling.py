@@ -6,6 +6,10 @@ other gives its positional grams of the same lengths. One edit leaves one of the
 and moves it by one place at most, so the pair meets in an equi-join on (length of the chunked
 word, chunk, text of the gram) and is then verified. Only grams within one place of where a chunk
 can stand are made, at most nine a word, so a long word costs in proportion to its length.
+
+A stored word list is packed to a small part of its rows, and chunks and grams are several times
+as many; Spark's size estimates see the files only. So the joins carry a merge hint, or the driver
+would gather a list of up to ten packed megabytes for a broadcast.
 """
 
 from __future__ import annotations
@@ -103,7 +107,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     Words are distinct; a word without partner is in no pair, an empty table gives none.
     """
     sized = vocab.select("word", "n", F.length("word").alias("m"))
-    met = _chunks(sized).join(_grams(sized), "key").where("lb - la in (0, 1) and (la < lb or a < b)")
+    met = _chunks(sized).join(_grams(sized).hint("merge"), "key").where("lb - la in (0, 1) and (la < lb or a < b)")
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
 
 
@@ -131,7 +135,7 @@ def roots(found: DataFrame) -> DataFrame:
     up = stored(found.where("form is not null").select("word", F.col("form").alias("root")))
     while True:
         on = up.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        far = stored(up.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        far = stored(up.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         discard(up)
         if not far.where("moved").limit(1).count():
             return far.select("word", "root")
@@ -148,7 +152,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
     pairs = stored(near_pairs(vocab))
     found = stored(forms(vocab, pairs))
     discard(pairs)
-    out = vocab.join(found, "word", "left").join(roots(found), "word", "left")
+    out = vocab.join(found.hint("merge"), "word", "left").join(roots(found).hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n")
 
 

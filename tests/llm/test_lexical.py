@@ -294,3 +294,13 @@ def test_variants_odd(spark, odd):
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("word")).withColumn("n", F.lit(1))
     assert found_variants(spelling.variants(frame)) == plain_variants(rows, spelling.SLIP)
     assert spelling.variants(odd.limit(0)).count() == 0
+
+
+def test_spelling_variants_gather_no_word_list_on_the_driver(spark, tmp_path):
+    path = str(tmp_path / "vocab")
+    spark.createDataFrame([("anchor", 9), ("anchors", 4), ("anchr", 3), ("bright", 5)], "word string, n long").write.parquet(path)
+    pairs = spelling.near_pairs(spark.read.parquet(path))
+    assert {(r.a, r.b) for r in pairs.collect()} == {("anchor", "anchors"), ("anchr", "anchor")}
+    out = spelling.variants(spark.createDataFrame([(1, "anchor anchor anchor anchor anchors " * 3)], "doc_id long, text string"), slip=2**33)
+    for made in (pairs, out):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
