@@ -16,6 +16,18 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+class Spread(Tables):
+    """The tables of ``t``; rows of those named in ``keys`` are dealt over the tasks by their key, as a file of few row groups is read by few tasks."""
+
+    def __init__(self, t: Tables, **keys: str):
+        super().__init__(t.spark, t.folder)
+        self.keys = keys
+
+    def __getattr__(self, name: str) -> DataFrame:
+        rows = super().__getattr__(name)
+        return rows.repartition(self.keys[name]) if name in self.keys else rows
+
+
 @dataclass
 class Query:
     name: str

@@ -8,7 +8,7 @@ from ..operators import features as ft, pieces as pc, slotquery as sq
 from ..operators.ordered import numbered_in_order
 from ..session import stored_rows
 from . import base as b
-from .registry import query
+from .registry import Spread, query
 
 TOKS = "string_split(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
 b.add_cte("doc_toks", f"select doc_id, [w for w in {TOKS} if w != ''] as toks from documents")
@@ -566,7 +566,8 @@ def _sql_ids(words):
        from three, three_ids""",
 )
 def x17_three_sequences(t):
-    rows = captions(t)
+    # Stored, as the words are counted and looked up: an explode would also push a test of the whole caption under the spreading.
+    rows = stored_rows(captions(Spread(t, orders="o_orderkey")))
     tail = F.slice("toks", F.array_position("toks", F.lit("</s>")).cast("int"), F.size("toks"))
     rows = rows.select("query_id", "toks", "labels", F.concat(F.array(F.lit("<s>")), tail).alias("question"), F.concat(F.array(F.lit("<s>"), F.lit("select")), tail).alias("sql"))
     vocab = ft.build_vocabulary(rows.select(F.explode("toks").alias("word")))

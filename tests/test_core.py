@@ -13,6 +13,8 @@ from tablequarry.functions.literals import literal_number
 from tablequarry.functions.seeded import unit
 from tablequarry.operators import features as ft, linking as lk, mining as mi, ordered as od, pieces as pc, schemas as sm, slotquery as sq, slotscore as sc, spans
 from tablequarry.operators import ranking as rk, structscore as ss, synthesis as sy
+from tablequarry.plans import texts as text_plans
+from tablequarry.plans.registry import Tables
 from tablequarry.plans.templates import phrase_frame, template_frame
 from tablequarry.sources import readers as rd, sinks as sk
 
@@ -885,3 +887,19 @@ def test_slots_are_filled_once(spark):
     said = sy.verbalise(rows, phrase_frame(spark), 5).collect()
     assert seen.value == 70 and len(said) == 30
     assert {r.question_text for r in said} == {"that is x", "that equals x"} and {r.sql_text for r in said} == {"a = x"}
+
+
+def _orders(spark, folder):
+    """Three customers and their orders, one file each, in the shape of the given tables."""
+    spark.range(1, 4).selectExpr("id as c_custkey", "'BUILDING' as c_mktsegment").coalesce(1).write.parquet(str(folder / "customer.parquet"))
+    spark.range(1, 61).selectExpr("id as o_orderkey", "id % 3 + 1 as o_custkey", "'O' as o_orderstatus", "id * 1.5d as o_totalprice", "if(id % 2 = 0, '1-URGENT', '5-LOW') as o_orderpriority").coalesce(1).write.parquet(str(folder / "orders.parquet"))
+    return Tables(spark, str(folder))
+
+
+def test_captions_of_one_row_group_are_made_in_several_tasks(spark, tmp_path, monkeypatch):
+    t, kept = _orders(spark, tmp_path), []
+    monkeypatch.setattr(text_plans, "stored_rows", lambda df: kept.append(df) or df)
+    assert text_plans.x17_three_sequences(t).count() == 60
+    assert "REPARTITION_BY_COL" in _plan(kept[0])
+    as_rows = lambda df: sorted(map(str, df.collect()))
+    assert as_rows(kept[0]) == as_rows(text_plans.captions(t))
