@@ -262,37 +262,48 @@ def header_input(question: Column, headers: Column, sql_words: Column | None = N
     sql_spans, question_span, header_spans>; a span is (start, end) with end not in it.
     """
     words = sql_words if sql_words is not None else F.expr("cast(array() as array<array<string>>)")
-    return let(lambda v: _header_input(v.question, v.headers, v.words), question=question, headers=headers, words=words)
-
-
-def _header_input(question: Column, headers: Column, sql_words: Column) -> Column:
-    def block(lists):
-        """Tokens, segments and sizes of token lists, each closed by a separator."""
-        toks = F.flatten(F.transform(lists, lambda ts: F.concat(ts, F.array(F.lit("[SEP]")))))
-        last = F.size(lists) - 1
-        segs = F.flatten(
-            F.transform(lists, lambda ts, i: F.concat(F.transform(ts, lambda x: F.lit(1)), F.array(F.when(i == last, 1).otherwise(0))))
-        )
-        return toks, segs
-
-    def spans(lists, base):
-        def one(ts, i):
-            before = F.aggregate(F.slice(lists, 1, i), F.lit(0), lambda a, x: a + F.size(x) + 1)
-            return F.struct((base + before).alias("start"), (base + before + F.size(ts)).alias("end"))
-
-        return F.transform(lists, one)
-
-    toks, segs = block(sql_words)
-    sql_spans = spans(sql_words, F.lit(1))
-    head, head_seg, at = F.concat(F.array(F.lit("[CLS]")), toks), F.concat(F.array(F.lit(0)), segs), F.size(toks) + 1
-    h_toks, h_segs = block(headers)
+
+    def made(v):
+        return F.struct(*[c.alias(n) for n, c in _header_parts(v.question, v.headers, _block(v.words, F.lit(1))).items()])
+
+    return let(made, question=question, headers=headers, words=words)
+
+
+def _block(lists: Column, base: Column) -> tuple[Column, Column, Column]:
+    """Tokens, segments and spans of token lists that begin at ``base``, each closed by a separator."""
+    toks = F.flatten(F.transform(lists, lambda ts: F.concat(ts, F.array(F.lit("[SEP]")))))
+    last = F.size(lists) - 1
+    segs = F.flatten(F.transform(lists, lambda ts, i: F.concat(F.transform(ts, lambda x: F.lit(1)), F.array(F.when(i == last, 1).otherwise(0)))))
+    start = F.struct(base.alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+
+    def step(s, ts):
+        end = s.at + F.size(ts)
+        return F.struct((end + 1).alias("at"), F.concat(s.spans, F.array(F.struct(s.at.alias("start"), end.alias("end")))).alias("spans"))
+
+    return toks, segs, F.aggregate(lists, start, step, lambda s: s.spans)
+
+
+def _fixed_block(lists: list[list[str]], base: int) -> tuple[Column, Column, Column]:
+    """``_block`` of given words, as constants."""
+    toks, segs, spans = [], [], []
+    for k, words in enumerate(lists):
+        spans.append(F.struct(F.lit(base + len(toks)).alias("start"), F.lit(base + len(toks) + len(words)).alias("end")))
+        toks += [*words, "[SEP]"]
+        segs += [1] * len(words) + [int(k == len(lists) - 1)]
+    return F.array(*map(F.lit, toks)), F.array(*map(F.lit, segs)), F.array(*spans)
+
+
+def _header_parts(question: Column, headers: Column, front: tuple[Column, Column, Column]) -> dict[str, Column]:
+    """The fields of ``header_input``; ``front`` is the block of the SQL words."""
+    toks, segs, sql_spans = front
+    at = F.size(toks) + 1
     q_end = at + F.size(question)
-    return F.struct(
-        F.concat(head, question, F.array(F.lit("[SEP]")), h_toks).alias("toks"),
-        F.concat(head_seg, F.transform(question, lambda x: F.lit(0)), F.array(F.lit(0)), h_segs).alias("segments"),
-        sql_spans.alias("sql_spans"), F.struct(at.alias("start"), q_end.alias("end")).alias("question_span"),
-        spans(headers, q_end + 1).alias("header_spans"),
-    )
+    h_toks, h_segs, h_spans = _block(headers, q_end + 1)
+    return {
+        "toks": F.concat(F.array(F.lit("[CLS]")), toks, question, F.array(F.lit("[SEP]")), h_toks),
+        "segments": F.concat(F.array(F.lit(0)), segs, F.transform(question, lambda x: F.lit(0)), F.array(F.lit(0)), h_segs),
+        "sql_spans": sql_spans, "question_span": F.struct(at.alias("start"), q_end.alias("end")), "header_spans": h_spans,
+    }
 
 
 # ---- words and pieces -------------------------------------------------------------------------
@@ -358,13 +369,20 @@ def pointer_targets(inp: Column, sel: Column, agg: Column, conds: Column, value_
     return F.when(F.size(conds) > 0, F.concat(head, where, end)).otherwise(F.concat(head, end))
 
 
-def pointer_rows(df: DataFrame, question: str, headers: Column, sql_words: Column, spans: Column) -> DataFrame:
-    """Adds the pointer input ``x`` and the ``pointers`` of the gold query."""
-    made = df.withColumn("x", header_input(F.col(question), headers, sql_words)).withColumn("__spans", spans)
+def pointer_rows(df: DataFrame, question: str, headers: Column, sql_words: list[list[str]], spans: Column) -> DataFrame:
+    """Adds the pointer input ``x`` and the ``pointers`` of the gold query.
+
+    The SQL words are constants of the job. The fields of ``x`` are columns first, so a query that
+    reads spans only makes no tokens.
+    """
+    made = df.withColumns({"__headers": headers, "__spans": spans})
+    parts = _header_parts(F.col(question), F.col("__headers"), _fixed_block(sql_words, 1))
+    made = made.withColumns({f"__{n}": c for n, c in parts.items()})
+    part = lambda *names: F.struct(*[F.col(f"__{n}").alias(n) for n in names])
     pointers = let(
-        lambda v: pointer_targets(v.x, F.col("sel"), F.col("agg"), F.col("conds"), v.spans), x=F.col("x"), spans=F.col("__spans")
+        lambda v: pointer_targets(v.x, F.col("sel"), F.col("agg"), F.col("conds"), v.spans), x=part("sql_spans", "header_spans"), spans=F.col("__spans")
     )
-    return made.withColumn("pointers", pointers).drop("__spans")
+    return made.select(*df.columns, part(*parts).alias("x"), pointers.alias("pointers"))
 
 
 # ---- smaller parts -------------------------------------------------------------------------------

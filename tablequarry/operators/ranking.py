@@ -156,10 +156,15 @@ def queries_of_pointers(df: DataFrame) -> DataFrame:
     """
     from .spans import merge_tokens
 
-    def group_of(x, p):
-        at = lambda spans: F.array_position(F.transform(spans, lambda s: (p >= s.start) & (p < s.end)), F.lit(True)) - 1
-        return F.struct(at(x.sql_spans).cast("int").alias("sql"), (p - x.question_span.start).alias("word"),
-                        ((p >= x.question_span.start) & (p < x.question_span.end)).alias("asked"), at(x.header_spans).cast("int").alias("header"))
+    def listed(spans):
+        """All places of the spans and the number of the span of each, so that a pointer is looked up and not tried on every span."""
+        size = lambda s: F.greatest(s.end - s.start, F.lit(0))
+        places = F.transform(spans, lambda s: F.when(size(s) > 0, F.sequence(s.start, s.end - 1)).otherwise(F.expr("cast(array() as array<int>)")))
+        return F.struct(F.flatten(places).alias("places"), F.flatten(F.transform(spans, lambda s, i: F.array_repeat(i, size(s)))).alias("numbers"))
+
+    def group_of(sql, header, asked, p):
+        at = lambda known: F.when(known.places.isNotNull(), F.coalesce(F.get(known.numbers, (F.array_position(known.places, p) - 1).cast("int")), F.lit(-1)))
+        return F.struct(at(sql).alias("sql"), (p - asked.start).alias("word"), ((p >= asked.start) & (p < asked.end)).alias("asked"), at(header).alias("header"))
 
     none = F.lit(None).cast("int")
     empty = F.expr("cast(array() as array<struct<col:int,op:int,first:int,last:int>>)")
@@ -182,7 +187,8 @@ def queries_of_pointers(df: DataFrame) -> DataFrame:
             F.when(done, F.concat(s.conds, new)).otherwise(s.conds).alias("conds"),
         )
 
-    folded = df.withColumn("__groups", F.transform("pointers", lambda p: group_of(F.col("x"), p)))
+    known = df.withColumns({"__sql": listed(F.col("x.sql_spans")), "__header": listed(F.col("x.header_spans")), "__asked": F.col("x.question_span")})
+    folded = known.withColumn("__groups", F.transform("pointers", lambda p: group_of(F.col("__sql"), F.col("__header"), F.col("__asked"), p)))
     folded = folded.withColumn("__q", F.aggregate("__groups", start, step))
 
     def condition(c):

@@ -18,10 +18,10 @@ def value_spans(tokens: Column, conds: Column) -> Column:
     """Per condition the first and last token place of its literal in the question."""
 
     def span(v, c):
-        words = F.split(F.lower(c.val), " ")
-        return let(
-            lambda w: F.struct(w.first.alias("first"), (w.first + F.size(words) - 1).alias("last")), first=find_tokens(v.tokens, words)
+        found = lambda u: let(
+            lambda w: F.struct(w.first.alias("first"), (w.first + F.size(u.words) - 1).alias("last")), first=find_tokens(v.tokens, u.words)
         )
+        return let(found, words=F.split(F.lower(c.val), " "))
 
     return let(lambda v: F.transform(conds, lambda c: span(v, c)), tokens=tokens)
 
@@ -38,12 +38,11 @@ def merge_tokens(tokens: Column, question: Column) -> Column:
     Where the question does not show the pair, a quote opens or closes, marks take no
     space before them and words take one unless an opening mark stands before them.
     """
-    asked = F.lower(question)
     marks = F.create_map(*[F.lit(x) for pair in BRACKETS.items() for x in pair])
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"))
     plain = F.transform(F.filter(tokens, lambda x: x.isNotNull() & (x != "")), F.lower)
 
-    def step(state, raw):
+    def step(state, raw, asked):
         word = F.coalesce(marks[raw], raw)
         opened = F.when(word == '"', ~state.open).otherwise(state.open)
         last = F.right(state.text, F.lit(1))
@@ -58,4 +57,4 @@ def merge_tokens(tokens: Column, question: Column) -> Column:
         joined = F.concat(state.text, F.when(space, F.lit(" ")).otherwise(F.lit("")), word)
         return F.struct(joined.alias("text"), opened.alias("open"))
 
-    return F.aggregate(plain, start, step, lambda s: F.trim(s.text))
+    return let(lambda v: F.aggregate(plain, start, lambda s, raw: step(s, raw, v.asked), lambda s: F.trim(s.text)), asked=F.lower(question))

@@ -494,7 +494,7 @@ def pointer_rows(t):
     from ..operators.spans import value_spans
 
     headers = F.transform("header", lambda h: F.split(F.lower(h), " "))
-    words = F.array(*[F.array(*[F.lit(w) for w in s.split(" ")]) for s in ft.SQL_WORDS])
+    words = [s.split(" ") for s in ft.SQL_WORDS]
     return ft.pointer_rows(b.slot_questions(t), "toks", headers, words, value_spans(F.col("toks"), F.col("conds")))
 
 

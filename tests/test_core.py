@@ -13,7 +13,7 @@ from tablequarry.functions.literals import literal_number
 from tablequarry.functions.seeded import unit
 from tablequarry.operators import features as ft, linking as lk, mining as mi, ordered as od, pieces as pc, schemas as sm, slotquery as sq, slotscore as sc, spans
 from tablequarry.operators import ranking as rk, structscore as ss, synthesis as sy
-from tablequarry.plans import texts as text_plans
+from tablequarry.plans import base, ranks, slots, texts as text_plans
 from tablequarry.plans.registry import Tables
 from tablequarry.plans.templates import phrase_frame, template_frame
 from tablequarry.sources import readers as rd, sinks as sk
@@ -903,3 +903,23 @@ def test_captions_of_one_row_group_are_made_in_several_tasks(spark, tmp_path, mo
     assert "REPARTITION_BY_COL" in _plan(kept[0])
     as_rows = lambda df: sorted(map(str, df.collect()))
     assert as_rows(kept[0]) == as_rows(text_plans.captions(t))
+
+
+def test_pointers_are_read_without_the_tokens_of_their_input(spark, tmp_path):
+    t = _orders(spark, tmp_path)
+    back = ranks.k8_pointers_back(t)
+    assert "[SEP]" not in _plan(back)
+    want = base.slot_queries(t).select("query_id", "sel", "agg", slots._flat(sq.lower_conditions(F.col("conds"))).alias("conds"))
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(back) == as_rows(want)
+
+
+def test_pointer_input_with_words_of_any_size(spark):
+    df = spark.sql("select array('a', 'b') as q, array(array('c'), array('d', 'e')) as h, array(array('s'), array('t', 'u', 'v')) as w")
+    by_row = one(df, ft.header_input(F.col("q"), F.col("h"), F.col("w")))
+    assert by_row["toks"] == "[CLS] s [SEP] t u v [SEP] a b [SEP] c [SEP] d e [SEP]".split()
+    assert [tuple(s) for s in [*by_row["sql_spans"], by_row["question_span"], *by_row["header_spans"]]] == [(1, 2), (3, 6), (7, 9), (10, 11), (12, 14)]
+    assert by_row["segments"] == [0, 1, 0, 1, 1, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1]
+    made = df.select("*", F.lit(1).alias("sel"), F.lit(0).alias("agg"), F.expr(f"cast(array() as {COND})").alias("conds"))
+    made = ft.pointer_rows(made, "q", F.col("h"), [["s"], ["t", "u", "v"]], F.expr("cast(array() as array<struct<first:int,last:int>>)"))
+    assert made.first()["x"] == by_row
