@@ -90,14 +90,17 @@ def exact_links(questions: DataFrame, names: DataFrame) -> DataFrame:
     return _marked(_grams_with_names(questions, keys)).select("item_id", "q_id", "kind", "target", _link(F.lit(True)).alias("link"))
 
 
+def _beginnings(names: DataFrame) -> DataFrame:
+    return names.join(name_beginnings(names), "name").select("db_id", "kind", "target", "gram", "whole")
+
+
 def name_links(questions: DataFrame, names: DataFrame) -> DataFrame:
     """Links of question words to names: item_id, q_id, kind, target, link.
 
     A run of words equal to a name links all its words exactly; a run that begins the
     name at a word bound links them partially; exact wins.
     """
-    keys = names.join(name_beginnings(names), "name").select("db_id", "kind", "target", "gram", "whole")
-    best = _marked(_grams_with_names(questions, keys))
+    best = _marked(_grams_with_names(questions, _beginnings(names)))
     return best.select("item_id", "q_id", "kind", "target", _link(F.col("whole")).alias("link"))
 
 
@@ -111,11 +114,18 @@ def question_words(questions: DataFrame) -> DataFrame:
     return words.filter((F.trim("word") != "") & ~is_common(F.col("word")))
 
 
+def _number_words(questions: DataFrame, columns: DataFrame) -> DataFrame:
+    """Number words with the number and time columns of their database as one list: item_id, q_id, found (target, link)."""
+    words = question_words(questions).filter(F.col("word").rlike(NUMBER_WORD)).select("item_id", "db_id", "q_id")
+    targets = columns.filter((F.col("col_id") > 0) & F.col("type").isin("number", "time") & F.col("db_id").isNotNull())
+    listed = targets.groupBy("db_id").agg(F.collect_list(F.struct(F.col("col_id").alias("target"), F.upper("type").alias("link"))).alias("found"))
+    return words.join(listed.hint("merge"), "db_id").select("item_id", "q_id", "found")
+
+
 def number_links(questions: DataFrame, columns: DataFrame) -> DataFrame:
     """Number words to every number or time column of their database: item_id, q_id, col_id, link."""
-    words = question_words(questions).filter(F.col("word").rlike(NUMBER_WORD)).select("item_id", "db_id", "q_id")
-    targets = columns.filter((F.col("col_id") > 0) & F.col("type").isin("number", "time")).select("db_id", "col_id", F.upper("type").alias("link"))
-    return words.join(targets.hint("merge"), "db_id").select("item_id", "q_id", "col_id", "link")
+    found = _number_words(questions, columns).select("item_id", "q_id", F.explode("found").alias("f"))
+    return found.select("item_id", "q_id", F.col("f.target").alias("col_id"), "f.link")
 
 
 def cell_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
@@ -134,14 +144,22 @@ def cell_links(questions: DataFrame, cells: DataFrame) -> DataFrame:
 def all_links(questions, columns, tables, cells) -> DataFrame:
     """One frame of all links: item_id, q_id, kind ('column' or 'table'), target, link.
 
-    For a word and a column the order is: name, then cell, then number or time.
+    For a word and a column the order is: name (whole, then part), then cell, then number or time.
+    Runs of words and lists of columns go to the place of their item as they are and become links
+    there, in one shuffle; all links of an item stand together, so steps by item need no other.
     """
-    def of_column(df, rank):
-        return df.select("item_id", "q_id", F.lit("column").alias("kind"), F.col("col_id").alias("target"), "link", F.lit(rank).alias("rank"))
-
-    named = name_links(questions, schema_names(columns, tables)).withColumn("rank", F.lit(0))
-    both = named.unionByName(of_column(cell_links(questions, cells), 1)).unionByName(of_column(number_links(questions, columns), 2))
-    return both.groupBy("item_id", "q_id", "kind", "target").agg(F.min_by("link", "rank").alias("link"))
+    def met(df, first, n, kind, found, rank):
+        return df.select("item_id", F.col(first).alias("first"), n.alias("n"), kind.alias("kind"), found.alias("found"), rank.cast("int").alias("rank"))
+
+    one, column = F.lit(1), F.lit("column")
+    only = lambda target, link: F.array(F.struct(F.col(target).alias("target"), link.alias("link")))
+    hits = _grams_with_names(questions, _beginnings(schema_names(columns, tables)))
+    both = met(hits, "first", F.col("n"), F.col("kind"), only("target", _link(F.col("whole"))), F.when(F.col("whole"), 0).otherwise(1))
+    both = both.unionByName(met(cell_links(questions, cells), "q_id", one, column, only("col_id", F.col("link")), F.lit(2)))
+    both = both.unionByName(met(_number_words(questions, columns), "q_id", one, column, F.col("found"), F.lit(3)))
+    placed = both.repartition("item_id").select("item_id", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("q_id"), "kind", "found", "rank")
+    flat = placed.select("item_id", "q_id", "kind", "rank", F.explode("found").alias("f")).select("item_id", "q_id", "kind", "f.target", "f.link", "rank")
+    return flat.groupBy("item_id", "q_id", "kind", "target").agg(F.min_by("link", "rank").alias("link"))
 
 
 _RELATION = "i_kind", "i", "j_kind", "j", "relation"

@@ -13,7 +13,7 @@ from tablequarry.functions.literals import literal_number
 from tablequarry.functions.seeded import unit
 from tablequarry.operators import features as ft, linking as lk, mining as mi, ordered as od, pieces as pc, schemas as sm, slotquery as sq, slotscore as sc, spans
 from tablequarry.operators import ranking as rk, structscore as ss, synthesis as sy
-from tablequarry.plans import base, ranks, slots, texts as text_plans
+from tablequarry.plans import base as plan_base, links as link_plans, ranks as rank_plans, slots as slot_plans, texts as text_plans
 from tablequarry.plans.registry import Tables
 from tablequarry.plans.templates import phrase_frame, template_frame
 from tablequarry.sources import readers as rd, sinks as sk
@@ -907,9 +907,9 @@ def test_captions_of_one_row_group_are_made_in_several_tasks(spark, tmp_path, mo
 
 def test_pointers_are_read_without_the_tokens_of_their_input(spark, tmp_path):
     t = _orders(spark, tmp_path)
-    back = ranks.k8_pointers_back(t)
+    back = rank_plans.k8_pointers_back(t)
     assert "[SEP]" not in _plan(back)
-    want = base.slot_queries(t).select("query_id", "sel", "agg", slots._flat(sq.lower_conditions(F.col("conds"))).alias("conds"))
+    want = plan_base.slot_queries(t).select("query_id", "sel", "agg", slot_plans._flat(sq.lower_conditions(F.col("conds"))).alias("conds"))
     as_rows = lambda df: sorted(map(tuple, df.collect()))
     assert as_rows(back) == as_rows(want)
 
@@ -923,3 +923,32 @@ def test_pointer_input_with_words_of_any_size(spark):
     made = df.select("*", F.lit(1).alias("sel"), F.lit(0).alias("agg"), F.expr(f"cast(array() as {COND})").alias("conds"))
     made = ft.pointer_rows(made, "q", F.col("h"), [["s"], ["t", "u", "v"]], F.expr("cast(array() as array<struct<first:int,last:int>>)"))
     assert made.first()["x"] == by_row
+
+
+def test_links_of_an_item_are_shuffled_once(spark, tmp_path):
+    t = _orders(spark, tmp_path)
+    links = link_plans.links(t)
+    by_item = [line for line in _plan(links).splitlines() if "Exchange hashpartitioning(item_id#" in line]
+    assert len(by_item) == 1 and "REPARTITION_BY_COL" in by_item[0]
+    s = link_plans.schemas(t)
+    names = lk.schema_names(s["columns"], s["tables"])
+    column = lambda df, rank: df.selectExpr("item_id", "q_id", "'column' as kind", "col_id as target", "link", f"{rank} as rank")
+    want = lk.name_links(link_plans.asked(t), names).withColumn("rank", F.lit(0)).unionByName(column(lk.cell_links(link_plans.asked(t), link_plans.cells(t)), 1))
+    want = want.unionByName(column(lk.number_links(link_plans.asked(t), s["columns"]), 2)).groupBy("item_id", "q_id", "kind", "target").agg(F.min_by("link", "rank").alias("link"))
+    as_rows = lambda df: sorted(map(tuple, df.collect()))
+    assert as_rows(links) == as_rows(want) and links.count() > 500
+
+
+def test_item_records_leave_the_links_where_they_are(spark, tmp_path):
+    t = _orders(spark, tmp_path)
+    lines = _plan(link_plans.x14_item_records(t)).splitlines()
+    assert sum("Exchange hashpartitioning(item_id#" in line for line in lines) == 2  # the links, and the questions with their names
+
+
+def test_links_to_pieces_shuffle_by_item_only(spark, tmp_path):
+    plan = _plan(link_plans.x15_links_to_pieces(_orders(spark, tmp_path)))
+    assert "word_no" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    links = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (None, 1, "c"), (1, None, "d"), (2, 0, "e")], "item_id long, word_no int, link string")
+    words = spark.createDataFrame([(1, 0, 0), (1, 1, 2), (1, 1, 5), (None, 1, 4), (1, None, 6)], "item_id long, word_no int, first int")
+    made = ft.links_to_pieces(links, words, "item_id")
+    assert made.columns == ["item_id", "link", "piece_no"] and sorted(map(tuple, made.collect())) == [(1, "a", 0), (1, "b", 2), (1, "b", 5)]
