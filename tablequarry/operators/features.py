@@ -334,8 +334,14 @@ def words_of_pieces(rows: DataFrame, key: str, pieces: str) -> DataFrame:
 
 
 def links_to_pieces(links: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """Carry links (key, word_no, ...) from words to the first piece of the word."""
-    return links.join(words.select(key, "word_no", "first").hint("merge"), [key, "word_no"]).withColumnRenamed("first", "piece_no").drop("word_no")
+    """Carry links (key, word_no, ...) from words to the first piece of the word.
+
+    The words of a key meet its links as one list, so links that stand together by key stay where they are.
+    """
+    placed = words.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("word_no", "first")).alias("__words"))
+    own = F.filter("__words", lambda w: w["word_no"] == F.col("word_no"))
+    met = links.join(placed.hint("merge"), key).withColumn("__word", F.explode(own))
+    return met.select(*[c for c in links.columns if c != "word_no"], F.col("__word.first").alias("piece_no"))
 
 
 def inverse_permutation(order: Column) -> Column:
